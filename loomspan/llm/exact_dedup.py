@@ -91,7 +91,7 @@ class MergeIndex:
 def hit_filter(hits: DataFrame) -> DataFrame:
     """A bitmap over the digests of hits, as at most FILTER_BITS / 32768 rows of 4 KB."""
     at = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    return hits.select(at.alias("at")).groupBy((F.col("at") / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("bitmap_bit_position(at)")).alias("bits"))
+    return hits.select(at.alias("at")).groupBy((F.col("at") / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BUCKET))).alias("bits"))
 
 
 def may_hit(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
