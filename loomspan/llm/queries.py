@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.line_dedup import dedup_lines
+from loomspan.llm.ngram_jaccard import similar_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op2_exact_dedup, op8_line_dedup)}
+QUERIES = {q.__name__: q for q in (op2_exact_dedup, op7_ngram_jaccard, op8_line_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
