@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm import toxicity
+from loomspan.llm.decontaminate import find_benchmark
 from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.line_dedup import dedup_lines
 from loomspan.llm.ngram_jaccard import similar_components
@@ -22,6 +24,19 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score_toxicity(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_benchmark(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("hit_items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 
@@ -31,7 +46,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op2_exact_dedup, op7_ngram_jaccard, op8_line_dedup)}
+QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_toxicity, op4_decontamination, op7_ngram_jaccard, op8_line_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
