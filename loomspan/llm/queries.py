@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import toxicity
+from loomspan.llm import byte_bpe, toxicity
 from loomspan.llm.decontaminate import find_benchmark
 from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.line_dedup import dedup_lines
 from loomspan.llm.ngram_jaccard import similar_components
+from loomspan.llm.token_counts import count_tokens
+from loomspan.llm.token_files import token_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 
@@ -46,7 +59,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_toxicity, op4_decontamination, op7_ngram_jaccard, op8_line_dedup)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+QUERIES = {q.__name__: q for q in (op2_exact_dedup, op3_toxicity, op4_decontamination, op5_token_counts, op6_token_files, op7_ngram_jaccard, op8_line_dedup, op10_byte_bpe)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
