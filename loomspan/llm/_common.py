@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -39,6 +40,32 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bits of a bitmap over keys: 2 MB, whatever the input, in rows of 4 KB.
+FILTER_BITS = 1 << 24
+_ROW_BITS = 32768
+
+
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def key_filter(rows: DataFrame, key: str) -> DataFrame:
+    """A bitmap over the hashes of a column, as at most FILTER_BITS / 32768 rows."""
+    at = rows.select(_place(key).alias("at"))
+    return at.groupBy((F.col("at") / _ROW_BITS).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_ROW_BITS))).alias("bits"))
+
+
+def flag_keys(rows: DataFrame, key: str, bitmap: DataFrame, flag: str) -> DataFrame:
+    """rows with a flag: true for every key in the bitmap, and perhaps for some more; broadcasts 2 MB at most."""
+    at = _place(key)
+    bitmap = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    place = F.pmod(at, F.lit(_ROW_BITS)).cast("int")
+    byte = F.ascii(F.decode(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    bit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8))).bitwiseAND(1)
+    joined = rows.withColumn("__bucket", (at / _ROW_BITS).cast("int")).join(F.broadcast(bitmap), "__bucket", "left")
+    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, element by element."""
     h = (h ^ (h >> U64(30))) * _M1
@@ -71,6 +98,10 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+#: Rows of a slice at most.
+MOST_ROWS = 1 << 15
+
+
 class Texts:
     """Some rows of a batch: UTF-8 bytes of a text column (null counts as empty) with offsets."""
 
@@ -128,6 +159,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget:
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
+            stop = min(stop, start + MOST_ROWS)
             yield Texts(batch.slice(start, stop - start), column)
             start = stop
 

@@ -24,11 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._common import column, shared_folder, stored
-
-#: Bits of the bitmap over hits: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
-_BUCKET = 32768
+from loomspan.llm._common import column, flag_keys, key_filter, shared_folder, stored
 
 
 def sha256_digest(text: Column) -> Column:
@@ -88,22 +84,6 @@ class MergeIndex:
         return self.runs()
 
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """A bitmap over the digests of hits, as at most FILTER_BITS / 32768 rows of 4 KB."""
-    at = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    return hits.select(at.alias("at")).groupBy((F.col("at") / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BUCKET))).alias("bits"))
-
-
-def may_hit(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The rows whose digest is in the bitmap: all hits, and perhaps some more."""
-    at = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    rows = rows.withColumn("__bucket", (at / _BUCKET).cast("int"))
-    place = F.pmod(at, F.lit(_BUCKET)).cast("int")
-    bitmap = bitmap.withColumnRenamed("bucket", "__bucket")
-    byte = F.ascii(F.decode(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
-    return rows.join(F.broadcast(bitmap), "__bucket").where(F.expr("1") == F.call_function("shiftright", byte, F.pmod(place, F.lit(8))).bitwiseAND(1)).drop("__bucket", "bits")
-
-
 def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", digest=sha256_digest, memtable_rows: int = 200_000) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs."""
     spark = docs.sparkSession
@@ -112,7 +92,7 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     index = MergeIndex(spark, keep=keep, memtable_rows=memtable_rows)
     index.flush(rows.select("digest", "id"))
     hits = stored(index.compact().where("n > 1"))
-    suspects = may_hit(rows, hit_filter(hits))
+    suspects = flag_keys(rows, "digest", key_filter(hits, "digest"), "hit").where("hit").drop("hit")
     verified = suspects.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
     mixed = stored(verified.where("least != most").select("digest"))
     out = rows.withColumn("sha", F.col("digest") if digest is sha256_digest else F.unhex(F.sha2("text", 256)))
