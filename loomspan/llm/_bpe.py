@@ -7,42 +7,30 @@ import heapq
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 import regex
 
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
-#: Below U+0540 all the engines agree on letters, digits and white space.
-_FIRST_UNSURE = 0xD5
+#: Below this all the engines agree on letters, digits and white space.
+_FIRST_UNSURE = 0x540
 
 
 @functools.cache
-def _unsure() -> regex.Pattern:
-    """Code points that were not assigned yet in this Python's Unicode tables: engines may disagree on them."""
-    ranges, start = [], None
-    for c in range(0x540, 0x110001):
-        unknown = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if unknown and start is None:
-            start = c
-        elif not unknown and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return regex.compile(f"[{''.join(ranges)}]")
+def _unsure() -> np.ndarray:
+    """By code point: not assigned yet in this Python's Unicode tables, so engines may disagree on it."""
+    return np.array([c >= _FIRST_UNSURE and unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
 
 
 def is_sure(text: str) -> bool:
     """Whether ``pre_tokens`` splits text as every engine does."""
-    return text.isascii() or not _unsure().search(text)
+    return text.isascii() or not _unsure()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
 
 
 def pre_tokens(text: str) -> list[str]:
     return _PATTERN.findall(text)
 
 
-def plain_slice(data) -> bool:
-    """Whether no byte of the array begins a code point at or beyond U+0540."""
-    return not len(data) or int(data.max()) < _FIRST_UNSURE
-
-
 class Memo(dict):
     """A table that computes what it lacks and forgets all of that when it has grown by ``most``."""
 

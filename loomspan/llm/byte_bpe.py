@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._bpe import is_sure, merge, plain_slice, pre_tokens
+from loomspan.llm._bpe import is_sure, merge, pre_tokens
 from loomspan.llm._common import column, stored, text_slices
 
 _BUCKETS = 8192
@@ -72,8 +72,8 @@ def _library_split() -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def split(text: str, sure: bool) -> list[str]:
-    return pre_tokens(text) if sure or is_sure(text) else _library_split().findall(text)
+def split(text: str) -> list[str]:
+    return pre_tokens(text) if is_sure(text) else _library_split().findall(text)
 
 
 def _literal_buckets(ranks: dict[bytes, int]) -> Column:
@@ -124,9 +124,8 @@ def distinct_words(docs: DataFrame, text: str = "text", most: int = 100_000) ->
 
         held: Counter = Counter()
         for t in text_slices(batches, text):
-            sure = plain_slice(t.data)
             for x in column(t.batch, text).to_pylist():
-                held.update(split(x or "", sure))
+                held.update(split(x or ""))
             if len(held) >= most:
                 yield flush()
                 held = Counter()
@@ -192,10 +191,9 @@ def _with_tail(docs: DataFrame, text: str, tail: DataFrame, sent) -> DataFrame:
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for t in text_slices(batches, "text"):
-            sure = plain_slice(t.data)
             at, words = [], []
             for k, x in enumerate(column(t.batch, "text").to_pylist()):
-                own = {w for w in split(x or "", sure) if w not in known}
+                own = {w for w in split(x or "") if w not in known}
                 at += [k] * len(own)
                 words += own
             yield pa.RecordBatch.from_arrays([column(t.batch, "__key").take(pa.array(at, pa.int64())), pa.array(words, pa.string())], ["__key", "word"])
@@ -217,11 +215,10 @@ def _assemble(docs: DataFrame, text: str, sent, keep_ids: bool) -> DataFrame:
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for t in text_slices(batches, text):
-            sure = plain_slice(t.data)
             tails = column(t.batch, "__tail").to_pylist() if has_tail else None
             n, ids_sha, dec_sha, ids = [], [], [], []
             for k, x in enumerate(column(t.batch, text).to_pylist()):
-                words = split(x or "", sure)
+                words = split(x or "")
                 if tails is not None and tails[k]:
                     own = {e["word"]: (e["entry"]["ids"], e["entry"]["n"], e["entry"]["decoded"]) for e in tails[k]}
                     found = [known.get(w) or own[w] for w in words]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomspan.llm._bpe import Memo, as_bytes, is_sure, merge, plain_slice, pre_tokens
+from loomspan.llm._bpe import Memo, as_bytes, is_sure, merge, pre_tokens
 from loomspan.llm._common import column, text_slices
 
 
@@ -71,15 +71,15 @@ class Counter:
         self.path, self.specials = path, specials
         self.table = Memo(dict.fromkeys(whole, 1), lambda w: len(merge(w.encode(), rank)))
 
-    def count(self, text: str, sure: bool) -> int:
-        if not sure and not is_sure(text):
+    def count(self, text: str) -> int:
+        if not is_sure(text):
             return len(library_ids(self.path, text))
         for k, special in enumerate(self.specials):
             if special in text:
                 if len(self.specials) > 1:
                     return len(library_ids(self.path, text))
                 parts = text.split(special)
-                return len(parts) - 1 + sum(self.count(p, True) for p in parts)
+                return len(parts) - 1 + sum(self.count(p) for p in parts)
         return sum(map(self.table.__getitem__, pre_tokens(text)))
 
 
@@ -93,8 +93,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", n_tokens: st
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, *sent.value)
         for t in text_slices(batches, text):
-            sure = plain_slice(t.data)
-            n = np.fromiter((counter.count(x or "", sure) for x in column(t.batch, text).to_pylist()), np.int64, t.rows)
+            n = np.fromiter((counter.count(x or "") for x in column(t.batch, text).to_pylist()), np.int64, t.rows)
             yield pa.RecordBatch.from_arrays([*(column(t.batch, c) for c in names), pa.array(n)], [*names, n_tokens])
 
     return docs.mapInArrow(counted, schema)

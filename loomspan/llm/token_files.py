@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm._bpe import Memo, is_sure, plain_slice, pre_tokens
+from loomspan.llm._bpe import Memo, is_sure, pre_tokens
 from loomspan.llm._common import column, shared_folder, text_slices
 from loomspan.llm.token_counts import library_ids, tokenizer
 
@@ -44,8 +44,8 @@ class Encoder:
         self.special = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
         self.table = Memo({}, lambda w: np.array(library_ids(path, w), "<u4").tobytes())
 
-    def encode(self, text: str, sure: bool) -> bytes:
-        if (not sure and not is_sure(text)) or any(s in text for s in self.special):
+    def encode(self, text: str) -> bytes:
+        if not is_sure(text) or any(s in text for s in self.special):
             return np.array(library_ids(self.path, text), "<u4").tobytes()
         return b"".join(map(self.table.__getitem__, pre_tokens(text)))
 
@@ -57,8 +57,7 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", doc_id:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for t in text_slices(batches):
-            sure = plain_slice(t.data)
-            raw = [encoder.encode(x or "", sure) + end for x in column(t.batch, "text").to_pylist()]
+            raw = [encoder.encode(x or "") + end for x in column(t.batch, "text").to_pylist()]
             n = np.array([len(x) // 4 for x in raw], np.int32)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
