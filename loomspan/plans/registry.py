@@ -1,5 +1,8 @@
 """All queries of the library by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = None
+from loomspan.plans import relational, texts, vectors
+from loomspan.plans._base import QUERIES, SQL
+
+FLAGSHIP = vectors.retrieval_pipeline
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "relational", "texts", "vectors"]
