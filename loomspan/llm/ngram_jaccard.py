@@ -3,18 +3,24 @@
 A document's set is its distinct 64-bit shingle hashes; equal sets are one node. The global n-gram
 order puts light shingles first, by hash, and heavy ones (held by many documents, counted over all
 of them) last, by count. Two sets that reach the threshold share a shingle of their prefixes in
-that order. The order is cut into fragments: each fragment is one unit of work that sees only its
-part of every prefix, packed in blocks.
-
-1. Each fragment joins the nodes of each shared shingle to a spanning forest, not to all pairs.
-2. Candidate pairs are counted vertically: hash space is cut into slices, each slice's overlap of
-   a pair is counted separately, and the overlaps are summed per pair. The first slice alone drops
-   pairs whose symmetric difference there is more than a link allows.
-3. Linked pairs give components. Fragments then list the pairs of nodes that share a shingle but
-   lie in different components, which the forests may have missed; these are counted the same way.
-
-So no link between different texts is lost, and a group of near copies costs rows in proportion to
-its size. Nodes are 64-bit digests of sets: two of 2**32 different sets meet by chance about once.
+that order.
+
+1. The order is cut into fragments. Each is one unit of work that sees only its part of every
+   prefix, packed in blocks, and joins the nodes of each shared shingle to a spanning forest, not to
+   all pairs. The forests' components are clusters: linked nodes always lie in one cluster.
+   The nodes of large clusters (texts made of common passages) go through the fragments once more
+   with their set sizes and bitmaps of 1024 bits: then only pairs of a shared shingle that pass the
+   bounds of size and bitmap are joined, so what shares passages without being similar falls apart.
+2. A cluster's sets meet in one task, a large cluster's in blocks, each pair of blocks in a task of its
+   own. A pair is dropped when the bits in which two hashed bitmaps differ, a lower bound of the
+   symmetric difference, are more than a link allows. The others are counted vertically: the overlap
+   in each fragment of hash order is counted separately and the overlaps are summed per pair, until
+   the sum decides. Pairs already joined by links are not counted again, hubs come first, and a task
+   returns only links that join something new.
+3. Links give the components.
+
+So no link between different texts is lost, and a group of near copies gives rows in proportion to its
+size. Nodes are 64-bit digests of sets: two of 2**32 different sets meet by chance about once.
 
 Defined results: no words or null text is the empty set, linked with nothing; fewer words than the
 shingle size make one shingle; a null doc_id counts as the smallest and gives a null component; rows
@@ -33,12 +39,16 @@ from pyspark.sql import functions as F
 from loomspan.llm._common import NOT_SPACE, U64, Texts, column, hashes, mix, stored, text_slices, windows
 from loomspan.llm.components import components
 
-#: Shingles in more documents than this are heavy, but no more of them than HEAVY_MOST (8 MB).
-HEAVY_FROM, HEAVY_MOST = 8, 1 << 20
+#: Shingles in more documents than this are heavy, but no more of them than HEAVY_MOST (48 MB): those of
+#: the highest counts. Shingles are told apart by 32 bits here, where a mix-up costs only time. They are counted in the first COUNTED per cent of every document's shingles by hash.
+HEAVY_FROM, HEAVY_MOST, COUNTED = 1, 1 << 23, 50
 FILTER_BITS = 1 << 24
+#: Nodes of a cluster that are compared in one block, and vertical fragments of a count.
+BLOCK, SLICES = 4096, 4
+#: Clusters of more nodes are formed again from pairs that pass the length and bitmap bounds.
+REFINE_FROM, SKETCH_BITS = 256, 1024
 NULL_ID = -(1 << 63)
-_TOP = U64(1 << 63)
-_CLASS = U64(24)
+_CLASS = U64(32)
 
 
 class Threshold:
@@ -68,7 +78,8 @@ def shingle_sets(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             rows.append(row[first][whole])
             found.append(h[whole])
     row, h = np.concatenate(rows), np.concatenate(found)
-    order = np.lexsort((h, row))
+    # Rows are short of 2**16, so one word orders by row and then by the hash's upper bits.
+    order = np.argsort(row.astype(U64) << U64(48) | h >> U64(16))
     row, h = row[order], h[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -113,8 +124,18 @@ def _fragment(tokens: np.ndarray, fragments: int) -> np.ndarray:
     return ((tokens >> U64(32)) * U64(fragments) >> U64(32)).astype(np.int64)
 
 
-def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, heavy, wanted, counting: bool) -> DataFrame:
-    """(frag, payload): the prefixes, cut into fragments. counting: hash classes alone, to count."""
+def sketches(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """Bitmaps of SKETCH_BITS over the hashes of each row."""
+    flat = np.zeros(rows * SKETCH_BITS, np.uint8)
+    flat[row * SKETCH_BITS + (h & U64(SKETCH_BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(flat, bitorder="little").view(U64).reshape(rows, -1)
+
+
+def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, heavy, counting: bool, wanted=None) -> DataFrame:
+    """(frag, payload): the prefixes, cut into fragments.
+
+    counting: hash classes alone, to count. wanted: a filter of nodes, whose sizes and bitmaps go along.
+    """
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         frag, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -123,36 +144,43 @@ def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, he
         at = np.flatnonzero(np.concatenate(([True], frag[1:] != frag[:-1], [True])))
         payload = []
         for a, b in zip(at[:-1], at[1:], strict=True):
-            payload.append(b"".join(c[a:b].tobytes() for c in cols))
+            part = [c[a:b].tobytes() for c in cols]
+            if wanted is not None:
+                own, place = np.unique(cols[1][a:b], return_inverse=True)
+                first = np.zeros(len(own), np.int64)
+                first[place] = np.arange(a, b)
+                part = [np.array([b - a, len(own)], np.int64).tobytes(), part[0], place.astype(np.uint32).tobytes(), own.tobytes(), cols[2][first].tobytes(), cols[3][first].tobytes()]
+            payload.append(b"".join(part))
         yield pa.RecordBatch.from_arrays([pa.array(frag[at[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], ["frag", "payload"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_of = heavy.value if heavy is not None else np.zeros(0, U64)
+        order_of = heavy.value if heavy is not None else ()
         mask = wanted.value if wanted is not None else None
         held, total, seen = [], 0, set()
         for t in text_slices(batches):
             row, h, n, node = _new_nodes(t, size, seen, mask)
             starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=t.rows))))
-            value = h >> U64(1)
-            if counting:
-                pos = np.arange(len(row)) - starts[row]
-                keep = pos < threshold.prefix(n)[row]
-                token = h[keep] >> _CLASS
-                held.append((_fragment(h[keep], fragments), token))
-            else:
-                if len(order_of):
-                    cls = h >> _CLASS
-                    at = np.minimum(np.searchsorted(order_of[0], cls), len(order_of[0]) - 1)
-                    is_heavy = order_of[0][at] == cls
-                    value = np.where(is_heavy, _TOP | (order_of[1][at] << U64(40)) | cls & U64((1 << 40) - 1), value)
-                    order = np.lexsort((value, row))
-                    h, value = h[order], value[order]
-                pos = np.arange(len(row)) - starts[row]
-                keep = pos < threshold.prefix(n)[row]
-                r = row[keep]
-                held.append((_fragment(h[keep], fragments), h[keep], node[r], n[r].astype(np.uint32), pos[keep].astype(np.uint32)))
+            pos = np.arange(len(row)) - starts[row]
+            if not counting and len(order_of):
+                cls = (h >> _CLASS).astype(np.uint32)
+                at = np.minimum(np.searchsorted(order_of[0], cls), len(order_of[0]) - 1)
+                late = order_of[0][at] == cls
+                if late.any():
+                    # Light shingles keep their order and the heavy ones follow them by count.
+                    before = np.concatenate(([0], np.cumsum(late)))
+                    pos -= before[:-1] - before[starts[row]]
+                    k = np.flatnonzero(late)
+                    k = k[np.lexsort((h[k], order_of[1][at[k]], row[k]))]
+                    r = row[k]
+                    rank = np.arange(len(k)) - np.searchsorted(r, r)
+                    pos[k] = n[r] - (before[starts[r + 1]] - before[starts[r]]) + rank
+            most = n * COUNTED // 100 + 1 if counting else threshold.prefix(n)
+            keep = pos < most[row]
+            frag = _fragment(h[keep], fragments).astype(np.uint16 if fragments < 1 << 16 else np.int64)
+            r = row[keep]
+            held.append((frag, (h[keep] >> _CLASS).astype(np.uint32)) if counting else (frag, h[keep], node[r]) if mask is None else (frag, h[keep], node[r], n[r], sketches(row, h, t.rows)[r]))
             total += int(keep.sum())
-            if total > 1 << 20:
+            if total > 1 << 19:
                 yield from flush(held)
                 held, total = [], 0
         if total:
@@ -162,66 +190,48 @@ def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, he
 
 
 def _by_fragment(blocks: DataFrame, fragments: int, work: Callable, schema: str) -> DataFrame:
-    """work(frag, [(kind, payload), ...]) -> batches, once for each fragment."""
+    """work(payloads) -> batches, once for each fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in batches:
-            for f, k, p in zip(column(b, "frag").to_pylist(), column(b, "kind").to_pylist(), column(b, "payload").to_pylist(), strict=True):
+            for f, p in zip(column(b, "frag").to_pylist(), column(b, "payload").to_pylist(), strict=True):
                 if f != at and held:
-                    yield from work(at, held)
+                    yield from work(held)
                     held = []
                 at = f
-                held.append((k, p))
+                held.append(p)
         if held:
-            yield from work(at, held)
+            yield from work(held)
 
     return blocks.repartition(min(fragments, 100_000), "frag").sortWithinPartitions("frag").mapInArrow(run, schema)
 
 
-def _unpack(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Token, node, n, pos of a fragment, each (token, node) once, sorted by token, then node."""
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for raw in parts:
-        m = len(raw) // 24
-        at = 0
-        for c, (dtype, width) in zip(cols, ((U64, 8), (U64, 8), (np.uint32, 4), (np.uint32, 4)), strict=True):
-            c.append(np.frombuffer(raw, dtype, m, at))
-            at += width * m
-    tok, node, n, pos = (np.concatenate(c) for c in cols)
-    del cols, parts
+def _unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The shared tokens of a fragment with their nodes, each pair once, sorted by both."""
+    tok, node = (np.concatenate([np.frombuffer(raw, U64, len(raw) // 16, k * (len(raw) // 2)) for raw in parts]) for k in (0, 1))
     order = np.lexsort((node, tok))
     tok, node = tok[order], node[order]
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-    order = order[new]
     tok, node = tok[new], node[new]
     shared = np.zeros(len(tok), bool)
     same = tok[1:] == tok[:-1]
     shared[1:] |= same
     shared[:-1] |= same
-    return tok[shared], node[shared], n[order][shared].astype(np.int64), pos[order][shared].astype(np.int64)
+    return tok[shared], node[shared]
 
 
 def _groups(tok: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True]))) if len(tok) else np.zeros(1, np.int64)
 
 
-_PAIR = "kind int, frag int, a long, b long, na long, nb long"
-
+def _forest() -> Callable:
+    """Pairs of nodes that join the nodes of each shared token."""
 
-def _pairs_batch(kind: int, frag: int, a, b, na, nb) -> pa.RecordBatch:
-    m = len(a)
-    cols = [np.full(m, kind, np.int32), np.full(m, frag, np.int32), a.view(np.int64), b.view(np.int64), na, nb]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "frag", "a", "b", "na", "nb"])
-
-
-def _forest(threshold: Threshold) -> Callable:
-    def work(frag: int, held: list) -> Iterator[pa.RecordBatch]:
-        tok, node, n, pos = _unpack([p for _, p in held])
+    def work(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        tok, node = _unpack(held)
         names, index = np.unique(node, return_inverse=True)
-        size = np.zeros(len(names), np.int64)
-        size[index] = n
         parent = list(range(len(names)))
 
         def find(x: int) -> int:
@@ -232,9 +242,8 @@ def _forest(threshold: Threshold) -> Callable:
 
         at = _groups(tok)
         idx = index.tolist()
-        left, right, joined = [], [], set()
-        open_groups = np.zeros(len(at) - 1, bool)
-        for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        left, right = [], []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             first = idx[s]
             root = find(first)
             for i in range(s + 1, e):
@@ -243,55 +252,54 @@ def _forest(threshold: Threshold) -> Callable:
                     parent[r] = root
                     left.append(first)
                     right.append(x)
-                    joined.add((first, x))
-            # Of two nodes the pair itself is enough; elsewhere the forest may lack a pair.
-            open_groups[k] = e - s > 2 or (first, idx[s + 1]) not in joined
-        left, right = np.minimum(left, right).astype(np.int64), np.maximum(left, right).astype(np.int64)
-        yield _pairs_batch(0, frag, names[left], names[right], size[left], size[right])
-        again = np.unique(index[np.repeat(open_groups, np.diff(at))])
-        yield _pairs_batch(1, frag, names[again], names[again], size[again], size[again])
+        a, b = (names[np.array(x, np.int64)].view(np.int64) for x in (left, right))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return work
 
 
-def _across(threshold: Threshold) -> Callable:
-    """Pairs that share a shingle, lie in different components and may reach the threshold."""
-
-    def work(frag: int, held: list) -> Iterator[pa.RecordBatch]:
-        known = [np.frombuffer(p, np.int64) for k, p in held if k == 1]
-        known = np.concatenate(known).reshape(-1, 2) if known else np.zeros((0, 2), np.int64)
-        if not len(known) or not any(k == 0 for k, _ in held):
-            return
-        known = known[np.argsort(known[:, 0].view(U64))]
-        tok, node, n, pos = _unpack([p for k, p in held if k == 0])
-        at = np.minimum(np.searchsorted(known[:, 0].view(U64), node), len(known) - 1)
-        comp = np.where(known[at, 0].view(U64) == node, known[at, 1], node.view(np.int64))
+def _filtered_forest(percent: int) -> Callable:
+    """As _forest, of pairs that pass the bounds of size and bitmap."""
+    threshold = Threshold(percent)
+
+    def work(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        toks, places, names, sizes, maps, base = [], [], [], [], [], 0
+        for raw in held:
+            m, k = np.frombuffer(raw, np.int64, 2).tolist()
+            at = 16
+            for out, kind, count, width in ((toks, U64, m, 8), (places, np.uint32, m, 4), (names, U64, k, 8), (sizes, np.int64, k, 8), (maps, U64, k * SKETCH_BITS // 64, 8)):
+                out.append(np.frombuffer(raw, kind, count, at))
+                at += count * width
+            places[-1] = places[-1].astype(np.int64) + base
+            base += k
+        tok, place, name, size, sketch = (np.concatenate(x) for x in (toks, places, names, sizes, maps))
+        sketch = sketch.reshape(len(name), -1)
+        own, first, same = np.unique(name, return_index=True, return_inverse=True)
+        size, sketch, place = size[first], sketch[first], same[place]
+        order = np.lexsort((place, tok))
+        tok, place = tok[order], place[order]
+        root = np.arange(len(own))
+        left, right = [], []
         bounds = _groups(tok)
-        found: list[np.ndarray] = []
-        kept = 0
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if (comp[s:e] == comp[s]).all():
-                continue
-            for lo in range(s, e, 512):
-                i = np.arange(lo, min(lo + 512, e))[:, None]
-                for to in range(lo, e, 2048):
-                    j = np.arange(to, min(to + 2048, e))[None, :]
-                    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                    ok = (i < j) & (comp[i] != comp[j]) & (most >= threshold.least_overlap(n[i] + n[j]))
-                    x, y = np.nonzero(ok)
-                    if len(x):
-                        p, q = i[x, 0], j[0, y]
-                        swap = node[p] > node[q]
-                        p, q = np.where(swap, q, p), np.where(swap, p, q)
-                        found.append(np.stack((node[p], node[q], n[p].astype(U64), n[q].astype(U64)), 1))
-                        kept += len(p)
-            if kept > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                yield _pairs_batch(0, frag, *(np.ascontiguousarray(found[0][:, k]) for k in (0, 1)), *(found[0][:, k].astype(np.int64) for k in (2, 3)))
-                found, kept = [], 0
-        if found:
-            p = np.unique(np.concatenate(found), axis=0)
-            yield _pairs_batch(0, frag, *(np.ascontiguousarray(p[:, k]) for k in (0, 1)), *(p[:, k].astype(np.int64) for k in (2, 3)))
+            members = np.unique(place[s:e])
+            while len(members) > 1:
+                i, members = members[0], members[1:]
+                js = members[root[members] != root[i]]
+                if not len(js) and (root[members] == root[members[0]]).all():
+                    break
+                both = size[js] + size[i]
+                least = threshold.least_overlap(both)
+                fits = least <= np.minimum(size[js], size[i])
+                js, spare = js[fits], (both - 2 * least)[fits]
+                js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(1, dtype=np.int64) <= spare]
+                for j in js.tolist():
+                    if root[j] != root[i]:
+                        left.append(i)
+                        right.append(j)
+                        root[root == root[j]] = root[i]
+        a, b = (own[np.array(x, np.int64)].view(np.int64) for x in (left, right))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return work
 
@@ -306,55 +314,165 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _slices(docs: DataFrame, size: int, wanted, slices: int, only: list[int]) -> DataFrame:
-    """(node, slice, tokens) of the wanted nodes."""
+def _whole_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
+    """(node, tokens) of the wanted nodes, once for each task that meets them."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for t in text_slices(batches):
             row, h, _, node = _new_nodes(t, size, seen, wanted.value)
-            part = _fragment(h, slices)
-            key = row * slices + part
-            at = _groups(key)
-            take = [k for k in range(len(at) - 1) if part[at[k]] in only]
-            raw = [h[at[k] : at[k + 1]].view(np.int64) for k in take]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int32)
-            values = pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64))
-            who = np.array([node[row[at[k]]] for k in take], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([int(part[at[k]]) for k in take], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["node", "slice", "tokens"])
-
-    return docs.mapInArrow(cut, "node long, slice int, tokens array<long>").dropDuplicates(["node", "slice"])
-
-
-def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs with the partial overlap and size of both in each slice."""
-    left = parts.select(F.col("node").alias("a"), "slice", F.col("tokens").alias("ta"))
-    right = parts.select(F.col("node").alias("b"), "slice", F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, ["b", "slice"])
-    return both.select("a", "b", "na", "nb", F.size("ta").alias("sa"), F.size("tb").alias("sb"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-
-
-def count_links(docs: DataFrame, pairs: DataFrame, size: int, percent: int, slices: int = 5) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, counted slice by slice."""
-    spark = docs.sparkSession
-    both = F.col("na") + F.col("nb")
-    least = F.ceil(F.lit(percent) * both / F.lit(100 + percent))
-
-    def wanted(p: DataFrame):
-        return spark.sparkContext.broadcast(node_filter(p.select(F.col("a").alias("node")).union(p.select("b"))))
-
-    first = _overlaps(pairs, _slices(docs, size, wanted(pairs), slices, [0]))
-    seen = stored(first.where(F.col("sa") + F.col("sb") - 2 * F.col("common") <= both - 2 * least).select("a", "b", "na", "nb", "common"))
-    # A pair of which one has no token in the first slice passes without being counted there.
-    missing = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb", F.lit(0).alias("common"))
-    seen = stored(seen.unionByName(missing))
-    rest = _overlaps(seen.drop("common"), _slices(docs, size, wanted(seen), slices, list(range(1, slices))))
-    total = seen.select("a", "b", "na", "nb", "common").unionByName(rest.select("a", "b", "na", "nb", "common"))
-    total = total.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return total.where(100 * F.col("common") >= percent * (both - F.col("common"))).select("a", "b")
-
-
-def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 75, fragment_tokens: int = 3_000_000) -> DataFrame:
+            at = _groups(row)
+            who = node[row[at[:-1]]].view(np.int64) if len(row) else np.zeros(0, np.int64)
+            raw = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(raw, pa.binary())], ["node", "tokens"])
+
+    return docs.mapInArrow(sets, "node long, tokens binary")
+
+
+def _units(clusters: DataFrame) -> DataFrame:
+    """(node, unit, side) from (node, cluster): where each node is compared.
+
+    A cluster of up to BLOCK nodes is one unit (side 0). A larger one is cut into blocks by hash,
+    and each pair of blocks is a unit whose two sides are compared; a block with itself has side 0.
+    """
+    many = clusters.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
+    small = clusters.join(many, "cluster", "left_anti").select("node", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
+    large = clusters.join(many, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    unit = F.xxhash64("cluster", F.least("i", "j"), F.greatest("i", "j"))
+    large = large.select("node", unit.alias("unit"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
+    return small.unionByName(large)
+
+
+def _heavy_shingles(blocks: DataFrame, fragments: int):
+    """A broadcast of the heavy shingles' upper 32 bits, sorted, and their counts; None if there are none."""
+
+    def counted(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        token, n = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in held]), return_counts=True)
+        many = n > HEAVY_FROM
+        n = np.minimum(n[many], 65535).astype(np.uint16)
+        level, size = np.unique(n, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (token[many].tobytes(), n.tobytes())] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (level, size)], ["token", "n", "level", "size"])
+
+    found = stored(_by_fragment(blocks, fragments, counted, "token binary, n binary, level array<long>, size array<long>"))
+    levels = found.select(F.explode(F.arrays_zip("level", "size")).alias("x")).groupBy("x.level").agg(F.sum("x.size").alias("size")).orderBy(F.desc("level"))
+    total, least = 0, 65536
+    for r in levels.toLocalIterator():  # at most 65535 rows
+        if (total := total + r["size"]) > HEAVY_MOST:
+            break
+        least = r.level
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, c in zip(column(b, "token").to_pylist(), column(b, "n").to_pylist(), strict=True):
+                n = np.frombuffer(c, np.uint16)
+                t = np.frombuffer(t, np.uint32)[n >= least]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t, n[n >= least])], ["token", "n"])
+
+    rows = [(bytes(r.token), bytes(r.n)) for r in found.select("token", "n").mapInArrow(above, "token binary, n binary").toLocalIterator() if r.n]
+    if not rows:
+        return None
+    token, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((0, np.uint32), (1, np.uint16)))
+    order = np.argsort(token)
+    return blocks.sparkSession.sparkContext.broadcast((token[order], n[order]))
+
+
+class Unit:
+    """Finds links among the sets of a unit that join something new."""
+
+    def __init__(self, nodes: list[int], sides: list[int], sets: list[np.ndarray], percent: int):
+        first = {x: k for k, x in reversed(list(enumerate(nodes)))}
+        pick = sorted(first.values())
+        self.nodes = np.array([nodes[k] for k in pick], np.int64)
+        self.side = np.array([sides[k] for k in pick], np.int8)
+        self.sets = [sets[k] for k in pick]
+        self.n = np.array([len(x) for x in self.sets], np.int64)
+        self.threshold = Threshold(percent)
+
+    def bitmaps(self) -> np.ndarray:
+        bits = 1 << int(np.clip(np.ceil(np.log2(6 * max(1, np.median(self.n)))), 8, 13))
+        out = np.zeros((len(self.n), bits // 64), U64)
+        for row, x in zip(out, self.sets, strict=True):
+            flat = np.zeros(bits, np.uint8)
+            flat[(x & U64(bits - 1)).astype(np.int64)] = 1
+            row[:] = np.packbits(flat, bitorder="little").view(U64)
+        return out
+
+    def linked(self, i: int, j: int) -> bool:
+        a, b = self.sets[i], self.sets[j]
+        least = int(self.threshold.least_overlap(np.int64(len(a) + len(b))))
+        spare = len(a) + len(b) - 2 * least
+        total = 0
+        if len(a) + len(b) < 64 * SLICES:
+            total = len(np.intersect1d(a, b, assume_unique=True))
+        else:
+            for k in range(SLICES):
+                x, y = a[self.cuts[i][k] : self.cuts[i][k + 1]], b[self.cuts[j][k] : self.cuts[j][k + 1]]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                total += common
+                spare -= len(x) + len(y) - 2 * common
+                if spare < 0:
+                    return False
+        return total >= least
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        m = len(self.n)
+        edges = (np.arange(SLICES + 1, dtype=np.float64) / SLICES * 2.0**64)[1:-1].astype(U64)
+        self.cuts = [np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in self.sets]
+        if m == 2:
+            found = [(0, 1)] if self.linked(0, 1) and self.side[0] + self.side[1] in (0, 3) else []
+            return tuple(self.nodes[np.array([p[k] for p in found], np.int64)] for k in (0, 1))
+        tokens, inverse, count = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(m), self.n)
+        order = np.argsort(-np.bincount(owner, count[inverse], minlength=m) / np.maximum(self.n, 1), kind="stable")
+        del tokens, inverse, count, owner
+        maps, root, open_ = self.bitmaps(), np.arange(m), np.ones(m, bool)
+        left, right = [], []
+        for i in order:
+            open_[i] = False
+            js = np.flatnonzero(open_ & (root != root[i]) & ((self.side != self.side[i]) | (self.side[i] == 0)))
+            both = self.n[js] + self.n[i]
+            least = self.threshold.least_overlap(both)
+            js, both, least = (x[least <= np.minimum(self.n[js], self.n[i])] for x in (js, both, least))
+            if len(js):
+                apart = np.bitwise_count(maps[js] ^ maps[i]).sum(1, dtype=np.int64)
+                js = js[apart <= both - 2 * least]
+            for j in js.tolist():
+                if root[j] != root[i] and self.linked(i, j):
+                    left.append(i)
+                    right.append(j)
+                    root[root == root[j]] = root[i]
+        return self.nodes[np.array(left, np.int64)], self.nodes[np.array(right, np.int64)]
+
+
+def cluster_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join the nodes of each cluster as all its links do."""
+    wanted = docs.sparkSession.sparkContext.broadcast(node_filter(clusters.select("node")))
+    rows = _whole_sets(docs, size, wanted).join(_units(clusters), "node").select("unit", "side", "node", "tokens")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            a, b = Unit(*held, percent).links() if len(set(held[0])) > 1 else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        at, held = None, ([], [], [])
+        for batch in batches:
+            cols = [column(batch, c).to_pylist() for c in ("unit", "side", "node", "tokens")]
+            for unit, side, node, raw in zip(*cols, strict=True):
+                if unit != at and held[0]:
+                    yield done()
+                    held = ([], [], [])
+                at = unit
+                for x, v in zip(held, (node, side, np.frombuffer(raw, U64)), strict=True):
+                    x.append(v)
+        if held[0]:
+            yield done()
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")
+
+
+def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 75, fragment_tokens: int = 750_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     spark, threshold = docs.sparkSession, Threshold(percent)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -362,45 +480,19 @@ def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     fragments = max(8, int(-(-total // fragment_tokens)))
 
-    def counted(frag: int, held: list) -> Iterator[pa.RecordBatch]:
-        token, count = np.unique(np.concatenate([np.frombuffer(p, U64) for _, p in held]), return_counts=True)
-        many = count > HEAVY_FROM
-        yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many].astype(np.int64))], ["token", "n"])
-
-    kind = lambda df, k: df.withColumn("kind", F.lit(k))
-    blocks = kind(_blocks(docs, shingle, fragments, threshold, None, None, True), 0)
-    heavy = stored(_by_fragment(blocks, fragments, counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY_MOST))
-    table = heavy.toArrow()
-    tokens, counts = table["token"].to_numpy().astype(np.int64).view(U64), table["n"].to_numpy().astype(np.int64)
-    order = np.argsort(tokens)
-    level = np.minimum(counts[order], (1 << 22) - 1).astype(U64)
-    sent = spark.sparkContext.broadcast(np.stack((tokens[order], level))) if len(tokens) else None
-
-    found = stored(_by_fragment(kind(_blocks(docs, shingle, fragments, threshold, sent, None, False), 0), fragments, _forest(threshold), _PAIR))
-    pairs = stored(found.where("kind = 0").select("a", "b", "na", "nb").distinct())
-    links = stored(count_links(docs, pairs, shingle, percent))
-    label = stored(components(links))
-
-    again = found.where("kind = 1").select("frag", F.col("a").alias("node"))
-    if not again.isEmpty():
-        placed = again.join(label, "node", "left").select("frag", "node", F.coalesce("component", "node").alias("component"))
-        placed = stored(placed)
-        wanted = spark.sparkContext.broadcast(node_filter(placed.select("node")))
-        token_blocks = kind(_blocks(docs, shingle, fragments, threshold, sent, wanted, False), 0)
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                frag, node, comp = (column(b, c).to_numpy() for c in ("frag", "node", "component"))
-                for f in np.unique(frag):
-                    rows = np.stack((node[frag == f], comp[frag == f]), 1).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([int(f)], pa.int32()), pa.array([rows], pa.binary())], ["frag", "payload"])
-
-        both = token_blocks.unionByName(kind(placed.mapInArrow(packed, "frag int, payload binary"), 1))
-        more = _by_fragment(both, fragments, _across(threshold), _PAIR).select("a", "b", "na", "nb").distinct()
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.unionByName(count_links(docs, more, shingle, percent))
-            label = stored(components(stored(links)))
+    sent = _heavy_shingles(_blocks(docs, shingle, fragments, threshold, None, True), fragments)
+    forests = _by_fragment(_blocks(docs, shingle, fragments, threshold, sent, False), fragments, _forest(), "a long, b long")
+    clusters = stored(components(stored(forests)).withColumnRenamed("component", "cluster"))
+    large = stored(clusters.groupBy("cluster").count().where(F.col("count") > REFINE_FROM))
+    if not large.isEmpty():
+        again = clusters.join(large, "cluster", "left_semi")
+        wanted = spark.sparkContext.broadcast(node_filter(again.select("node")))
+        blocks = _blocks(docs, shingle, fragments, threshold, sent, False, wanted)
+        finer = components(stored(_by_fragment(blocks, fragments, _filtered_forest(percent), "a long, b long"))).withColumnRenamed("component", "cluster")
+        # The filter may let nodes of other clusters in; these stay where they were.
+        finer = finer.join(again.select("node"), "node", "left_semi")
+        clusters = stored(clusters.join(large, "cluster", "left_anti").select("node", "cluster").unionByName(finer.select("node", "cluster")))
+    label = stored(components(stored(cluster_links(docs, clusters, shingle, percent))))
 
     nodes = sets.where("n > 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"))
     named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
