@@ -1,15 +1,16 @@
 """Byte-level BPE by Spark higher-order functions over distinct words.
 
-The distinct pre-tokens of the corpus are counted, and each is encoded once in the JVM: its bytes (as
-hex pairs) are folded by ``aggregate``; every step looks the ranks of neighbouring pieces up in a
-literal rank map (cut into buckets by crc32, so a look-up reads a few entries) and merges the
-leftmost pair of least rank. Decoding goes from ids to binary pieces by a literal table and
-concatenates them. Pre-tokens over ``fold_bytes`` bytes, for which the fold's cost grows with the
+The distinct pre-tokens of the corpus are counted, and each is encoded once in the JVM: ``aggregate``
+folds its bytes, and every step merges the leftmost pair of least rank. Ranks come from a literal map
+of all pairs of ids that merge (cut into buckets, so a look-up reads a few entries); a step asks it
+for the two new pairs only. Decoding takes the binary piece of each id from a literal table and
+concatenates the pieces. Pre-tokens over ``fold_bytes`` bytes, for which the fold's cost grows with the
 square of their length, are merged by the same rule with a heap in Python.
 
-Documents are then split again and put together from the encoded words. The most frequent words, at
-most ``head_words`` and ``head_bytes``, are broadcast; documents holding other words get those
-through a shuffled join, so that the vocabulary may grow with the corpus.
+Documents are then split again, in arrays, and put together from the encoded words, which go by a
+64-bit hash (checked for collisions over the whole vocabulary). The most frequent words, at most
+``head_bytes``, are broadcast packed; documents holding other words get those through a shuffled
+join, so that the vocabulary may grow with the corpus.
 
 Defined results: null text is the empty text, which has no ids; no string is special; repeated rows
 are encoded alike; an empty table gives an empty result.
@@ -21,7 +22,6 @@ import base64
 import functools
 import hashlib
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._bpe import is_sure, merge, pre_tokens
-from loomspan.llm._common import column, stored, text_slices
+from loomspan.llm._bpe import gather, merge, split, valid
+from loomspan.llm._common import U64, Texts, column, hashes, stored, text_slices
+from loomspan.llm.token_counts import kept
 
-_BUCKETS = 8192
+#: Buckets of the literal rank map (a prime), and bits of an id in its entries.
+_BUCKETS, _BITS = 65521, 20
+_ENTRY = 12
 
 
 @functools.lru_cache(maxsize=2)
@@ -72,135 +75,257 @@ def _library_split() -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def split(text: str) -> list[str]:
-    return pre_tokens(text) if is_sure(text) else _library_split().findall(text)
-
-
-def _literal_buckets(ranks: dict[bytes, int]) -> Column:
-    maps: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.hex()
-        maps[zlib.crc32(key.encode()) % _BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+def words_of(t: Texts) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
+    """t (mended if broken) with row, first byte and end of each pre-token, as the library splits."""
+    t = valid(t)
+    row, start, end, unsure = split(t)
+    if len(unsure):
+        keep = ~np.isin(row, unsure)
+        rows, starts, ends = [row[keep]], [start[keep]], [end[keep]]
+        for i in unsure.tolist():
+            size = np.array([len(w.encode()) for w in _library_split().findall(t.text(i).decode())], np.int64)
+            stop = t.offsets[i] + np.cumsum(size)
+            rows.append(np.full(len(size), i))
+            starts.append(stop - size)
+            ends.append(stop)
+        row, start, end = (np.concatenate(x) for x in (rows, starts, ends))
+        order = np.argsort(start, kind="stable")
+        row, start, end = row[order], start[order], end[order]
+    return t, row, start, end
+
+
+def merging_pairs(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
+    """All (left, right, merged) ids."""
+    for piece, merged in ranks.items():
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                yield left, right, merged
+
+
+def _literal_pairs(ranks: dict[bytes, int]) -> Column:
+    """The literal rank map: buckets of entries left << 40 | right << 20 | merged, by (left << 20 | right) modulo _BUCKETS."""
+    buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
+    for left, right, merged in merging_pairs(ranks):
+        key = left << _BITS | right
+        buckets[key % _BUCKETS].append(key << _BITS | merged)
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
 
 
 def _let(value: Column, body) -> Column:
     """body(value) with value evaluated once."""
-    return F.transform(F.array(value), body).getItem(0)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(hex_bytes: Column, rank) -> Column:
-    """The pieces, in hex, after all ranked merges of the bytes given in hex."""
-    n = (F.length(hex_bytes) / 2).cast("int")
-    start = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(hex_bytes, k * 2 + 1, F.lit(2)))
+def fold_merges(ids: Column, ranks: Column, pairs: Column) -> Column:
+    """The ids after all ranked merges. ranks: of each id with the next, the id they merge to or NULL."""
+    none = F.array().cast("array<int>")
 
-    def step(pieces: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: rank(F.concat(F.get(pieces, k - 1), F.get(pieces, k))))
+    def find(key: Column) -> Column:
+        hit = F.filter(F.get(pairs, (key % _BUCKETS).cast("int")), lambda e: F.shiftright(e, _BITS) == key)
+        return F.get(hit, F.lit(0)).bitwiseAND((1 << _BITS) - 1).cast("int")
 
-        def merged(r: Column) -> Column:
-            k = F.array_position(r, F.array_min(r)).cast("int")
-            joined = F.array(F.concat(F.get(pieces, k - 1), F.get(pieces, k)))
-            rest = F.concat(F.slice(pieces, F.lit(1), k - 1), joined, F.slice(pieces, k + 2, F.size(pieces)))
-            return F.struct(F.array_min(r).isNotNull().alias("more"), F.when(F.array_min(r).isNull(), pieces).otherwise(rest).alias("pieces"))
+    def step(s: Column) -> Column:
+        def at(least: Column) -> Column:
+            def merged(k: Column) -> Column:
+                base = least.cast("long")
+                keys = F.array(F.get(s["ids"], k - 2).cast("long") * F.lit(1 << _BITS) + base, base * F.lit(1 << _BITS) + F.get(s["ids"], k + 1))
 
-        return _let(ranks, merged)
+                def with_ranks(r: Column) -> Column:
+                    before = F.when(k > 1, F.slice(r, F.lit(1), F.lit(1))).otherwise(none)
+                    after = F.when(k + 1 < F.size(s["ids"]), F.slice(r, F.lit(2), F.lit(1))).otherwise(none)
+                    new_ids = F.concat(F.slice(s["ids"], F.lit(1), k - 1), F.array(least), F.slice(s["ids"], k + 2, F.size(s["ids"])))
+                    new_ranks = F.concat(F.slice(s["ranks"], F.lit(1), F.greatest(k - 2, F.lit(0))), before, after, F.slice(s["ranks"], k + 2, F.size(s["ids"])))
+                    return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
 
-    first = F.struct(F.lit(True).alias("more"), start.cast("array<string>").alias("pieces"))
+                return _let(F.transform(keys, find), with_ranks)
 
-    def fold(state: Column, _: Column) -> Column:
-        return F.when(state["more"] & (F.size(state["pieces"]) > 1), step(state["pieces"])).otherwise(state)
+            return F.when(least.isNull(), s).otherwise(_let(F.array_position(s["ranks"], least).cast("int"), merged))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, fold)["pieces"]
+        return _let(F.array_min(s["ranks"]), at)
 
+    first = F.struct(ids.alias("ids"), ranks.alias("ranks"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), first, lambda s, _: step(s))["ids"]
 
-def distinct_words(docs: DataFrame, text: str = "text", most: int = 100_000) -> DataFrame:
-    """(word, n) over all documents, counted in the tasks first."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+def distinct_words(docs: DataFrame, text: str = "text", most: int = 250_000) -> DataFrame:
+    """(hash, word, n) over all documents, counted in the tasks first."""
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            keys = np.array(list(count), U64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(word.values()), pa.binary()), pa.array(list(count.values()), pa.int64())], ["hash", "word", "n"])
 
-        held: Counter = Counter()
+        count: dict[int, int] = {}
+        word: dict[int, bytes] = {}
         for t in text_slices(batches, text):
-            for x in column(t.batch, text).to_pylist():
-                held.update(split(x or ""))
-            if len(held) >= most:
+            t, _, start, end = words_of(t)
+            if not len(start):
+                continue
+            u, first, n = np.unique(hashes(t.sums(False), start, end), return_index=True, return_counts=True)
+            first = first.tolist()
+            for k, (h, c) in enumerate(zip(u.tolist(), n.tolist(), strict=True)):
+                if h in count:
+                    count[h] += c
+                else:
+                    count[h] = c
+                    word[h] = t.data[start[first[k]] : end[first[k]]].tobytes()
+            if len(count) >= most:
                 yield flush()
-                held = Counter()
-        if held:
+                count, word = {}, {}
+        if count:
             yield flush()
 
-    return docs.select(text).mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(words, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int], fold_bytes: int = 256) -> DataFrame:
-    """words with ids and the bytes that the ids decode to."""
-    buckets = _literal_buckets(ranks)
+def _started(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """words with the ids of their single bytes and the ids that neighbours merge to."""
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    keys, merged = np.array(sorted((left << _BITS | right, m) for left, right, m in merging_pairs(ranks)), np.int64).T
+    sent = words.sparkSession.sparkContext.broadcast((single, keys.copy(), merged.astype(np.int32)))
 
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.element_at(buckets, (F.crc32(piece) % _BUCKETS + 1).cast("int")), piece)
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, keys, merged = sent.value
+        for b in batches:
+            raw = column(b, "word").to_pylist()
+            size = np.array([len(w) for w in raw], np.int64)
+            ids = single[np.frombuffer(b"".join(raw), np.uint8)]
+            key = (ids[:-1].astype(np.int64) << _BITS) | ids[1:]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            rank, known = merged[at], keys[at] == key
+            ends = np.cumsum(size)
+            inside = np.ones(len(key), bool)
+            inside[ends[:-1] - 1] = False
+            rank = pa.array(rank[inside], mask=~known[inside])
+            at_ids, at_ranks = np.concatenate(([0], ends)), np.concatenate(([0], np.cumsum(size - 1)))
+            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((at_ids, pa.array(ids)), (at_ranks, rank))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], [*b.schema.names, "ids", "ranks"])
+
+    schema = T.StructType([*words.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "ranks"))])
+    return words.mapInArrow(start, schema)
 
-    ids = F.transform(fold_merges(F.lower(F.hex(F.encode("word", "UTF-8"))), rank), rank)
-    folded = words.where(F.octet_length("word") <= fold_bytes).withColumn("ids", ids)
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int], fold_bytes: int = 256) -> DataFrame:
+    """words (not empty) with ids and the bytes that the ids decode to."""
+    short = F.octet_length("word") <= fold_bytes
+    started = _started(words.where(short), ranks)
+    folded = started.withColumn("ids", fold_merges(F.col("ids"), F.col("ranks"), _literal_pairs(ranks))).drop("ranks")
     sent = words.sparkSession.sparkContext.broadcast(ranks)
     schema = T.StructType([*words.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for b in batches:
-            found = [[table[p] for p in merge(w.encode(), lambda x, y: table.get(x + y))] for w in column(b, "word").to_pylist()]
+            found = [[table[p] for p in merge(w, lambda x, y: table.get(x + y))] for w in column(b, "word").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
 
-    both = folded.unionByName(words.where(F.octet_length("word") > fold_bytes).mapInArrow(long_words, schema))
+    both = folded.unionByName(words.where(~short).mapInArrow(long_words, schema))
     names = [""] * (max(ranks.values()) + 1)
     for piece, k in ranks.items():
         names[k] = piece.hex()
     pieces = F.split(F.lit(",".join(names)), ",")
-    return both.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda k: F.element_at(pieces, k + 1)), "")))
+    return both.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda k: F.get(pieces, k)), "")))
+
+
+class Vocabulary:
+    """Encoded words by hash, and the binary piece of each id."""
+
+    def __init__(self, packed: list[tuple[bytes, ...]], pieces: list[bytes]):
+        keys, n_ids, ids = (b"".join(p) for p in zip(*packed, strict=True)) if packed else (b"",) * 3
+        keys, n_ids = np.frombuffer(keys, U64), np.frombuffer(n_ids, np.int32)
+        order = np.argsort(keys)
+        self.keys, self.n_ids = keys[order], n_ids[order]
+        self.at_ids = (np.cumsum(n_ids, dtype=np.int64) - n_ids)[order]
+        self.ids = np.frombuffer(ids, np.int32 if len(pieces) > 1 << 16 else np.uint16)
+        self.size = np.array([len(p) for p in pieces], np.int32)
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.shown = list(map(str, range(len(pieces))))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes; -1 for those not held."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        order = np.argsort(h)
+        at = np.minimum(np.searchsorted(self.keys, h[order]), len(self.keys) - 1)
+        out = np.empty(len(h), np.int64)
+        out[order] = np.where(self.keys[at] == h[order], at, -1)
+        return out
 
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The pieces of the ids one after the other, and their sizes."""
+        return gather(self.data, self.at[ids], self.size[ids]).tobytes(), self.size[ids]
 
-def encode_documents(docs: DataFrame, path: str, *, text: str = "text", head_words: int = 300_000, head_bytes: int = 48 << 20, keep_ids: bool = False) -> DataFrame:
+
+def _loaded(sent) -> Vocabulary:
+    """The broadcast vocabulary, built once in each Python worker."""
+    packed, pieces = sent.value
+    return kept("vocabulary", id(packed), lambda: (packed, Vocabulary(packed, pieces)))[1]
+
+
+_PACKED = ("keys", "n_ids", "ids")
+
+
+def _pack(encoded: DataFrame, wide: bool) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = column(b, "ids")
+            n = np.diff(ids.offsets.to_numpy()).astype(np.int32)
+            raw = [column(b, "hash").to_numpy().tobytes(), n.tobytes(), ids.flatten().to_numpy().astype(np.int32 if wide else np.uint16).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], list(_PACKED))
+
+    return encoded.select("hash", "ids").mapInArrow(pack, ", ".join(f"{c} binary" for c in _PACKED))
+
+
+def encode_documents(docs: DataFrame, path: str, *, text: str = "text", head_bytes: int = 96 << 20, keep_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids if keep_ids; columns of these names are replaced."""
     spark = docs.sparkSession
-    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    encoded = encode_words(distinct_words(body), load_ranks(path))
-    entry = F.struct(F.array_join(F.transform("ids", lambda k: k.cast("string")), ",").alias("ids"), F.size("ids").alias("n"), "decoded").alias("entry")
-    vocabulary = stored(encoded.select("word", "n", entry))
-    weight = F.octet_length("word") + F.octet_length("entry.ids") + F.octet_length("entry.decoded")
-    words, size = vocabulary.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
-    head = vocabulary
-    if whole := words <= head_words and size <= head_bytes:
-        rows = head.toLocalIterator()
-    else:
-        head = stored(vocabulary.where(weight <= head_bytes // head_words).orderBy(F.desc("n"), "word").limit(head_words))
-        rows = head.toLocalIterator()
-    table = {r.word: (r.entry.ids, r.entry.n, bytes(r.entry.decoded)) for r in rows}
-    sent = spark.sparkContext.broadcast(table)
-    del table
+    ranks = load_ranks(path)
+    wide = max(ranks.values()) >= 1 << 16
+    encoded = encode_words(stored(distinct_words(docs.select(F.col(text).alias("text")))), ranks)
+    vocabulary = stored(encoded.select("hash", "n", "ids", (F.col("decoded") == F.col("word")).alias("same")))
+    weight = _ENTRY + (4 if wide else 2) * F.size("ids")
+    words, same, size = vocabulary.agg(F.count("*"), F.count_if("same"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if words != same or vocabulary.groupBy("hash").count().where("count > 1").limit(1).count():
+        raise ValueError("a word does not decode to itself, or two words have the same 64-bit hash")
+    head, whole = vocabulary, size <= head_bytes
+    if not whole:
+        # Words are taken by count: all above the least count for which they fit.
+        counts = vocabulary.groupBy((F.log2("n") * 8).cast("int").alias("level")).agg(F.sum(weight).alias("size")).orderBy(F.desc("level")).collect()
+        total, least = 0, None
+        for r in counts:
+            if (total := total + r["size"]) > head_bytes:
+                break
+            least = r.level
+        is_head = F.lit(False) if least is None else (F.log2("n") * 8).cast("int") >= least
+        head = vocabulary.where(is_head)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, k in ranks.items():
+        pieces[k] = piece
+    sent = spark.sparkContext.broadcast(([tuple(bytes(r[c]) for c in _PACKED) for r in _pack(head, wide).toLocalIterator()], pieces))
     if not whole:
-        docs = _with_tail(docs, text, vocabulary.join(head.select("word"), "word", "left_anti"), sent)
+        docs = _with_tail(docs, text, vocabulary.where(~is_head), sent)
     return _assemble(docs, text, sent, keep_ids)
 
 
 def _with_tail(docs: DataFrame, text: str, tail: DataFrame, sent) -> DataFrame:
     """docs with __tail, the entries of their words that are not broadcast."""
-    key = [F.xxhash64(text), F.sha2(text, 256)]
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = _loaded(sent)
         for t in text_slices(batches, "text"):
-            at, words = [], []
-            for k, x in enumerate(column(t.batch, "text").to_pylist()):
-                own = {w for w in split(x or "") if w not in known}
-                at += [k] * len(own)
-                words += own
-            yield pa.RecordBatch.from_arrays([column(t.batch, "__key").take(pa.array(at, pa.int64())), pa.array(words, pa.string())], ["__key", "word"])
-
-    keyed = docs.withColumn("__key", key[1])
-    need = keyed.select("__key", F.col(text).alias("text")).mapInArrow(lacking, "__key string, word string").distinct()
-    lists = need.join(tail, "word").groupBy("__key").agg(F.collect_list(F.struct("word", "entry")).alias("__tail"))
+            t, row, start, end = words_of(t)
+            if len(start):
+                h = hashes(t.sums(False), start, end)
+                miss = known.find(h) < 0
+                pairs = np.unique(np.stack((row[miss].astype(U64), h[miss])), axis=1)
+                keys = column(t.batch, "__key").take(pa.array(pairs[0].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.ascontiguousarray(pairs[1]).view(np.int64))], ["__key", "hash"])
+
+    keyed = docs.withColumn("__key", F.sha2(F.coalesce(text, F.lit("")), 256))
+    need = keyed.select("__key", F.col(text).alias("text")).mapInArrow(lacking, "__key string, hash long").distinct()
+    lists = need.join(tail, "hash").groupBy("__key").agg(F.collect_list(F.struct("hash", "ids")).alias("__tail"))
     return keyed.join(lists, "__key", "left").drop("__key")
 
 
@@ -212,27 +337,34 @@ def _assemble(docs: DataFrame, text: str, sent, keep_ids: bool) -> DataFrame:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
     has_tail = "__tail" in docs.columns
 
+    def with_tail(batch: pa.RecordBatch, h: np.ndarray, place: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their counts when some words come from the lists beside the documents."""
+        own = {e["hash"] & 0xFFFFFFFFFFFFFFFF: e["ids"] for entries in column(batch, "__tail").to_pylist() for e in entries or ()}
+        ids = [known.ids[known.at_ids[p] : known.at_ids[p] + known.n_ids[p]].tolist() if p >= 0 else own[k] for k, p in zip(h.tolist(), place.tolist(), strict=True)]
+        return np.array([x for y in ids for x in y], np.int32), np.array([len(x) for x in ids], np.int64)
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = _loaded(sent)
         for t in text_slices(batches, text):
-            tails = column(t.batch, "__tail").to_pylist() if has_tail else None
-            n, ids_sha, dec_sha, ids = [], [], [], []
-            for k, x in enumerate(column(t.batch, text).to_pylist()):
-                words = split(x or "")
-                if tails is not None and tails[k]:
-                    own = {e["word"]: (e["entry"]["ids"], e["entry"]["n"], e["entry"]["decoded"]) for e in tails[k]}
-                    found = [known.get(w) or own[w] for w in words]
-                else:
-                    found = list(map(known.__getitem__, words))
-                joined = ",".join([f[0] for f in found])
-                n.append(sum([f[1] for f in found]))
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                dec_sha.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
-                if keep_ids:
-                    ids.append(np.array(joined.split(",") if joined else [], np.int32))
-            cols = [*(column(t.batch, c) for c in names), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(dec_sha)]
+            batch = t.batch
+            t, row, start, end = words_of(t)
+            h = hashes(t.sums(False), start, end) if len(start) else np.zeros(0, U64)
+            place = known.find(h)
+            if (place < 0).any():
+                ids, n_ids = with_tail(batch, h, place, known)
+            else:
+                n_ids = known.n_ids[place]
+                ids = gather(known.ids, known.at_ids[place], n_ids)
+            n = np.bincount(row, n_ids, minlength=t.rows).astype(np.int64)
+            a = np.concatenate(([0], np.cumsum(n)))
+            data, size = known.decode(ids)
+            z = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[a]
+            texts = list(map(known.shown.__getitem__, ids.tolist()))
+            ids_sha = [hashlib.sha256(",".join(texts[a[k] : a[k + 1]]).encode()).hexdigest() for k in range(t.rows)]
+            dec_sha = [hashlib.sha256(data[z[k] : z[k + 1]]).hexdigest() for k in range(t.rows)]
+            cols = [*(column(batch, c) for c in names), pa.array(n), pa.array(ids_sha), pa.array(dec_sha)]
             if keep_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
+                cols.append(pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, [*names, *new])
 
     columns = [*names, *(["__tail"] if has_tail else [])]
