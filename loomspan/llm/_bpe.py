@@ -1,4 +1,4 @@
-"""Splitting into pre-tokens and ranked merges of byte pairs."""
+"""Splitting into pre-tokens, in arrays, and ranked merges of byte pairs."""
 
 from __future__ import annotations
 
@@ -9,41 +9,155 @@ from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
+from loomspan.llm._common import Texts, hashes
+
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: Below this all the engines agree on letters, digits and white space.
 _FIRST_UNSURE = 0x540
+_LETTER, _DIGIT, _SPACE, _OTHER, _UNSURE = range(5)
+#: The code points of White_Space (fixed values).
+_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 @functools.cache
-def _unsure() -> np.ndarray:
-    """By code point: not assigned yet in this Python's Unicode tables, so engines may disagree on it."""
-    return np.array([c >= _FIRST_UNSURE and unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-
-
-def is_sure(text: str) -> bool:
-    """Whether ``pre_tokens`` splits text as every engine does."""
-    return text.isascii() or not _unsure()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+def _classes() -> np.ndarray:
+    """The class of each code point. Engines may disagree on those not assigned yet in this Python's tables."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LN":
+            out[c] = _LETTER if kind[0] == "L" else _DIGIT
+        elif kind == "Cn" and c >= _FIRST_UNSURE:
+            out[c] = _UNSURE
+    out[_WHITE] = _SPACE
+    return out
 
 
 def pre_tokens(text: str) -> list[str]:
     return _PATTERN.findall(text)
 
 
-class Memo(dict):
-    """A table that computes what it lacks and forgets all of that when it has grown by ``most``."""
-
-    def __init__(self, known: dict, make: Callable, most: int = 200_000):
-        super().__init__(known)
-        self.known, self.make, self.most = known, make, len(known) + most
-
-    def __missing__(self, word):
-        if len(self) >= self.most:
+def valid(t: Texts) -> Texts:
+    """t, or its copy with broken UTF-8 replaced."""
+    try:
+        t.data.tobytes().decode()
+        return t
+    except UnicodeDecodeError:
+        fixed = [t.text(i).decode("utf-8", "replace") for i in range(t.rows)]
+        out = Texts(pa.RecordBatch.from_arrays([pa.array(fixed, pa.large_string())], ["text"]), "text")
+        out.batch = t.batch
+        return out
+
+
+def split(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte and end of each pre-token, and rows that need an engine's own tables instead.
+
+    Runs of letters, digits, white space and others are found in arrays. A space before another run
+    belongs to it; the white space before that, or before a last character that is no space, stands
+    alone; an apostrophe that begins its run takes the ending of a contraction from the letters.
+    """
+    codes = np.frombuffer(t.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    n = len(codes)
+    none = np.zeros(0, np.int64)
+    if not n:
+        return none, none, none, none
+    at = np.append(np.flatnonzero((t.data & 0xC0) != 0x80), len(t.data))
+    kind = _classes()[codes]
+    rows = np.searchsorted(at, t.offsets)
+    first = np.zeros(n + 1, bool)
+    first[rows] = True
+    first[n] = True
+    unsure = np.unique(np.searchsorted(rows, np.flatnonzero(kind == _UNSURE), "right") - 1) if (kind == _UNSURE).any() else none
+    begins = first[:n].copy()
+    begins[1:] |= kind[1:] != kind[:-1]
+    space = kind == _SPACE
+    last = np.zeros(n, bool)  # of white space before something else in the row
+    last[:-1] = space[:-1] & ~space[1:] & ~first[1:n]
+    joins = last & (codes == 32)
+    starts = begins | last
+    starts[1:] &= ~(joins[:-1] & ~space[1:])
+    quote = np.flatnonzero((codes == 39) & begins & starts)
+    quote = quote[quote + 1 < n]
+    quote = quote[(kind[quote + 1] == _LETTER) & ~first[quote + 1]]
+    if len(quote):
+        c1 = codes[quote + 1]
+        two = np.minimum(quote + 2, n - 1)
+        c2 = np.where((quote + 2 < n) & ~first[np.minimum(quote + 2, n)], codes[two], 0)
+        size = np.zeros(len(quote), np.int64)
+        for letter in "stmd":
+            size[c1 == ord(letter)] = 1
+        for a, b in ("re", "ve", "ll"):
+            size[(c1 == ord(a)) & (c2 == ord(b))] = 2
+        quote, size = quote[size > 0], size[size > 0]
+        starts[quote + 1] = False
+        rest = quote + 1 + size
+        rest = rest[rest < n]
+        starts[rest] |= (kind[rest] == _LETTER) & ~first[rest]
+    s = np.flatnonzero(starts)
+    return np.searchsorted(rows, s, "right") - 1, at[s], at[np.append(s[1:], n)], unsure
+
+
+class WordTable:
+    """Values of distinct words by hash: ``make`` gives a list of integers for each new word.
+
+    It forgets everything when it holds ``most`` words, so its memory is bounded.
+    """
+
+    def __init__(self, make: Callable[[Texts, np.ndarray, np.ndarray], list[list[int]]], most: int = 300_000):
+        self.make, self.most = make, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.offsets, self.values = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def find(self, t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each word in the table."""
+        if len(self.keys) > self.most:
             self.clear()
-            self.update(self.known)
-        self[word] = found = self.make(word)
-        return found
+        h = hashes(t.sums(False), start, end)
+        order = np.argsort(h)
+        first = np.ones(len(h), bool)
+        first[1:] = h[order[1:]] != h[order[:-1]]
+        u, some = h[order[first]], order[first]
+        at = np.searchsorted(self.keys, u)
+        known = np.zeros(len(u), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == u[at < len(self.keys)]
+        place = np.zeros(len(u), np.int32)
+        place[known] = self.places[at[known]]
+        new = ~known
+        if new.any():
+            made = self.make(t, start[some[new]], end[some[new]])
+            place[new] = len(self.keys) + np.arange(len(made))
+            self.keys, self.places = np.insert(self.keys, at[new], u[new]), np.insert(self.places, at[new], place[new])
+            self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum([len(m) for m in made]))
+            self.values = np.append(self.values, np.array([x for m in made for x in m], np.int32))
+        out = np.empty(len(h), np.int32)
+        out[order] = place[np.cumsum(first) - 1]
+        return out
+
+    def sizes(self, place: np.ndarray) -> np.ndarray:
+        return self.offsets[place + 1] - self.offsets[place]
+
+
+def word_ids(model) -> Callable[[Texts, np.ndarray, np.ndarray], list[list[int]]]:
+    """Ids of pre-tokens by a byte-level model of the tokenizers library, whose letters stand for single bytes."""
+    letters = {b: c for c, b in byte_letters().items()}
+
+    def make(t: Texts, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+        shown = t.data.tobytes().decode("latin-1").translate(letters)
+        return [[x.id for x in model.tokenize(shown[s:e])] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+
+    return make
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of values one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def merge(piece: bytes, rank: Callable[[bytes, bytes], int | None]) -> list[bytes]:

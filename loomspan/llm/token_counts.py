@@ -3,10 +3,11 @@
 Once on the driver, every vocabulary string that is one pre-token is put through the tokenizer; those
 that come back as their own single id are proved to be one token wherever that pre-token stands,
 for merges never cross pre-tokens. Texts are split into pre-tokens; proved ones count one by a table
-look-up and only the rest is merged, each distinct one once a task (a bounded memory).
+look-up and only the rest is merged, by the library's model, each distinct one once a worker (in a table of bounded size).
 
-Special strings in a text are single tokens that split it, as the tokenizer does by default. Texts
-with code points that engines may class differently go through the tokenizer itself.
+Splitting and counting work on arrays of a slice of documents; words are known by 64-bit hashes.
+Texts that hold a special string (a single token that splits them, by the tokenizer's default) or
+code points that engines may class differently go through the tokenizer itself.
 
 Defined results: null text counts as empty (no tokens); all rows are counted, whatever repeats; an
 empty table gives an empty result; a column of docs named n_tokens is replaced.
@@ -15,7 +16,6 @@ empty table gives an empty result; a column of docs named n_tokens is replaced.
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomspan.llm._bpe import Memo, as_bytes, is_sure, merge, pre_tokens
-from loomspan.llm._common import column, text_slices
+from loomspan.llm._bpe import WordTable, as_bytes, pre_tokens, split, valid, word_ids
+from loomspan.llm._common import Texts, column, text_slices
 
 
 @functools.lru_cache(maxsize=2)
@@ -34,6 +34,16 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(name: str, key, make):
+    """An object that this Python worker keeps for its next tasks; one of each name."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = (key, make())
+    return _KEPT[name][1]
+
+
 def library_ids(path: str, text: str) -> list[int]:
     return tokenizer(path).encode(text, add_special_tokens=False).ids
 
@@ -55,32 +65,46 @@ def prove_whole(path: str) -> list[str]:
     return [s for s, i, e in zip(strings, ids, found, strict=True) if e.ids == [i]]
 
 
-def merge_ranks(path: str) -> dict[tuple[bytes, bytes], int]:
-    with open(path, encoding="utf-8") as f:
-        merges = json.load(f)["model"]["merges"]
-    pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
-    return {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(pairs)}
+def special_rows(t: Texts, specials: list[str]) -> np.ndarray:
+    """Rows that hold a special string."""
+    found = set()
+    raw = t.data.tobytes()
+    for special in map(str.encode, specials):
+        at = raw.find(special)
+        while at >= 0:
+            found.add(int(np.searchsorted(t.offsets, at, "right")) - 1)
+            at = raw.find(special, at + 1)
+    return np.array(sorted(found), np.int64)
 
 
 class Counter:
-    """Counts tokens of texts in one task."""
+    """Counts tokens of texts."""
 
     def __init__(self, path: str, whole: list[str], specials: list[str]):
-        ranks = merge_ranks(path)
-        rank = lambda a, b: ranks.get((a, b))
         self.path, self.specials = path, specials
-        self.table = Memo(dict.fromkeys(whole, 1), lambda w: len(merge(w.encode(), rank)))
-
-    def count(self, text: str) -> int:
-        if not is_sure(text):
-            return len(library_ids(self.path, text))
-        for k, special in enumerate(self.specials):
-            if special in text:
-                if len(self.specials) > 1:
-                    return len(library_ids(self.path, text))
-                parts = text.split(special)
-                return len(parts) - 1 + sum(self.count(p) for p in parts)
-        return sum(map(self.table.__getitem__, pre_tokens(text)))
+        known = {w.encode() for w in whole}
+        merged = word_ids(tokenizer(path).model)
+
+        def counts(t: Texts, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+            words = [t.data[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+            rest = np.array([w not in known for w in words], bool)
+            out = [[1]] * len(words)
+            for k, ids in zip(np.flatnonzero(rest).tolist(), merged(t, start[rest], end[rest]), strict=True):
+                out[k] = [len(ids)]
+            return out
+
+        self.table = WordTable(counts)
+
+    def count(self, t: Texts) -> np.ndarray:
+        t = valid(t)
+        row, start, end, unsure = split(t)
+        n = np.zeros(t.rows, np.int64)
+        if len(row):
+            place = self.table.find(t, start, end)
+            n = np.bincount(row, self.table.values[place], minlength=t.rows).astype(np.int64)
+        for i in np.union1d(unsure, special_rows(t, self.specials)):
+            n[i] = len(library_ids(self.path, t.text(i).decode()))
+        return n
 
 
 def count_tokens(docs: DataFrame, path: str, *, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
@@ -91,9 +115,9 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", n_tokens: st
     sent = docs.sparkSession.sparkContext.broadcast((prove_whole(path), special))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, *sent.value)
+        counter = kept("counter", path, lambda: Counter(path, *sent.value))
         for t in text_slices(batches, text):
-            n = np.fromiter((counter.count(x or "") for x in column(t.batch, text).to_pylist()), np.int64, t.rows)
+            n = counter.count(t)
             yield pa.RecordBatch.from_arrays([*(column(t.batch, c) for c in names), pa.array(n)], [*names, n_tokens])
 
     return docs.mapInArrow(counted, schema)
