@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm._bpe import Memo, is_sure, pre_tokens
-from loomspan.llm._common import column, shared_folder, text_slices
-from loomspan.llm.token_counts import library_ids, tokenizer
+from loomspan.llm._bpe import WordTable, gather, split, valid, word_ids
+from loomspan.llm._common import Texts, column, shared_folder, text_slices
+from loomspan.llm.token_counts import kept, library_ids, special_rows, tokenizer
 
 SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
 #: Options of the writer: 8 MB row groups, 64 KB pages of at most 1000 rows, dictionaries.
@@ -37,30 +37,39 @@ WRITER = {
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts. Each distinct pre-token goes through the library once."""
+    """Token ids of texts. Each distinct pre-token goes through the library's model once a worker (in a table of bounded size)."""
 
     def __init__(self, path: str):
         self.path = path
-        self.special = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
-        self.table = Memo({}, lambda w: np.array(library_ids(path, w), "<u4").tobytes())
-
-    def encode(self, text: str) -> bytes:
-        if not is_sure(text) or any(s in text for s in self.special):
-            return np.array(library_ids(self.path, text), "<u4").tobytes()
-        return b"".join(map(self.table.__getitem__, pre_tokens(text)))
+        self.specials = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+        self.table = WordTable(word_ids(tokenizer(path).model))
+
+    def encode(self, t: Texts) -> list[np.ndarray]:
+        t = valid(t)
+        row, start, end, unsure = split(t)
+        if not len(row):
+            return [np.zeros(0, np.int32)] * t.rows
+        place = self.table.find(t, start, end)
+        size = self.table.sizes(place)
+        ids = gather(self.table.values, self.table.offsets[place], size)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, size, minlength=t.rows).astype(np.int64))))
+        out = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in np.union1d(unsure, special_rows(t, self.specials)):
+            out[i] = np.array(library_ids(self.path, t.text(i).decode()), np.int32)
+        return out
 
 
 def encode_documents(docs: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", end_id: int = 0) -> DataFrame:
     """(doc_id, n_tokens, tokens) in ascending order of doc_id."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.int32)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kept("encoder", path, lambda: Encoder(path))
         for t in text_slices(batches):
-            raw = [encoder.encode(x or "") + end for x in column(t.batch, "text").to_pylist()]
-            n = np.array([len(x) // 4 for x in raw], np.int32)
+            parts = encoder.encode(t)
+            n = np.array([len(x) + 1 for x in parts], np.int32)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([y for x in parts for y in (x, end)])))
             yield pa.RecordBatch.from_arrays([column(t.batch, "doc_id"), pa.array(n), tokens], ["doc_id", "n_tokens", "tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -77,9 +86,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(folder).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """rows with start, the number of tokens of all documents before."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+def starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with start, the number of tokens of all documents before. counts(file, n_tokens): a read of these columns alone."""
+    files = counts.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # Part files are numbered in the order of their ranges.
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", before.alias("base"))
@@ -99,7 +108,7 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("doc_id", "n_tokens", "file", "row")), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "file", "row", "ids_crc32"])
 
     rows = read_tokens(spark, folder).select("doc_id", "n_tokens", "tokens", "file", "row").mapInArrow(sums, "doc_id long, n_tokens int, file string, row long, ids_crc32 long")
-    return starts(rows).select("doc_id", F.col("start").cast("long").alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+    return starts(rows, read_tokens(spark, folder).select("file", "n_tokens")).select("doc_id", F.col("start").cast("long").alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
 def token_round_trip(docs: DataFrame, path: str, **options) -> DataFrame:
