@@ -65,11 +65,11 @@ def knn_filter_and(spark, d):
 
 
 def _against_first(spark, d, value):
-    """Each point against the mean vector of all points (one row, so a broadcast of known size)."""
+    """Each point against the mean vector of all points, which is one vector and becomes a literal."""
     p = points(spark, d)
     mean = p.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.round(F.avg(F.col("x").cast("double")), 3).alias("x"))
-    one = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    return p.crossJoin(F.broadcast(one)).select("id", (F.round(value(F.col("vector"), F.col("m")), 6) + 0.0).alias("value"))
+    one = F.array(*(F.lit(r.x) for r in mean.orderBy("i").collect()))
+    return p.select("id", (F.round(value(F.col("vector"), one), 6) + 0.0).alias("value"))
 
 
 def _against_sql(value: str) -> str:
@@ -190,7 +190,7 @@ def latency_p95(spark, d):
     whole = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
     levels = e.groupBy("event_type", "value").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value"))
-    levels = levels.withColumn("upto", upto).join(F.broadcast(whole.select("event_type", "n")), "event_type")
+    levels = levels.withColumn("upto", upto).join(whole.select("event_type", "n"), "event_type")
     p95 = levels.where(F.col("upto") > F.floor(0.95 * F.col("n"))).groupBy("event_type").agg(F.min("value").alias("p95"))
     return whole.join(p95, "event_type").select("event_type", "mean", "p95")
 
