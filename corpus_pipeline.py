@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import byte_bpe, toxicity
 from loomspan.llm._common import flag_keys, key_filter, stored
-from loomspan.llm.decontaminate import find_benchmark
+from loomspan.llm.decontaminate import NEW, find_benchmark
 from loomspan.llm.line_dedup import dedup_lines
 from loomspan.llm.ngram_jaccard import similar_components
 
@@ -27,17 +27,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _aside(docs: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names called something else, and the way back."""
+    clash = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(clash), {new: c for c, new in clash.items()}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model, score="__score").where(F.col("__score") < TOXIC_FROM).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs)
+    own, back = _aside(docs, ("n_lines", "n_dropped"))
+    out = dedup_lines(own)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.drop("n_lines", "n_dropped").withColumnsRenamed(back).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return find_benchmark(docs, _table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+    own, back = _aside(docs, NEW)
+    clean = find_benchmark(own, _table(spark, sf_dir, "benchmark")).where("n_hit = 0").drop(*NEW)
+    return clean.withColumnsRenamed(back).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ reading back gives the exact text.
 Defined results: null text and null role are empty; rows are ordered by turn, role and text, nulls
 first, so ties and repeated rows keep a fixed order and all count; only a first turn of role
 ``system`` is retained, others are ordinary turns; rows with a null conv_id are one conversation; an
-empty table gives an empty result. Windows are computed by a sort within conversations that spills,
-never by gathering one; only ``digests`` puts a whole conversation together, as one hash asks for.
+empty table gives an empty result. A conversation is cut into segments of ``segment_turns`` turn numbers,
+which different tasks work on: a segment begins a window with the system turn, but without history,
+and one that begins with a system turn of its own, when the conversation has none, retains that. Only
+``digests`` puts a whole conversation together, as one hash asks for.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ class Plan:
     history_tokens: int = 256
     turn_cost: int = 8
     least_cell: int = 64
+    segment_turns: int = 4096
 
 
 def escape(text: Column) -> Column:
@@ -51,12 +54,24 @@ def turn_tokens(text: Column, plan: Plan) -> Column:
     return F.ceil(F.octet_length(text) / 4) + plan.turn_cost
 
 
+def _segments(turns: DataFrame, plan: Plan) -> DataFrame:
+    """turns with their segment, and a ghost of the system turn before each later segment."""
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("seg", F.coalesce(F.floor(F.col("turn") / plan.segment_turns), F.lit(-(1 << 30))).cast("long"))
+    cuts = t.groupBy("conv_id", "seg").agg(F.count("*").alias("n"))
+    firsts = cuts.groupBy("conv_id").agg(F.min("seg").alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("conv_id").alias("c"), "first")
+    opening = t.join(firsts, t.conv_id.eqNullSafe(firsts.c) & (t.seg == firsts["first"]))
+    heads = opening.groupBy("c").agg(F.min(F.struct("turn", "role", "text")).alias("h"), F.first("first").alias("first")).where("h.role = 'system'")
+    later = cuts.join(heads, cuts.conv_id.eqNullSafe(heads.c) & (cuts.seg > heads["first"]))
+    ghosts = later.select("conv_id", F.lit(None).cast(t.schema["turn"].dataType).alias("turn"), F.lit("system").alias("role"), F.col("h.text").alias("text"), "seg", F.lit(True).alias("ghost"))
+    return t.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+
+
 def windows(turns: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """(conv_id, window, repeated, pos, role, text): turns of each window, repeats of earlier ones included."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """(conv_id, seg, window, repeated, pos, role, text): turns of each window, repeats of earlier ones included."""
+    order = Window.partitionBy("conv_id", "seg").orderBy(F.desc("ghost"), "turn", "role", "text")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = turns.withColumn("pos", F.row_number().over(order))
+    t = _segments(turns, plan).withColumn("pos", F.row_number().over(order))
     system = (F.col("pos") == 1) & (F.col("role") == "system")
     t = t.withColumn("cost", turn_tokens(F.col("text"), plan)).withColumn("own", F.when(system, 0).otherwise(F.col("cost")))
     t = t.withColumn("before", F.sum("own").over(running) - F.col("own"))
@@ -68,25 +83,25 @@ def windows(turns: DataFrame, plan: Plan = Plan()) -> DataFrame:
     t = t.withColumn("opens", F.coalesce(F.lag("span").over(order) != F.col("span"), F.lit(True)))
     t = t.withColumn("window", F.sum(F.col("opens").cast("long")).over(running))
     head = F.first(F.when(system, F.col("text")), ignorenulls=True).over(running)
-    t = t.withColumn("head", F.when(F.col("opens") & (F.col("window") > 1), head))
+    t = t.withColumn("head", F.when(F.col("opens") & (F.col("window") > 1) | F.col("ghost"), head))
 
     def copy(window: Column, pos: Column, kind: int) -> Column:
         return F.struct(window.cast("long").alias("window"), pos.cast("int").alias("pos"), F.lit(kind).alias("kind"))
 
-    copies = [copy(F.col("window"), F.col("pos"), 0), F.when(F.col("head").isNotNull(), copy(F.col("window"), F.lit(0), 2))]
+    copies = [F.when(~F.col("ghost"), copy(F.col("window"), F.col("pos"), 0)), F.when(F.col("head").isNotNull(), copy(F.col("window"), F.lit(0), 2))]
     for d in range(1, plan.history_turns + 1):
         ahead = lambda c, d=d: F.lead(c, d).over(order)
         fits = ahead("opens") & (ahead("window") > F.col("window")) & (ahead("before") - F.col("before") <= plan.history_tokens) & ~system
         copies.append(F.when(fits, copy(ahead("window"), F.col("pos"), 1)))
     t = t.withColumn("copies", F.array_compact(F.array(*copies)))
-    out = t.select("conv_id", "role", "text", "head", F.explode("copies").alias("c"))
+    out = t.select("conv_id", "seg", "role", "text", "head", F.explode("copies").alias("c"))
     from_head = F.col("c.kind") == 2
     role, text = F.when(from_head, "system").otherwise(F.col("role")), F.when(from_head, F.col("head")).otherwise(F.col("text"))
-    return out.select("conv_id", F.col("c.window").alias("window"), (F.col("c.kind") > 0).alias("repeated"), F.col("c.pos").alias("pos"), role.alias("role"), text.alias("text"))
+    return out.select("conv_id", "seg", F.col("c.window").alias("window"), (F.col("c.kind") > 0).alias("repeated"), F.col("c.pos").alias("pos"), role.alias("role"), text.alias("text"))
 
 
 def format_chats(turns: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """(conv_id, window, formatted, n_context, loss_spans).
+    """(conv_id, seg, window, formatted, n_context, loss_spans), windows being numbered within segments.
 
     n_context counts the repeated turns at the window's start; loss_spans are ranges of code points
     of the escaped texts to learn.
@@ -96,7 +111,7 @@ def format_chats(turns: DataFrame, plan: Plan = Plan()) -> DataFrame:
     piece = F.struct(
         "pos", "repeated", F.length(lead).alias("lead"), F.length(body).alias("size"), ((F.col("role") == "assistant") & ~F.col("repeated")).alias("learnt"), F.concat(lead, body, F.lit(END)).alias("shown")
     )
-    w = windows(turns, plan).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    w = windows(turns, plan).groupBy("conv_id", "seg", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     span = "struct<start:int,end:int>"
     none = F.array().cast(f"array<{span}>")
 
@@ -107,7 +122,7 @@ def format_chats(turns: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     spans = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), none.alias("spans")), add)["spans"]
     return w.select(
-        "conv_id", "window", F.array_join(F.transform("pieces", lambda x: x["shown"]), "").alias("formatted"), F.size(F.filter("pieces", lambda x: x["repeated"])).alias("n_context"), spans.alias("loss_spans")
+        "conv_id", "seg", "window", F.array_join(F.transform("pieces", lambda x: x["shown"]), "").alias("formatted"), F.size(F.filter("pieces", lambda x: x["repeated"])).alias("n_context"), spans.alias("loss_spans")
     )
 
 
@@ -128,7 +143,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """One row per conversation: counts and hashes of what its windows hold."""
     said = F.array_join(F.transform("new_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    part = F.struct("window", said.alias("said"), F.array_join("learnt", "").alias("learnt"))
+    part = F.struct("seg", "window", said.alias("said"), F.array_join("learnt", "").alias("learnt"))
     parts = F.array_sort(F.collect_list(part))
     whole = read_back(formatted).groupBy("conv_id").agg(F.sum(F.size("new_turns")).cast("long").alias("n_turns"), F.sum(F.length("formatted")).cast("long").alias("formatted_chars"), parts.alias("parts"))
     said = F.array_join(F.transform("parts", lambda p: p["said"]), "")

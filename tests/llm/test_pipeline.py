@@ -38,7 +38,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_stages_keep_the_columns(spark, tmp_path):
     folder = str(tmp_path)
     write(spark, folder)
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'own' AS n_lines", "'own' AS n_hit")
     for _, stage in P.STAGES[:-1]:
-        assert stage(spark, docs, folder).columns == docs.columns
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select("n_lines", "n_hit").distinct().collect()} == {("own", "own")}
         assert stage(spark, docs.limit(0), folder).collect() == []

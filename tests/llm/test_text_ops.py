@@ -106,15 +106,18 @@ def test_chat_round_trip(spark):
         rows.sort()
         learnt = "".join(x for _, r, x in rows if r == "assistant")
         want[c] = (len(rows), sha("".join(f"{r}\n{x}\n" for _, r, x in rows)), len(learnt), sha(learnt))
-    got = chat_format.digests(chat_format.format_chats(chats(spark))).collect()
-    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
+    for segment in (4096, 4, 1):  # whole conversations, and ones cut into segments
+        got = chat_format.digests(chat_format.format_chats(chats(spark), chat_format.Plan(segment_turns=segment))).collect()
+        assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
+    cut = chat_format.format_chats(chats(spark), chat_format.Plan(segment_turns=2)).where("conv_id = 1").orderBy("seg", "window").collect()
+    assert len(cut) == 3 and all(r.formatted.startswith("<|turn|>system<|text|>Be <") for r in cut) and [r.n_context for r in cut] == [0, 1, 1]
     assert chat_format.digests(chat_format.format_chats(chats(spark).limit(0))).collect() == []
 
 
 def test_chat_windows_keep_the_budget(spark):
     plan = chat_format.Plan(budget=400, history_tokens=60)
     rows = chat_format.windows(chats(spark), plan).withColumn("cost", chat_format.turn_tokens(F.col("text"), plan))
-    per = rows.groupBy("conv_id", "window").agg(F.sum("cost").alias("cost"), F.count_if(~F.col("repeated")).alias("own"), F.max("cost").alias("most"), F.count_if("repeated").alias("old")).collect()
+    per = rows.groupBy("conv_id", "seg", "window").agg(F.sum("cost").alias("cost"), F.count_if(~F.col("repeated")).alias("own"), F.max("cost").alias("most"), F.count_if("repeated").alias("old")).collect()
     assert all(r.cost <= 400 or r.own == 1 for r in per)
     assert any(r.old for r in per) and max(r.old for r in per) <= 3
     controls = chat_format.format_chats(chats(spark)).where(F.col("formatted").rlike(r"</?s>|\[/?INST\]|<</?SYS>>"))
