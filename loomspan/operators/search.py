@@ -49,6 +49,26 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length < ZERO_NORM, np.inf, length)
 
 
+def _closest(dist: np.ndarray, near: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, by distance and then id, among those kept so far and new ones.
+
+    Only what is no farther than a row's k-th distance is sorted.
+    """
+    k = dist.shape[1]
+    both = np.concatenate((dist, d), 1)
+    row, col = np.nonzero(both <= np.partition(both, k - 1, axis=1)[:, k - 1 : k])
+    old = col < k
+    name = np.where(old, near[row, np.where(old, col, 0)], ids[np.where(old, 0, col - k)] if len(ids) else 0)
+    order = np.lexsort((name, both[row, col], row))
+    row, col, name = row[order], col[order], name[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < k
+    dist, near = np.full_like(dist, np.inf), np.full_like(near, np.iinfo(np.int64).max)
+    dist[row[keep], rank[keep]] = both[row[keep], col[keep]]
+    near[row[keep], rank[keep]] = name[keep]
+    return dist, near
+
+
 def _best(sent, k: int, probe: bool):
     """A scan that keeps the k nearest points of each query of the block."""
 
@@ -64,10 +84,7 @@ def _best(sent, k: int, probe: bool):
                 if probe:
                     cell = part.column(2).to_numpy(zero_copy_only=False)
                     d[~(cells[:, :, None] == cell[None, None, :]).any(1)] = np.inf
-                d = np.concatenate((dist, d), 1)
-                i = np.concatenate((near, np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), (len(ids), part.num_rows))), 1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                dist, near = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                dist, near = _closest(dist, near, d, part.column(0).to_numpy(zero_copy_only=False))
         row, col = np.nonzero(np.isfinite(dist))
         if len(row):
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near[row, col]), pa.array(dist[row, col])], ["query_id", "id", "distance"])
