@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -148,8 +150,37 @@ def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(h + (ends - starts).astype(U64) * _M2)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 20) -> Iterator[Texts]:
-    """The rows in slices of about budget bytes of text, so that the arrays beside a slice stay small."""
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(name: str, key, make):
+    """An object that this Python worker keeps for its next tasks of the same kind; one of each name."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = (key, make())
+    return _KEPT[name][1]
+
+
+def trim() -> None:
+    """Gives memory that this Python worker has freed back to the system, for workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim_heap = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim_heap is not None:
+            trim_heap(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 20, keep: str = "") -> Iterator[Texts]:
+    """The rows in slices of about budget bytes of text, so that the arrays beside a slice stay small.
+
+    What the worker has kept under other names than keep is forgotten.
+    """
+    for name in [n for n in _KEPT if n != keep]:
+        del _KEPT[name]
+    yield from _slices(batches, column, budget)
+    trim()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Iterator[Texts]:
     for batch in batches:
         if not batch.num_rows:
             continue

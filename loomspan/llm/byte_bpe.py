@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.llm._bpe import gather, merge, split, valid
-from loomspan.llm._common import U64, Texts, column, hashes, stored, text_slices
-from loomspan.llm.token_counts import kept
+from loomspan.llm._common import U64, Texts, column, hashes, kept, stored, text_slices, trim
 
 #: Buckets of the literal rank map (a prime), and bits of an id in its entries.
 _BUCKETS, _BITS = 65521, 20
@@ -201,6 +200,7 @@ def _started(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             at_ids, at_ranks = np.concatenate(([0], ends)), np.concatenate(([0], np.cumsum(size - 1)))
             lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((at_ids, pa.array(ids)), (at_ranks, rank))]
             yield pa.RecordBatch.from_arrays([*b.columns, *lists], [*b.schema.names, "ids", "ranks"])
+        trim()
 
     schema = T.StructType([*words.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "ranks"))])
     return words.mapInArrow(start, schema)
@@ -304,6 +304,7 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", head_byt
     for piece, k in ranks.items():
         pieces[k] = piece
     sent = spark.sparkContext.broadcast(([tuple(bytes(r[c]) for c in _PACKED) for r in _pack(head, wide).toLocalIterator()], pieces))
+    trim()
     if not whole:
         docs = _with_tail(docs, text, vocabulary.where(~is_head), sent)
     return _assemble(docs, text, sent, keep_ids)
@@ -314,7 +315,7 @@ def _with_tail(docs: DataFrame, text: str, tail: DataFrame, sent) -> DataFrame:
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(sent)
-        for t in text_slices(batches, "text"):
+        for t in text_slices(batches, "text", keep="vocabulary"):
             t, row, start, end = words_of(t)
             if len(start):
                 h = hashes(t.sums(False), start, end)
@@ -345,7 +346,7 @@ def _assemble(docs: DataFrame, text: str, sent, keep_ids: bool) -> DataFrame:
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(sent)
-        for t in text_slices(batches, text):
+        for t in text_slices(batches, text, keep="vocabulary"):
             batch = t.batch
             t, row, start, end = words_of(t)
             h = hashes(t.sums(False), start, end) if len(start) else np.zeros(0, U64)

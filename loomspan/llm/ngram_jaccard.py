@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._common import NOT_SPACE, U64, Texts, column, hashes, mix, stored, text_slices, windows
+from loomspan.llm._common import NOT_SPACE, U64, Texts, column, hashes, mix, stored, text_slices, trim, windows
 from loomspan.llm.components import components
 
 #: Shingles in more documents than this are heavy, but no more of them than HEAVY_MOST (48 MB): those of
@@ -203,6 +203,7 @@ def _by_fragment(blocks: DataFrame, fragments: int, work: Callable, schema: str)
                 held.append(p)
         if held:
             yield from work(held)
+        trim()
 
     return blocks.repartition(min(fragments, 100_000), "frag").sortWithinPartitions("frag").mapInArrow(run, schema)
 
@@ -374,7 +375,10 @@ def _heavy_shingles(blocks: DataFrame, fragments: int):
         return None
     token, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((0, np.uint32), (1, np.uint16)))
     order = np.argsort(token)
-    return blocks.sparkSession.sparkContext.broadcast((token[order], n[order]))
+    sent = blocks.sparkSession.sparkContext.broadcast((token[order], n[order]))
+    del rows, token, n, order
+    trim()
+    return sent
 
 
 class Unit:
@@ -467,6 +471,7 @@ def cluster_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int)
                     x.append(v)
         if held[0]:
             yield done()
+        trim()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomspan.llm._bpe import WordTable, as_bytes, pre_tokens, split, valid, word_ids
-from loomspan.llm._common import Texts, column, text_slices
+from loomspan.llm._common import Texts, column, kept, text_slices
 
 
 @functools.lru_cache(maxsize=2)
@@ -34,16 +34,6 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_KEPT: dict[str, tuple] = {}
-
-
-def kept(name: str, key, make):
-    """An object that this Python worker keeps for its next tasks; one of each name."""
-    if name not in _KEPT or _KEPT[name][0] != key:
-        _KEPT[name] = (key, make())
-    return _KEPT[name][1]
-
-
 def library_ids(path: str, text: str) -> list[int]:
     return tokenizer(path).encode(text, add_special_tokens=False).ids
 
@@ -116,7 +106,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", n_tokens: st
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept("counter", path, lambda: Counter(path, *sent.value))
-        for t in text_slices(batches, text):
+        for t in text_slices(batches, text, keep="counter"):
             n = counter.count(t)
             yield pa.RecordBatch.from_arrays([*(column(t.batch, c) for c in names), pa.array(n)], [*names, n_tokens])
 

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm._bpe import WordTable, gather, split, valid, word_ids
-from loomspan.llm._common import Texts, column, shared_folder, text_slices
-from loomspan.llm.token_counts import kept, library_ids, special_rows, tokenizer
+from loomspan.llm._common import Texts, column, kept, shared_folder, text_slices
+from loomspan.llm.token_counts import library_ids, special_rows, tokenizer
 
 SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
 #: Options of the writer: 8 MB row groups, 64 KB pages of at most 1000 rows, dictionaries.
@@ -65,7 +65,7 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", doc_id:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept("encoder", path, lambda: Encoder(path))
-        for t in text_slices(batches):
+        for t in text_slices(batches, keep="encoder"):
             parts = encoder.encode(t)
             n = np.array([len(x) + 1 for x in parts], np.int32)
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, hashes, mix, text_slices
+from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, hashes, mix, text_slices, trim
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -102,10 +102,8 @@ class Model:
 
 
 def _csr(lists: list[np.ndarray], keep: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    col = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    some = keep[col]
-    return row[some], place[col[some]]
+    kept = [place[x[keep[x]]] for x in lists]
+    return np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
 def fit(lists: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], *, penalty: float = 1.0, l2: float = 3e-4, most: int = 6000, min_docs: int = 3, rounds: int = 400) -> Model:
@@ -115,9 +113,11 @@ def fit(lists: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np
     if n1 in (0, n):
         share = (n1 + 0.5) / (n + 1) if n else 0.5 / 11
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    col = np.concatenate(lists)
-    row = np.repeat(np.arange(n), [len(x) for x in lists])
-    df, df1 = np.bincount(col, minlength=size), np.bincount(col, y[row], minlength=size)
+    df, df1 = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for x, toxic in zip(lists, y, strict=True):
+        df[x] += 1
+        if toxic:
+            df1[x] += 1
 
     def gain(a, b):  # a of b rows are toxic: log-likelihood ratio against the share of all
         p = np.clip(a / np.maximum(b, 1), 1e-12, 1 - 1e-12)
@@ -183,16 +183,22 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["id", "y", "a", "b"])
 
     rows = sample.select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(extract, "id long, y int, a binary, b binary")
+    # One partition at a time, so that the driver holds the packed features (some 4 KB a row) and little else.
+    found = [(r.id, bytes(r.a), bytes(r.b) if r.b is not None else None, r.y) for r in rows.toLocalIterator()]
     seen, lists, y, pairs = set(), [], [], []
-    for r in sorted(rows.collect(), key=lambda r: (r.id, bytes(r.a), bytes(r.b or b""))):
-        a = np.frombuffer(r.a, np.int32).astype(np.int64)
-        if r.b is not None:
-            pairs.append((a, np.frombuffer(r.b, np.int32).astype(np.int64)))
-        elif r.id not in seen:
-            seen.add(r.id)
+    for i, a, b, toxic in sorted(found, key=lambda r: (r[0], r[1], r[2] or b"")):
+        a = np.frombuffer(a, np.int32)
+        if b is not None:
+            pairs.append((a, np.frombuffer(b, np.int32)))
+        elif i not in seen:
+            seen.add(i)
             lists.append(a)
-            y.append(r.y > 0)
-    return fit(lists, np.array(y, np.float64), pairs, penalty=penalty)
+            y.append(toxic > 0)
+    del found
+    model = fit(lists, np.array(y, np.float64), pairs, penalty=penalty)
+    del lists, pairs
+    trim()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, text: str = "text", score: str = "score") -> DataFrame:
