@@ -159,6 +159,23 @@ def ivf_topk(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k: in
     return nearest(found, k)
 
 
+def least_nprobe(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k: int, least: float = 0.9) -> int:
+    """The fewest probed cells with which ivf_topk reaches this recall on these queries: a stated set, whose k rows a query come to the driver.
+
+    Ids are distinct. A neighbour is found exactly if its cell is probed, so one exact search tells the recall of every number.
+    """
+    table = sorted((r.cell, r.vector) for r in cells.collect())
+    names, m = np.array([c for c, _ in table], np.int64), _unit(np.array([v for _, v in table], np.float64))
+    rows = exact_topk(cell_points, queries, k).join(cell_points.select("id", "cell"), "id").select("query_id", "cell").collect()
+    place = {}
+    for ids, vectors in query_blocks(queries):
+        order = np.lexsort((np.broadcast_to(names, (len(ids), len(names))), -(_unit(vectors) @ m.T)), axis=1)
+        place |= dict(zip(ids.tolist(), order.argsort(1), strict=True))
+    at = np.searchsorted(names, [c for _, c in rows])
+    hits = np.bincount([place[q][j] for (q, _), j in zip(rows, at, strict=True)], minlength=len(names)).cumsum()
+    return int((hits < least * len(rows)).sum()) + 1 if len(rows) else len(names)
+
+
 def neighbour_graph(points: DataFrame, m: int, block: int = BLOCK) -> DataFrame:
     """(src, dst, distance, rank): the m nearest others of every point."""
     queries = points.select(F.col("id").alias("query_id"), "vector")
@@ -219,6 +236,9 @@ class VectorTable:
         self._celled = assign_cells(self.points, self.cells)
         return self
 
+    def least_nprobe(self, queries: DataFrame, k: int, least: float = 0.9) -> int:
+        return least_nprobe(self._celled, self.cells, queries, k, least)
+
     def search(self, queries: DataFrame, k: int, conditions=(), nprobe: int | None = None) -> DataFrame:
         """A filter, or no index, means an exact scan; nprobe asks for the index."""
         if self.points is None or self.points.isEmpty():

@@ -1,9 +1,14 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions.filters import AtLeast, Between, Equals, page_range
 from loomspan.operators import search as S
+from loomspan.plans import vectors as P
+
+SF = "/root/testdata/sf0.001"
 
 
 def points(spark, rows, extra=""):
@@ -68,6 +73,25 @@ def test_index_recall(spark):
     assert S.prune_graph(graph, 4).groupBy("src").count().agg(F.max("count")).first()[0] <= 4
 
 
+def test_tuned_probes_reach_the_recall(spark):
+    rng = np.random.default_rng(3)
+    t = S.VectorTable(spark, 16).insert(points(spark, [(i, rng.normal(size=16).tolist()) for i in range(400)])).build_index(16)
+    q = t.points.where("id < 20").select(F.col("id").alias("query_id"), "vector")
+    n = t.least_nprobe(q, 10)
+    exact = t.search(q, 10)
+    at, under = (S.recall(t.search(q, 10, nprobe=k), exact).first().recall for k in (n, n - 1))
+    assert under < 0.9 <= at
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_tuned_probes_of_the_registered_cells(spark):
+    """The cells of ann_ivf_topk, whose SQL holds it to 4 probes."""
+    p, q = P.points(spark, SF), P.point_queries(spark, SF)
+    cells = S.centroids(p.withColumn("label", F.col("label").cast("long")), "label")
+    n = S.least_nprobe(S.assign_cells(p, cells), cells, q, 10)
+    assert S.recall(P._ivf(spark, SF, n), S.exact_topk(p, q, 10)).first().recall >= 0.9
+
+
 def test_layers_fall_off():
     counts = np.bincount(S.layers(5000))
     assert counts[0] > 4000 and counts.sum() == 5000
