@@ -382,7 +382,7 @@ def _heavy_shingles(blocks: DataFrame, fragments: int):
 
 
 class Unit:
-    """Finds links among the sets of a unit that join something new."""
+    """Finds links among the sets of a unit: those that join something new, or every one."""
 
     def __init__(self, nodes: list[int], sides: list[int], sets: list[np.ndarray], percent: int):
         first = {x: k for k, x in reversed(list(enumerate(nodes)))}
@@ -407,19 +407,16 @@ class Unit:
         least = int(self.threshold.least_overlap(np.int64(len(a) + len(b))))
         spare = len(a) + len(b) - 2 * least
         total = 0
-        if len(a) + len(b) < 64 * SLICES:
-            total = len(np.intersect1d(a, b, assume_unique=True))
-        else:
-            for k in range(SLICES):
-                x, y = a[self.cuts[i][k] : self.cuts[i][k + 1]], b[self.cuts[j][k] : self.cuts[j][k + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                total += common
-                spare -= len(x) + len(y) - 2 * common
-                if spare < 0:
-                    return False
+        for k in range(SLICES):
+            x, y = a[self.cuts[i][k] : self.cuts[i][k + 1]], b[self.cuts[j][k] : self.cuts[j][k + 1]]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            total += common
+            spare -= len(x) + len(y) - 2 * common
+            if spare < 0:
+                return False
         return total >= least
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
         m = len(self.n)
         edges = (np.arange(SLICES + 1, dtype=np.float64) / SLICES * 2.0**64)[1:-1].astype(U64)
         self.cuts = [np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in self.sets]
@@ -434,7 +431,7 @@ class Unit:
         left, right = [], []
         for i in order:
             open_[i] = False
-            js = np.flatnonzero(open_ & (root != root[i]) & ((self.side != self.side[i]) | (self.side[i] == 0)))
+            js = np.flatnonzero(open_ & ((root != root[i]) | every) & ((self.side != self.side[i]) | (self.side[i] == 0)))
             both = self.n[js] + self.n[i]
             least = self.threshold.least_overlap(both)
             js, both, least = (x[least <= np.minimum(self.n[js], self.n[i])] for x in (js, both, least))
@@ -442,21 +439,21 @@ class Unit:
                 apart = np.bitwise_count(maps[js] ^ maps[i]).sum(1, dtype=np.int64)
                 js = js[apart <= both - 2 * least]
             for j in js.tolist():
-                if root[j] != root[i] and self.linked(i, j):
+                if (every or root[j] != root[i]) and self.linked(i, j):
                     left.append(i)
                     right.append(j)
                     root[root == root[j]] = root[i]
         return self.nodes[np.array(left, np.int64)], self.nodes[np.array(right, np.int64)]
 
 
-def cluster_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that join the nodes of each cluster as all its links do."""
+def cluster_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, every: bool = False) -> DataFrame:
+    """(a, b): links that join the nodes of each cluster as all its links do, or every link, once."""
     wanted = docs.sparkSession.sparkContext.broadcast(node_filter(clusters.select("node")))
     rows = _whole_sets(docs, size, wanted).join(_units(clusters), "node").select("unit", "side", "node", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
-            a, b = Unit(*held, percent).links() if len(set(held[0])) > 1 else (np.zeros(0, np.int64),) * 2
+            a, b = Unit(*held, percent).links(every) if len(set(held[0])) > 1 else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         at, held = None, ([], [], [])
@@ -477,11 +474,9 @@ def cluster_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int)
     return rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")
 
 
-def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 75, fragment_tokens: int = 750_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+def _clusters(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, fragment_tokens: int) -> DataFrame:
+    """(node, cluster): linked nodes always lie in one cluster."""
     spark, threshold = docs.sparkSession, Threshold(percent)
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = stored(_sets(docs, shingle))
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     fragments = max(8, int(-(-total // fragment_tokens)))
 
@@ -497,10 +492,36 @@ def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
         # The filter may let nodes of other clusters in; these stay where they were.
         finer = finer.join(again.select("node"), "node", "left_semi")
         clusters = stored(clusters.join(large, "cluster", "left_anti").select("node", "cluster").unionByName(finer.select("node", "cluster")))
+    return clusters
+
+
+def _representatives(sets: DataFrame) -> DataFrame:
+    """(node, least): the least id of each set."""
+    return sets.where("n > 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"))
+
+
+def similar_links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 75, fragment_tokens: int = 750_000) -> DataFrame:
+    """(a, b), a before b: every pair of different sets that reaches the threshold, each set by the least id of its documents.
+
+    K sets that are all close to each other give K^2 / 2 rows; similar_components needs only those that join.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    sets = stored(_sets(docs, shingle))
+    found = cluster_links(docs, _clusters(docs, sets, shingle, percent, fragment_tokens), shingle, percent, every=True)
+    name = _representatives(sets)
+    left, right = (name.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
+    out = found.join(left, "a").join(right, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    return out.select(F.nullif("a", F.lit(NULL_ID)).alias("a"), "b")
+
+
+def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 75, fragment_tokens: int = 750_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    sets = stored(_sets(docs, shingle))
+    clusters = _clusters(docs, sets, shingle, percent, fragment_tokens)
     label = stored(components(stored(cluster_links(docs, clusters, shingle, percent))))
 
-    nodes = sets.where("n > 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"))
-    named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = _representatives(sets).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = named.join(label.select("component").distinct(), "component", "left_semi")
     lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"))
     named = named.join(lowest, "component", "left").select("node", F.coalesce("lowest", "least").alias("lowest"))

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,31 @@ def test_components_in_blocks_and_refined(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_every_link_is_offered(spark, monkeypatch):
+    """All pairs of near copies, in one unit and in pairs of blocks, not only those of a spanning forest."""
+    base = text(7, 120)
+    rows = [(i, near(base, i % 9, i)) for i in range(30)] + [(100 + i, text(200 + i, 40)) for i in range(5)] + [(200, text(200, 40))]
+    sets, first = {}, {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+        first.setdefault(sets[i], i)
+    ids = sorted(first.values())
+    want = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(want) > len(ids)
+    for block in (4096, 4):
+        monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+        assert sorted(map(tuple, ngram_jaccard.similar_links(frame(spark, rows)).collect())) == want
+
+
+def test_small_pairs_are_counted_by_fragment(monkeypatch):
+    """Two small sets that differ too much in their first fragment are given up there."""
+    a, b = (np.sort(np.array([(k << 58) + x for k in range(64)], np.uint64)) for x in (1, 2))
+    unit, calls, plain = ngram_jaccard.Unit([1, 2], [0, 0], [a, b], 75), [], np.intersect1d
+    monkeypatch.setattr(np, "intersect1d", lambda *x, **y: calls.append(1) or plain(*x, **y))
+    assert len(unit.links()[0]) == 0 and len(calls) == 1
+
+
 def test_components_null_ids(spark):
     t = text(5)
     got = sorted(((r.doc_id, r.component_id) for r in similar_components(frame(spark, [(None, t), (4, t), (5, None), (None, None)])).collect()), key=str)
