@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning, to components of linked documents.
 
 A document's set is its distinct 64-bit shingle hashes; equal sets are one node. The global n-gram
-order puts light shingles first, by hash, and heavy ones (held by many documents, counted over all
-of them) last, by count. Two sets that reach the threshold share a shingle of their prefixes in
+order puts light shingles first, by hash, and heavy ones (in two documents or more) last, by count. All
+shingles of all documents are counted, equal sets of a task once; where more than HEAVY_MOST are heavy,
+those of the least counts stay light. Counts only order: they decide no link. Two sets that reach the threshold share a shingle of their prefixes in
 that order.
 
 1. The order is cut into fragments. Each is one unit of work that sees only its part of every
@@ -39,9 +40,9 @@ from pyspark.sql import functions as F
 from loomspan.llm._common import NOT_SPACE, U64, Texts, column, hashes, mix, stored, text_slices, trim, windows
 from loomspan.llm.components import components
 
-#: Shingles in more documents than this are heavy, but no more of them than HEAVY_MOST (48 MB): those of
-#: the highest counts. Shingles are told apart by 32 bits here, where a mix-up costs only time. They are counted in the first COUNTED per cent of every document's shingles by hash.
-HEAVY_FROM, HEAVY_MOST, COUNTED = 1, 1 << 23, 50
+#: Shingles in more documents than this are heavy, but no more of them than HEAVY_MOST (64 MB): those of
+#: the highest counts. Shingles are told apart by 32 bits here, where a mix-up costs only time.
+HEAVY_FROM, HEAVY_MOST = 1, 1 << 23
 FILTER_BITS = 1 << 24
 #: Nodes of a cluster that are compared in one block, and vertical fragments of a count.
 BLOCK, SLICES = 4096, 4
@@ -174,8 +175,7 @@ def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, he
                     r = row[k]
                     rank = np.arange(len(k)) - np.searchsorted(r, r)
                     pos[k] = n[r] - (before[starts[r + 1]] - before[starts[r]]) + rank
-            most = n * COUNTED // 100 + 1 if counting else threshold.prefix(n)
-            keep = pos < most[row]
+            keep = np.ones(len(row), bool) if counting else pos < threshold.prefix(n)[row]
             frag = _fragment(h[keep], fragments).astype(np.uint16 if fragments < 1 << 16 else np.int64)
             r = row[keep]
             held.append((frag, (h[keep] >> _CLASS).astype(np.uint32)) if counting else (frag, h[keep], node[r]) if mask is None else (frag, h[keep], node[r], n[r], sketches(row, h, t.rows)[r]))
@@ -351,14 +351,14 @@ def _heavy_shingles(blocks: DataFrame, fragments: int):
     def counted(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         token, n = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in held]), return_counts=True)
         many = n > HEAVY_FROM
-        n = np.minimum(n[many], 65535).astype(np.uint16)
+        n = np.minimum(n[many], 2**32 - 1).astype(np.uint32)
         level, size = np.unique(n, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (token[many].tobytes(), n.tobytes())] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (level, size)], ["token", "n", "level", "size"])
 
     found = stored(_by_fragment(blocks, fragments, counted, "token binary, n binary, level array<long>, size array<long>"))
     levels = found.select(F.explode(F.arrays_zip("level", "size")).alias("x")).groupBy("x.level").agg(F.sum("x.size").alias("size")).orderBy(F.desc("level"))
-    total, least = 0, 65536
-    for r in levels.toLocalIterator():  # at most 65535 rows
+    total, least = 0, 1 << 32
+    for r in levels.toLocalIterator():  # different counts: fewer than the root of twice the shingles
         if (total := total + r["size"]) > HEAVY_MOST:
             break
         least = r.level
@@ -366,14 +366,14 @@ def _heavy_shingles(blocks: DataFrame, fragments: int):
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, c in zip(column(b, "token").to_pylist(), column(b, "n").to_pylist(), strict=True):
-                n = np.frombuffer(c, np.uint16)
+                n = np.frombuffer(c, np.uint32)
                 t = np.frombuffer(t, np.uint32)[n >= least]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t, n[n >= least])], ["token", "n"])
 
     rows = [(bytes(r.token), bytes(r.n)) for r in found.select("token", "n").mapInArrow(above, "token binary, n binary").toLocalIterator() if r.n]
     if not rows:
         return None
-    token, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((0, np.uint32), (1, np.uint16)))
+    token, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((0, np.uint32), (1, np.uint32)))
     order = np.argsort(token)
     sent = blocks.sparkSession.sparkContext.broadcast((token[order], n[order]))
     del rows, token, n, order

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,18 @@ def test_components_in_blocks_and_refined(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_all_shingles_are_counted(spark):
+    """Every shared shingle is heavy, in the upper half of the hash range too, with its count beyond 16 bits."""
+    rows = [(i, text(7, 60) + f" end{i}") for i in range(30)]
+    t = ngram_jaccard.Texts(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.large_string())], ["text"]), "text")
+    h, n = np.unique(ngram_jaccard.shingle_sets(t, 5)[1] >> np.uint64(32), return_counts=True)
+    blocks = ngram_jaccard._blocks(frame(spark, rows).select(F.col("doc_id").alias("id"), "text"), 5, 8, ngram_jaccard.Threshold(75), None, True)
+    token, count = ngram_jaccard._heavy_shingles(blocks, 8).value
+    assert token.tolist() == h[n > 1].tolist() and count.tolist() == n[n > 1].tolist()
+    many = spark.createDataFrame([(0, np.full(70_000, 5, np.uint32).tobytes())], "frag int, payload binary")
+    assert ngram_jaccard._heavy_shingles(many, 8).value[1].tolist() == [70_000]
+
+
 def test_every_link_is_offered(spark, monkeypatch):
     """All pairs of near copies, in one unit and in pairs of blocks, not only those of a spanning forest."""
     base = text(7, 120)
