@@ -14,10 +14,12 @@ reading back gives the exact text.
 Defined results: null text and null role are empty; rows are ordered by turn, role and text, nulls
 first, so ties and repeated rows keep a fixed order and all count; only a first turn of role
 ``system`` is retained, others are ordinary turns; rows with a null conv_id are one conversation; an
-empty table gives an empty result. A conversation is cut into segments of ``segment_turns`` turn numbers,
-which different tasks work on: a segment begins a window with the system turn, but without history,
-and one that begins with a system turn of its own, when the conversation has none, retains that. Only
-``digests`` puts a whole conversation together, as one hash asks for.
+empty table gives an empty result. A conversation of more than ``slice_turns`` rows is worked on in slices of
+about so many rows, by quantiles of the turn number, at most 1024 of them (rows of one turn number stay together).
+Slices pass on sums, the system turn and the costs of their neighbours' rows, so windows do not depend on
+them. ``segment_turns``, None by default, cuts conversations by turn number instead of only working in slices: a segment begins a
+window with the system turn, but without history, and one that begins with a system turn of its own, when the
+conversation has none, retains that. Only ``digests`` puts a whole conversation together, as one hash asks for.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm._common import stored
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Starts of control strings: of this template and of common others.
 _CONTROL = r"(?=<\||</?s>|\[/?INST\]|<</?SYS>>)(.)"
@@ -39,7 +43,8 @@ class Plan:
     history_tokens: int = 256
     turn_cost: int = 8
     least_cell: int = 64
-    segment_turns: int = 4096
+    segment_turns: int | None = None
+    slice_turns: int = 4096
 
 
 def escape(text: Column) -> Column:
@@ -57,6 +62,8 @@ def turn_tokens(text: Column, plan: Plan) -> Column:
 def _segments(turns: DataFrame, plan: Plan) -> DataFrame:
     """turns with their segment, and a ghost of the system turn before each later segment."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    if plan.segment_turns is None:
+        return t.withColumn("seg", F.lit(0).cast("long")).withColumn("ghost", F.lit(False))
     t = t.withColumn("seg", F.coalesce(F.floor(F.col("turn") / plan.segment_turns), F.lit(-(1 << 30))).cast("long"))
     cuts = t.groupBy("conv_id", "seg").agg(F.count("*").alias("n"))
     firsts = cuts.groupBy("conv_id").agg(F.min("seg").alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("conv_id").alias("c"), "first")
@@ -67,32 +74,113 @@ def _segments(turns: DataFrame, plan: Plan) -> DataFrame:
     return t.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
+_QUANTILES = 1024
+
+
+def _order(*keys: str):
+    return Window.partitionBy(*keys).orderBy(F.desc("ghost"), "turn", "role", "text")
+
+
+def _cell(kept: Column, plan: Plan) -> Column:
+    return F.greatest(F.lit(plan.budget) - kept - plan.history_tokens, F.lit(plan.least_cell))
+
+
+def _span(before: Column, own: Column, cell: Column) -> Column:
+    """The place of a turn: even inside a cell, odd across its end. It ascends, and each value is one window."""
+    k = F.floor(before / cell)
+    crosses = (before + own > (k + 1) * cell) & (before > k * cell)
+    return k * 2 + crosses.cast("long")
+
+
+def _joined(t: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """t with other's columns besides the keys; a null conv_id is a key like others."""
+    other = other.select(*(F.col(k).alias(f"{k}_") for k in keys), *(c for c in other.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return t.join(F.broadcast(other) if "slice" not in keys else other, on, how).drop(*(f"{k}_" for k in keys))
+
+
+def _sliced(t: DataFrame, long: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of long conversations with their slice and what it must know of the others.
+
+    long has a row for every slice_turns rows of t at most, so it and the cuts are broadcast.
+    """
+    t = _joined(t, long, ["conv_id", "seg"])
+    quantiles = F.percentile_approx("turn", [k / _QUANTILES for k in range(1, _QUANTILES)])
+    step = F.ceil(F.lit(_QUANTILES * plan.slice_turns) / F.col("rows"))
+    cuts = t.groupBy("conv_id", "seg", "rows").agg(quantiles.alias("q"))
+    # Stored, as a second computation could place the cuts elsewhere.
+    cuts = stored(cuts.select("conv_id", "seg", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("cuts")))
+    t = _joined(t.drop("rows"), cuts, ["conv_id", "seg"])
+    t = t.withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("turn"))), F.lit(0))).drop("cuts")
+
+    near = max(1, plan.history_turns)
+    m = t.withColumn("r", F.row_number().over(_order("conv_id", "seg", "slice")))
+    system = (F.col("slice") == 0) & (F.col("r") == 1) & (F.col("role") == "system")
+    m = m.withColumn("cost", turn_tokens(F.col("text"), plan)).withColumn("own", F.when(system, 0).otherwise(F.col("cost")))
+    edges = m.groupBy("conv_id", "seg", "slice").agg(
+        F.count("*").alias("n"), F.sum("own").alias("total"), F.max_by("own", "r").alias("last"), F.max(F.when(system, F.col("text"))).alias("slice_head"), F.max(F.when(system, F.col("cost"))).alias("slice_kept"),
+        *(F.max(F.when(F.col("r") == k + 1, F.col("own"))).alias(f"own{k}") for k in range(near)),
+    )
+    order = Window.partitionBy("conv_id", "seg").orderBy("slice")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = edges.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0))).withColumn("base_pos", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    edges = edges.withColumn("conv_head", F.first("slice_head", ignorenulls=True).over(upto)).withColumn("conv_kept", F.coalesce(F.first("slice_kept", ignorenulls=True).over(upto), F.lit(0)))
+    cell = _cell(F.col("conv_kept"), plan)
+    edges = edges.withColumn("prev_span", F.lag(_span(F.col("base") + F.col("total") - F.col("last"), F.col("last"), cell)).over(order))
+    firsts, before = [], F.col("base")
+    for k in range(near):
+        own = F.col(f"own{k}")
+        firsts.append(F.when(own.isNotNull(), F.struct(_span(before, own, cell).alias("span"), before.alias("before"))))
+        before = before + own
+    edges = edges.withColumn("firsts", F.array_compact(F.array(*firsts)))
+    nothing = F.array().cast(edges.schema["firsts"].dataType)
+    edges = edges.withColumn("after", F.flatten(F.array(*(F.coalesce(F.lead("firsts", k).over(order), nothing) for k in range(1, near + 1)))))
+    known = ["n", "base", "base_pos", "conv_head", "conv_kept", "prev_span", "after"]
+    return _joined(t, edges.select("conv_id", "seg", "slice", *known), ["conv_id", "seg", "slice"])
+
+
 def windows(turns: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """(conv_id, seg, window, repeated, pos, role, text): turns of each window, repeats of earlier ones included."""
-    order = Window.partitionBy("conv_id", "seg").orderBy(F.desc("ghost"), "turn", "role", "text")
+    """(conv_id, seg, window, repeated, pos, role, text): turns of each window, repeats of earlier ones included; windows ascend from 1, with gaps."""
+    t = _segments(turns, plan)
+    long = stored(t.groupBy("conv_id", "seg").agg(F.count("*").alias("rows")).where(F.col("rows") > plan.slice_turns))
+    if long.isEmpty():
+        return _windows(t, plan, False)
+    short = _joined(t, long, ["conv_id", "seg"], "left_anti")
+    return _windows(short, plan, False).unionByName(_windows(_sliced(t, long, plan), plan, True))
+
+
+def _windows(t: DataFrame, plan: Plan, sliced: bool) -> DataFrame:
+    order = _order("conv_id", "seg", *(["slice"] if sliced else []))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = _segments(turns, plan).withColumn("pos", F.row_number().over(order))
+    t = t.withColumn("place", F.row_number().over(order)).withColumn("pos", F.col("place") + F.col("base_pos") if sliced else F.col("place"))
     system = (F.col("pos") == 1) & (F.col("role") == "system")
     t = t.withColumn("cost", turn_tokens(F.col("text"), plan)).withColumn("own", F.when(system, 0).otherwise(F.col("cost")))
-    t = t.withColumn("before", F.sum("own").over(running) - F.col("own"))
-    kept = F.coalesce(F.first(F.when(system, F.col("cost")), ignorenulls=True).over(running), F.lit(0))
-    t = t.withColumn("cell", F.greatest(F.lit(plan.budget) - kept - plan.history_tokens, F.lit(plan.least_cell)))
-    k = F.floor(F.col("before") / F.col("cell"))
-    crosses = (F.col("before") + F.col("own") > (k + 1) * F.col("cell")) & (F.col("before") > k * F.col("cell"))
-    t = t.withColumn("span", k * 2 + crosses.cast("long"))
-    t = t.withColumn("opens", F.coalesce(F.lag("span").over(order) != F.col("span"), F.lit(True)))
-    t = t.withColumn("window", F.sum(F.col("opens").cast("long")).over(running))
-    head = F.first(F.when(system, F.col("text")), ignorenulls=True).over(running)
+    before = F.sum("own").over(running) - F.col("own")
+    t = t.withColumn("before", before + F.col("base") if sliced else before)
+    kept = F.col("conv_kept") if sliced else F.coalesce(F.first(F.when(system, F.col("cost")), ignorenulls=True).over(running), F.lit(0))
+    t = t.withColumn("span", _span(F.col("before"), F.col("own"), _cell(kept, plan)))
+    last = F.lag("span").over(order)
+    t = t.withColumn("opens", F.coalesce((F.coalesce(last, F.col("prev_span")) if sliced else last) != F.col("span"), F.lit(True)))
+    t = t.withColumn("window", F.col("span") + 1)
+    head = F.col("conv_head") if sliced else F.first(F.when(system, F.col("text")), ignorenulls=True).over(running)
     t = t.withColumn("head", F.when(F.col("opens") & (F.col("window") > 1) | F.col("ghost"), head))
 
     def copy(window: Column, pos: Column, kind: int) -> Column:
         return F.struct(window.cast("long").alias("window"), pos.cast("int").alias("pos"), F.lit(kind).alias("kind"))
 
+    def ahead(c: str, d: int) -> Column:
+        if d == 0 or not sliced:
+            return F.lead(c, d).over(order) if d else F.col(c)
+        return F.coalesce(F.lead(c, d).over(order), F.get("after", (d - 1 - F.col("n") + F.col("place")).cast("int"))[c])
+
     copies = [F.when(~F.col("ghost"), copy(F.col("window"), F.col("pos"), 0)), F.when(F.col("head").isNotNull(), copy(F.col("window"), F.lit(0), 2))]
     for d in range(1, plan.history_turns + 1):
-        ahead = lambda c, d=d: F.lead(c, d).over(order)
-        fits = ahead("opens") & (ahead("window") > F.col("window")) & (ahead("before") - F.col("before") <= plan.history_tokens) & ~system
-        copies.append(F.when(fits, copy(ahead("window"), F.col("pos"), 1)))
+        span = ahead("span", d)
+        fits = (span != ahead("span", d - 1)) & (span > F.col("span")) & (ahead("before", d) - F.col("before") <= plan.history_tokens) & ~system
+        copies.append(F.when(fits, copy(span + 1, F.col("pos"), 1)))
     t = t.withColumn("copies", F.array_compact(F.array(*copies)))
     out = t.select("conv_id", "seg", "role", "text", "head", F.explode("copies").alias("c"))
     from_head = F.col("c.kind") == 2

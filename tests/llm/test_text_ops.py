@@ -124,6 +124,26 @@ def test_chat_windows_keep_the_budget(spark):
     assert controls.count() == 0
 
 
+def test_chat_windows_do_not_depend_on_slices(spark):
+    """Long conversations and sparse turn numbers give the windows of the plain method, history included."""
+    turns = chats(spark).unionByName(chats(spark).where("conv_id = 2").withColumn("conv_id", F.lit(None).cast("long")))
+    turns = turns.unionByName(spark.createDataFrame([(7, 0, "system", "be brief")], "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1)))
+    turns = turns.unionByName(chats(spark).where("conv_id = 2").withColumn("conv_id", F.lit(7).cast("long")).withColumn("turn", F.col("turn") + 1))
+    sparse = turns.withColumn("turn", F.col("turn") * 1_000_003)
+
+    def shown(turns, **plan):
+        rows = chat_format.format_chats(turns, chat_format.Plan(budget=400, history_tokens=140, **plan)).collect()
+        return sorted((str(r.conv_id), r.seg, r.window, r.formatted, r.n_context, str(r.loss_spans)) for r in rows)
+
+    plain = shown(turns)
+    assert max(r[4] for r in plain) == 3
+    assert shown(sparse) == plain
+    for rows in (1, 3, 7):
+        assert shown(sparse, slice_turns=rows) == plain
+    default = chat_format.format_chats(turns).agg(F.sum(F.length("formatted"))).first()
+    assert chat_format.format_chats(sparse).agg(F.sum(F.length("formatted"))).first() == default
+
+
 def luhn(d):
     s = 0
     for k, c in enumerate(reversed(d)):
