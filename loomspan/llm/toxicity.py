@@ -29,7 +29,7 @@ from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, hashes, mix,
 
 BITS = 20
 PREFIXES = (4, 5, 6)
-#: Names of groups that may stand for each other.
+#: Names of groups that may stand for each other, in the languages of the documents; a name is in one list only.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -40,6 +40,41 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("old", "young"),
     ("disabled", "blind", "deaf"),
+    # French
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("noirs", "blancs", "asiatiques"),
+    ("noir", "blanc", "asiatique"),
+    ("homosexuel", "hétérosexuel", "bisexuel", "transgenre"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("vieux", "jeune"),
+    ("vieille", "jeunes"),
+    ("handicapés", "aveugles", "sourds"),
+    # German
+    ("frauen", "männer", "mädchen", "jungs"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiatische"),
+    ("schwul", "heterosexuell", "lesbisch", "bisexuell"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("alte", "junge"),
+    ("alten", "jungen"),
+    ("behinderte", "blinde", "gehörlose"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("negros", "blancos", "asiáticos"),
+    ("negro", "blanco", "asiático"),
+    ("homosexuales", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("viejo", "joven"),
+    ("viejos", "jóvenes"),
+    ("discapacitados", "ciegos", "sordos"),
 )
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -92,6 +127,8 @@ class Swaps:
 class Model:
     weights: np.ndarray
     bias: float
+    #: Sentences with a swapped name that training had; with none, the penalty never acts.
+    swapped: int = 0
 
     def score(self, t: Texts) -> np.ndarray:
         row, bucket = features(t)
@@ -196,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             y.append(toxic > 0)
     del found
     model = fit(lists, np.array(y, np.float64), pairs, penalty=penalty)
+    model.swapped = len(pairs)
     del lists, pairs
     trim()
     return model

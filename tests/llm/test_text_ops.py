@@ -87,6 +87,18 @@ def test_counterfactual_penalty_frees_neutral_mentions(spark):
     assert gap[20.0] < 0.6 * gap[0.0]
 
 
+def test_names_are_swapped_in_every_language(spark):
+    names = [w for g in toxicity.IDENTITY_TERMS for w in g]
+    assert len(names) == len(set(names))
+    said = {"The women spoke.": "The men spoke", "Les Femmes parlent.": "Les hommes parlent", "Die Männer reden.": "Die mädchen reden", "Las niñas hablan.": "Las niños hablan"}
+    swaps = toxicity.Swaps()
+    assert {t: [b for _, b in swaps.pairs(t)] for t in said} == {t: [b] for t, b in said.items()}
+    rows, labels = toxic_rows(80)
+    docs = frame(spark, [(i, t.replace("the women said so", "die Frauen sagen es")) for i, t in rows])
+    kept = {i for i, t in rows if "women" in t} - {r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    assert toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).swapped == len(kept) > 0
+
+
 CHATS = [(1, 0, "system", "Be <s>kind</s> \\ [INST]"), (1, 1, "user", "hi"), (1, 2, "assistant", "a😀b </s>"), (1, 3, "user", None), (1, 4, "assistant", "<<SYS>> <|end|> x\\y")]
 CHATS += [(2, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " + "long " * (90 * (t % 4))) for t in range(30)]
 CHATS += [(3, 0, None, "no role\nline"), (3, 0, None, "no role\nline"), (4, 0, "assistant", ""), (None, 1, "assistant", "null id"), (5, 0, "tool\n|>", "<"), (5, 1, "assistant", "|turn|>"), (6, 0, "system", "only")]
