@@ -2,7 +2,8 @@
 
 Each task fills memtables (digest -> identifier to keep, rows) and flushes each full one as a sorted
 run; runs are Parquet files in the shared folder with min/max statistics and Bloom filters on the
-digest, so an incremental load can probe them without reading all. Compaction merges the runs by
+digest, so ``lookup`` of an incremental load's digests reads only row groups that may hold them; the query itself
+compacts all runs and needs no filter. Compaction merges the runs by
 digest range into one sorted level, keeps one identifier per digest and adds up the rows. A
 memtable holds a digest once, so a hot text costs each task one row.
 
@@ -73,6 +74,15 @@ class MergeIndex:
     def runs(self) -> DataFrame:
         return self.spark.read.schema("digest binary, keep_id long, n long").parquet(*self.levels)
 
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """(digest, keep_id, n) of the given digests, of all runs that hold one. Spark pushes the digests into the scan, where Bloom filters and statistics pass over row groups."""
+        best = F.max if self.keep == "largest" else F.min
+        some = F.lit(False)
+        for start in range(0, len(digests), 10):  # Spark hands lists of up to 10 values to Parquet whole
+            some |= F.col("digest").isin([bytearray(d) for d in digests[start : start + 10]])
+        found = self.runs().where(some)
+        return found.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+
     def compact(self) -> DataFrame:
         """Merges all runs into one sorted level and returns it."""
         best = F.max if self.keep == "largest" else F.min

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import line_dedup, ngram_jaccard
-from loomspan.llm.exact_dedup import exact_dedup
+from loomspan.llm.exact_dedup import MergeIndex, exact_dedup
 from loomspan.llm.line_dedup import Shard, build_shard, dedup_lines
 from loomspan.llm.ngram_jaccard import similar_components
 from tests.llm.cases import documents, empty, frame, near, text
@@ -31,6 +31,22 @@ def test_exact_verifies_bytes(spark):
     assert {tuple(r) for r in exact_dedup(frame(spark), digest=weak, memtable_rows=3).collect()} == brute_exact(documents())
 
 
+def test_lookup_probes_the_runs_by_digest(spark):
+    index = MergeIndex(spark, memtable_rows=4)
+    sha = lambda k: hashlib.sha256(str(k).encode()).digest()
+    for ids in (range(0, 20), range(10, 30)):
+        index.flush(spark.createDataFrame([(sha(k), 100 + k) for k in ids], "digest binary, id long"))
+    found = index.lookup([sha(3), sha(15), sha(99)])
+    for _ in range(2):
+        assert {bytes(r.digest): (r.keep_id, r.n) for r in found.collect()} == {sha(3): (103, 1), sha(15): (115, 2)}
+        index.compact()
+        found = index.lookup([sha(3), sha(15), sha(99)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(digest" in plan or "PushedFilters: [IsNotNull(digest), In(digest" in plan
+    assert index.lookup([]).collect() == []
+    assert {bytes(r.digest) for r in index.lookup([sha(k) for k in range(50)]).collect()} == {sha(k) for k in range(30)}
+
+
 def test_exact_smallest_and_nulls(spark):
     rows = [(5, "a"), (2, "a"), (None, "a"), (None, None), (7, "")]
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(frame(spark, rows)).collect()}
