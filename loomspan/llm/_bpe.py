@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 
-from loomspan.llm._common import Texts, hashes
+from loomspan.llm._common import Texts, grouped, same_ranges, words_at
 
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: Below this all the engines agree on letters, digits and white space.
@@ -101,44 +101,67 @@ def split(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordTable:
-    """Values of distinct words by hash: ``make`` gives a list of integers for each new word.
+    """Values of distinct words: ``make`` gives a list of integers for each new word.
 
-    It forgets everything when it holds ``most`` words, so its memory is bounded.
+    Words are found by hash and their bytes are compared; one whose hash belongs to another word is
+    kept by its bytes. The table forgets everything when it holds ``most`` words or ``most_bytes``
+    of them, so its memory is bounded.
     """
 
-    def __init__(self, make: Callable[[Texts, np.ndarray, np.ndarray], list[list[int]]], most: int = 300_000):
-        self.make, self.most = make, most
+    def __init__(self, make: Callable[[Texts, np.ndarray, np.ndarray], list[list[int]]], most: int = 300_000, most_bytes: int = 8 << 20):
+        self.make, self.most, self.most_bytes = make, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.offsets, self.values = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.at, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.others: dict[bytes, int] = {}
+
+    def _add(self, t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        made = self.make(t, start, end)
+        place = len(self.offsets) - 1 + np.arange(len(made))
+        self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum([len(m) for m in made]))
+        self.values = np.append(self.values, np.array([x for m in made for x in m], np.int32))
+        return place.astype(np.int32)
 
     def find(self, t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place of each word in the table."""
-        if len(self.keys) > self.most:
+        if len(self.offsets) > self.most or len(self.bytes) > self.most_bytes:
             self.clear()
-        h = hashes(t.sums(False), start, end)
-        order = np.argsort(h)
-        first = np.ones(len(h), bool)
-        first[1:] = h[order[1:]] != h[order[:-1]]
-        u, some = h[order[first]], order[first]
+        words = t.words()
+        lead, group, apart = grouped(words, start, end, t.hashes(start, end))
+        u = t.hashes(start[lead], end[lead])
         at = np.searchsorted(self.keys, u)
         known = np.zeros(len(u), bool)
         known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == u[at < len(self.keys)]
-        place = np.zeros(len(u), np.int32)
-        place[known] = self.places[at[known]]
+        place = np.full(len(u), -1, np.int32)
+        spot, size = self.places[at[known]], (end - start)[lead[known]]
+        same = self.size[spot] == size
+        same[same] = same_ranges(words, start[lead[known]][same], words_at(self.bytes), self.at[spot[same]], size[same])
+        place[known] = np.where(same, spot, -1)
         new = ~known
         if new.any():
-            made = self.make(t, start[some[new]], end[some[new]])
-            place[new] = len(self.keys) + np.arange(len(made))
+            s, e = start[lead[new]], end[lead[new]]
+            place[new] = self._add(t, s, e)
             self.keys, self.places = np.insert(self.keys, at[new], u[new]), np.insert(self.places, at[new], place[new])
-            self.offsets = np.append(self.offsets, self.offsets[-1] + np.cumsum([len(m) for m in made]))
-            self.values = np.append(self.values, np.array([x for m in made for x in m], np.int32))
-        out = np.empty(len(h), np.int32)
-        out[order] = place[np.cumsum(first) - 1]
+            self._keep(gather(t.data, s, e - s), e - s)
+        out = place[group]
+        rest = {i: t.data[start[i] : end[i]].tobytes() for i in np.union1d(apart, np.flatnonzero(out < 0)).tolist()}
+        new = {w: i for i, w in rest.items() if w not in self.others}
+        if new:
+            i = np.array(list(new.values()))
+            self.others |= zip(new, self._add(t, start[i], end[i]).tolist(), strict=True)
+            self._keep(np.zeros(0, np.uint8), np.zeros(len(new), np.int64))
+        for i, word in rest.items():
+            out[i] = self.others[word]
         return out
 
+    def _keep(self, data: np.ndarray, size: np.ndarray) -> None:
+        self.at = np.append(self.at, len(self.bytes) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.bytes = np.append(self.bytes, data)
+
     def sizes(self, place: np.ndarray) -> np.ndarray:
         return self.offsets[place + 1] - self.offsets[place]
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import os
+import re
 import sys
 import tempfile
 import uuid
@@ -17,17 +20,18 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder path that the driver and all executors can reach.
 
-    It lies in ``spark.checkpoint.dir``. Where the session has no such setting (tests on one
-    machine), a temporary folder is made and set.
+    It lies in ``spark.checkpoint.dir``. Only a session on this machine alone may lack that setting
+    (tests); it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         root = tempfile.mkdtemp(prefix="loomspan-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/loomspan/{uuid.uuid4().hex}"
@@ -75,22 +79,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-#: Two independent values for each byte.
-_BYTE = [mix(np.arange(1, 257, dtype=U64) * _BASE), mix(np.arange(1001, 1257, dtype=U64) * _BASE)]
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words: everything but ASCII white space; or digits, a-z and all of non-ASCII characters.
@@ -117,6 +105,7 @@ class Texts:
         self.batch, self.rows = batch, n
         self.offsets = off - off[0]
         self.data = raw[off[0] : off[-1]]
+        self._words: dict[bool, np.ndarray] = {}
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
@@ -135,19 +124,90 @@ class Texts:
         ends = np.flatnonzero(inside & ~after) + 1
         return np.searchsorted(self.offsets, starts, "right") - 1, starts, ends
 
-    def sums(self, lower: bool, kind: int = 0) -> np.ndarray:
-        """Prefix sums from which ``hashes`` takes the hash of any range of bytes."""
-        n = len(self.data)
-        out = np.zeros(n + 1, U64)
-        table = _BYTE[kind][LOWER] if lower else _BYTE[kind]
-        np.cumsum(table[self.data] * powers(n)[0], out=out[1:])
-        return out
+    def words(self, lower: bool = False) -> np.ndarray:
+        """The 8 bytes from each place on, as whole numbers; lower: of A-Z lower-cased."""
+        if lower not in self._words:
+            self._words[lower] = words_at(LOWER[self.data] if lower else self.data)
+        return self._words[lower]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False, kind: int = 0) -> np.ndarray:
+        return hashes(self.words(lower), start, end, kind)
+
+
+#: What is left of 8 bytes when only the first k count.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Ranges of more bytes are hashed and compared one by one.
+_LONG = 512
+#: Bits of a hash: fewer only in tests, which let hashes collide.
+_KEPT_BITS = U64((1 << int(os.environ.get("LOOMSPAN_HASH_BITS", "64"))) - 1)
+_SEED = (U64(0x5851F42D4C957F2D), U64(0xDA942042E4DD58B5))
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on, zero past its end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
 
+def _bytes(words: np.ndarray, start: int, end: int) -> bytes:
+    return words.base[start:end].tobytes()
 
-def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: equal bytes give equal hashes wherever they stand."""
-    h = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
-    return mix(h + (ends - starts).astype(U64) * _M2)
+
+def hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges: equal bytes give equal hashes wherever they stand.
+
+    Ranges of up to 7 bytes differ in their hashes whenever they differ. Longer ones go through a
+    mixer of 8 bytes a step, or a keyed BLAKE2b. kind: one of two independent hashes.
+    """
+    n = end - start
+    key = words[start] & _MASK[np.minimum(n, 8)]
+    key |= np.where(n < 8, n, 0).astype(U64) << U64(56)
+    longer = np.flatnonzero(n > 7)
+    if len(longer):
+        acc = mix(key[longer] + _SEED[kind] + n[longer].astype(U64) * _BASE)
+        left, k = np.flatnonzero((n[longer] > 8) & (n[longer] <= _LONG)), 8
+        s, z = start[longer], n[longer]
+        while len(left):
+            acc[left] = mix((acc[left] ^ (words[s[left] + k] & _MASK[np.minimum(z[left] - k, 8)])) + _SEED[kind])
+            k += 8
+            left = left[z[left] > k]
+        for i in np.flatnonzero(z > _LONG).tolist():
+            raw = hashlib.blake2b(_bytes(words, int(s[i]), int(s[i] + z[i])), digest_size=8, key=bytes([kind]))
+            acc[i] = int.from_bytes(raw.digest(), "little")
+        key[longer] = acc | U64(1 << 63)
+    return mix(key ^ _SEED[kind]) & _KEPT_BITS
+
+
+def same_ranges(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes at these places of a and b (both of words_at) are the same."""
+    same = np.ones(len(n), bool)
+    left, k = np.flatnonzero((n > 0) & (n <= _LONG)), 0
+    while len(left):
+        ok = ((a[at_a[left] + k] ^ b[at_b[left] + k]) & _MASK[np.minimum(n[left] - k, 8)]) == 0
+        same[left[~ok]] = False
+        k += 8
+        left = left[ok & (n[left] > k)]
+    for i in np.flatnonzero(n > _LONG).tolist():
+        z = int(n[i])
+        same[i] = _bytes(a, int(at_a[i]), int(at_a[i]) + z) == _bytes(b, int(at_b[i]), int(at_b[i]) + z)
+    return same
+
+
+def grouped(words: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ranges by hash, with bytes compared: one range of each hash, the place of each range's hash among these, and the ranges whose bytes are not those of that one."""
+    order = np.argsort(h)
+    first = np.ones(len(h), bool)
+    first[1:] = h[order[1:]] != h[order[:-1]]
+    lead = order[first]
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(first) - 1
+    own = lead[group]
+    n = end - start
+    check = np.flatnonzero(own != np.arange(len(h)))
+    ok = n[check] == n[own[check]]
+    ok[ok] = same_ranges(words, start[check[ok]], words, start[own[check[ok]]], n[check[ok]])
+    return lead, group, check[~ok]
 
 
 _KEPT: dict[str, tuple] = {}
@@ -207,6 +267,33 @@ def windows(rows: np.ndarray, word_hashes: np.ndarray, size: int) -> tuple[np.nd
     return first, h
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def hash_bitmap(hashed: DataFrame, key: str, rows: int, most_bits: int = 1 << 29) -> np.ndarray:
+    """A bitmap over a column of hashes, of 16 bits a row and at most most_bits (64 MB): ask it with in_bitmap.
+
+    When it fills up it lets more hashes through and loses none.
+    """
+    bits = min(most_bits, max(_ROW_BITS, 1 << int(16 * max(1, rows) - 1).bit_length()))
+    at = hashed.select(F.pmod(key, F.lit(bits)).alias("at"))
+    found = at.groupBy((F.col("at") / _ROW_BITS).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_ROW_BITS))).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found.toLocalIterator():
+        out[r.bucket * _ROW_BITS // 8 : (r.bucket + 1) * _ROW_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & U64(len(bitmap) * 8 - 1)
+    return (bitmap[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

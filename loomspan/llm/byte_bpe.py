@@ -7,10 +7,11 @@ for the two new pairs only. Decoding takes the binary piece of each id from a li
 concatenates the pieces. Pre-tokens over ``fold_bytes`` bytes, for which the fold's cost grows with the
 square of their length, are merged by the same rule with a heap in Python.
 
-Documents are then split again, in arrays, and put together from the encoded words, which go by a
-64-bit hash (checked for collisions over the whole vocabulary). The most frequent words, at most
-``head_bytes``, are broadcast packed; documents holding other words get those through a shuffled
-join, so that the vocabulary may grow with the corpus.
+Documents are then split again, in arrays, and put together from the encoded words. These are found
+by a 64-bit hash, and what they decode to is compared with the text; a word that meets another's
+hash is merged on the spot. The most frequent words, at most ``head_bytes``, are broadcast packed;
+documents holding other words get those through a shuffled join by the words' bytes, so that the
+vocabulary may grow with the corpus.
 
 Defined results: null text is the empty text, which has no ids; no string is special; repeated rows
 are encoded alike; an empty table gives an empty result.
@@ -22,6 +23,7 @@ import base64
 import functools
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.llm._bpe import gather, merge, split, valid
-from loomspan.llm._common import U64, Texts, column, hashes, kept, stored, text_slices, trim
+from loomspan.llm._common import U64, Texts, column, fresh, grouped, hashes, kept, same_ranges, stored, text_slices, trim, words_at
 
 #: Buckets of the literal rank map (a prime), and bits of an id in its entries.
 _BUCKETS, _BITS = 65521, 20
@@ -148,38 +150,40 @@ def fold_merges(ids: Column, ranks: Column, pairs: Column) -> Column:
 
 
 def distinct_words(docs: DataFrame, text: str = "text", most: int = 250_000) -> DataFrame:
-    """(hash, word, n) over all documents, counted in the tasks first."""
+    """(word, n) over all documents, counted in the tasks first."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            keys = np.array(list(count), U64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(word.values()), pa.binary()), pa.array(list(count.values()), pa.int64())], ["hash", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
-        count: dict[int, int] = {}
-        word: dict[int, bytes] = {}
+        count: dict[bytes, int] = {}
         for t in text_slices(batches, text):
             t, _, start, end = words_of(t)
             if not len(start):
                 continue
-            u, first, n = np.unique(hashes(t.sums(False), start, end), return_index=True, return_counts=True)
-            first = first.tolist()
-            for k, (h, c) in enumerate(zip(u.tolist(), n.tolist(), strict=True)):
-                if h in count:
-                    count[h] += c
-                else:
-                    count[h] = c
-                    word[h] = t.data[start[first[k]] : end[first[k]]].tobytes()
+            lead, group, apart = grouped(t.words(), start, end, t.hashes(start, end))
+            n = np.bincount(group, minlength=len(lead)) - np.bincount(group[apart], minlength=len(lead))
+            found = np.concatenate((lead, apart))
+            raw = t.data.tobytes()
+            for s, e, c in zip(start[found].tolist(), end[found].tolist(), [*n.tolist(), *[1] * len(apart)], strict=True):
+                w = raw[s:e]
+                count[w] = count.get(w, 0) + c
             if len(count) >= most:
                 yield flush()
-                count, word = {}, {}
+                count = {}
         if count:
             yield flush()
 
-    return docs.select(text).mapInArrow(words, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return hashes(words_at(np.frombuffer(b"".join(words), np.uint8)), np.concatenate(([0], ends[:-1])), ends).view(np.int64)
 
 
 def _started(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """words with the ids of their single bytes and the ids that neighbours merge to."""
+    """words with their hash, the ids of their single bytes and the ids that neighbours merge to."""
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
     keys, merged = np.array(sorted((left << _BITS | right, m) for left, right, m in merging_pairs(ranks)), np.int64).T
     sent = words.sparkSession.sparkContext.broadcast((single, keys.copy(), merged.astype(np.int32)))
@@ -199,26 +203,33 @@ def _started(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             rank = pa.array(rank[inside], mask=~known[inside])
             at_ids, at_ranks = np.concatenate(([0], ends)), np.concatenate(([0], np.cumsum(size - 1)))
             lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((at_ids, pa.array(ids)), (at_ranks, rank))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *lists], [*b.schema.names, "ids", "ranks"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_hashes(raw)), *lists], [*b.schema.names, "hash", "ids", "ranks"])
         trim()
 
-    schema = T.StructType([*words.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "ranks"))])
+    schema = T.StructType([*words.schema.fields]).add("hash", "long")
+    for c in ("ids", "ranks"):
+        schema = schema.add(c, T.ArrayType(T.IntegerType()))
     return words.mapInArrow(start, schema)
 
 
+def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    return [ranks[p] for p in merge(word, lambda x, y: ranks.get(x + y))]
+
+
 def encode_words(words: DataFrame, ranks: dict[bytes, int], fold_bytes: int = 256) -> DataFrame:
-    """words (not empty) with ids and the bytes that the ids decode to."""
+    """words (not empty) with their hash, ids and the bytes that the ids decode to."""
     short = F.octet_length("word") <= fold_bytes
     started = _started(words.where(short), ranks)
     folded = started.withColumn("ids", fold_merges(F.col("ids"), F.col("ranks"), _literal_pairs(ranks))).drop("ranks")
     sent = words.sparkSession.sparkContext.broadcast(ranks)
-    schema = T.StructType([*words.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*words.schema.fields]).add("hash", "long").add("ids", T.ArrayType(T.IntegerType()))
 
     def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for b in batches:
-            found = [[table[p] for p in merge(w, lambda x, y: table.get(x + y))] for w in column(b, "word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+            raw = column(b, "word").to_pylist()
+            found = [merged_ids(w, table) for w in raw]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_hashes(raw)), pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, "hash", "ids"])
 
     both = folded.unionByName(words.where(~short).mapInArrow(long_words, schema))
     names = [""] * (max(ranks.values()) + 1)
@@ -232,17 +243,21 @@ class Vocabulary:
     """Encoded words by hash, and the binary piece of each id."""
 
     def __init__(self, packed: list[tuple[bytes, ...]], pieces: list[bytes]):
-        keys, n_ids, ids = (b"".join(p) for p in zip(*packed, strict=True)) if packed else (b"",) * 3
-        keys, n_ids = np.frombuffer(keys, U64), np.frombuffer(n_ids, np.int32)
-        order = np.argsort(keys)
-        self.keys, self.n_ids = keys[order], n_ids[order]
-        self.at_ids = (np.cumsum(n_ids, dtype=np.int64) - n_ids)[order]
-        self.ids = np.frombuffer(ids, np.int32 if len(pieces) > 1 << 16 else np.uint16)
+        wide = len(pieces) > 1 << 16
+        self.keys, n_ids, self.ids = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(p[k], kind) for p in packed)]) for k, kind in enumerate((U64, np.uint32, np.int32 if wide else np.uint16)))
+        if (self.keys[1:] < self.keys[:-1]).any():
+            raise ValueError("packed words are not in the order of their hashes")
+        self.at_ids = np.concatenate((np.zeros(1, np.int64), np.cumsum(n_ids, dtype=np.int64)))
+        self.pieces = pieces
         self.size = np.array([len(p) for p in pieces], np.int32)
         self.at = np.cumsum(self.size, dtype=np.int64) - self.size
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
         self.shown = list(map(str, range(len(pieces))))
 
+    @functools.cached_property
+    def ranks(self) -> dict[bytes, int]:
+        return {p: k for k, p in enumerate(self.pieces) if p}
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of hashes; -1 for those not held."""
         if not len(self.keys):
@@ -253,29 +268,57 @@ class Vocabulary:
         out[order] = np.where(self.keys[at] == h[order], at, -1)
         return out
 
-    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The pieces of the ids one after the other, and their sizes."""
-        return gather(self.data, self.at[ids], self.size[ids]).tobytes(), self.size[ids]
+    def ids_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places, one after the other, and their counts."""
+        n = self.at_ids[place + 1] - self.at_ids[place]
+        return gather(self.ids, self.at_ids[place], n), n
 
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of the ids one after the other, and their sizes."""
+        return gather(self.data, self.at[ids], self.size[ids]), self.size[ids]
+
+    def holds(self, t: Texts, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the ids at these places decode to the words: a hash alone does not say so."""
+        ids, n = self.ids_of(place)
+        data, size = self.decode(ids)
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)))
+        ends = np.cumsum(n)
+        sizes = total[ends] - total[ends - n]
+        same = sizes == end - start
+        if same.all() and len(data) == len(t.data) and np.array_equal(data, t.data):
+            return same
+        same[same] = same_ranges(words_at(data), total[ends - n][same], t.words(), start[same], sizes[same])
+        return same
+
+
+def _loaded(sent, name: str) -> Vocabulary:
+    """The broadcast vocabulary of this name, built once in each Python worker, which then drops what was sent."""
+
+    def build() -> Vocabulary:
+        out = Vocabulary(*sent.value)
+        sent.__dict__.pop("_value", None)
+        return out
 
-def _loaded(sent) -> Vocabulary:
-    """The broadcast vocabulary, built once in each Python worker."""
-    packed, pieces = sent.value
-    return kept("vocabulary", id(packed), lambda: (packed, Vocabulary(packed, pieces)))[1]
+    return kept("vocabulary", name, build)
 
 
 _PACKED = ("keys", "n_ids", "ids")
 
 
 def _pack(encoded: DataFrame, wide: bool) -> DataFrame:
+    """The encoded words in the order of their hashes (unsigned), packed."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = column(b, "ids")
-            n = np.diff(ids.offsets.to_numpy()).astype(np.int32)
+            n = np.diff(ids.offsets.to_numpy()).astype(np.uint32)
             raw = [column(b, "hash").to_numpy().tobytes(), n.tobytes(), ids.flatten().to_numpy().astype(np.int32 if wide else np.uint16).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], list(_PACKED))
 
-    return encoded.select("hash", "ids").mapInArrow(pack, ", ".join(f"{c} binary" for c in _PACKED))
+    # A hash with its top bit turned sorts as a signed number as it does unsigned.
+    ordered = encoded.select("hash", "ids").withColumn("place", F.col("hash").bitwiseXOR(F.lit(-(1 << 63))))
+    ordered = ordered.repartitionByRange("place").sortWithinPartitions("place").select("hash", "ids")
+    return ordered.mapInArrow(pack, ", ".join(f"{c} binary" for c in _PACKED))
 
 
 def encode_documents(docs: DataFrame, path: str, *, text: str = "text", head_bytes: int = 96 << 20, keep_ids: bool = False) -> DataFrame:
@@ -284,81 +327,100 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", head_byt
     ranks = load_ranks(path)
     wide = max(ranks.values()) >= 1 << 16
     encoded = encode_words(stored(distinct_words(docs.select(F.col(text).alias("text")))), ranks)
-    vocabulary = stored(encoded.select("hash", "n", "ids", (F.col("decoded") == F.col("word")).alias("same")))
+    vocabulary = stored(encoded.select("hash", "word", "n", "ids", (F.col("decoded") == F.col("word")).alias("same")))
     weight = _ENTRY + (4 if wide else 2) * F.size("ids")
     words, same, size = vocabulary.agg(F.count("*"), F.count_if("same"), F.coalesce(F.sum(weight), F.lit(0))).first()
-    if words != same or vocabulary.groupBy("hash").count().where("count > 1").limit(1).count():
-        raise ValueError("a word does not decode to itself, or two words have the same 64-bit hash")
-    head, whole = vocabulary, size <= head_bytes
-    if not whole:
+    if words != same:
+        raise ValueError("a word does not decode to itself: the ranks lack a single byte")
+    head, tail = vocabulary, None
+    if size > head_bytes:
         # Words are taken by count: all above the least count for which they fit.
-        counts = vocabulary.groupBy((F.log2("n") * 8).cast("int").alias("level")).agg(F.sum(weight).alias("size")).orderBy(F.desc("level")).collect()
+        level = (F.log2("n") * 8).cast("int")
+        counts = vocabulary.groupBy(level.alias("level")).agg(F.sum(weight).alias("size")).orderBy(F.desc("level")).collect()  # a row for each eighth of a power of two
         total, least = 0, None
         for r in counts:
             if (total := total + r["size"]) > head_bytes:
                 break
             least = r.level
-        is_head = F.lit(False) if least is None else (F.log2("n") * 8).cast("int") >= least
-        head = vocabulary.where(is_head)
+        is_head = F.lit(False) if least is None else level >= least
+        head, tail = vocabulary.where(is_head), vocabulary.where(~is_head)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, k in ranks.items():
         pieces[k] = piece
     sent = spark.sparkContext.broadcast(([tuple(bytes(r[c]) for c in _PACKED) for r in _pack(head, wide).toLocalIterator()], pieces))
+    sent.__dict__.pop("_value", None)  # the driver needs no copy beside the one that is sent
     trim()
-    if not whole:
-        docs = _with_tail(docs, text, vocabulary.where(~is_head), sent)
-    return _assemble(docs, text, sent, keep_ids)
+    return _assemble(docs, text, tail, sent, uuid.uuid4().hex, keep_ids)
 
 
-def _with_tail(docs: DataFrame, text: str, tail: DataFrame, sent) -> DataFrame:
-    """docs with __tail, the entries of their words that are not broadcast."""
+def _with_tail(docs: DataFrame, text: str, tail: DataFrame, sent, name: str, listed: str) -> DataFrame:
+    """docs with the column listed: the entries of their words that are not broadcast."""
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _loaded(sent)
+        known = _loaded(sent, name)
         for t in text_slices(batches, "text", keep="vocabulary"):
+            batch = t.batch
             t, row, start, end = words_of(t)
             if len(start):
-                h = hashes(t.sums(False), start, end)
-                miss = known.find(h) < 0
-                pairs = np.unique(np.stack((row[miss].astype(U64), h[miss])), axis=1)
-                keys = column(t.batch, "__key").take(pa.array(pairs[0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.ascontiguousarray(pairs[1]).view(np.int64))], ["__key", "hash"])
+                miss = np.flatnonzero(known.find(t.hashes(start, end)) < 0)
+                raw = t.data.tobytes()
+                pairs = {(r, raw[s:e]) for r, s, e in zip(row[miss].tolist(), start[miss].tolist(), end[miss].tolist(), strict=True)}
+                keys = column(batch, "key").take(pa.array([r for r, _ in pairs], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([w for _, w in pairs], pa.binary())], ["key", "word"])
 
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce(text, F.lit("")), 256))
-    need = keyed.select("__key", F.col(text).alias("text")).mapInArrow(lacking, "__key string, hash long").distinct()
-    lists = need.join(tail, "hash").groupBy("__key").agg(F.collect_list(F.struct("hash", "ids")).alias("__tail"))
-    return keyed.join(lists, "__key", "left").drop("__key")
+    key = fresh("__key", docs)
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(text, F.lit("")), 256))
+    need = keyed.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lacking, "key string, word binary").distinct()
+    lists = need.join(tail.select("word", "ids"), "word").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("word", "ids")).alias(listed))
+    return keyed.join(lists, key, "left").drop(key)
 
 
-def _assemble(docs: DataFrame, text: str, sent, keep_ids: bool) -> DataFrame:
+def _assemble(docs: DataFrame, text: str, tail: DataFrame | None, sent, name: str, keep_ids: bool) -> DataFrame:
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * keep_ids
-    names = [c for c in docs.columns if c not in (*new, "__tail")]
+    names = [c for c in docs.columns if c not in new]
     schema = T.StructType([docs.schema[c] for c in names]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_ids:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
-    has_tail = "__tail" in docs.columns
-
-    def with_tail(batch: pa.RecordBatch, h: np.ndarray, place: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their counts when some words come from the lists beside the documents."""
-        own = {e["hash"] & 0xFFFFFFFFFFFFFFFF: e["ids"] for entries in column(batch, "__tail").to_pylist() for e in entries or ()}
-        ids = [known.ids[known.at_ids[p] : known.at_ids[p] + known.n_ids[p]].tolist() if p >= 0 else own[k] for k, p in zip(h.tolist(), place.tolist(), strict=True)]
-        return np.array([x for y in ids for x in y], np.int32), np.array([len(x) for x in ids], np.int64)
+    needed, listed = list(dict.fromkeys([*names, text])), fresh("__tail", docs)
+    has_tail = tail is not None
+    if has_tail:
+        docs = _with_tail(docs, text, tail, sent, name, listed)
+        needed.append(listed)
+
+    def words_with(batch: pa.RecordBatch, t: Texts, start: np.ndarray, end: np.ndarray, place: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their counts when some words (place -1) come from the lists beside the documents, or have the hash of another word."""
+        own = {e["word"]: e["ids"] for entries in column(batch, listed).to_pylist() for e in entries or ()} if has_tail else {}
+        lists = [None] * len(place)
+        raw = t.data.tobytes()
+        for k in np.flatnonzero(place < 0).tolist():
+            word = raw[start[k] : end[k]]
+            if word not in own:
+                own[word] = merged_ids(word, known.ranks)
+            lists[k] = own[word]
+        held = np.flatnonzero(place >= 0)
+        ids, n = known.ids_of(place[held])
+        size = np.array([0 if x is None else len(x) for x in lists], np.int64)
+        size[held] = n
+        out = np.empty(int(size.sum()), np.int32)
+        at = np.cumsum(size) - size
+        out[gather(np.arange(len(out)), at[held], n)] = ids
+        rest = np.flatnonzero(place < 0)
+        out[gather(np.arange(len(out)), at[rest], size[rest])] = [x for k in rest.tolist() for x in lists[k]]
+        return out, size
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _loaded(sent)
+        known = _loaded(sent, name)
         for t in text_slices(batches, text, keep="vocabulary"):
             batch = t.batch
             t, row, start, end = words_of(t)
-            h = hashes(t.sums(False), start, end) if len(start) else np.zeros(0, U64)
-            place = known.find(h)
-            if (place < 0).any():
-                ids, n_ids = with_tail(batch, h, place, known)
-            else:
-                n_ids = known.n_ids[place]
-                ids = gather(known.ids, known.at_ids[place], n_ids)
+            place = known.find(t.hashes(start, end))
+            held = np.flatnonzero(place >= 0)
+            place[held[~known.holds(t, start[held], end[held], place[held])]] = -1
+            ids, n_ids = words_with(batch, t, start, end, place, known) if (place < 0).any() else known.ids_of(place)
             n = np.bincount(row, n_ids, minlength=t.rows).astype(np.int64)
             a = np.concatenate(([0], np.cumsum(n)))
             data, size = known.decode(ids)
+            data = data.tobytes()
             z = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[a]
             texts = list(map(known.shown.__getitem__, ids.tolist()))
             ids_sha = [hashlib.sha256(",".join(texts[a[k] : a[k + 1]]).encode()).hexdigest() for k in range(t.rows)]
@@ -368,5 +430,4 @@ def _assemble(docs: DataFrame, text: str, sent, keep_ids: bool) -> DataFrame:
                 cols.append(pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, [*names, *new])
 
-    columns = [*names, *(["__tail"] if has_tail else [])]
-    return docs.select(*columns).mapInArrow(assemble, schema)
+    return docs.select(*needed).mapInArrow(assemble, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, hashes, stored, text_slices, windows
+from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, stored, text_slices, windows
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LUT = 1 << 20
@@ -62,7 +62,7 @@ def _hash_words(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Window, start of the window's words, and hash of each word."""
     t = Texts(pa.RecordBatch.from_arrays([pa.array(joined, pa.large_binary()).view(pa.large_string())], ["text"]), "text")
     row, s, e = t.pieces(ALNUM[t.data])
-    return row, np.searchsorted(row, np.arange(len(joined) + 1)), hashes(t.sums(True), s, e)
+    return row, np.searchsorted(row, np.arange(len(joined) + 1)), t.hashes(s, e, lower=True)
 
 
 class Block:
@@ -115,7 +115,7 @@ class Words:
     def __init__(self, t: Texts):
         self.data = LOWER[t.data]
         self.row, self.start, self.end = t.pieces(ALNUM[self.data])
-        self.hash = hashes(t.sums(True), self.start, self.end)
+        self.hash = t.hashes(self.start, self.end, lower=True)
 
     def joined(self, a: int, b: int) -> bytes:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True))

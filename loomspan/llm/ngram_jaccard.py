@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._common import NOT_SPACE, U64, Texts, column, hashes, mix, stored, text_slices, trim, windows
+from loomspan.llm._common import NOT_SPACE, U64, Texts, column, mix, stored, text_slices, trim, windows
 from loomspan.llm.components import components
 
 #: Shingles in more documents than this are heavy, but no more of them than HEAVY_MOST (64 MB): those of
@@ -68,7 +68,7 @@ class Threshold:
 def shingle_sets(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and hash of each distinct shingle, sorted by both, and the set size of each row."""
     row, s, e = t.pieces(NOT_SPACE[t.data])
-    words = hashes(t.sums(True), s, e)
+    words = t.hashes(s, e, lower=True)
     first, h = windows(row, words, size)
     rows, found = [row[first]], [h]
     count = np.bincount(row, minlength=t.rows)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, hashes, mix, text_slices, trim
+from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, mix, text_slices, trim
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -86,12 +86,11 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of every word and stem; repeats included."""
     row, s, e = t.pieces(ALNUM[LOWER[t.data]])
-    sums = t.sums(True)
-    rows, found = [row], [hashes(sums, s, e)]
+    rows, found = [row], [t.hashes(s, e, lower=True)]
     for k in PREFIXES:
         longer = e - s > k
         rows.append(row[longer])
-        found.append(mix(hashes(sums, s[longer], s[longer] + k) + U64(k)))
+        found.append(mix(t.hashes(s[longer], s[longer] + k, lower=True) + U64(k)))
     return np.concatenate(rows), (np.concatenate(found) >> U64(64 - BITS)).astype(np.int64)
 
 

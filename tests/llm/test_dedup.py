@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import line_dedup, ngram_jaccard
+from loomspan.llm import ngram_jaccard
 from loomspan.llm.exact_dedup import MergeIndex, exact_dedup
-from loomspan.llm.line_dedup import Shard, build_shard, dedup_lines
+from loomspan.llm._common import words_at
+from loomspan.llm.line_dedup import Shard, _hashed, build_shard, dedup_lines
 from loomspan.llm.ngram_jaccard import similar_components
 from tests.llm.cases import documents, empty, frame, near, text
 
@@ -78,6 +79,23 @@ def test_lines(spark, max_bytes):
     assert "lang" in dedup_lines(frame(spark)).columns
 
 
+@pytest.mark.parametrize("max_bytes", [64 << 20, 0])
+def test_lines_keep_columns_of_any_name(spark, max_bytes):
+    line = "this line is long enough to count"
+    docs = frame(spark, [(k, f"{line}\n{k}") for k in range(4)], extra=False).selectExpr("doc_id AS id", "text", "'a' AS __drop", "'b' AS __digest", "'c' AS key")
+    out = dedup_lines(docs, doc_id="id", max_bytes=max_bytes)
+    assert out.columns == ["id", "text", "__drop", "__digest", "key", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(k, f"{line}\n3" if k == 3 else str(k), "a", "b", "c", 2, int(k < 3)) for k in range(4)]
+
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 0])
+def test_lines_of_repeated_documents(spark, max_bytes):
+    """Rows that share a doc_id are holders one by one, and all of the largest keep the line."""
+    line = "this line is long enough to count"
+    got = sorted((r.doc_id, r.n_dropped, r.text) for r in dedup_lines(frame(spark, [(1, line), (2, line), (2, line + "\nx")]), max_bytes=max_bytes).collect())
+    assert got == [(1, 1, ""), (2, 0, line), (2, 0, line + "\nx")]
+
+
 def test_lines_null_ids(spark):
     line = "this line is long enough to count"
     got = [(r.doc_id, r.n_dropped) for r in dedup_lines(frame(spark, [(None, line), (1, line), (2, line)])).collect()]
@@ -85,17 +103,17 @@ def test_lines_null_ids(spark):
 
 
 def test_perfect_hash_is_minimal():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    hi, lo = (rng.integers(0, 1 << 63, 5000).astype(np.uint64) for _ in range(2))
-    hi = np.unique(hi)
-    lo = lo[: len(hi)]
-    shard = Shard(build_shard(hi, lo, np.arange(len(hi)), np.arange(len(hi)) * 7))
-    found, last = shard.probe(hi, lo)
-    assert found.all() and (last == np.arange(len(hi)) * 7).all() and len(shard.count) == len(hi)
-    found, _ = shard.probe(rng.integers(0, 1 << 63, 5000).astype(np.uint64), lo[:1].repeat(5000))
-    assert not found.any()
+    """Every line is found by its bytes, also where hashes are shared, and no other line is."""
+    keys = [f"line {k}".encode() for k in range(5000)]
+    ends = np.cumsum([len(k) for k in keys])
+    starts = ends - [len(k) for k in keys]
+    words = words_at(np.frombuffer(b"".join(keys), np.uint8))
+    for hi, lo in ((_hashed(keys, 0), _hashed(keys, 1)), (_hashed(keys, 0) % 700, _hashed(keys, 1) % 3)):
+        shard = Shard(build_shard(hi, lo, np.arange(5000), np.arange(5000) * 7, keys))
+        found, last = shard.probe(hi, lo, words, starts, ends)
+        assert found.all() and (last == np.arange(5000) * 7).all() and len(shard.count) == len(np.unique(hi))
+        found, _ = shard.probe(hi, lo, words, starts, ends - 1)
+        assert not found[5:10].any() and found[10:].any() == (len(shard.count) < 5000)
 
 
 def brute_components(rows):
@@ -176,11 +194,3 @@ def test_components_null_ids(spark):
     t = text(5)
     got = sorted(((r.doc_id, r.component_id) for r in similar_components(frame(spark, [(None, t), (4, t), (5, None), (None, None)])).collect()), key=str)
     assert got == [(4, None), (5, 5), (None, None), (None, None)]
-
-
-def test_line_hash_fallback_for_shared_halves(spark, monkeypatch):
-    """Keys that share the hashed half cannot be placed by the perfect hash: the join decides, alike."""
-    whole = line_dedup.build_index
-    monkeypatch.setattr(line_dedup, "build_index", lambda *a: whole(*a))
-    got = {r.doc_id: r.n_dropped for r in dedup_lines(frame(spark), max_bytes=1).collect()}
-    assert got == {i: d for i, (_, d, _) in brute_lines(documents()).items()}
