@@ -21,7 +21,9 @@ that order.
 3. Links give the components.
 
 So no link between different texts is lost, and a group of near copies gives rows in proportion to its
-size. Nodes are 64-bit digests of sets: two of 2**32 different sets meet by chance about once.
+size. Nodes are 64-bit digests of sets; a second digest finds those that different sets share, and
+splits them. Shingles are 64-bit hashes: two sets of 20 000 shingles hold two different ones with
+the same hash once in some 10^10 pairs.
 
 Defined results: no words or null text is the empty set, linked with nothing; fewer words than the
 shingle size make one shingle; a null doc_id counts as the smallest and gives a null component; rows
@@ -31,6 +33,7 @@ that share doc_id and text are reported alike; an empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ from loomspan.llm.components import components
 #: the highest counts. Shingles are told apart by 32 bits here, where a mix-up costs only time.
 HEAVY_FROM, HEAVY_MOST = 1, 1 << 23
 FILTER_BITS = 1 << 24
-#: Nodes of a cluster that are compared in one block, and vertical fragments of a count.
-BLOCK, SLICES = 4096, 4
+#: Nodes and bytes of a cluster that are compared in one block, bytes for one task, and vertical fragments of a count.
+BLOCK, BLOCK_BYTES, TASK_BYTES, SLICES = 2048, 16 << 20, 32 << 20, 4
 #: Clusters of more nodes are formed again from pairs that pass the length and bitmap bounds.
 REFINE_FROM, SKETCH_BITS = 256, 1024
 NULL_ID = -(1 << 63)
@@ -80,7 +83,11 @@ def shingle_sets(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             found.append(h[whole])
     row, h = np.concatenate(rows), np.concatenate(found)
     # Rows are short of 2**16, so one word orders by row and then by the hash's upper bits.
-    order = np.argsort(row.astype(U64) << U64(48) | h >> U64(16))
+    key = row.astype(U64) << U64(48) | h >> U64(16)
+    order = np.argsort(key)
+    key = key[order]
+    if ((key[1:] == key[:-1]) & (h[order[1:]] != h[order[:-1]])).any():  # equal hashes may lie apart
+        order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -88,26 +95,59 @@ def shingle_sets(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, h, np.bincount(row, minlength=t.rows)
 
 
-def nodes_of(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A digest of each row's set."""
+def digests_of(row: np.ndarray, h: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+    """A digest of each row's set, one of two independent ones."""
     ends = np.concatenate(([0], np.cumsum(n)))
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h + U64(1)))))
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h * U64(2 * kind + 1) + U64(1 + kind)))))
     return mix((total[ends[1:]] - total[ends[:-1]]) + n.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def nodes_of(row: np.ndarray, h: np.ndarray, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The node of each row: a digest of its set, or of two digests where different sets have the first."""
+    node = digests_of(row, h, n, 0)
+    again = np.isin(node, shared)
+    if again.any():
+        node[again] = mix(node[again] ^ digests_of(row, h, n, 1)[again])
+    return node
+
+
+@dataclass(frozen=True)
+class Source:
+    """Documents (id, text) with the shingle size and the digests that different sets share."""
+
+    docs: DataFrame
+    size: int
+    shared: np.ndarray
+
+
+def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, Source]:
+    """(id, n, node) of each document, stored."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_slices(batches):
             row, h, n = shingle_sets(t, size)
-            yield pa.RecordBatch.from_arrays([column(t.batch, "id"), pa.array(n.astype(np.int64)), pa.array(nodes_of(row, h, n).view(np.int64))], ["id", "n", "node"])
+            first, second = (pa.array(digests_of(row, h, n, kind).view(np.int64)) for kind in (0, 1))
+            yield pa.RecordBatch.from_arrays([column(t.batch, "id"), pa.array(n.astype(np.int64)), first, second], ["id", "n", "node", "second"])
 
-    return docs.mapInArrow(sets, "id long, n long, node long")
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, second = (column(b, c).to_numpy().view(U64) for c in ("node", "second"))
+            node = np.where(np.isin(node, shared), mix(node ^ second), node)
+            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "n"), pa.array(node.view(np.int64))], ["id", "n", "node"])
+
+    found = stored(docs.mapInArrow(digests, "id long, n long, node long, second long"))
+    mixed = found.groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b")
+    # With 64 bits, about one pair of digests for 2**32 different sets: a few numbers in any corpus.
+    shared = np.array(sorted(r.node for r in mixed.select("node").toLocalIterator()), np.int64).view(U64)
+    if len(shared):
+        return stored(found.mapInArrow(renamed, "id long, n long, node long")), Source(docs, size, shared)
+    return found.drop("second"), Source(docs, size, shared)
 
 
-def _new_nodes(t: Texts, size: int, seen: set[int], wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def _new_nodes(t: Texts, size: int, shared: np.ndarray, seen: set[int], wanted: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """As shingle_sets with nodes, for rows whose node this task meets for the first time."""
     row, h, n = shingle_sets(t, size)
-    node = nodes_of(row, h, n)
+    node = nodes_of(row, h, n, shared)
     fresh = n > 0
     if wanted is not None:
         at = node % U64(FILTER_BITS)
@@ -132,20 +172,41 @@ def sketches(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(flat, bitorder="little").view(U64).reshape(rows, -1)
 
 
-def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, heavy, counting: bool, wanted=None) -> DataFrame:
+def packed(tokens: np.ndarray) -> bytes:
+    """Sorted 32-bit tokens by their gaps, in 16 bits each (65535: more follows), or as they are where that is shorter."""
+    gap = np.diff(tokens.astype(np.int64))
+    at = np.cumsum(gap // 65535 + 1) - 1
+    if not len(gap) or 2 * (at[-1] + 1) >= 4 * len(gap):
+        return b"\0" + tokens.tobytes()
+    out = np.full(at[-1] + 1, 65535, np.uint16)
+    out[at] = gap % 65535
+    return b"\1" + tokens[:1].tobytes() + out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if raw[0] == 0:
+        return np.frombuffer(raw, np.uint32, -1, 1)
+    gap = np.frombuffer(raw, np.uint16, -1, 5)
+    first = np.frombuffer(raw, np.uint32, 1, 1)
+    return np.concatenate((first, (int(first[0]) + np.cumsum(gap, dtype=np.int64))[gap != 65535].astype(np.uint32)))
+
+
+def _blocks(source: Source, fragments: int, threshold: Threshold, heavy, counting: bool, wanted=None) -> DataFrame:
     """(frag, payload): the prefixes, cut into fragments.
 
+    Inside a fragment 32 bits tell shingles apart; a mix-up joins two clusters and decides no link.
     counting: hash classes alone, to count. wanted: a filter of nodes, whose sizes and bitmaps go along.
     """
+    docs, size, shared = source.docs, source.size, source.shared
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         frag, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(frag, kind="stable")
+        order = np.argsort(cols[0] if counting else frag, kind="stable")  # fragments are ranges of classes
         frag, cols = frag[order], [c[order] for c in cols]
         at = np.flatnonzero(np.concatenate(([True], frag[1:] != frag[:-1], [True])))
         payload = []
         for a, b in zip(at[:-1], at[1:], strict=True):
-            part = [c[a:b].tobytes() for c in cols]
+            part = [packed(cols[0][a:b])] if counting else [c[a:b].tobytes() for c in cols]
             if wanted is not None:
                 own, place = np.unique(cols[1][a:b], return_inverse=True)
                 first = np.zeros(len(own), np.int64)
@@ -159,7 +220,7 @@ def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, he
         mask = wanted.value if wanted is not None else None
         held, total, seen = [], 0, set()
         for t in text_slices(batches):
-            row, h, n, node = _new_nodes(t, size, seen, mask)
+            row, h, n, node = _new_nodes(t, size, shared, seen, mask)
             starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=t.rows))))
             pos = np.arange(len(row)) - starts[row]
             if not counting and len(order_of):
@@ -177,8 +238,8 @@ def _blocks(docs: DataFrame, size: int, fragments: int, threshold: Threshold, he
                     pos[k] = n[r] - (before[starts[r + 1]] - before[starts[r]]) + rank
             keep = np.ones(len(row), bool) if counting else pos < threshold.prefix(n)[row]
             frag = _fragment(h[keep], fragments).astype(np.uint16 if fragments < 1 << 16 else np.int64)
-            r = row[keep]
-            held.append((frag, (h[keep] >> _CLASS).astype(np.uint32)) if counting else (frag, h[keep], node[r]) if mask is None else (frag, h[keep], node[r], n[r], sketches(row, h, t.rows)[r]))
+            r, token = row[keep], (h[keep] >> _CLASS if counting else h[keep]).astype(np.uint32)
+            held.append((frag, token) if counting else (frag, token, node[r]) if mask is None else (frag, token, node[r], n[r], sketches(row, h, t.rows)[r]))
             total += int(keep.sum())
             if total > 1 << 19:
                 yield from flush(held)
@@ -210,7 +271,7 @@ def _by_fragment(blocks: DataFrame, fragments: int, work: Callable, schema: str)
 
 def _unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The shared tokens of a fragment with their nodes, each pair once, sorted by both."""
-    tok, node = (np.concatenate([np.frombuffer(raw, U64, len(raw) // 16, k * (len(raw) // 2)) for raw in parts]) for k in (0, 1))
+    tok, node = (np.concatenate([np.frombuffer(raw, kind, len(raw) // 12, k * (len(raw) // 3)) for raw in parts]) for k, kind in ((0, np.uint32), (1, U64)))
     order = np.lexsort((node, tok))
     tok, node = tok[order], node[order]
     new = np.ones(len(tok), bool)
@@ -268,7 +329,7 @@ def _filtered_forest(percent: int) -> Callable:
         for raw in held:
             m, k = np.frombuffer(raw, np.int64, 2).tolist()
             at = 16
-            for out, kind, count, width in ((toks, U64, m, 8), (places, np.uint32, m, 4), (names, U64, k, 8), (sizes, np.int64, k, 8), (maps, U64, k * SKETCH_BITS // 64, 8)):
+            for out, kind, count, width in ((toks, np.uint32, m, 4), (places, np.uint32, m, 4), (names, U64, k, 8), (sizes, np.int64, k, 8), (maps, U64, k * SKETCH_BITS // 64, 8)):
                 out.append(np.frombuffer(raw, kind, count, at))
                 at += count * width
             places[-1] = places[-1].astype(np.int64) + base
@@ -315,13 +376,14 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _whole_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
+def _whole_sets(source: Source, wanted) -> DataFrame:
     """(node, tokens) of the wanted nodes, once for each task that meets them."""
+    docs, size, shared = source.docs, source.size, source.shared
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for t in text_slices(batches):
-            row, h, _, node = _new_nodes(t, size, seen, wanted.value)
+            row, h, _, node = _new_nodes(t, size, shared, seen, wanted.value)
             at = _groups(row)
             who = node[row[at[:-1]]].view(np.int64) if len(row) else np.zeros(0, np.int64)
             raw = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -331,17 +393,19 @@ def _whole_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
 
 
 def _units(clusters: DataFrame) -> DataFrame:
-    """(node, unit, side) from (node, cluster): where each node is compared.
+    """(node, n, unit, side) from (node, n, cluster): where each node is compared.
 
-    A cluster of up to BLOCK nodes is one unit (side 0). A larger one is cut into blocks by hash,
-    and each pair of blocks is a unit whose two sides are compared; a block with itself has side 0.
+    A cluster of up to BLOCK nodes and BLOCK_BYTES of sets is one unit (side 0). A larger one is cut
+    into blocks by hash, and each pair of blocks is a unit whose two sides are compared; a block with
+    itself has side 0.
     """
-    many = clusters.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
-    small = clusters.join(many, "cluster", "left_anti").select("node", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    many = clusters.groupBy("cluster").agg(blocks.alias("k")).where("k > 1")
+    small = clusters.join(many, "cluster", "left_anti").select("node", "n", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
     large = clusters.join(many, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     unit = F.xxhash64("cluster", F.least("i", "j"), F.greatest("i", "j"))
-    large = large.select("node", unit.alias("unit"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
+    large = large.select("node", "n", unit.alias("unit"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
     return small.unionByName(large)
 
 
@@ -349,7 +413,7 @@ def _heavy_shingles(blocks: DataFrame, fragments: int):
     """A broadcast of the heavy shingles' upper 32 bits, sorted, and their counts; None if there are none."""
 
     def counted(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        token, n = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in held]), return_counts=True)
+        token, n = np.unique(np.concatenate([unpacked(p) for p in held]), return_counts=True)
         many = n > HEAVY_FROM
         n = np.minimum(n[many], 2**32 - 1).astype(np.uint32)
         level, size = np.unique(n, return_counts=True)
@@ -377,6 +441,7 @@ def _heavy_shingles(blocks: DataFrame, fragments: int):
     order = np.argsort(token)
     sent = blocks.sparkSession.sparkContext.broadcast((token[order], n[order]))
     del rows, token, n, order
+    sent.__dict__.pop("_value", None)  # the driver needs no copy beside the one that is sent
     trim()
     return sent
 
@@ -446,10 +511,13 @@ class Unit:
         return self.nodes[np.array(left, np.int64)], self.nodes[np.array(right, np.int64)]
 
 
-def cluster_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int, every: bool = False) -> DataFrame:
-    """(a, b): links that join the nodes of each cluster as all its links do, or every link, once."""
-    wanted = docs.sparkSession.sparkContext.broadcast(node_filter(clusters.select("node")))
-    rows = _whole_sets(docs, size, wanted).join(_units(clusters), "node").select("unit", "side", "node", "tokens")
+def cluster_links(source: Source, clusters: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """(a, b): links that join the nodes of each cluster (node, n, cluster) as all its links do, or every link, once."""
+    spark = source.docs.sparkSession
+    wanted = spark.sparkContext.broadcast(node_filter(clusters.select("node")))
+    units = stored(_units(clusters))
+    total = units.agg(F.sum("n")).first()[0] or 0
+    rows = _whole_sets(source, wanted).join(units, "node").select("unit", "side", "node", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
@@ -470,29 +538,29 @@ def cluster_links(docs: DataFrame, clusters: DataFrame, size: int, percent: int,
             yield done()
         trim()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * total // TASK_BYTES))
     return rows.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")
 
 
-def _clusters(docs: DataFrame, sets: DataFrame, shingle: int, percent: int, fragment_tokens: int) -> DataFrame:
-    """(node, cluster): linked nodes always lie in one cluster."""
-    spark, threshold = docs.sparkSession, Threshold(percent)
+def _clusters(source: Source, sets: DataFrame, percent: int, fragment_tokens: int) -> DataFrame:
+    """(node, n, cluster): linked nodes always lie in one cluster."""
+    spark, threshold = source.docs.sparkSession, Threshold(percent)
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     fragments = max(8, int(-(-total // fragment_tokens)))
 
-    sent = _heavy_shingles(_blocks(docs, shingle, fragments, threshold, None, True), fragments)
-    forests = _by_fragment(_blocks(docs, shingle, fragments, threshold, sent, False), fragments, _forest(), "a long, b long")
+    sent = _heavy_shingles(_blocks(source, fragments, threshold, None, True), fragments)
+    forests = _by_fragment(_blocks(source, fragments, threshold, sent, False), fragments, _forest(), "a long, b long")
     clusters = stored(components(stored(forests)).withColumnRenamed("component", "cluster"))
     large = stored(clusters.groupBy("cluster").count().where(F.col("count") > REFINE_FROM))
     if not large.isEmpty():
         again = clusters.join(large, "cluster", "left_semi")
         wanted = spark.sparkContext.broadcast(node_filter(again.select("node")))
-        blocks = _blocks(docs, shingle, fragments, threshold, sent, False, wanted)
+        blocks = _blocks(source, fragments, threshold, sent, False, wanted)
         finer = components(stored(_by_fragment(blocks, fragments, _filtered_forest(percent), "a long, b long"))).withColumnRenamed("component", "cluster")
         # The filter may let nodes of other clusters in; these stay where they were.
         finer = finer.join(again.select("node"), "node", "left_semi")
-        clusters = stored(clusters.join(large, "cluster", "left_anti").select("node", "cluster").unionByName(finer.select("node", "cluster")))
-    return clusters
+        clusters = clusters.join(large, "cluster", "left_anti").select("node", "cluster").unionByName(finer.select("node", "cluster"))
+    return stored(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", "n", "cluster"))
 
 
 def _representatives(sets: DataFrame) -> DataFrame:
@@ -506,8 +574,8 @@ def similar_links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     K sets that are all close to each other give K^2 / 2 rows; similar_components needs only those that join.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = stored(_sets(docs, shingle))
-    found = cluster_links(docs, _clusters(docs, sets, shingle, percent, fragment_tokens), shingle, percent, every=True)
+    sets, source = _sets(docs, shingle)
+    found = cluster_links(source, _clusters(source, sets, percent, fragment_tokens), percent, every=True)
     name = _representatives(sets)
     left, right = (name.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
     out = found.join(left, "a").join(right, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
@@ -517,9 +585,9 @@ def similar_links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
 def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 75, fragment_tokens: int = 750_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = stored(_sets(docs, shingle))
-    clusters = _clusters(docs, sets, shingle, percent, fragment_tokens)
-    label = stored(components(stored(cluster_links(docs, clusters, shingle, percent))))
+    sets, source = _sets(docs, shingle)
+    clusters = _clusters(source, sets, percent, fragment_tokens)
+    label = stored(components(stored(cluster_links(source, clusters, percent))))
 
     named = _representatives(sets).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = named.join(label.select("component").distinct(), "component", "left_semi")

@@ -158,13 +158,34 @@ def test_all_shingles_are_counted(spark):
     rows = [(i, text(7, 60) + f" end{i}") for i in range(30)]
     t = ngram_jaccard.Texts(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.large_string())], ["text"]), "text")
     h, n = np.unique(ngram_jaccard.shingle_sets(t, 5)[1] >> np.uint64(32), return_counts=True)
-    blocks = ngram_jaccard._blocks(frame(spark, rows).select(F.col("doc_id").alias("id"), "text"), 5, 8, ngram_jaccard.Threshold(75), None, True)
+    source = ngram_jaccard.Source(frame(spark, rows).select(F.col("doc_id").alias("id"), "text"), 5, np.zeros(0, np.uint64))
+    blocks = ngram_jaccard._blocks(source, 8, ngram_jaccard.Threshold(75), None, True)
     token, count = ngram_jaccard._heavy_shingles(blocks, 8).value
     assert token.tolist() == h[n > 1].tolist() and count.tolist() == n[n > 1].tolist()
-    many = spark.createDataFrame([(0, np.full(70_000, 5, np.uint32).tobytes())], "frag int, payload binary")
+    many = spark.createDataFrame([(0, ngram_jaccard.packed(np.full(70_000, 5, np.uint32)))], "frag int, payload binary")
     assert ngram_jaccard._heavy_shingles(many, 8).value[1].tolist() == [70_000]
 
 
+@pytest.mark.parametrize("most", [1 << 32, 1 << 20, 3])
+def test_packed_tokens(most):
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50, 40_000):
+        tokens = np.sort(rng.integers(0, most, n, dtype=np.uint64).astype(np.uint32))
+        raw = ngram_jaccard.packed(tokens)
+        assert ngram_jaccard.unpacked(raw).tolist() == tokens.tolist() and len(raw) <= 4 * n + 5
+
+
+def test_sets_that_share_a_digest_are_different_nodes(spark, monkeypatch):
+    rows = [(k, f"some words {k % 3} and more and more") for k in range(9)]
+    t = ngram_jaccard.Texts(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.large_string())], ["text"]), "text")
+    row, h, n = ngram_jaccard.shingle_sets(t, 5)
+    whole = ngram_jaccard.digests_of
+    monkeypatch.setattr(ngram_jaccard, "digests_of", lambda *a: whole(*a) if a[3] else whole(*a) * np.uint64(0))
+    assert set(ngram_jaccard.nodes_of(row, h, n, np.zeros(0, np.uint64)).tolist()) == {0}
+    nodes = ngram_jaccard.nodes_of(row, h, n, np.zeros(1, np.uint64)).tolist()
+    assert len(set(nodes)) == 3 and nodes[:3] * 3 == nodes
+
+
 def test_every_link_is_offered(spark, monkeypatch):
     """All pairs of near copies, in one unit and in pairs of blocks, not only those of a spanning forest."""
     base = text(7, 120)
