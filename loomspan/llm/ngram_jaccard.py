@@ -1,10 +1,10 @@
 """N-gram Jaccard join by vertical partitioning, to components of linked documents.
 
 A document's set is its distinct 64-bit shingle hashes; equal sets are one node. The global n-gram
-order puts light shingles first, by hash, and heavy ones (in two documents or more) last, by count. All
-shingles of all documents are counted, equal sets of a task once; where more than HEAVY_MOST are heavy,
-those of the least counts stay light. Counts only order: they decide no link. Two sets that reach the threshold share a shingle of their prefixes in
-that order.
+order puts shingles of one document first, by hash, and then those of more, in steps of THRESHOLDS. All
+shingles of all documents are counted, equal sets of a task once, and Bloom filters of HEAVY_BYTES at
+most hold the steps. They only order, and decide no link. Two sets that reach the threshold share a
+shingle of their prefixes in that order.
 
 1. The order is cut into fragments. Each is one unit of work that sees only its part of every
    prefix, packed in blocks, and joins the nodes of each shared shingle to a spanning forest, not to
@@ -32,27 +32,28 @@ that share doc_id and text are reported alike; an empty table gives an empty res
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm._common import NOT_SPACE, U64, Texts, column, mix, stored, text_slices, trim, windows
+from loomspan.llm._common import NOT_SPACE, U64, Texts, column, kept, mix, stored, text_slices, trim, windows
 from loomspan.llm.components import components
 
-#: Shingles in more documents than this are heavy, but no more of them than HEAVY_MOST (64 MB): those of
-#: the highest counts. Shingles are told apart by 32 bits here, where a mix-up costs only time.
-HEAVY_FROM, HEAVY_MOST = 1, 1 << 23
+#: Documents of a shingle from which it counts as more frequent, and bytes of the filters that say so:
+#: where the first steps would take more, shingles that pass no further one count as rare.
+THRESHOLDS = (2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 256, 1024, 4096, 16384, 65536)
+HEAVY_BYTES = 64 << 20
 FILTER_BITS = 1 << 24
 #: Nodes and bytes of a cluster that are compared in one block, bytes for one task, and vertical fragments of a count.
 BLOCK, BLOCK_BYTES, TASK_BYTES, SLICES = 2048, 16 << 20, 32 << 20, 4
 #: Clusters of more nodes are formed again from pairs that pass the length and bitmap bounds.
 REFINE_FROM, SKETCH_BITS = 256, 1024
 NULL_ID = -(1 << 63)
-_CLASS = U64(32)
 
 
 class Threshold:
@@ -118,6 +119,8 @@ class Source:
     docs: DataFrame
     size: int
     shared: np.ndarray
+    #: Bits of a hash that tell shingles apart where they are counted: nine more than their number has, so one in a thousand is mixed up.
+    token_bits: int = 64
 
 
 def _sets(docs: DataFrame, size: int) -> tuple[DataFrame, Source]:
@@ -173,75 +176,140 @@ def sketches(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
 
 
 def packed(tokens: np.ndarray) -> bytes:
-    """Sorted 32-bit tokens by their gaps, in 16 bits each (65535: more follows), or as they are where that is shorter."""
-    gap = np.diff(tokens.astype(np.int64))
-    at = np.cumsum(gap // 65535 + 1) - 1
-    if not len(gap) or 2 * (at[-1] + 1) >= 4 * len(gap):
-        return b"\0" + tokens.tobytes()
-    out = np.full(at[-1] + 1, 65535, np.uint16)
-    out[at] = gap % 65535
-    return b"\1" + tokens[:1].tobytes() + out.tobytes()
+    """Sorted 64-bit tokens by their gaps, in digits of as few bytes as most gaps need; the largest digit says that more follows."""
+    gap = np.diff(tokens)
+    mean = int(tokens[-1] - tokens[0]) // max(1, len(gap)) if len(tokens) else 0
+    width = next(w for w in range(2, 9) if w == 8 or 1 << 8 * w >= 2 * mean)
+    base = U64((1 << 8 * width) - 1)
+    at = np.cumsum(gap // base + U64(1)).astype(np.int64) - 1
+    digits = np.full(at[-1] + 1 if len(at) else 0, base, U64)
+    digits[at] = gap % base
+    return bytes([width]) + tokens[:1].tobytes() + digits.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    if raw[0] == 0:
-        return np.frombuffer(raw, np.uint32, -1, 1)
-    gap = np.frombuffer(raw, np.uint16, -1, 5)
-    first = np.frombuffer(raw, np.uint32, 1, 1)
-    return np.concatenate((first, (int(first[0]) + np.cumsum(gap, dtype=np.int64))[gap != 65535].astype(np.uint32)))
+    width, first = raw[0], np.frombuffer(raw[1:9], U64)
+    digits = np.zeros((max(0, len(raw) - 9) // width, 8), np.uint8)
+    digits[:, :width] = np.frombuffer(raw, np.uint8, digits.shape[0] * width, min(9, len(raw))).reshape(-1, width)
+    digits = digits.view(U64).ravel()
+    return np.concatenate((first, (first[:1] + np.cumsum(digits))[digits != U64((1 << 8 * width) - 1)])) if len(first) else first
+
+
+class Levels:
+    """How frequent shingles are, in steps of THRESHOLDS, by a Bloom filter for each step and fragment.
+
+    A filter may take a shingle for a more frequent one, but says the same of it everywhere, so the order by levels is one order.
+    """
+
+    def __init__(self, rows: list[tuple[int, list[bytes | None]]], fragments: int):
+        self.fragments, self.size, self.at, self.open, self.bits = fragments, [], [], [], []
+        by = dict(rows)
+        for k in range(len(THRESHOLDS)):
+            own = [by[f][k] if f in by else b"" for f in range(fragments)]
+            size = np.array([len(x or b"") for x in own], np.int64)
+            self.size.append(size.astype(U64) * U64(8))
+            self.at.append(np.cumsum(size) - size)
+            self.open.append(np.array([x is None for x in own], bool))
+            self.bits.append(np.frombuffer(b"".join(x or b"" for x in own), np.uint8))
+
+    def of(self, token: np.ndarray, frag: np.ndarray) -> np.ndarray:
+        """The number of steps that each token passes."""
+        out = np.zeros(len(token), np.uint8)
+        idx, x = np.arange(len(token)), mix(token)
+        for size, at, open_, bits in zip(self.size, self.at, self.open, self.bits, strict=True):
+            held = np.ones(len(idx), bool)
+            for k in range(3):
+                left = np.flatnonzero(held)
+                i = idx[left]
+                f = frag[i]
+                p = _place(x[i], k, size[f])
+                byte = np.minimum(at[f] + (p >> U64(3)).astype(np.int64), max(0, len(bits) - 1))
+                hit = (bits[byte] >> (p & U64(7)).astype(np.uint8)) & 1 == 1 if len(bits) else np.zeros(len(left), bool)
+                held[left] = hit & (size[f] > 0)
+            out[idx[held]] += 1
+            idx = idx[held | open_[frag[idx]]]
+            if not len(idx):
+                break
+        return out
+
+
+def _place(x: np.ndarray, k: int, size) -> np.ndarray:
+    """The k-th place of mixed tokens in a filter of size bits."""
+    part = x >> U64(32) if k == 0 else x & U64(0xFFFFFFFF) if k == 1 else mix(x) >> U64(32)
+    return part * size >> U64(32)
+
+
+def level_filters(token: np.ndarray, n: np.ndarray, most: int) -> list[bytes | None]:
+    """For each of THRESHOLDS a filter of the tokens that are as frequent, of a byte a token; None for the first ones where all take more than most bytes."""
+    out: list[bytes | None] = []
+    room = np.cumsum([np.count_nonzero(n >= least) for least in THRESHOLDS[::-1]])[::-1] <= most
+    for least, fits in zip(THRESHOLDS, room, strict=True):
+        if not fits:
+            out.append(None)
+            continue
+        x = mix(token[n >= least])
+        flat = np.zeros(8 * len(x), np.uint8)
+        for k in range(3):
+            flat[_place(x, k, U64(8 * len(x))).astype(np.int64)] = 1
+        out.append(np.packbits(flat, bitorder="little").tobytes())
+    return out
 
 
 def _blocks(source: Source, fragments: int, threshold: Threshold, heavy, counting: bool, wanted=None) -> DataFrame:
     """(frag, payload): the prefixes, cut into fragments.
 
-    Inside a fragment 32 bits tell shingles apart; a mix-up joins two clusters and decides no link.
-    counting: hash classes alone, to count. wanted: a filter of nodes, whose sizes and bitmaps go along.
+    Inside a fragment 40 bits tell shingles apart; a mix-up joins two clusters and decides no link.
+    counting: tokens alone, to count. wanted: a filter of nodes, whose sizes and bitmaps go along.
     """
-    docs, size, shared = source.docs, source.size, source.shared
+    heavy_name = uuid.uuid4().hex
+    docs, size, shared, drop = source.docs, source.size, source.shared, U64(64 - source.token_bits)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         frag, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(cols[0] if counting else frag, kind="stable")  # fragments are ranges of classes
+        order = np.argsort(cols[0] if counting else frag, kind="stable")  # fragments are ranges of tokens
         frag, cols = frag[order], [c[order] for c in cols]
         at = np.flatnonzero(np.concatenate(([True], frag[1:] != frag[:-1], [True])))
         payload = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             part = [packed(cols[0][a:b])] if counting else [c[a:b].tobytes() for c in cols]
             if wanted is not None:
-                own, place = np.unique(cols[1][a:b], return_inverse=True)
+                own, place = np.unique(cols[2][a:b], return_inverse=True)
                 first = np.zeros(len(own), np.int64)
                 first[place] = np.arange(a, b)
-                part = [np.array([b - a, len(own)], np.int64).tobytes(), part[0], place.astype(np.uint32).tobytes(), own.tobytes(), cols[2][first].tobytes(), cols[3][first].tobytes()]
+                part = [np.array([b - a, len(own)], np.int64).tobytes(), part[0], part[1], place.astype(np.uint32).tobytes(), own.tobytes(), cols[3][first].tobytes(), cols[4][first].tobytes()]
             payload.append(b"".join(part))
         yield pa.RecordBatch.from_arrays([pa.array(frag[at[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], ["frag", "payload"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_of = heavy.value if heavy is not None else ()
+        levels = kept("levels", heavy_name, lambda: Levels(*heavy.value)) if heavy is not None else None
         mask = wanted.value if wanted is not None else None
         held, total, seen = [], 0, set()
-        for t in text_slices(batches):
+        for t in text_slices(batches, keep="levels"):
             row, h, n, node = _new_nodes(t, size, shared, seen, mask)
             starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=t.rows))))
             pos = np.arange(len(row)) - starts[row]
-            if not counting and len(order_of):
-                cls = (h >> _CLASS).astype(np.uint32)
-                at = np.minimum(np.searchsorted(order_of[0], cls), len(order_of[0]) - 1)
-                late = order_of[0][at] == cls
+            if levels is not None:
+                level = levels.of(h >> drop, _fragment(h, fragments))
+                late = level > 0
                 if late.any():
-                    # Light shingles keep their order and the heavy ones follow them by count.
+                    # Rare shingles keep their order and the others follow them by level.
                     before = np.concatenate(([0], np.cumsum(late)))
                     pos -= before[:-1] - before[starts[row]]
                     k = np.flatnonzero(late)
-                    k = k[np.lexsort((h[k], order_of[1][at[k]], row[k]))]
+                    k = k[np.lexsort((h[k], level[k], row[k]))]
                     r = row[k]
                     rank = np.arange(len(k)) - np.searchsorted(r, r)
                     pos[k] = n[r] - (before[starts[r + 1]] - before[starts[r]]) + rank
             keep = np.ones(len(row), bool) if counting else pos < threshold.prefix(n)[row]
             frag = _fragment(h[keep], fragments).astype(np.uint16 if fragments < 1 << 16 else np.int64)
-            r, token = row[keep], (h[keep] >> _CLASS if counting else h[keep]).astype(np.uint32)
-            held.append((frag, token) if counting else (frag, token, node[r]) if mask is None else (frag, token, node[r], n[r], sketches(row, h, t.rows)[r]))
+            if counting:
+                held.append((frag, h >> drop))
+            else:
+                r, token = row[keep], h[keep]
+                own = (frag, token.astype(np.uint32), (token >> U64(32)).astype(np.uint8), node[r])
+                held.append(own if mask is None else (*own, n[r], sketches(row, h, t.rows)[r]))
             total += int(keep.sum())
-            if total > 1 << 19:
+            if total > (1 << 21 if counting else 1 << 19):
                 yield from flush(held)
                 held, total = [], 0
         if total:
@@ -250,20 +318,20 @@ def _blocks(source: Source, fragments: int, threshold: Threshold, heavy, countin
     return docs.mapInArrow(blocks, "frag int, payload binary")
 
 
-def _by_fragment(blocks: DataFrame, fragments: int, work: Callable, schema: str) -> DataFrame:
-    """work(payloads) -> batches, once for each fragment."""
+def _by_fragment(blocks: DataFrame, fragments: int, work: Callable, schema: str, numbered: bool = False) -> DataFrame:
+    """work(payloads) -> batches, once for each fragment; numbered: work((fragment, payloads))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in batches:
             for f, p in zip(column(b, "frag").to_pylist(), column(b, "payload").to_pylist(), strict=True):
                 if f != at and held:
-                    yield from work(held)
+                    yield from work((at, held) if numbered else held)
                     held = []
                 at = f
                 held.append(p)
         if held:
-            yield from work(held)
+            yield from work((at, held) if numbered else held)
         trim()
 
     return blocks.repartition(min(fragments, 100_000), "frag").sortWithinPartitions("frag").mapInArrow(run, schema)
@@ -271,7 +339,8 @@ def _by_fragment(blocks: DataFrame, fragments: int, work: Callable, schema: str)
 
 def _unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The shared tokens of a fragment with their nodes, each pair once, sorted by both."""
-    tok, node = (np.concatenate([np.frombuffer(raw, kind, len(raw) // 12, k * (len(raw) // 3)) for raw in parts]) for k, kind in ((0, np.uint32), (1, U64)))
+    low, high, node = (np.concatenate([np.frombuffer(raw, kind, len(raw) // 13, k * (len(raw) // 13)) for raw in parts]) for k, kind in ((0, np.uint32), (4, np.uint8), (5, U64)))
+    tok = high.astype(U64) << U64(32) | low
     order = np.lexsort((node, tok))
     tok, node = tok[order], node[order]
     new = np.ones(len(tok), bool)
@@ -325,16 +394,17 @@ def _filtered_forest(percent: int) -> Callable:
     threshold = Threshold(percent)
 
     def work(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        toks, places, names, sizes, maps, base = [], [], [], [], [], 0
+        toks, highs, places, names, sizes, maps, base = [], [], [], [], [], [], 0
         for raw in held:
             m, k = np.frombuffer(raw, np.int64, 2).tolist()
             at = 16
-            for out, kind, count, width in ((toks, np.uint32, m, 4), (places, np.uint32, m, 4), (names, U64, k, 8), (sizes, np.int64, k, 8), (maps, U64, k * SKETCH_BITS // 64, 8)):
+            for out, kind, count, width in ((toks, np.uint32, m, 4), (highs, np.uint8, m, 1), (places, np.uint32, m, 4), (names, U64, k, 8), (sizes, np.int64, k, 8), (maps, U64, k * SKETCH_BITS // 64, 8)):
                 out.append(np.frombuffer(raw, kind, count, at))
                 at += count * width
             places[-1] = places[-1].astype(np.int64) + base
             base += k
-        tok, place, name, size, sketch = (np.concatenate(x) for x in (toks, places, names, sizes, maps))
+        low, high, place, name, size, sketch = (np.concatenate(x) for x in (toks, highs, places, names, sizes, maps))
+        tok = high.astype(U64) << U64(32) | low
         sketch = sketch.reshape(len(name), -1)
         own, first, same = np.unique(name, return_index=True, return_inverse=True)
         size, sketch, place = size[first], sketch[first], same[place]
@@ -409,39 +479,20 @@ def _units(clusters: DataFrame) -> DataFrame:
     return small.unionByName(large)
 
 
-def _heavy_shingles(blocks: DataFrame, fragments: int):
-    """A broadcast of the heavy shingles' upper 32 bits, sorted, and their counts; None if there are none."""
+def _levels(blocks: DataFrame, fragments: int):
+    """A broadcast of the Levels of all shingles, HEAVY_BYTES at most."""
 
-    def counted(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        frag, held = batches
         token, n = np.unique(np.concatenate([unpacked(p) for p in held]), return_counts=True)
-        many = n > HEAVY_FROM
-        n = np.minimum(n[many], 2**32 - 1).astype(np.uint32)
-        level, size = np.unique(n, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (token[many].tobytes(), n.tobytes())] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (level, size)], ["token", "n", "level", "size"])
-
-    found = stored(_by_fragment(blocks, fragments, counted, "token binary, n binary, level array<long>, size array<long>"))
-    levels = found.select(F.explode(F.arrays_zip("level", "size")).alias("x")).groupBy("x.level").agg(F.sum("x.size").alias("size")).orderBy(F.desc("level"))
-    total, least = 0, 1 << 32
-    for r in levels.toLocalIterator():  # different counts: fewer than the root of twice the shingles
-        if (total := total + r["size"]) > HEAVY_MOST:
-            break
-        least = r.level
-
-    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t, c in zip(column(b, "token").to_pylist(), column(b, "n").to_pylist(), strict=True):
-                n = np.frombuffer(c, np.uint32)
-                t = np.frombuffer(t, np.uint32)[n >= least]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (t, n[n >= least])], ["token", "n"])
-
-    rows = [(bytes(r.token), bytes(r.n)) for r in found.select("token", "n").mapInArrow(above, "token binary, n binary").toLocalIterator() if r.n]
-    if not rows:
-        return None
-    token, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((0, np.uint32), (1, np.uint32)))
-    order = np.argsort(token)
-    sent = blocks.sparkSession.sparkContext.broadcast((token[order], n[order]))
-    del rows, token, n, order
+        filters = level_filters(token, n, HEAVY_BYTES // fragments)
+        yield pa.RecordBatch.from_arrays([pa.array([frag], pa.int32()), pa.array([filters], pa.list_(pa.binary()))], ["frag", "filters"])
+
+    found = _by_fragment(blocks, fragments, counted, "frag int, filters array<binary>", numbered=True)
+    rows = [(r.frag, [None if x is None else bytes(x) for x in r.filters]) for r in found.toLocalIterator()]
+    sent = blocks.sparkSession.sparkContext.broadcast((rows, fragments))
     sent.__dict__.pop("_value", None)  # the driver needs no copy beside the one that is sent
+    del rows
     trim()
     return sent
 
@@ -516,8 +567,10 @@ def cluster_links(source: Source, clusters: DataFrame, percent: int, every: bool
     spark = source.docs.sparkSession
     wanted = spark.sparkContext.broadcast(node_filter(clusters.select("node")))
     units = stored(_units(clusters))
-    total = units.agg(F.sum("n")).first()[0] or 0
-    rows = _whole_sets(source, wanted).join(units, "node").select("unit", "side", "node", "tokens")
+    count, total = units.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Each set then goes to its units in one shuffle; more units than these 32 MB are joined by one more.
+    placed = F.broadcast(units) if count <= 1 << 20 else units
+    rows = _whole_sets(source, wanted).join(placed, "node").select("unit", "side", "node", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
@@ -548,7 +601,8 @@ def _clusters(source: Source, sets: DataFrame, percent: int, fragment_tokens: in
     total = sets.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     fragments = max(8, int(-(-total // fragment_tokens)))
 
-    sent = _heavy_shingles(_blocks(source, fragments, threshold, None, True), fragments)
+    source = replace(source, token_bits=min(64, max(32, int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).bit_length() + 9)))
+    sent = _levels(_blocks(source, fragments, threshold, None, True), fragments)
     forests = _by_fragment(_blocks(source, fragments, threshold, sent, False), fragments, _forest(), "a long, b long")
     clusters = stored(components(stored(forests)).withColumnRenamed("component", "cluster"))
     large = stored(clusters.groupBy("cluster").count().where(F.col("count") > REFINE_FROM))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomspan.llm import ngram_jaccard
 from loomspan.llm.exact_dedup import MergeIndex, exact_dedup
 from loomspan.llm._common import words_at
+from loomspan.llm.components import components
 from loomspan.llm.line_dedup import Shard, _hashed, build_shard, dedup_lines
 from loomspan.llm.ngram_jaccard import similar_components
 from tests.llm.cases import documents, empty, frame, near, text
@@ -154,25 +155,56 @@ def test_components_in_blocks_and_refined(spark, monkeypatch):
 
 
 def test_all_shingles_are_counted(spark):
-    """Every shared shingle is heavy, in the upper half of the hash range too, with its count beyond 16 bits."""
-    rows = [(i, text(7, 60) + f" end{i}") for i in range(30)]
+    """Every shared shingle passes the steps of its count, in all the hash range; few others pass one."""
+    rows = [(i, text(7, 60) + f" end{i} " + text(300 + i // 3, 30)) for i in range(30)]
     t = ngram_jaccard.Texts(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows], pa.large_string())], ["text"]), "text")
-    h, n = np.unique(ngram_jaccard.shingle_sets(t, 5)[1] >> np.uint64(32), return_counts=True)
+    h, n = np.unique(ngram_jaccard.shingle_sets(t, 5)[1], return_counts=True)
     source = ngram_jaccard.Source(frame(spark, rows).select(F.col("doc_id").alias("id"), "text"), 5, np.zeros(0, np.uint64))
     blocks = ngram_jaccard._blocks(source, 8, ngram_jaccard.Threshold(75), None, True)
-    token, count = ngram_jaccard._heavy_shingles(blocks, 8).value
-    assert token.tolist() == h[n > 1].tolist() and count.tolist() == n[n > 1].tolist()
-    many = spark.createDataFrame([(0, ngram_jaccard.packed(np.full(70_000, 5, np.uint32)))], "frag int, payload binary")
-    assert ngram_jaccard._heavy_shingles(many, 8).value[1].tolist() == [70_000]
+    levels = ngram_jaccard.Levels(*ngram_jaccard._levels(blocks, 8).value)
+    got = levels.of(h, ngram_jaccard._fragment(h, 8))
+    want = (n[:, None] >= np.array(ngram_jaccard.THRESHOLDS)).sum(1)
+    assert len(np.unique(want)) == 3 and (got >= want).all() and (got > want).mean() < 0.15
 
 
-@pytest.mark.parametrize("most", [1 << 32, 1 << 20, 3])
+def test_levels_without_room_for_the_rarer(spark):
+    rng = np.random.default_rng(4)
+    token = np.unique(rng.integers(0, 1 << 40, 50_000).astype(np.uint64))
+    n = np.where(np.arange(len(token)) % 50 == 0, 100, 2)
+    levels = ngram_jaccard.Levels([(1, ngram_jaccard.level_filters(token, n, 9000))], 3)
+    got = levels.of(token, np.ones(len(token), np.int64))
+    assert (got[n == 100] == 8).all() and (got[n == 2] > 0).mean() < 0.05
+    assert not levels.of(token, np.zeros(len(token), np.int64)).any()
+
+
+@pytest.mark.parametrize("most", [1 << 60, 1 << 32, 1 << 20, 3])
 def test_packed_tokens(most):
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 50, 40_000):
-        tokens = np.sort(rng.integers(0, most, n, dtype=np.uint64).astype(np.uint32))
+        tokens = np.sort(rng.integers(0, most, n, dtype=np.uint64))
         raw = ngram_jaccard.packed(tokens)
-        assert ngram_jaccard.unpacked(raw).tolist() == tokens.tolist() and len(raw) <= 4 * n + 5
+        assert ngram_jaccard.unpacked(raw).tolist() == tokens.tolist() and len(raw) <= 8 * n + 9
+
+
+@pytest.mark.parametrize("alone", [1 << 20, 0])
+def test_components_of_links(spark, monkeypatch, alone):
+    monkeypatch.setattr("loomspan.llm.components.MOST_ALONE", alone)
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(-400, 400, (300, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(40)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = {x: find(x) for a, b in links if a != b for x in (a, b)}
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(3))
+    assert {r.node: r.component for r in got.collect()} == want and got.count() == len(want)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_sets_that_share_a_digest_are_different_nodes(spark, monkeypatch):
