@@ -50,7 +50,7 @@ THRESHOLDS = (2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 256, 1024, 4096, 16384, 65536)
 HEAVY_BYTES = 64 << 20
 FILTER_BITS = 1 << 24
 #: Nodes and bytes of a cluster that are compared in one block, bytes for one task, and vertical fragments of a count.
-BLOCK, BLOCK_BYTES, TASK_BYTES, SLICES = 2048, 16 << 20, 32 << 20, 4
+BLOCK, LEAST_BLOCK, BLOCK_BYTES, TASK_BYTES, SLICES = 2048, 192, 16 << 20, 32 << 20, 4
 #: Clusters of more nodes are formed again from pairs that pass the length and bitmap bounds.
 REFINE_FROM, SKETCH_BITS = 256, 1024
 NULL_ID = -(1 << 63)
@@ -465,11 +465,14 @@ def _whole_sets(source: Source, wanted) -> DataFrame:
 def _units(clusters: DataFrame) -> DataFrame:
     """(node, n, unit, side) from (node, n, cluster): where each node is compared.
 
-    A cluster of up to BLOCK nodes and BLOCK_BYTES of sets is one unit (side 0). A larger one is cut
-    into blocks by hash, and each pair of blocks is a unit whose two sides are compared; a block with
-    itself has side 0.
+    A small cluster is one unit (side 0). A larger one is cut by hash into eight blocks, more where one
+    would have more than BLOCK nodes or BLOCK_BYTES of sets, fewer where one would have less than
+    LEAST_BLOCK, and each pair of blocks is a unit whose two sides are compared; a block with itself
+    has side 0.
     """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    count = F.count("*")
+    own = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(count / 8)))
+    blocks = F.greatest(F.ceil(count / own), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
     many = clusters.groupBy("cluster").agg(blocks.alias("k")).where("k > 1")
     small = clusters.join(many, "cluster", "left_anti").select("node", "n", F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"))
     large = clusters.join(many, "cluster").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
