@@ -37,12 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loomspan/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: it survives lost executors."""
+def stored(df: DataFrame, *, narrow: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: it survives lost executors.
+
+    narrow: df has a few numbers for some of the rows that it comes from, after a shuffle; it is
+    written by as many tasks as there are cores, not in as many files as there are partitions.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     schema = df.schema
-    df.write.options(**options).parquet(path)
+    if narrow:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -275,12 +281,8 @@ def fresh(name: str, docs: DataFrame) -> str:
     return name
 
 
-def hash_bitmap(hashed: DataFrame, key: str, rows: int, most_bits: int = 1 << 29) -> np.ndarray:
-    """A bitmap over a column of hashes, of 16 bits a row and at most most_bits (64 MB): ask it with in_bitmap.
-
-    When it fills up it lets more hashes through and loses none.
-    """
-    bits = min(most_bits, max(_ROW_BITS, 1 << int(16 * max(1, rows) - 1).bit_length()))
+def hash_bitmap(hashed: DataFrame, key: str, bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap (8 MB) over a column of hashes: ask it with in_bitmap. When it fills up it lets more hashes through and loses none."""
     at = hashed.select(F.pmod(key, F.lit(bits)).alias("at"))
     found = at.groupBy((F.col("at") / _ROW_BITS).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_ROW_BITS))).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)

@@ -182,28 +182,37 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return hashes(words_at(np.frombuffer(b"".join(words), np.uint8)), np.concatenate(([0], ends[:-1])), ends).view(np.int64)
 
 
-def _started(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """words with their hash, the ids of their single bytes and the ids that neighbours merge to."""
+def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    return [ranks[p] for p in merge(word, lambda x, y: ranks.get(x + y))]
+
+
+def _started(words: DataFrame, ranks: dict[bytes, int], fold_bytes: int) -> DataFrame:
+    """words with their hash, the ids of their single bytes and the ids that neighbours merge to; longer words with their ids and NULL."""
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
     keys, merged = np.array(sorted((left << _BITS | right, m) for left, right, m in merging_pairs(ranks)), np.int64).T
-    sent = words.sparkSession.sparkContext.broadcast((single, keys.copy(), merged.astype(np.int32)))
+    sent = words.sparkSession.sparkContext.broadcast((single, keys.copy(), merged.astype(np.int32), ranks))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, keys, merged = sent.value
+        single, keys, merged, ranks = sent.value
         for b in batches:
             raw = column(b, "word").to_pylist()
-            size = np.array([len(w) for w in raw], np.int64)
-            ids = single[np.frombuffer(b"".join(raw), np.uint8)]
+            far = [len(w) > fold_bytes for w in raw]
+            known = [w[:1] if x else w for w, x in zip(raw, far, strict=True)]
+            size = np.array([len(w) for w in known], np.int64)
+            ids = single[np.frombuffer(b"".join(known), np.uint8)]
             key = (ids[:-1].astype(np.int64) << _BITS) | ids[1:]
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            rank, known = merged[at], keys[at] == key
+            rank, held = merged[at], keys[at] == key
             ends = np.cumsum(size)
             inside = np.ones(len(key), bool)
             inside[ends[:-1] - 1] = False
-            rank = pa.array(rank[inside], mask=~known[inside])
+            rank = pa.array(rank[inside], mask=~held[inside])
             at_ids, at_ranks = np.concatenate(([0], ends)), np.concatenate(([0], np.cumsum(size - 1)))
-            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((at_ids, pa.array(ids)), (at_ranks, rank))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_hashes(raw)), *lists], [*b.schema.names, "hash", "ids", "ranks"])
+            ids, rank = (pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in ((at_ids, pa.array(ids)), (at_ranks, rank)))
+            if any(far):
+                ids = pa.array([merged_ids(w, ranks) if x else own for w, x, own in zip(raw, far, ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
+                rank = pa.array([None if x else own for x, own in zip(far, rank.to_pylist(), strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_hashes(raw)), ids, rank], [*b.schema.names, "hash", "ids", "ranks"])
         trim()
 
     schema = T.StructType([*words.schema.fields]).add("hash", "long")
@@ -212,31 +221,15 @@ def _started(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.mapInArrow(start, schema)
 
 
-def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    return [ranks[p] for p in merge(word, lambda x, y: ranks.get(x + y))]
-
-
 def encode_words(words: DataFrame, ranks: dict[bytes, int], fold_bytes: int = 256) -> DataFrame:
     """words (not empty) with their hash, ids and the bytes that the ids decode to."""
-    short = F.octet_length("word") <= fold_bytes
-    started = _started(words.where(short), ranks)
-    folded = started.withColumn("ids", fold_merges(F.col("ids"), F.col("ranks"), _literal_pairs(ranks))).drop("ranks")
-    sent = words.sparkSession.sparkContext.broadcast(ranks)
-    schema = T.StructType([*words.schema.fields]).add("hash", "long").add("ids", T.ArrayType(T.IntegerType()))
-
-    def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for b in batches:
-            raw = column(b, "word").to_pylist()
-            found = [merged_ids(w, table) for w in raw]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_hashes(raw)), pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, "hash", "ids"])
-
-    both = folded.unionByName(words.where(~short).mapInArrow(long_words, schema))
+    folded = fold_merges(F.col("ids"), F.col("ranks"), _literal_pairs(ranks))
+    started = _started(words, ranks, fold_bytes).withColumn("ids", F.when(F.col("ranks").isNull(), F.col("ids")).otherwise(folded)).drop("ranks")
     names = [""] * (max(ranks.values()) + 1)
     for piece, k in ranks.items():
         names[k] = piece.hex()
     pieces = F.split(F.lit(",".join(names)), ",")
-    return both.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda k: F.get(pieces, k)), "")))
+    return started.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda k: F.get(pieces, k)), "")))
 
 
 class Vocabulary:
@@ -326,7 +319,7 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", head_byt
     spark = docs.sparkSession
     ranks = load_ranks(path)
     wide = max(ranks.values()) >= 1 << 16
-    encoded = encode_words(stored(distinct_words(docs.select(F.col(text).alias("text")))), ranks)
+    encoded = encode_words(distinct_words(docs.select(F.col(text).alias("text"))), ranks)
     vocabulary = stored(encoded.select("hash", "word", "n", "ids", (F.col("decoded") == F.col("word")).alias("same")))
     weight = _ENTRY + (4 if wide else 2) * F.size("ids")
     words, same, size = vocabulary.agg(F.count("*"), F.count_if("same"), F.coalesce(F.sum(weight), F.lit(0))).first()

@@ -101,10 +101,10 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), body.alias("text")).withColumn("digest", digest(F.col("text")))
     index = MergeIndex(spark, keep=keep, memtable_rows=memtable_rows)
     index.flush(rows.select("digest", "id"))
-    hits = stored(index.compact().where("n > 1"))
+    hits = stored(index.compact().where("n > 1"), narrow=True)
     suspects = flag_keys(rows, "digest", key_filter(hits, "digest"), "hit").where("hit").drop("hit")
     verified = suspects.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
-    mixed = stored(verified.where("least != most").select("digest"))
+    mixed = stored(verified.where("least != most").select("digest"), narrow=True)
     out = rows.withColumn("sha", F.col("digest") if digest is sha256_digest else F.unhex(F.sha2("text", 256)))
     if mixed.isEmpty():
         out = out.drop("text").join(hits, "digest", "left")

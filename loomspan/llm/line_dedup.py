@@ -91,8 +91,8 @@ def line_keys(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFr
 def held_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_docs: int, most: int = 16 << 20) -> DataFrame:
     """(key, n, last): every line held by min_docs documents or more, by its bytes."""
     keys = line_keys(docs, text, doc_id, min_chars)
-    maybe = stored(keys.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("hi"))
-    sent = docs.sparkSession.sparkContext.broadcast(hash_bitmap(maybe, "hi", maybe.count()))
+    maybe = keys.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    sent = docs.sparkSession.sparkContext.broadcast(hash_bitmap(maybe, "hi"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value
@@ -235,13 +235,12 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     and is held by at least min_docs documents stay only in the holder with the largest doc_id.
     Columns of docs named n_lines or n_dropped are replaced.
     """
-    repeated = stored(held_lines(docs, text, doc_id, min_chars, min_docs))
+    repeated = stored(held_lines(docs, text, doc_id, min_chars, min_docs), narrow=True)
     n, size, most = repeated.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     shards = max(1, -(-n // shard_keys), -(-size // (shard_keys * 128)))
-    index = stored(build_index(repeated, shards))
-    size = index.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    if size > max_bytes:
-        return _routed(docs, text, doc_id, min_chars, repeated, n, index, shards, 1 + most // 1_000_000)
+    index = build_index(repeated, shards)
+    if size + 28 * n > max_bytes:  # what the arrays take, but for a few bits a line
+        return _routed(docs, text, doc_id, min_chars, repeated, index, shards, 1 + most // 1_000_000)
     sent = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.payload) for r in index.toLocalIterator()})
     name = uuid.uuid4().hex
 
@@ -259,14 +258,14 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     return _apply(docs, text, doc_id, min_chars, dropped)
 
 
-def _routed(docs: DataFrame, text: str, doc_id: str, min_chars: int, repeated: DataFrame, n: int, index: DataFrame, shards: int, deals: int) -> DataFrame:
+def _routed(docs: DataFrame, text: str, doc_id: str, min_chars: int, repeated: DataFrame, index: DataFrame, shards: int, deals: int) -> DataFrame:
     """As dedup_lines with the lines sent to the arrays."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_hashed(column(b, "key").to_pylist(), 0).view(np.int64))], ["hi"])
 
-    sent = docs.sparkSession.sparkContext.broadcast(hash_bitmap(repeated.select("key").mapInArrow(hashed, "hi long"), "hi", n))
+    sent = docs.sparkSession.sparkContext.broadcast(hash_bitmap(repeated.select("key").mapInArrow(hashed, "hi long"), "hi"))
     schema = "shard int, deal int, payload binary, id long, digest binary, key binary"
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

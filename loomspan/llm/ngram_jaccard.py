@@ -569,7 +569,7 @@ def cluster_links(source: Source, clusters: DataFrame, percent: int, every: bool
     """(a, b): links that join the nodes of each cluster (node, n, cluster) as all its links do, or every link, once."""
     spark = source.docs.sparkSession
     wanted = spark.sparkContext.broadcast(node_filter(clusters.select("node")))
-    units = stored(_units(clusters))
+    units = _units(clusters)
     count, total = units.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # Each set then goes to its units in one shuffle; more units than these 32 MB are joined by one more.
     placed = F.broadcast(units) if count <= 1 << 20 else units
@@ -607,8 +607,8 @@ def _clusters(source: Source, sets: DataFrame, percent: int, fragment_tokens: in
     source = replace(source, token_bits=min(64, max(32, int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).bit_length() + 9)))
     sent = _levels(_blocks(source, fragments, threshold, None, True), fragments)
     forests = _by_fragment(_blocks(source, fragments, threshold, sent, False), fragments, _forest(), "a long, b long")
-    clusters = stored(components(stored(forests)).withColumnRenamed("component", "cluster"))
-    large = stored(clusters.groupBy("cluster").count().where(F.col("count") > REFINE_FROM))
+    clusters = stored(components(stored(forests)).withColumnRenamed("component", "cluster"), narrow=True)
+    large = clusters.groupBy("cluster").count().where(F.col("count") > REFINE_FROM)
     if not large.isEmpty():
         again = clusters.join(large, "cluster", "left_semi")
         wanted = spark.sparkContext.broadcast(node_filter(again.select("node")))
@@ -617,7 +617,7 @@ def _clusters(source: Source, sets: DataFrame, percent: int, fragment_tokens: in
         # The filter may let nodes of other clusters in; these stay where they were.
         finer = finer.join(again.select("node"), "node", "left_semi")
         clusters = clusters.join(large, "cluster", "left_anti").select("node", "cluster").unionByName(finer.select("node", "cluster"))
-    return stored(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", "n", "cluster"))
+    return stored(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", "n", "cluster"), narrow=True)
 
 
 def _representatives(sets: DataFrame) -> DataFrame:
@@ -644,7 +644,7 @@ def similar_components(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets, source = _sets(docs, shingle)
     clusters = _clusters(source, sets, percent, fragment_tokens)
-    label = stored(components(stored(cluster_links(source, clusters, percent))))
+    label = components(stored(cluster_links(source, clusters, percent)))
 
     named = _representatives(sets).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = named.join(label.select("component").distinct(), "component", "left_semi")
