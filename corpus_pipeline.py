@@ -50,7 +50,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each component. Only texts that may go are shuffled."""
     found = similar_components(docs)
-    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct())
+    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), narrow=True)
     flagged = flag_keys(docs, "doc_id", key_filter(gone, "doc_id"), "__maybe")
     sure = flagged.where(~F.col("__maybe")).select(docs.columns)
     return sure.unionByName(flagged.where("__maybe").select(docs.columns).join(gone, "doc_id", "left_anti").select(docs.columns))
