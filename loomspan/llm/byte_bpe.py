@@ -20,6 +20,7 @@ are encoded alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import hashlib
 import json
@@ -30,7 +31,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,7 +241,9 @@ class Vocabulary:
         self.keys, n_ids, self.ids = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(p[k], kind) for p in packed)]) for k, kind in enumerate((U64, np.uint32, np.int32 if wide else np.uint16)))
         if (self.keys[1:] < self.keys[:-1]).any():
             raise ValueError("packed words are not in the order of their hashes")
-        self.at_ids = np.concatenate((np.zeros(1, np.int64), np.cumsum(n_ids, dtype=np.int64)))
+        total = int(n_ids.sum(dtype=np.int64))
+        self.at_ids = np.zeros(len(n_ids) + 1, np.uint32 if total < 1 << 32 else np.int64)
+        np.cumsum(n_ids, out=self.at_ids[1:])
         self.pieces = pieces
         self.size = np.array([len(p) for p in pieces], np.int32)
         self.at = np.cumsum(self.size, dtype=np.int64) - self.size
@@ -263,8 +266,9 @@ class Vocabulary:
 
     def ids_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at these places, one after the other, and their counts."""
-        n = self.at_ids[place + 1] - self.at_ids[place]
-        return gather(self.ids, self.at_ids[place], n), n
+        start = self.at_ids[place].astype(np.int64)
+        n = self.at_ids[place + 1] - start
+        return gather(self.ids, start, n), n
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of the ids one after the other, and their sizes."""
@@ -290,6 +294,7 @@ def _loaded(sent, name: str) -> Vocabulary:
     def build() -> Vocabulary:
         out = Vocabulary(*sent.value)
         sent.__dict__.pop("_value", None)
+        trim()
         return out
 
     return kept("vocabulary", name, build)
@@ -314,13 +319,26 @@ def _pack(encoded: DataFrame, wide: bool) -> DataFrame:
     return ordered.mapInArrow(pack, ", ".join(f"{c} binary" for c in _PACKED))
 
 
+@contextlib.contextmanager
+def _short_plans(spark: SparkSession) -> Iterator[None]:
+    """Cuts descriptions of plans short: the literal map is megabytes long, and the driver keeps several copies of each description."""
+    name = "spark.sql.maxPlanStringLength"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def encode_documents(docs: DataFrame, path: str, *, text: str = "text", head_bytes: int = 96 << 20, keep_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, and token_ids if keep_ids; columns of these names are replaced."""
     spark = docs.sparkSession
     ranks = load_ranks(path)
     wide = max(ranks.values()) >= 1 << 16
-    encoded = encode_words(distinct_words(docs.select(F.col(text).alias("text"))), ranks)
-    vocabulary = stored(encoded.select("hash", "word", "n", "ids", (F.col("decoded") == F.col("word")).alias("same")))
+    encoded = encode_words(stored(distinct_words(docs.select(F.col(text).alias("text")))), ranks)
+    with _short_plans(spark):
+        vocabulary = stored(encoded.select("hash", "word", "n", "ids", (F.col("decoded") == F.col("word")).alias("same")))
     weight = _ENTRY + (4 if wide else 2) * F.size("ids")
     words, same, size = vocabulary.agg(F.count("*"), F.count_if("same"), F.coalesce(F.sum(weight), F.lit(0))).first()
     if words != same:
