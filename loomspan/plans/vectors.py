@@ -159,11 +159,11 @@ _CELLS = """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM
     c AS (SELECT label AS cell, list(v ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS v FROM x GROUP BY label, i) GROUP BY label),
     a AS (SELECT id, e, cell FROM (SELECT id, e, cell, row_number() OVER (PARTITION BY id ORDER BY list_cosine_similarity(e, c) DESC, cell) AS n FROM p, c) WHERE n = 1),
     q AS (SELECT id AS query_id, e FROM p WHERE id % 50 = 0),
-    w AS (SELECT query_id, e, cell FROM (SELECT query_id, e, cell, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e, c) DESC, cell) AS n FROM q, c) WHERE n <= 4),
+    w AS (SELECT query_id, e, cell FROM (SELECT query_id, e, cell, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e, c) DESC, cell) AS n FROM q, c) WHERE n <= 8),
     f AS (SELECT query_id, id, rank, distance FROM (SELECT query_id, id, 1 - list_cosine_similarity(w.e, a.e) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(w.e, a.e), id) AS rank FROM w JOIN a USING (cell)) WHERE rank <= 10)"""
 
 
-def _ivf(spark, d, nprobe=4):
+def _ivf(spark, d, nprobe=8):
     p = points(spark, d)
     cells = S.centroids(p.withColumn("label", F.col("label").cast("long")), "label")
     return S.ivf_topk(S.assign_cells(p, cells), cells, point_queries(spark, d), 10, nprobe)
