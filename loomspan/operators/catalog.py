@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import CITATION, CITED_PASSAGE, EMPTY_LABEL, answer_paragraphs, strip
 from loomspan.operators.rank import first_of
 
 
@@ -51,3 +52,27 @@ def centroid(rows: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
 
 def contains_fold(text: Column, part: str) -> Column:
     return F.contains(F.lower(text), F.lit(part.lower()))
+
+
+def cited_paragraphs(answers: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, paragraph, text, cites): an answer's paragraphs, each with the ids of the sources that its marks name.
+
+    answers(key, answer), chunks(key, ordinal, name, source_id): what the answer was made from, a few
+    rows a key. A mark names a source by holding its name, or a passage by its ordinal; marks that name
+    something are cut, others stay, and a label left without its citation goes.
+    """
+    block = answers.select(*key, F.posexplode(answer_paragraphs(F.col("answer"))).alias("paragraph", "block"))
+    marks = F.array_distinct(F.regexp_extract_all("block", F.lit(CITATION), F.lit(0)))
+    mark = block.select(*key, "paragraph", F.explode(marks).alias("mark"))
+    inside = F.regexp_extract("mark", CITATION, 1)
+    ordinals = F.transform(F.regexp_extract_all(inside, F.lit(CITED_PASSAGE), F.lit(1)), lambda x: x.try_cast("int"))
+    mark = mark.withColumn("inside", inside).withColumn("ordinals", ordinals)
+    hit = mark.join(chunks, key).where(F.contains("inside", F.col("name")) | F.array_contains("ordinals", F.col("ordinal")))
+    found = hit.groupBy(*key, "paragraph").agg(F.collect_set("mark").alias("marks"), F.array_sort(F.collect_set("source_id")).alias("cites"))
+    out = block.join(found, [*key, "paragraph"], "left")
+    longest = F.array_sort(F.transform("marks", lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))
+    cut = F.aggregate(longest, F.col("block"), lambda t, m: F.replace(t, m["m"], F.lit("")))
+    text = strip(F.when(F.col("marks").isNull(), F.col("block")).otherwise(cut))
+    none = F.array().cast(found.schema["cites"].dataType)
+    out = out.select(*key, "paragraph", text.alias("text"), F.coalesce("cites", none).alias("cites"))
+    return out.where((F.col("text") != "") & ~F.col("text").rlike(EMPTY_LABEL))

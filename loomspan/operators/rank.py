@@ -83,9 +83,17 @@ def cut(text: Column, most: int, tail: str) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(tail))).otherwise(text)
 
 
-def context_budget(parts: DataFrame, key: str, order: str, text: str, budget: int = CONTEXT_CHARS, part: int = PASSAGE_CHARS) -> DataFrame:
-    """The parts of each key before their summed length passes the budget; the first always stays."""
+def passage_label(*parts: Column) -> Column:
+    """"  [a, b]" of the parts that say something, or nothing."""
+    some = F.filter(F.array(*(p.cast("string") for p in parts)), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(some) > 0, F.concat(F.lit("  ["), F.array_join(some, ", "), F.lit("]"))).otherwise("")
+
+
+def context_budget(parts: DataFrame, key: str, order: str, text: str, label: Column | None = None, budget: int = CONTEXT_CHARS, part: int = PASSAGE_CHARS) -> DataFrame:
+    """The parts of each key, headed by their place and label, before their summed length passes the budget; the first always stays."""
     w = Window.partitionBy(key).orderBy(order)
-    t = parts.withColumn("part", cut(F.col(text), part, " ...")).withColumn("place", F.row_number().over(w))
+    t = parts.withColumn("place", F.row_number().over(w))
+    head = F.concat(F.lit("--- Passage "), F.col("place"), F.lit("") if label is None else label, F.lit(" ---\n"))
+    t = t.withColumn("part", F.concat(head, cut(F.col(text), part, " ...")))
     t = t.withColumn("total", F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return t.where((F.col("place") == 1) | (F.col("total") <= budget))

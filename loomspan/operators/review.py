@@ -5,33 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import locate, quote_pattern, severity
+from loomspan.functions.text import locate, severity
 from loomspan.operators.rank import first_of
 
 _ORDER = {"high": 0, "medium": 1, "low": 2}
 
 
 def law_ordinal(mark: Column) -> Column:
-    """The number of a mark L7 or [L7]; NULL for anything else."""
-    n = F.regexp_extract(mark, r"^\[?L([0-9]{1,9})\]?$", 1)
+    """The number of a mark L7 or [L7], whatever its case; NULL for anything else."""
+    n = F.regexp_extract(F.trim(mark), r"(?i)^\[?L([0-9]{1,9})\]?$", 1)
     return F.when(n != "", n.cast("int"))
 
 
-def validate(raw: DataFrame, sections: DataFrame, passages: DataFrame) -> DataFrame:
-    """Findings whose passage exists and whose section, named or found by its quote, exists.
+def validate(raw: DataFrame, sections: DataFrame, passages: DataFrame, quote_most: int = 400) -> DataFrame:
+    """Findings whose passage exists, each with its quote's place.
 
     raw(finding, doc_id, section, quote, law, severity), sections(doc_id, section, pos, text),
-    passages(ordinal, passage_id).
+    passages(ordinal, passage_id). A quote is looked for in the section that is named (brackets around
+    the name do not count) and, if that lacks it, in all sections of the document, in order (moved).
+    Without a place a finding stays, unverified, in the section that it names, and goes if there is none.
     """
     r = raw.withColumn("ordinal", law_ordinal(F.col("law"))).join(passages, "ordinal")
-    named = r.join(sections, ["doc_id", "section"]).withColumn("found", F.lit(True))
-    start, end = locate(F.col("text"), quote_pattern(F.col("quote")))
-    named = named.withColumn("start", start).withColumn("end", end)
-    lost = r.join(sections.select("doc_id", "section"), ["doc_id", "section"], "left_anti").drop("section")
-    hits = lost.join(sections, "doc_id").withColumn("start", start).withColumn("end", end).where("start is not null").withColumn("found", F.lit(False))
+    r = r.withColumn("quote", F.substring("quote", 1, quote_most)).withColumn("named", F.regexp_replace("section", r"^[\[\] ]+|[\[\] ]+$", "")).drop("section")
+    start, end = locate(F.col("text"), F.col("quote"))
+    home = sections.withColumnRenamed("section", "named")
+    own = r.join(home, ["doc_id", "named"], "left").withColumn("start", start).withColumn("end", end)
+    lost = own.where("start is null").select(*r.columns, F.col("pos").alias("home"))
+    hits = lost.drop("home").join(sections, "doc_id").withColumn("start", start).withColumn("end", end).where("start is not null")
     hits = first_of(hits, ["finding"], [F.col("pos")])
-    out = ["finding", "doc_id", "section", "pos", "passage_id", "start", "end", "found"]
-    return named.select(*out, severity(F.col("severity")).alias("severity")).unionByName(hits.select(*out, severity(F.col("severity")).alias("severity")))
+    out = ["finding", "doc_id", "section", "pos", "passage_id", "start", "end", "verified", "moved", "severity"]
+
+    def shown(rows: DataFrame, section: str, verified: bool, moved: bool) -> DataFrame:
+        rows = rows.withColumn("section", F.col(section)).withColumn("verified", F.lit(verified)).withColumn("moved", F.lit(moved))
+        return rows.withColumn("severity", severity(F.col("severity"))).select(*out)
+
+    bare = lost.where("home is not null").join(hits.select("finding"), "finding", "left_anti").withColumn("pos", F.col("home"))
+    bare = bare.withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
+    return shown(own.where("start is not null"), "named", True, False).unionByName(shown(hits, "section", True, True)).unionByName(shown(bare, "named", False, False))
 
 
 def dedup(findings: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from loomspan.operators import catalog as C
 from loomspan.operators import rank as R
 from loomspan.operators import review as V
 from loomspan.plans._base import query, table
-from loomspan.plans.texts import docs, paths
+from loomspan.plans.texts import docs, paths, sql_fragments, sql_hit
 from loomspan.sources import files as S
 
 _PATHS = "SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"
@@ -130,28 +130,33 @@ def passage_select(spark, d):
     return R.passage_select(s, k=3)
 
 
-_FINDINGS = """raw AS (SELECT event_id AS finding, user_id AS doc_id, CASE event_id % 3 WHEN 0 THEN 'S' || (event_id % 8) ELSE 'none' END AS section,
-        'user ' || (event_id % 7) AS quote, CASE event_id % 5 WHEN 0 THEN '[L' || (event_id % 30) || ']' WHEN 1 THEN 'L' || (event_id % 30) ELSE 'x' || event_id END AS law, event_type AS severity FROM events),
+_FINDINGS = rf"""raw AS (SELECT event_id AS finding, user_id AS doc_id, CASE event_id % 3 WHEN 0 THEN 'S' || (event_id % 8) WHEN 1 THEN '[S' || (event_id % 4) || ']' ELSE 'none' END AS section,
+        CASE WHEN event_id % 11 = 0 THEN '"user ' || (event_id % 7) || ' ... of no part"' ELSE 'user ' || (event_id % 7) END AS quote,
+        CASE event_id % 5 WHEN 0 THEN '[L' || (event_id % 30) || ']' WHEN 1 THEN 'L' || (event_id % 30) WHEN 2 THEN ' [l' || (event_id % 30) || ']' ELSE 'x' || event_id END AS law, event_type AS severity FROM events),
     u AS (SELECT DISTINCT user_id FROM events),
     sec AS (SELECT user_id AS doc_id, 'S' || i AS section, i AS pos, 'The User, ' || ((user_id + i) % 9) || ' of part ' || i AS text FROM u, range(5) t(i)),
     law AS (SELECT n_nationkey AS ordinal, n_regionkey AS passage_id FROM nation),
-    r AS (SELECT raw.*, passage_id, '(?i)' || array_to_string(regexp_extract_all(quote, '[A-Za-z0-9_]+'), '[^A-Za-z0-9_]*') AS re,
-        CASE WHEN lower(trim(severity)) IN ('critical', 'severe', 'high') THEN 'high' WHEN lower(trim(severity)) IN ('minor', 'info', 'low') THEN 'low' ELSE 'medium' END AS sev
-        FROM raw JOIN law ON ordinal = try_cast(regexp_extract(law, '^\\[?L([0-9]{1,9})\\]?$', 1) AS INT)),
-    named AS (SELECT finding, r.doc_id, section, pos, passage_id, regexp_extract(text, re) AS hit, text, true AS found, sev FROM r JOIN sec USING (doc_id, section)),
-    lost AS (SELECT finding, r.doc_id, sec.section, pos, passage_id, regexp_extract(text, re) AS hit, text, false AS found, sev, row_number() OVER (PARTITION BY finding ORDER BY pos) AS n
-        FROM r JOIN sec ON r.doc_id = sec.doc_id WHERE NOT EXISTS (SELECT 1 FROM sec s2 WHERE s2.doc_id = r.doc_id AND s2.section = r.section) AND regexp_extract(text, re) <> ''),
-    v AS (SELECT finding, doc_id, section, pos, passage_id, CASE WHEN hit <> '' THEN strpos(text, hit) - 1 END AS start, CASE WHEN hit <> '' THEN strpos(text, hit) - 1 + length(hit) END AS stop, found, sev AS severity
-        FROM (SELECT finding, doc_id, section, pos, passage_id, hit, text, found, sev FROM named UNION ALL SELECT finding, doc_id, section, pos, passage_id, hit, text, found, sev FROM lost WHERE n = 1))""".replace("\\\\", "\\")
+    r AS (SELECT finding, doc_id, trim(section, '[] ') AS named, {sql_fragments('left(quote, 400)')} AS fs, passage_id,
+        CASE WHEN lower(trim(severity)) IN ('critical', 'severe', 'high') THEN 'high' WHEN lower(trim(severity)) IN ('minor', 'info', 'low') THEN 'low' ELSE 'medium' END AS severity
+        FROM raw JOIN law ON ordinal = try_cast(regexp_extract(trim(law), '(?i)^\[?L([0-9]+)\]?$', 1) AS INT)),
+    every AS (SELECT finding, doc_id, named, passage_id, severity, section, pos, text, fs, unnest(range(1, len(fs) + 1)) AS k FROM r JOIN sec USING (doc_id)),
+    hits AS (SELECT finding, section, pos, any_value(text) AS text, arg_min(hit, k) AS hit FROM (SELECT *, {sql_hit('text', 'fs[k]')} AS hit FROM every) WHERE hit <> '' GROUP BY finding, section, pos),
+    best AS (SELECT finding, section, pos, text, hit FROM (SELECT hits.*, row_number() OVER (PARTITION BY finding ORDER BY CASE WHEN section = named THEN 0 ELSE 1 END, pos) AS n FROM hits JOIN r USING (finding)) WHERE n = 1),
+    v AS (SELECT r.finding, r.doc_id, coalesce(b.section, home.section) AS section, coalesce(b.pos, home.pos) AS pos, passage_id, strpos(b.text, hit) - 1 AS start, strpos(b.text, hit) - 1 + length(hit) AS stop,
+        b.finding IS NOT NULL AS verified, b.finding IS NOT NULL AND b.section <> named AS moved, severity
+        FROM r LEFT JOIN best b ON b.finding = r.finding LEFT JOIN sec home ON home.doc_id = r.doc_id AND home.section = named WHERE b.finding IS NOT NULL OR home.section IS NOT NULL)"""
 
 
 def findings(spark, d):
-    """Findings made from events: a section by name or none, a quote, a law mark."""
+    """Findings made from events: a section by its name, by its name in brackets or none, a quote, whole or around dots, and a law mark."""
     e = table(spark, d, "events")
-    m = F.col("event_id") % 5
-    law = F.when(m == 0, F.concat(F.lit("[L"), F.col("event_id") % 30, F.lit("]"))).when(m == 1, F.concat(F.lit("L"), F.col("event_id") % 30)).otherwise(F.concat(F.lit("x"), "event_id"))
-    section = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("S"), F.col("event_id") % 8)).otherwise("none")
-    raw = e.select(F.col("event_id").alias("finding"), F.col("user_id").alias("doc_id"), section.alias("section"), F.concat(F.lit("user "), F.col("event_id") % 7).alias("quote"), law.alias("law"), F.col("event_type").alias("severity"))
+    m, n = F.col("event_id") % 5, F.col("event_id") % 3
+    law = F.when(m == 0, F.concat(F.lit("[L"), F.col("event_id") % 30, F.lit("]"))).when(m == 1, F.concat(F.lit("L"), F.col("event_id") % 30))
+    law = law.when(m == 2, F.concat(F.lit(" [l"), F.col("event_id") % 30, F.lit("]"))).otherwise(F.concat(F.lit("x"), "event_id"))
+    section = F.when(n == 0, F.concat(F.lit("S"), F.col("event_id") % 8)).when(n == 1, F.concat(F.lit("[S"), F.col("event_id") % 4, F.lit("]"))).otherwise("none")
+    user = F.concat(F.lit("user "), F.col("event_id") % 7)
+    quote = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit('"'), user, F.lit(' ... of no part"'))).otherwise(user)
+    raw = e.select(F.col("event_id").alias("finding"), F.col("user_id").alias("doc_id"), section.alias("section"), quote.alias("quote"), law.alias("law"), F.col("event_type").alias("severity"))
     parts = e.select("user_id").distinct().select(F.col("user_id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos"))
     text = F.concat(F.lit("The User, "), (F.col("doc_id") + F.col("pos")) % 9, F.lit(" of part "), "pos")
     sections = parts.select("doc_id", F.concat(F.lit("S"), "pos").alias("section"), "pos", text.alias("text"))
@@ -160,17 +165,17 @@ def findings(spark, d):
 
 
 def _shown(f):
-    return f.select("finding", "doc_id", "section", "pos", "passage_id", "start", F.col("end").alias("stop"), "found", "severity")
+    return f.select("finding", "doc_id", "section", "pos", "passage_id", "start", F.col("end").alias("stop"), "verified", "moved", "severity")
 
 
-@query(f"WITH {_FINDINGS} SELECT finding, doc_id, section, pos::INT AS pos, passage_id, start, stop, found, severity FROM v")
+@query(f"WITH {_FINDINGS} SELECT finding, doc_id, section, pos::INT AS pos, passage_id, start, stop, verified, moved, severity FROM v")
 def finding_validate(spark, d):
     return _shown(findings(spark, d))
 
 
-@query(f"WITH {_FINDINGS} SELECT finding, section, start, stop FROM v WHERE NOT found")
+@query(f"WITH {_FINDINGS} SELECT finding, section, start, stop FROM v WHERE moved")
 def quote_locate_fallback(spark, d):
-    return _shown(findings(spark, d)).where("NOT found").select("finding", "section", "start", "stop")
+    return _shown(findings(spark, d)).where("moved").select("finding", "section", "start", "stop")
 
 
 _DEDUP = f"{_FINDINGS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section, passage_id, start ORDER BY finding) AS n FROM v) WHERE n = 1)"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as X
+from loomspan.operators import catalog as C
 from loomspan.operators import rank as R
 from loomspan.operators import segment as G
 from loomspan.plans._base import query, table
@@ -86,12 +87,12 @@ def create_chunks(spark, d):
 
 def _pack_sql(pieces: str, most: int, joint: str) -> str:
     return f"""WITH RECURSIVE s AS ({pieces}),
-    r AS (SELECT doc_id, ps, 1 AS i, NULL::VARCHAR AS cur, []::VARCHAR[] AS done FROM s
+    r AS (SELECT doc_id, ps, 1 AS i, '' AS cur, []::VARCHAR[] AS done FROM s
       UNION ALL
-      SELECT doc_id, ps, i + 1, CASE WHEN cur IS NULL OR length(cur) + {1} + length(ps[i]) > {most} THEN ps[i] ELSE cur || {joint} || ps[i] END,
-             CASE WHEN cur IS NOT NULL AND length(cur) + {1} + length(ps[i]) > {most} THEN [cur] ELSE [] END
+      SELECT doc_id, ps, i + 1, CASE WHEN cur = '' OR length(cur) + {1} + length(ps[i]) > {most} THEN ps[i] ELSE cur || {joint} || ps[i] END,
+             CASE WHEN cur <> '' AND length(cur) + {1} + length(ps[i]) > {most} THEN [cur] ELSE [] END
       FROM r WHERE i <= len(ps)),
-    o AS (SELECT doc_id, i, unnest(done) AS t FROM r UNION ALL SELECT doc_id, i + 1, cur FROM r WHERE i = len(ps) + 1 AND cur IS NOT NULL)
+    o AS (SELECT doc_id, i, unnest(done) AS t FROM r UNION ALL SELECT doc_id, i + 1, cur FROM r WHERE i = len(ps) + 1 AND cur <> '')
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS k, md5(t) AS hash FROM o"""
 
 
@@ -104,7 +105,7 @@ def passage_split(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(G.passages(F.col("text"))).alias("k", "t")).select("doc_id", "k", F.md5("t").alias("hash"))
 
 
-_LINES = "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ps FROM documents"
+_LINES = "SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents"
 
 
 @query(_pack_sql(_LINES + " WHERE length(text) > 1500", 1500, "chr(10)") + " UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE length(text) <= 1500")
@@ -112,16 +113,18 @@ def split_long(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(G.split_long(F.col("text"))).alias("k", "t")).select("doc_id", "k", F.md5("t").alias("hash"))
 
 
-@query(f"""WITH RECURSIVE s AS ({_LINES}),
-    r AS (SELECT doc_id, ps, 1 AS i, NULL::VARCHAR AS cur, []::VARCHAR[] AS done FROM s
+@query("""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ps FROM documents),
+    r AS (SELECT doc_id, ps, 1 AS i, NULL::VARCHAR AS cur, 0 AS page, []::VARCHAR[] AS done FROM s
       UNION ALL
-      SELECT doc_id, ps, i + 1, CASE WHEN length(ps[i]) < 80 THEN concat_ws(chr(10), cur, ps[i]) END, CASE WHEN length(ps[i]) >= 80 THEN [concat_ws(chr(10), cur, ps[i])] ELSE [] END
-      FROM r WHERE i <= len(ps)),
-    o AS (SELECT doc_id, i, unnest(done) AS t FROM r UNION ALL SELECT doc_id, i + 1, cur FROM r WHERE i = len(ps) + 1 AND cur IS NOT NULL)
-    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS k, md5(t) AS hash FROM o""")
+      SELECT doc_id, ps, i + 1, CASE WHEN length(own) < 80 THEN own END, p,
+        CASE WHEN cur IS NOT NULL AND page <> p THEN [cur] ELSE [] END || CASE WHEN length(own) >= 80 THEN [own] ELSE [] END
+      FROM (SELECT *, (i - 1) // 3 AS p, CASE WHEN cur IS NOT NULL AND page = (i - 1) // 3 THEN cur || chr(10) || ps[i] ELSE ps[i] END AS own FROM r WHERE i <= len(ps))),
+    o AS (SELECT doc_id, i, generate_subscripts(done, 1) AS j, unnest(done) AS t FROM r UNION ALL SELECT doc_id, i + 1, 1, cur FROM r WHERE i = len(ps) + 1 AND cur IS NOT NULL)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS k, md5(t) AS hash FROM o""")
 def merge_headings(spark, d):
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    return docs(spark, d).select("doc_id", F.posexplode(G.merge_headings(lines)).alias("k", "t")).select("doc_id", "k", F.md5("t").alias("hash"))
+    """Three lines make a page."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x, i: F.struct(F.floor(i / 3).cast("int").alias("page"), x.alias("text")))
+    return docs(spark, d).select("doc_id", F.posexplode(G.merge_headings(lines)).alias("k", "t")).select("doc_id", "k", F.md5("t.text").alias("hash"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
@@ -162,18 +165,36 @@ def hybrid_score(spark, d):
     return _question_terms(spark, d).select("conv_id", "turn", F.round(score, 6).alias("score"))
 
 
-_QUOTE = "[A-Za-z0-9_]+"
+def sql_fragments(quote: str) -> str:
+    """The pieces of a quote around its dots that have two words or more, or the whole, longest first."""
+    whole = f"replace(regexp_replace(regexp_replace({quote}, '^\\s+|\\s+$', '', 'g'), '^[\"''“”‘’]+|[\"''“”‘’]+$', '', 'g'), '…', '...')"
+    good = f"list_filter(string_split({whole}, '...'), lambda x: len(regexp_extract_all(x, '{_WORD}')) >= 2)"
+    return f"CASE WHEN len({good}) > 0 THEN list_transform(list_sort(list_transform({good}, lambda x, i: {{'n': -length(x), 'i': i, 't': x}})), lambda x: x.t) ELSE [{whole}] END"
+
+
+def sql_hit(text: str, fragment: str) -> str:
+    """What a text has of a fragment; empty if nothing."""
+    words = f"regexp_extract_all({fragment}, '{_WORD}')"
+    return f"CASE WHEN len({words}) = 0 THEN '' ELSE regexp_extract({text}, '(?i)' || array_to_string({words}, '[^\\p{{L}}\\p{{N}}_]*')) END"
 
 
-@query(f"""WITH q AS (SELECT doc_id, text, regexp_extract_all(text, '{_QUOTE}') AS ws FROM documents),
-    p AS (SELECT doc_id, text, '(?i)' || array_to_string(ws[3:6], '[^A-Za-z0-9_]*') AS re, ws FROM q WHERE len(ws) >= 6),
-    h AS (SELECT doc_id, text, regexp_extract(text, re) AS hit FROM p)
-    SELECT doc_id, strpos(text, hit) - 1 AS start, strpos(text, hit) - 1 + length(hit) AS "end" FROM h WHERE hit <> ''""")
+_WORD = r"[\p{L}\p{N}_]+"
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS ws FROM documents),
+    q AS (SELECT doc_id, text, '“' || ws[3] || ' ' || lower(ws[4]) || '… ' || ws[6] || CASE WHEN doc_id % 2 = 1 THEN ' not-here' ELSE '' END || ' ' || ws[7] || ', ' || ws[8] || '” ' AS quote FROM w WHERE len(ws) >= 8),
+    f AS (SELECT doc_id, text, fs, unnest(range(1, len(fs) + 1)) AS k FROM (SELECT doc_id, text, {sql_fragments('quote')} AS fs FROM q)),
+    h AS (SELECT doc_id, text, k, {sql_hit('text', 'fs[k]')} AS hit FROM f),
+    b AS (SELECT doc_id, arg_min(text, k) AS text, arg_min(hit, k) AS hit FROM h WHERE hit <> '' GROUP BY doc_id)
+    SELECT doc_id, strpos(text, hit) - 1 AS start, strpos(text, hit) - 1 + length(hit) AS "end" FROM b""")
 def quote_locate(spark, d):
-    """The third to sixth word of a text looked for in it, whatever stands between."""
-    words = F.regexp_extract_all("text", F.lit(_QUOTE), F.lit(0))
-    q = docs(spark, d).withColumn("ws", words).where(F.size("ws") >= 6)
-    start, end = X.locate(F.col("text"), X.quote_pattern(F.array_join(F.slice("ws", 3, 4), " ")))
+    """Two pieces of a text around dots; the longer one is altered in every other text, so that the shorter one is found."""
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    q = docs(spark, d).withColumn("ws", words).where(F.size("ws") >= 8)
+    w = lambda k: F.get("ws", F.lit(k - 1))
+    extra = F.when(F.col("doc_id") % 2 == 1, " not-here").otherwise("")
+    quote = F.concat(F.lit("“"), w(3), F.lit(" "), F.lower(w(4)), F.lit("… "), w(6), extra, F.lit(" "), w(7), F.lit(", "), w(8), F.lit("” "))
+    start, end = X.locate(F.col("text"), quote)
     return q.select("doc_id", start.alias("start"), end.alias("end")).where("start is not null")
 
 
@@ -248,21 +269,15 @@ def detect_label(spark, d):
     return docs(spark, d).select("doc_id", X.detect_label(F.col("text"), _LABELS).alias("label"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(translate(text, chr(160) || chr(8239) || chr(8208) || chr(8209), '  --'), '<br ?/?>', '; ', 'gi')) AS hash FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(translate(text, chr(160) || chr(8239) || chr(8208) || chr(8209), '  --'), '\\s*<br\\s*/?>\\s*', '; ', 'gi')) AS hash FROM documents")
 def normalize_text(spark, d):
     return docs(spark, d).select("doc_id", F.md5(X.normalize(F.col("text"))).alias("hash"))
 
 
-@query(r"""SELECT doc_id, md5(ps[1]) AS headline, md5(array_to_string(ps[2:], chr(10))) AS detail FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)""")
-def headline_detail(spark, d):
-    p = F.split("text", "\n")
-    return docs(spark, d).select("doc_id", F.md5(F.get(p, F.lit(0))).alias("headline"), F.md5(F.array_join(F.slice(p, F.lit(2), F.size(p)), "\n")).alias("detail"))
-
-
-@query(r"""SELECT conv_id, turn, starts_with(upper(regexp_replace(t, '^[`*_ .]+|[`*_ .]+$', '', 'g')), 'INSUFFICIENT') AS insufficient
-    FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '**Insufficient' || text || '**' ELSE text END AS t FROM conversations)""")
+@query(r"""SELECT conv_id, turn, starts_with(upper(regexp_replace(trim(t), '^[`*_ .]+|[`*_ .]+$', '', 'g')), 'INSUFFICIENT_CONTEXT') AS insufficient
+    FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN ' **Insufficient_Context' || text || '**' ELSE text END AS t FROM conversations)""")
 def sentinel_detect(spark, d):
-    c = table(spark, d, "conversations").withColumn("t", F.when(F.col("turn") % 3 == 1, F.concat(F.lit("**Insufficient"), "text", F.lit("**"))).otherwise(F.col("text")))
+    c = table(spark, d, "conversations").withColumn("t", F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" **Insufficient_Context"), "text", F.lit("**"))).otherwise(F.col("text")))
     return c.select("conv_id", "turn", X.is_insufficient(F.col("t")).alias("insufficient"))
 
 
@@ -319,28 +334,53 @@ def prompt_sections(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(parts, "\n")).alias("hash"))
 
 
-@query(r"""WITH a AS (SELECT conv_id, turn, text || ' [src' || (conv_id % 25) || ', p. 3] end [note]' AS t FROM conversations WHERE role = 'assistant'),
-    m AS (SELECT conv_id, turn, t, unnest(regexp_extract_all(t, '\[[^\]]*\]')) AS mark FROM a),
-    s AS (SELECT DISTINCT source FROM documents),
-    h AS (SELECT conv_id, turn, mark, source FROM m JOIN s ON regexp_extract(mark, '[A-Za-z]+[0-9]+') = source),
-    k AS (SELECT a.conv_id, a.turn, list_sort(list_distinct(list(source))) AS cites, any_value(mark) AS mark FROM a JOIN h USING (conv_id, turn) GROUP BY a.conv_id, a.turn)
-    SELECT a.conv_id, a.turn, md5(CASE WHEN mark IS NULL THEN t ELSE replace(t, mark, '') END) AS hash, coalesce(array_to_string(cites, ','), '') AS cites FROM a LEFT JOIN k USING (conv_id, turn)""")
+_CITED = r"""WITH a AS (SELECT conv_id, turn, text || ' [src' || (conv_id % 25) || ', p. 3] end [note]' || chr(10) || ' ' || chr(10) || '*Source: 【Passage 2】.*' || chr(10) || chr(10) || 'More' || chr(160) || 'of it [passage  ' || (turn % 5) || '; src' || ((conv_id + 1) % 25) || '] and [Passage 9].' AS t
+        FROM conversations WHERE role = 'assistant'),
+    c AS (SELECT DISTINCT conv_id, o AS ordinal, 'src' || ((conv_id + o) % 25) AS name, (conv_id + o) % 25 AS source_id FROM conversations, range(0, 4) r(o)),
+    b AS (SELECT conv_id, turn, unnest(range(len(bs))) AS paragraph, unnest(bs) AS block FROM (SELECT conv_id, turn, string_split_regex(regexp_replace(translate(t, chr(160), ' '), '^\s+|\s+$', '', 'g'), '\n\s*\n') AS bs FROM a)),
+    m AS (SELECT DISTINCT conv_id, turn, paragraph, mark, regexp_extract(mark, '[\[【](.*)[\]】]', 1) AS inside FROM (SELECT conv_id, turn, paragraph, unnest(regexp_extract_all(block, '[ \t]*[\[【][^\[\]【】]+[\]】]')) AS mark FROM b)),
+    h AS (SELECT m.*, source_id FROM m JOIN c USING (conv_id) WHERE contains(inside, name) OR list_contains(regexp_extract_all(inside, '(?i)passage\s+(\d+)', 1), ordinal::VARCHAR)),
+    k AS (SELECT conv_id, turn, paragraph, list_sort(list_distinct(list(source_id))) AS cites, list_sort(list_distinct(list(mark))) AS marks FROM h GROUP BY ALL),
+    x AS (SELECT b.conv_id, b.turn, b.paragraph, regexp_replace(list_reduce([block] || list_transform(list_sort(list_transform(coalesce(marks, []), lambda q: {'n': -length(q), 'm': q})), lambda q: q.m), lambda t, q: replace(t, q, '')), '^\s+|\s+$', '', 'g') AS text, coalesce(cites, []) AS cites
+        FROM b LEFT JOIN k USING (conv_id, turn, paragraph)),
+    v AS (SELECT * FROM x WHERE text <> '' AND NOT regexp_matches(text, '(?i)^[^\p{L}\p{N}_]*(sources?|citations?)[^\p{L}\p{N}_]*$'))"""
+
+
+def _cited(spark, d):
+    """Answers with marks of a source by name, of passages by ordinal, of both and of neither, and a label that only a mark fills."""
+    c = table(spark, d, "conversations")
+    t = F.concat(
+        "text", F.lit(" [src"), (F.col("conv_id") % 25).cast("string"), F.lit(", p. 3] end [note]\n \n*Source: 【Passage 2】.*\n\nMore of it [passage  "), (F.col("turn") % 5).cast("string"),
+        F.lit("; src"), ((F.col("conv_id") + 1) % 25).cast("string"), F.lit("] and [Passage 9]."),
+    )
+    answers = c.where("role = 'assistant'").select("conv_id", "turn", t.alias("answer"))
+    o = F.col("ordinal")
+    made = answers.select("conv_id", "turn", F.explode(F.array(*map(F.lit, range(4)))).alias("ordinal"))
+    chunks = made.select("conv_id", "turn", "ordinal", F.concat(F.lit("src"), (F.col("conv_id") + o) % 25).alias("name"), ((F.col("conv_id") + o) % 25).alias("source_id"))
+    return C.cited_paragraphs(answers, chunks, ["conv_id", "turn"])
+
+
+@query(_CITED + " SELECT conv_id, turn, paragraph::INT AS paragraph, md5(text) AS hash, array_to_string(cites, ',') AS cites FROM v")
 def paragraph_citations(spark, d):
-    """Marks that name a known source are cut and listed; others stay."""
-    t = F.concat("text", F.lit(" [src"), (F.col("conv_id") % 25).cast("string"), F.lit(", p. 3] end [note]"))
-    a = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", t.alias("t"))
-    marks = a.select("conv_id", "turn", F.explode(F.regexp_extract_all("t", F.lit(r"\[[^\]]*\]"), F.lit(0))).alias("mark")).withColumn("source", F.regexp_extract("mark", "[A-Za-z]+[0-9]+", 0))
-    known = marks.join(docs(spark, d).select("source").distinct(), "source").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("source")).alias("cites"), F.first("mark").alias("mark"))
-    j = a.join(known, ["conv_id", "turn"], "left")
-    cut = F.when(F.col("mark").isNull(), F.col("t")).otherwise(F.replace("t", F.col("mark"), F.lit("")))
-    return j.select("conv_id", "turn", F.md5(cut).alias("hash"), F.coalesce(F.array_join("cites", ","), F.lit("")).alias("cites"))
-
-
-@query("""WITH t AS (SELECT doc_id, source, CASE WHEN length(text) > 2500 THEN substr(text, 1, 2500) || ' ...' ELSE text END AS part FROM documents),
-    c AS (SELECT doc_id, source, row_number() OVER w AS place, sum(length(part)) OVER w AS total FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+    return _cited(spark, d).select("conv_id", "turn", "paragraph", F.md5("text").alias("hash"), F.array_join(F.transform("cites", lambda x: x.cast("string")), ",").alias("cites"))
+
+
+@query(_CITED + """, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY paragraph) AS n FROM v)
+    SELECT conv_id, turn, md5(max(text) FILTER (WHERE n = 1)) AS headline, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY n) FILTER (WHERE n > 1), '')) AS detail FROM n GROUP BY conv_id, turn""")
+def headline_detail(spark, d):
+    """The first paragraph, and the others, of an answer without its citations."""
+    ps = F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda p: p["text"])
+    g = _cited(spark, d).groupBy("conv_id", "turn").agg(ps.alias("ps"))
+    return g.select("conv_id", "turn", F.md5(F.get("ps", F.lit(0))).alias("headline"), F.md5(F.array_join(F.slice("ps", F.lit(2), F.size("ps")), "\n\n")).alias("detail"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+    t AS (SELECT doc_id, source, place, '--- Passage ' || place || '  [' || source || ', ' || lang || '] ---' || chr(10) || CASE WHEN length(text) > 2500 THEN substr(text, 1, 2500) || ' ...' ELSE text END AS part FROM n),
+    c AS (SELECT doc_id, source, place, sum(length(part)) OVER (PARTITION BY source ORDER BY doc_id) AS total FROM t)
     SELECT doc_id, source, place, total::BIGINT AS total FROM c WHERE place = 1 OR total <= 18000""")
 def context_budget(spark, d):
-    kept = R.context_budget(docs(spark, d).select("doc_id", "source", "text"), "source", "doc_id", "text")
+    label = R.passage_label(F.col("source"), F.col("lang"))
+    kept = R.context_budget(docs(spark, d).select("doc_id", "source", "lang", "text"), "source", "doc_id", "text", label)
     return kept.select("doc_id", "source", "place", F.col("total").cast("long").alias("total"))
 
 
@@ -353,15 +393,37 @@ def merge_blocks(spark, d):
     return merged.select("conv_id", F.col("run").cast("long").alias("run"), "role", F.md5("text").alias("hash"))
 
 
-_RAW = """(SELECT l_orderkey AS key, l_partkey % 100 AS s, l_partkey % 100 + l_quantity::INT AS e FROM lineitem)"""
+_RAW = """(SELECT l_orderkey AS key, l_linenumber AS line, l_partkey % 100 AS s, l_partkey % 100 + l_quantity::INT AS e FROM lineitem)"""
+_MERGED = f"""WITH r AS (SELECT key, line, s, e, CASE WHEN s >= max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM {_RAW}),
+    i AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM r),
+    m AS (SELECT key, min(s) AS start, max(e) AS stop, array_to_string(list(line ORDER BY s, line), ',') AS names FROM i GROUP BY key, g)"""
+
+
+def _merged(spark, d):
+    r = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 100).alias("start"), (F.col("l_partkey") % 100 + F.col("l_quantity").cast("int")).alias("stop")
+    )
+    return G.merge_intervals(r, "key", "start", "stop", "line")
 
 
-@query(f"""WITH r AS (SELECT key, s, e, CASE WHEN s >= max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM {_RAW}),
-    i AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM r)
-    SELECT key, min(s) AS start, max(e) AS stop, count(*) AS n FROM i GROUP BY key, g""")
+@query(f"{_MERGED} SELECT key, start, stop, names FROM m")
 def interval_merge(spark, d):
-    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % 100).alias("start"), (F.col("l_partkey") % 100 + F.col("l_quantity").cast("int")).alias("stop"))
-    return G.merge_intervals(r, "key", "start", "stop")
+    return _merged(spark, d).select("key", "start", "stop", F.array_join(F.transform("names", lambda x: x.cast("string")), ",").alias("names"))
+
+
+@query(f"""{_MERGED}, t AS (SELECT key, repeat('a' || (key % 7), 70) AS text FROM (SELECT DISTINCT key FROM m)),
+    c AS (SELECT key, start, stop, names, coalesce(lag(stop) OVER w, 0) AS before, lead(start) OVER w IS NULL AS last FROM m WINDOW w AS (PARTITION BY key ORDER BY start)),
+    p AS (SELECT key, 2 * start AS o, substr(text, before::INT + 1, (start - before)::INT) AS run, '' AS names FROM c JOIN t USING (key) WHERE start > before
+      UNION ALL SELECT key, 2 * start + 1, substr(text, start::INT + 1, (stop - start)::INT), names FROM c JOIN t USING (key)
+      UNION ALL SELECT key, 1000, substr(text, stop::INT + 1), '' FROM c JOIN t USING (key) WHERE last AND stop < length(text))
+    SELECT key, (row_number() OVER (PARTITION BY key ORDER BY o) - 1)::INT AS pos, run, names FROM p""")
+def text_segments(spark, d):
+    """A text's plain and marked runs, the merged intervals being its marks."""
+    marks = F.array_sort(F.collect_list(F.struct("start", F.col("stop").alias("end"), "names")))
+    g = _merged(spark, d).groupBy("key").agg(marks.alias("marks")).withColumn("text", F.repeat(F.concat(F.lit("a"), F.col("key") % 7), F.lit(70)))
+    runs = g.select("key", F.posexplode(G.segments(F.col("text"), F.col("marks"))).alias("pos", "r"))
+    names = F.array_join(F.transform("r.names", lambda x: x.cast("string")), ",")
+    return runs.select("key", "pos", F.col("r.text").alias("run"), F.coalesce(names, F.lit("")).alias("names"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT conv_id, list(length(text)::BIGINT ORDER BY turn) AS ls FROM conversations GROUP BY conv_id),
@@ -376,3 +438,18 @@ def batch_sections(spark, d):
 def finalize_ids(spark, d):
     rows = docs(spark, d).select("source", "doc_id", F.md5("text").alias("hash"))
     return G.number_rows(rows, ["source", "doc_id"]).select("id", "source", "doc_id", "hash")
+
+
+_QUESTIONS = ("What does Norway produce?", "british rigs and UKCS wells", "Texas", "gas price and indian fields", "nothing named", "the U.S. market", "Brent oil prices")
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Norway' WHEN 1 THEN 'UK' WHEN 2 THEN 'US' WHEN 6 THEN 'Global' END AS country FROM events")
+def detect_country(spark, d):
+    """The one country that a question names. The dots of "the U.S. market" are followed by a space, so no word ends there, and that question names none."""
+    q = F.element_at(F.array(*map(F.lit, _QUESTIONS)), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", X.detect_country(q).alias("country"))
+
+
+@query("SELECT event_id, round(value * 100, 1)::VARCHAR || '%' AS label FROM events WHERE value < 9000")
+def score_percent(spark, d):
+    return table(spark, d, "events").where("value < 9000").select("event_id", X.score_percent(F.col("value")).alias("label"))
