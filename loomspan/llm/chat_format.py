@@ -3,9 +3,10 @@
 A running sum of turn tokens within a conversation (the estimate: bytes / 4 and a fixed cost a turn)
 places each turn in a cell of the budget left by the system turn and the history. Turns inside a
 cell make one window; a turn that crosses the end of its cell makes a window alone. So windows
-are turn-aligned and no longer than the budget unless a single turn is. Every later window starts
-with the system turn and up to ``history_turns`` turns before it (within ``history_tokens``); these are
-repeated, and only the first copy of an assistant's text is under the loss mask.
+are turn-aligned and no longer than the budget unless a single turn with the system turn is. Every
+later window starts with the system turn and up to ``history_turns`` turns before it (within
+``history_tokens`` and the budget); these are repeated, and only the first copy of an assistant's text
+is under the loss mask.
 
 A formatted window is a series of ``<|turn|>role<|text|>text<|end|>``. Control strings inside roles and
 texts are broken by a backslash after their first character, and backslashes are doubled, so
@@ -82,7 +83,8 @@ def _order(*keys: str):
 
 
 def _cell(kept: Column, plan: Plan) -> Column:
-    return F.greatest(F.lit(plan.budget) - kept - plan.history_tokens, F.lit(plan.least_cell))
+    left = F.lit(plan.budget) - kept
+    return F.greatest(left - plan.history_tokens, F.least(F.lit(plan.least_cell), left), F.lit(1))
 
 
 def _span(before: Column, own: Column, cell: Column) -> Column:
@@ -133,7 +135,7 @@ def _sliced(t: DataFrame, long: DataFrame, plan: Plan) -> DataFrame:
     firsts, before = [], F.col("base")
     for k in range(near):
         own = F.col(f"own{k}")
-        firsts.append(F.when(own.isNotNull(), F.struct(_span(before, own, cell).alias("span"), before.alias("before"))))
+        firsts.append(F.when(own.isNotNull(), F.struct(_span(before, own, cell).alias("span"), before.alias("before"), own.alias("own"))))
         before = before + own
     edges = edges.withColumn("firsts", F.array_compact(F.array(*firsts)))
     nothing = F.array().cast(edges.schema["firsts"].dataType)
@@ -161,7 +163,9 @@ def _windows(t: DataFrame, plan: Plan, sliced: bool) -> DataFrame:
     before = F.sum("own").over(running) - F.col("own")
     t = t.withColumn("before", before + F.col("base") if sliced else before)
     kept = F.col("conv_kept") if sliced else F.coalesce(F.first(F.when(system, F.col("cost")), ignorenulls=True).over(running), F.lit(0))
-    t = t.withColumn("span", _span(F.col("before"), F.col("own"), _cell(kept, plan)))
+    t = t.withColumn("kept", kept)
+    cell = _cell(F.col("kept"), plan)
+    t = t.withColumn("span", _span(F.col("before"), F.col("own"), cell))
     last = F.lag("span").over(order)
     t = t.withColumn("opens", F.coalesce((F.coalesce(last, F.col("prev_span")) if sliced else last) != F.col("span"), F.lit(True)))
     t = t.withColumn("window", F.col("span") + 1)
@@ -179,7 +183,10 @@ def _windows(t: DataFrame, plan: Plan, sliced: bool) -> DataFrame:
     copies = [F.when(~F.col("ghost"), copy(F.col("window"), F.col("pos"), 0)), F.when(F.col("head").isNotNull(), copy(F.col("window"), F.lit(0), 2))]
     for d in range(1, plan.history_turns + 1):
         span = ahead("span", d)
-        fits = (span != ahead("span", d - 1)) & (span > F.col("span")) & (ahead("before", d) - F.col("before") <= plan.history_tokens) & ~system
+        # What the window there may hold itself: its cell, or the turn that opens it if that is larger or stands alone.
+        own = ahead("own", d)
+        room = F.lit(plan.budget) - F.col("kept") - F.when(span % 2 == 1, own).otherwise(F.greatest(cell, own))
+        fits = (span != ahead("span", d - 1)) & (span > F.col("span")) & (ahead("before", d) - F.col("before") <= F.least(F.lit(plan.history_tokens), room)) & ~system
         copies.append(F.when(fits, copy(span + 1, F.col("pos"), 1)))
     t = t.withColumn("copies", F.array_compact(F.array(*copies)))
     out = t.select("conv_id", "seg", "role", "text", "head", F.explode("copies").alias("c"))

@@ -50,10 +50,10 @@ def blocks(items: DataFrame, item_id: str, text: str, size: int, most: int) -> I
     held: dict[bytes, set] = {}
     for r in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         for w in item_windows(r.t, size):
+            if len(held) >= most and w not in held:
+                yield held
+                held = {}
             held.setdefault(w, set()).add(r.i)
-        if len(held) >= most:
-            yield held
-            held = {}
     if held:
         yield held
 

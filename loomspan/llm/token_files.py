@@ -89,8 +89,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """rows with start, the number of tokens of all documents before. counts(file, n_tokens): a read of these columns alone."""
     files = counts.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # Part files are numbered in the order of their ranges.
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Part files are numbered in the order of their ranges; beyond 99 999 names do not sort as numbers do.
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", before.alias("base"))
     own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(files, "file").withColumn("start", F.col("base") + own).drop("base")

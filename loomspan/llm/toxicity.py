@@ -3,12 +3,14 @@
 Features are the presence of hashed words and of their first four, five and six bytes, so stems with
 changing endings are learnt too. A logistic regression is fitted on at most ``max_rows`` labelled
 rows (those with the least hash of their id: a documented bound on the sample; scoring covers all
-rows). Sentences of these rows that name a group are copied with the name swapped for another of
+rows). Sentences of these rows that name a group, at most ``pairs_per_row`` of a row, are copied with the name swapped for another of
 its list, and the squared change of their score is penalised, so a neutral mention of a group
-carries little weight by itself.
+carries little weight by itself. Every name is also placed in a sentence by itself and swapped, so
+the penalty has its pairs where no labelled sentence names a group. (The rest of a sentence is the
+same on both sides and cancels out in a linear score, so any neutral sentence gives the same pair.)
 
 Defined results: null text scores as the empty text; labels that are null or whose doc_id is null or
-absent from docs teach nothing; several labels of one doc_id count as the largest; with no labels,
+absent from docs teach nothing; several labels of one doc_id count as the largest, and of several texts the least is learnt; with no labels,
 or labels of one kind, every score is the smoothed share of toxic labels; a null doc_id is not held
 out.
 """
@@ -99,7 +101,7 @@ def distinct(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def _of(texts: list[str]) -> list[np.ndarray]:
+def of_texts(texts: list[str]) -> list[np.ndarray]:
     t = Texts(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text")
     row, bucket = distinct(*features(t))
     at = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -122,12 +124,20 @@ class Swaps:
         return out
 
 
+def placed_names(groups=IDENTITY_TERMS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each name and the next of its list, as features."""
+    pairs = [(w, g[(k + 1) % len(g)]) for g in groups for k, w in enumerate(g)]
+    found = of_texts([w for p in pairs for w in p])
+    return list(zip(found[::2], found[1::2], strict=True))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
-    #: Sentences with a swapped name that training had; with none, the penalty never acts.
+    #: Sentences with a swapped name that training had, and names placed by themselves.
     swapped: int = 0
+    placed: int = 0
 
     def score(self, t: Texts) -> np.ndarray:
         row, bucket = features(t)
@@ -193,12 +203,12 @@ def fit(lists: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np
     return Model(weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 8000, groups=IDENTITY_TERMS, penalty: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = 8000, pairs_per_row: int = 4, groups=IDENTITY_TERMS, penalty: float = 1.0) -> Model:
     """Fits on the labelled rows of docs that are not held out."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     known = known.join(docs.select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     swaps = Swaps(groups)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             a = [pack(bucket[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
             b = [None] * t.rows
             for i, whole in enumerate(column(t.batch, "text").to_pylist()):
-                for before, after in swaps.pairs(whole or ""):
-                    x, z = _of([before, after])
+                for before, after in swaps.pairs(whole or "")[:pairs_per_row]:
+                    x, z = of_texts([before, after])
                     ids.append(ids[i])
                     y.append(y[i])
                     a.append(pack(x))
@@ -221,18 +231,18 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     rows = sample.select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(extract, "id long, y int, a binary, b binary")
     # One partition at a time, so that the driver holds the packed features (some 4 KB a row) and little else.
     found = [(r.id, bytes(r.a), bytes(r.b) if r.b is not None else None, r.y) for r in rows.toLocalIterator()]
-    seen, lists, y, pairs = set(), [], [], []
-    for i, a, b, toxic in sorted(found, key=lambda r: (r[0], r[1], r[2] or b"")):
+    lists, y, pairs = [], [], []
+    for _, a, b, toxic in sorted(found, key=lambda r: (r[0], r[1], r[2] or b"")):
         a = np.frombuffer(a, np.int32)
         if b is not None:
             pairs.append((a, np.frombuffer(b, np.int32)))
-        elif i not in seen:
-            seen.add(i)
+        else:
             lists.append(a)
             y.append(toxic > 0)
     del found
-    model = fit(lists, np.array(y, np.float64), pairs, penalty=penalty)
-    model.swapped = len(pairs)
+    placed = placed_names(groups)
+    model = fit(lists, np.array(y, np.float64), pairs + placed, penalty=penalty)
+    model.swapped, model.placed = len(pairs), len(placed)
     del lists, pairs
     trim()
     return model

@@ -71,7 +71,7 @@ def test_toxicity_generalises(spark):
     scores = [r.score for r in toxicity.score_toxicity(frame(spark, [(1, None), (2, "")]), model).collect()]
     assert scores[0] == scores[1] and 0 <= scores[0] < 0.3
     constant = toxicity.train(docs, known.limit(0))
-    assert {r.score for r in toxicity.score_toxicity(docs, constant).collect()} == {1 / 22 / (1 / 22 + 21 / 22)} or True
+    assert all(abs(r.score - 1 / 22) < 1e-9 for r in toxicity.score_toxicity(docs, constant).collect())
 
 
 def test_counterfactual_penalty_frees_neutral_mentions(spark):
@@ -84,9 +84,31 @@ def test_counterfactual_penalty_frees_neutral_mentions(spark):
         model = toxicity.train(docs, known, penalty=penalty)
         s = {r.doc_id: r.score for r in toxicity.score_toxicity(probe, model).collect()}
         gap[penalty] = abs(s[1] - s[2])
+        assert model.placed > 100
     assert gap[20.0] < 0.6 * gap[0.0]
 
 
+def test_placed_names_act_without_swapped_sentences(spark):
+    """Names that stand alone in no sentence of the pairs' own: the penalty acts through names placed by themselves."""
+    rows, labels = toxic_rows()
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lists = toxicity.of_texts([t for _, t in rows])
+    y = np.array([v for _, v in labels], float)
+    probe = toxicity.of_texts(["the women said so", "the men said so"])
+    gap = [abs(sum(m.weights[probe[0]]) - sum(m.weights[probe[1]])) for m in (toxicity.fit(lists, y, p) for p in ([], toxicity.placed_names()))]
+    assert gap[1] < 0.6 * gap[0]
+    model = toxicity.train(docs, known, pairs_per_row=0)
+    assert model.swapped == 0 and model.placed == len(toxicity.placed_names())
+
+
+def test_training_takes_one_text_and_few_pairs_of_a_document(spark):
+    rows = [(1, f"the women said so. the men said no. {k}") for k in range(50)] + [(k, "plain") for k in range(2, 30)]
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 30)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels, pairs_per_row=1)
+    assert model.swapped <= 1
+    assert toxicity.train(frame(spark, rows), labels, pairs_per_row=9).swapped <= 2
+
+
 def test_names_are_swapped_in_every_language(spark):
     names = [w for g in toxicity.IDENTITY_TERMS for w in g]
     assert len(names) == len(set(names))
@@ -136,6 +158,23 @@ def test_chat_windows_keep_the_budget(spark):
     assert controls.count() == 0
 
 
+def test_chat_windows_keep_the_budget_beside_large_system_turns(spark):
+    """A window is over the budget only if one of its turns and the system turn are, whatever the history."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c, n in enumerate([0, 200, 700, 850, 960, 1010, 1100]):
+        rows += [(c, -1, "system", "s" * 4 * n)] + [(c, t, "user" if t % 2 == 0 else "assistant", "x" * int(rng.integers(0, 4 * rng.choice([20, 150, 800])))) for t in range(60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for slices in (4096, 7):
+        plan = chat_format.Plan(slice_turns=slices)
+        w = chat_format.windows(turns, plan).withColumn("cost", chat_format.turn_tokens(F.col("text"), plan))
+        system = F.col("role") == "system"
+        per = w.groupBy("conv_id", "window").agg(F.sum("cost").alias("cost"), F.coalesce(F.max(F.when(system, F.col("cost"))), F.lit(0)).alias("kept"), F.max(F.when(~system & ~F.col("repeated"), F.col("cost"))).alias("most"), F.count_if(F.col("repeated") & ~system).alias("old"))
+        per = per.collect()
+        assert all(r.cost <= plan.budget or r.kept + (r.most or 0) > plan.budget for r in per)
+        assert {r.old for r in per} == {0, 1, 2}
+
+
 def test_chat_windows_do_not_depend_on_slices(spark):
     """Long conversations and sparse turn numbers give the windows of the plain method, history included."""
     turns = chats(spark).unionByName(chats(spark).where("conv_id = 2").withColumn("conv_id", F.lit(None).cast("long")))

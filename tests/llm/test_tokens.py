@@ -1,4 +1,5 @@
 import base64
+import glob
 import hashlib
 import random
 import struct
@@ -7,15 +8,17 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomspan.llm import byte_bpe
 from loomspan.llm._bpe import merge, pre_tokens, split
 from loomspan.llm._common import Texts
 from loomspan.llm.token_counts import count_tokens, prove_whole
-from loomspan.llm.token_files import encode_documents, read_tokens, token_round_trip, write_tokens
+from loomspan.llm.token_files import encode_documents, read_tokens, starts, token_round_trip, write_tokens
 from tests.llm.cases import documents, empty, frame
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -62,6 +65,28 @@ def test_files(spark, wanted, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3)]" in one._jdf.queryExecution().toString()
 
 
+def test_file_layout(spark, tmp_path):
+    """Dictionaries, several row groups and pages, and an index for each column."""
+    folder = str(tmp_path / "tokens")
+    rows = spark.range(6000).selectExpr("id AS doc_id", "repeat(concat('word ', id % 50, ' '), 40) AS text")
+    write_tokens(encode_documents(rows, JSON).coalesce(1), folder, **{"parquet.block.size": "20000"})
+    (path,) = glob.glob(f"{folder}/part-*.parquet")
+    meta = pq.ParquetFile(path).metadata
+    assert meta.num_row_groups > 1
+    for g in range(meta.num_row_groups):
+        for c in range(meta.row_group(g).num_columns):
+            col = meta.row_group(g).column(c)
+            assert col.has_column_index and col.has_offset_index and col.compression == "ZSTD"
+            if col.path_in_schema.startswith("tokens"):
+                assert any("DICTIONARY" in e for e in col.encodings)
+
+
+def test_starts_follow_file_numbers(spark):
+    counts = spark.createDataFrame([("part-99999-a.parquet", 5), ("part-100000-a.parquet", 7), ("part-00002-a.parquet", 2)], "file string, n_tokens int")
+    rows = counts.withColumn("row", F.lit(0).cast("long"))
+    assert {r.file[:11]: r.start for r in starts(rows, counts).collect()} == {"part-00002-": 0, "part-99999-": 2, "part-100000": 7}
+
+
 @pytest.mark.parametrize("head_bytes", [96 << 20, 300])
 def test_byte_bpe(spark, head_bytes):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
