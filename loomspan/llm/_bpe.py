@@ -130,8 +130,9 @@ class WordTable:
         if len(self.offsets) > self.most or len(self.bytes) > self.most_bytes:
             self.clear()
         words = t.words()
-        lead, group, apart = grouped(words, start, end, t.hashes(start, end))
-        u = t.hashes(start[lead], end[lead])
+        h = t.hashes(start, end)
+        lead, group, apart = grouped(words, start, end, h)
+        u = h[lead]
         at = np.searchsorted(self.keys, u)
         known = np.zeros(len(u), bool)
         known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == u[at < len(self.keys)]
@@ -171,8 +172,9 @@ def word_ids(model) -> Callable[[Texts, np.ndarray, np.ndarray], list[list[int]]
     letters = {b: c for c, b in byte_letters().items()}
 
     def make(t: Texts, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
-        shown = t.data.tobytes().decode("latin-1").translate(letters)
-        return [[x.id for x in model.tokenize(shown[s:e])] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        shown = gather(t.data, start, end - start).tobytes().decode("latin-1").translate(letters)
+        ends = np.cumsum(end - start).tolist()
+        return [[x.id for x in model.tokenize(shown[s:e])] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
     return make
 
