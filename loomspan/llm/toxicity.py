@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, mix, text_slices, trim
+from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, mix, stored, text_slices, trim
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -229,7 +229,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["id", "y", "a", "b"])
 
     rows = sample.select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(extract, "id long, y int, a binary, b binary")
-    # One partition at a time, so that the driver holds the packed features (some 4 KB a row) and little else.
+    # Written by all tasks, then read one partition at a time: the driver holds the packed features (some 4 KB a row) and little else.
+    rows = stored(rows)
     found = [(r.id, bytes(r.a), bytes(r.b) if r.b is not None else None, r.y) for r in rows.toLocalIterator()]
     lists, y, pairs = [], [], []
     for _, a, b, toxic in sorted(found, key=lambda r: (r[0], r[1], r[2] or b"")):
