@@ -198,18 +198,6 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return hits.agg(F.count("hit").alias("n_hit"), F.count("*").alias("n_exact")).withColumn("recall", F.col("n_hit") / F.col("n_exact"))
 
 
-def layers(n: int, m: int = 16, seed: int = 0xDEADBEEFCAFE1337) -> np.ndarray:
-    """Layers of a navigable graph, drawn by a 64-bit xorshift generator (13, 7, 17) in insertion order."""
-    mask, out, x = (1 << 64) - 1, np.zeros(n, np.int32), seed
-    for i in range(n):
-        x ^= x << 13 & mask
-        x ^= x >> 7
-        x ^= x << 17 & mask
-        u = max(x / 2**64, 1e-18)
-        out[i] = int(-np.log(u) / np.log(m))
-    return out
-
-
 @dataclass
 class VectorTable:
     """Points in Parquet: create, insert, search, save, load and info, as a vector store has them."""
@@ -220,6 +208,7 @@ class VectorTable:
     read_only: bool = False
     cells: DataFrame | None = None
     _celled: DataFrame | None = field(default=None, repr=False)
+    _graphs: tuple | None = field(default=None, repr=False)
 
     def insert(self, rows: DataFrame, strict: bool = True) -> VectorTable:
         """Adds points (id, vector, payload columns). Ids may repeat: all stay searchable, ``get`` sees the last insert."""
@@ -228,7 +217,7 @@ class VectorTable:
         seq = 0 if self.points is None else self.points.agg(F.max("seq")).first()[0] + 1
         rows = valid_vectors(rows, "vector", self.dim, strict).withColumn("seq", F.lit(seq))
         self.points = rows if self.points is None else self.points.unionByName(rows, allowMissingColumns=True)
-        self._celled = None
+        self.cells = self._celled = self._graphs = None
         return self
 
     def build_index(self, cells: int) -> VectorTable:
@@ -236,13 +225,24 @@ class VectorTable:
         self._celled = assign_cells(self.points, self.cells)
         return self
 
+    def build_graph(self, config=None) -> VectorTable:
+        from loomspan.operators.graph import GraphConfig, build_graphs
+
+        config = config or GraphConfig()
+        self._graphs = config, build_graphs(self.points, config)
+        return self
+
     def least_nprobe(self, queries: DataFrame, k: int, least: float = 0.9) -> int:
         return least_nprobe(self._celled, self.cells, queries, k, least)
 
-    def search(self, queries: DataFrame, k: int, conditions=(), nprobe: int | None = None) -> DataFrame:
-        """A filter, or no index, means an exact scan; nprobe asks for the index."""
+    def search(self, queries: DataFrame, k: int, conditions=(), nprobe: int | None = None, ef: int | None = None) -> DataFrame:
+        """A filter, or no index, means an exact scan; nprobe asks for the cells, ef (the width of the beam) for the graphs."""
         if self.points is None or self.points.isEmpty():
             raise ValueError("the collection is empty")
+        if ef is not None and self._graphs is not None and not conditions:
+            from loomspan.operators.graph import graph_topk
+
+            return graph_topk(self._graphs[1], queries, k, self._graphs[0], ef)
         if conditions or nprobe is None or self.cells is None:
             return exact_topk(self.points, queries, k, conditions)
         return ivf_topk(self._celled, self.cells, queries, k, nprobe)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomspan.config import EMBED_DIM
 from loomspan.functions import vectors as V
 from loomspan.functions.filters import AtLeast, AtMost, Between, Equals
+from loomspan.operators import graph as G
 from loomspan.operators import rank as R
 from loomspan.operators import search as S
 from loomspan.operators.catalog import count_by
@@ -146,12 +147,20 @@ def knn_graph_pruned(spark, d):
 
 @query()
 def hnsw_layer_hist(spark, d):
-    """How many points each layer of a navigable graph gets; the generator is sequential, in insertion order."""
-    import numpy as np
+    """How many points each layer of a navigable graph gets, by a generator in insertion order."""
+    return G.layer_counts(spark, points(spark, d).count())
 
-    n = points(spark, d).count()
-    counts = np.bincount(S.layers(n))
-    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(counts)], "layer int, n long")
+
+@query()
+def ann_graph_topk(spark, d):
+    """The nearest by walks of navigable graphs; what they find depends on the shards, so recall is tested instead."""
+    return _shown(G.graph_topk(G.build_graphs(points(spark, d)), point_queries(spark, d), 10))
+
+
+@query(_topk_sql().replace("round(distance, 6) + 0.0 AS distance", "printf('%.1f%%', 100 * (1 - distance)) AS score"))
+def score_percent(spark, d):
+    hits = S.exact_topk(points(spark, d), point_queries(spark, d), 10)
+    return hits.select("query_id", "id", "rank", V.percent(1 - F.col("distance")).alias("score"))
 
 
 _CELLS = """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions.filters import AtLeast, Between, Equals, page_range
+from loomspan.operators import graph as G
 from loomspan.operators import search as S
 from loomspan.plans import vectors as P
 
@@ -97,6 +98,46 @@ def test_recall_of_the_registered_search(spark, sf):
     assert P.ann_recall(spark, folder).first().recall >= 0.9
 
 
-def test_layers_fall_off():
-    counts = np.bincount(S.layers(5000))
-    assert counts[0] > 4000 and counts.sum() == 5000
+def test_layers_in_blocks_are_one_sequence(spark):
+    whole = np.bincount(G.drawn_layers(5000, G.GraphConfig().scale))
+    blocks = {r.layer: r.n for r in G.layer_counts(spark, 5000, block=700).collect()}
+    assert whole[0] > 4000 and blocks == {i: n for i, n in enumerate(whole.tolist()) if n}
+    assert G.layer_counts(spark, 0).count() == 0
+
+
+def test_graph_search_reaches_the_recall(spark):
+    rng = np.random.default_rng(5)
+    p = points(spark, [(i, rng.normal(size=16).tolist()) for i in range(1500)] + [(9000, None)]).repartition(3)
+    config = G.GraphConfig(m=8, ef_construction=60, ef_search=60, shard_rows=300)
+    graphs = G.build_graphs(p, config)
+    sizes = [len(r.ids) // 8 for r in graphs.collect()]
+    assert sum(sizes) == 1500 and max(sizes) == 300
+    q = p.where("id < 40").select(F.col("id").alias("query_id"), "vector")
+    exact = S.exact_topk(p.where("vector is not null"), q, 10)
+    found = {w: S.recall(G.graph_topk(graphs, q, 10, config, ef_search=w), exact).first().recall for w in (10, 60)}
+    assert found[60] >= 0.9 and found[10] <= found[60]
+    hits = G.graph_topk(graphs, q, 10, config)
+    assert hits.groupBy("query_id").count().where("count <> 10").count() == 0
+    assert ids(hits.where("rank = 1")) == ids(q.select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("rank")))
+
+
+def test_graph_links_are_bounded_and_found_again():
+    rng = np.random.default_rng(6)
+    config = G.GraphConfig(m=4, ef_construction=20)
+    g = G.Graph.built(config, S._unit(rng.normal(size=(200, 8))))
+    assert all(len(near) <= config.most(layer) and n not in near for n, node in enumerate(g.links) for layer, near in enumerate(node))
+    names, again = G.Graph.unpacked(config, g.packed(np.arange(200)).to_pylist()[0])
+    assert names.tolist() == list(range(200)) and (again.links, again.entry) == (g.links, g.entry)
+    assert max(len(x) for x in g.links) == len(g.links[g.entry])
+    with pytest.raises(ValueError):
+        G.GraphConfig(m=1)
+
+
+def test_graph_of_copies_and_of_nothing(spark):
+    config = G.GraphConfig(m=4, ef_construction=20, ef_search=20)
+    p = points(spark, [(i, [1.0, 0.0]) for i in range(60)]).coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<float>")
+    assert G.graph_topk(G.build_graphs(p, config), q, 5, config).count() == 5
+    assert G.graph_topk(G.build_graphs(p.limit(0), config), q, 5, config).count() == 0
+    t = S.VectorTable(spark, 2).insert(p)
+    assert t.build_graph(config).search(q, 5, ef=20).count() == 5
