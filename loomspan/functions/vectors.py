@@ -48,8 +48,3 @@ def valid_vectors(rows: DataFrame, column: str, dim: int, strict: bool = True) -
         checked = F.when(problem.isNull(), F.col(column)).otherwise(F.raise_error(problem))
         return rows.withColumn(column, normalize(checked))
     return rows.where(problem.isNull()).withColumn(column, normalize(F.col(column)))
-
-
-def percent(score: Column) -> Column:
-    """A score as a percentage of one decimal."""
-    return F.format_string("%.1f%%", score * 100)

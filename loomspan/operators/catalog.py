@@ -76,3 +76,35 @@ def cited_paragraphs(answers: DataFrame, chunks: DataFrame, key: list[str]) -> D
     none = F.array().cast(found.schema["cites"].dataType)
     out = out.select(*key, "paragraph", text.alias("text"), F.coalesce("cites", none).alias("cites"))
     return out.where((F.col("text") != "") & ~F.col("text").rlike(EMPTY_LABEL))
+
+
+def split_payload(rows: DataFrame, known: dict[str, object]) -> DataFrame:
+    """(known columns, extra): fixed fields with what stands for a missing one, and all others by name in a map of texts."""
+    fields = [F.coalesce(F.col(c), F.lit(v)).alias(c) if c in rows.columns else F.lit(v).alias(c) for c, v in known.items()]
+    others = [c for c in rows.columns if c not in known]
+    pairs = [x for c in others for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+    extra = F.create_map(*pairs) if pairs else F.create_map()
+    return rows.select(*fields, extra.cast("map<string,string>").alias("extra"))
+
+
+def browse(rows: DataFrame, country: str | None = None, source: str | None = None, search: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a listing shows of rows(country, source_file, text), and what its summary counts: filtered rows if a country or source is given, else all."""
+    shown = rows
+    if country:
+        shown = shown.where(F.lower("country") == country.lower())
+    if source:
+        shown = shown.where(contains_fold(F.col("source_file"), source))
+    if search:
+        shown = shown.where(contains_fold(F.col("text"), search))
+    return shown, shown if country or source else rows
+
+
+def texts_of(requests: DataFrame, ids: str, chunks: DataFrame) -> DataFrame:
+    """(request columns, id, text): the chunks(id, text) whose ids a request lists; unknown ids give nothing."""
+    asked = requests.withColumn("id", F.explode(F.array_distinct(ids))).drop(ids)
+    return asked.join(chunks.select("id", "text"), "id")
+
+
+def cited(sources: DataFrame, cites: DataFrame, keys: list[str]) -> DataFrame:
+    """The sources that a citation names."""
+    return sources.join(cites.select(keys), keys, "left_semi")

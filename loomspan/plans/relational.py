@@ -347,3 +347,54 @@ def retention_filter(spark, d):
     if cutoff is None:
         return e.select("event_id", "ts")
     return e.where(F.col("ts") >= F.lit(cutoff - timedelta(hours=24))).select("event_id", "ts")
+
+
+_KNOWN = {"id": -1, "page": -1, "country": "", "source_file": ""}
+
+
+@query("SELECT doc_id AS id, -1 AS page, coalesce(lang, '') AS country, '' AS source_file, 'n_chars=' || coalesce(n_chars::VARCHAR, '') || ';source=' || coalesce(source, '') AS extra FROM documents")
+def payload_split(spark, d):
+    """Fixed fields of a record with their defaults, and the rest as extra fields."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), "n_chars", "source")
+    pair = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
+    extra = F.array_join(F.array_sort(F.transform(F.map_entries("extra"), pair)), ";")
+    return C.split_payload(rows, _KNOWN).withColumn("extra", extra)
+
+
+_BROWSED = [("search", None, None, "eau"), ("source", None, "SRC1", "eau"), ("country", "FR", None, None)]
+
+
+@query("""WITH d AS (SELECT lang, contains(lower(source), 'src1') AS s, contains(lower(text), 'eau') AS t, lower(lang) = 'fr' AS f FROM documents),
+    c AS (SELECT count(*) FILTER (t) AS a, count(*) FILTER (s AND t) AS b, count(*) FILTER (f) AS c FROM d)
+    SELECT 'search' AS scope, (SELECT a FROM c) AS matched, lang AS country, count(*) AS n FROM d GROUP BY lang
+    UNION ALL SELECT 'source', (SELECT b FROM c), lang, count(*) FROM d WHERE s AND t GROUP BY lang
+    UNION ALL SELECT 'country', (SELECT c FROM c), lang, count(*) FROM d WHERE f GROUP BY lang""")
+def browse_summary(spark, d):
+    """Counts by country of three listings: a search alone summarises all rows, a country or source what it leaves."""
+    rows = table(spark, d, "documents").select(F.col("lang").alias("country"), F.col("source").alias("source_file"), "text")
+    out = []
+    for scope, country, source, search in _BROWSED:
+        shown, counted = C.browse(rows, country, source, search)
+        matched = shown.agg(F.count("*").alias("matched")).scalar()
+        out.append(C.count_by(counted, "country").select(F.lit(scope).alias("scope"), matched.alias("matched"), "country", "n"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""WITH r AS (SELECT DISTINCT conv_id, unnest([conv_id, conv_id * 3, conv_id, -1]) AS id FROM conversations)
+    SELECT conv_id, id, md5(text) AS text FROM r JOIN documents ON id = doc_id WHERE text IS NOT NULL""")
+def chunk_texts(spark, d):
+    """The texts of listed chunks; ids that no chunk has, and chunks without text, give no row."""
+    c = table(spark, d, "conversations").select("conv_id").distinct()
+    ids = F.array(F.col("conv_id"), F.col("conv_id") * 3, F.col("conv_id"), F.lit(-1).cast("long"))
+    chunks = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    return C.texts_of(c.withColumn("ids", ids), "ids", chunks).select("conv_id", "id", F.md5("text").alias("text"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority, (row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey)))::INT AS id FROM orders GROUP BY o_custkey, o_orderpriority)
+    SELECT o_custkey, o_orderpriority, id FROM s WHERE (o_custkey, id) IN (SELECT (o_custkey, (o_orderkey % 5)::INT) FROM orders)""")
+def cited_sources(spark, d):
+    """The sources of a customer's answer that its citations (here: remainders of order keys) name."""
+    o = table(spark, d, "orders").withColumn("page", F.col("o_orderkey") % 7)
+    sources = C.build_sources(o, "o_custkey", "o_orderpriority", "page", "o_orderkey", "o_orderstatus", "o_orderkey")
+    cites = o.select("o_custkey", (F.col("o_orderkey") % 5).cast("int").alias("id"))
+    return C.cited(sources, cites, ["o_custkey", "id"]).select("o_custkey", "o_orderpriority", "id")

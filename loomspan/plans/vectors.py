@@ -157,12 +157,6 @@ def ann_graph_topk(spark, d):
     return _shown(G.graph_topk(G.build_graphs(points(spark, d)), point_queries(spark, d), 10))
 
 
-@query(_topk_sql().replace("round(distance, 6) + 0.0 AS distance", "printf('%.1f%%', 100 * (1 - distance)) AS score"))
-def score_percent(spark, d):
-    hits = S.exact_topk(points(spark, d), point_queries(spark, d), 10)
-    return hits.select("query_id", "id", "rank", V.percent(1 - F.col("distance")).alias("score"))
-
-
 _CELLS = """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
     x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(e) AS x FROM p),
     c AS (SELECT label AS cell, list(v ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS v FROM x GROUP BY label, i) GROUP BY label),

@@ -1,11 +1,12 @@
 """Discovery and loading of files into blocks, and index metadata.
 
 Directories are listed and files are read by Spark's own sources, so any store it can read will do.
-Formats whose parsers are not installed (PDF, spreadsheets) raise ImportError when a file of theirs is loaded.
+A PDF raises ImportError if its parser is not installed.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,8 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.config import CHUNK_MIN_CHARS, TEXT_FILE_MOST
-from loomspan.functions.text import clean_line, folder_of, paragraphs, source_name
+from loomspan.config import CHUNK_MIN_CHARS, DOCX_XML_MOST, PDF_BLOCK_LEAST, PDF_PAGES_MOST, TEXT_FILE_MOST
+from loomspan.functions.text import clean, clean_line, folder_of, paragraphs, source_name
+from loomspan.models import Embedder, embed
+from loomspan.operators.search import VectorTable
+from loomspan.operators.segment import chunks, merge_blocks, number_rows
+from loomspan.sources.workbook import workbook_blocks
 
 _COPY = r"^(.*?) ?\([0-9]+\)(\.[^.]*)$"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -111,61 +116,151 @@ def sections(docs: DataFrame, key: str, text: str, least: int = 40) -> DataFrame
     return s.select(key, (F.col("p") + 1).alias("pos"), F.concat(F.lit("S"), F.col("p") + 1).alias("section_id"), "text")
 
 
-def docx_paragraphs(data: bytes, most: int = 50 << 20) -> list[str]:
-    """Paragraph texts of a DOCX file. Files that unpack to more than ``most`` bytes are refused."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        if sum(i.file_size for i in z.infolist()) > most:
-            raise ValueError("the document unpacks to too much data")
-        tree = ElementTree.fromstring(z.read("word/document.xml"))
-    return ["".join(t.text or "" for t in p.iter(f"{_W}t")) for p in tree.iter(f"{_W}p")]
+class UnreadableDocument(ValueError):
+    """The file is not a readable document of its kind; the message may be shown."""
+
+
+def docx_paragraphs(data: bytes, most: int = DOCX_XML_MOST) -> list[str]:
+    """Paragraph texts of a DOCX file, tabs as spaces. A body that unpacks to more than ``most`` bytes is refused."""
+    marks = {f"{_W}tab": " ", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            body = z.getinfo("word/document.xml")
+            if body.file_size > most:
+                raise UnreadableDocument("The Word document unpacks to too much data.")
+            tree = ElementTree.fromstring(z.read(body))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+        raise UnreadableDocument("The file is no Word document.") from e
+    return ["".join((t.text or "") if t.tag == f"{_W}t" else marks.get(t.tag, "") for t in p.iter()) for p in tree.iter(f"{_W}p")]
 
 
 def decode(data: bytes) -> str:
     """UTF-8 with or without a mark, else Windows-1252; text with NUL is refused."""
     if b"\0" in data:
-        raise ValueError("not a text file")
+        raise UnreadableDocument("The file is no text.")
     try:
         return data.decode("utf-8-sig")
     except UnicodeDecodeError:
         return data.decode("cp1252", "replace")
 
 
-def _pdf(data: bytes) -> list[str]:
+def text_lines(data: bytes) -> list[str]:
+    return decode(data).replace("\r\n", "\n").replace("\r", "\n").split("\n")
+
+
+def pdf_blocks(data: bytes, most_pages: int | None = None) -> list[tuple[int, str]]:
+    """(page, text) of the text blocks of a PDF. Uploads are refused beyond ``most_pages`` or with a password."""
+    if not data.startswith(b"%PDF-"):
+        raise UnreadableDocument("The file is no PDF.")
     import fitz
 
-    return [b[4] for page in fitz.open(stream=data) for b in page.get_text("blocks")]
+    try:
+        book = fitz.open(stream=data, filetype="pdf")
+    except Exception as e:
+        raise UnreadableDocument("The PDF cannot be opened.") from e
+    with book:
+        if book.needs_pass:
+            raise UnreadableDocument("The PDF is locked by a password.")
+        if most_pages is not None and book.page_count > most_pages:
+            raise UnreadableDocument(f"A PDF may have {most_pages} pages.")
+        return [(n, b[4]) for n, page in enumerate(book, 1) for b in page.get_text("blocks") if b[6] == 0]
+
+
+#: Parsers of uploads, by suffix: (page, text) pieces.
+PARSERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {
+    "docx": lambda d: [(None, t) for t in docx_paragraphs(d)],
+    "txt": lambda d: [(None, t) for t in text_lines(d)],
+    "md": lambda d: [(None, t) for t in text_lines(d)],
+    "pdf": lambda d: pdf_blocks(d, PDF_PAGES_MOST),
+}
 
 
-def _excel(data: bytes) -> list[str]:
-    import openpyxl
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, page, text, problem): pieces of uploaded documents, parsed where their bytes are read.
 
-    book = openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True)
-    return [", ".join(str(c) for c in row if c is not None) for sheet in book for row in sheet.iter_rows(values_only=True)]
+    A file that cannot be read, or of a kind that is not taken, gives one row with its problem and no text.
+    """
 
+    def pieces(name: str, data: bytes) -> list[tuple]:
+        kind = name.rsplit(".", 1)[-1].lower()
+        try:
+            if kind not in PARSERS:
+                raise UnreadableDocument("Files of this kind are not taken.")
+            return [(name, i, page, text, None) for i, (page, text) in enumerate(PARSERS[kind](data), 1)]
+        except UnreadableDocument as e:
+            return [(name, 0, None, None, str(e))]
 
-PARSERS: dict[str, Callable[[bytes], list[str]]] = {
-    "docx": docx_paragraphs,
-    "txt": lambda d: decode(d).split("\n"),
-    "md": lambda d: decode(d).split("\n"),
-    "pdf": _pdf,
-    "xlsx": _excel,
-}
+    kind = "path string, pos int, page int, text string, problem string"
+    raw = _parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), pieces, kind)
+    return raw.withColumn("text", clean_line(F.col("text"))).where("text <> '' or problem is not null")
 
 
-def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, text): pieces of uploaded documents of known kinds, parsed where their bytes are read."""
+def _parsed(files: DataFrame, pieces: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
+    """Rows that a parser makes of (path, content): a batch holds the rows of one file."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "int": pa.int32()}
+        fields = [f.split() for f in schema.split(", ")]
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kind = name.rsplit(".", 1)[-1].lower()
-                pieces = PARSERS[kind](data) if kind in PARSERS else []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces)), pa.array(list(range(1, len(pieces) + 1)), pa.int32()), pa.array(pieces, pa.string())], ["path", "pos", "text"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    raw = files.mapInArrow(parse, "path string, pos int, text string")
-    return raw.withColumn("text", clean_line(F.col("text"))).where("text <> ''")
-
-
-def index_meta(chunks: DataFrame, source: str, model: str, size: int, overlap: int) -> DataFrame:
-    return chunks.agg(F.count("*").alias("num_chunks"), F.lit(source).alias("source"), F.lit(model).alias("model"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"))
+            for i in range(b.num_rows):
+                rows = pieces(b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    return files.mapInArrow(parse, schema)
+
+
+def _csv_blocks(stem: str, data: bytes) -> list[tuple[int, str]]:
+    rows = csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""))
+    names = next(rows, [])
+    out = []
+    for n, row in enumerate((r for r in rows if r), 1):
+        cells = [f"{h}: {v.strip()}" for h, v in zip(names, row, strict=False) if v.strip()]
+        if cells:
+            out.append((n, f"{stem}: " + ", ".join(cells)))
+    return out
+
+
+def load_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """(source_file, country, page, row, text): the blocks of all files below root that are to be loaded, by their formats.
+
+    CSV, text, spreadsheets (xlsx, xlsm) and PDF; others are passed over. PDF blocks of one page are joined and cut into
+    chunks; rows and paragraphs are chunks as they are. A file is parsed in one task, by its bytes; a broken one fails the load.
+    """
+    kept = discover(spark, root).where(extension(F.col("path")).isin("csv", "txt", "xlsx", "xlsm", "pdf"))
+    names = kept.select(F.col("full").alias("path"), F.col("path").alias("source_file"), "country")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    small = names.count() < 100_000  # paths of some hundred bytes: contents move only beyond this
+    files = files.join(F.broadcast(names) if small else names, "path")
+
+    def pieces(name: str, data: bytes) -> list[tuple]:
+        stem, _, kind = name.rsplit("/", 1)[-1].rpartition(".")
+        if kind.lower() == "csv":
+            return [(name, None, n, t) for n, t in _csv_blocks(stem, data)]
+        if kind.lower() in ("xlsx", "xlsm"):
+            return [(name, None, n, t) for _, n, t in workbook_blocks(stem, data)]
+        if kind.lower() == "pdf":
+            return [(name, page, n, t) for n, (page, t) in enumerate(pdf_blocks(data), 1)]
+        return [(name, None, None, decode(data))]
+
+    raw = _parsed(files.select("source_file", "content"), pieces, "source_file string, page int, row int, text string")
+    kind = extension(F.col("source_file"))
+    rows = raw.where(kind.isin("csv", "xlsx", "xlsm"))
+    texts = paragraph_blocks(raw.where(kind == "txt"), "source_file", "text").select("source_file", F.lit(None).cast("int").alias("page"), "row", "text")
+    block = raw.where(kind == "pdf").withColumn("text", clean(F.col("text"))).where(F.length("text") >= PDF_BLOCK_LEAST)
+    joined = merge_blocks(block, "source_file", "row", "page", "text")
+    pdf = joined.select("source_file", "page", F.lit(None).cast("int").alias("row"), F.explode(chunks(F.col("text"))).alias("text"))
+    found = rows.unionByName(texts).unionByName(pdf).withColumn("country", country_of(F.col("source_file")))
+    return found.select("source_file", "country", "page", "row", "text")
+
+
+def rebuild(spark: SparkSession, root: str, path: str, model: Callable[[], Embedder], dim: int) -> VectorTable:
+    """Reads the whole corpus again and replaces the snapshot at path: ids without gaps, by file, page, row and text."""
+    rows = number_rows(load_corpus(spark, root), ["source_file", "page", "row", "text"])
+    table = VectorTable(spark, dim).insert(rows.withColumn("vector", embed(F.col("text"), model)), strict=False)
+    table.save(path, {"source": root})
+    return VectorTable.load(spark, path)
+
+
+def index_meta(rows: DataFrame, source: str, model: str, size: int, overlap: int) -> DataFrame:
+    return rows.agg(F.count("*").alias("num_chunks"), F.lit(source).alias("source"), F.lit(model).alias("model"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"))

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.models import HashingEmbedder
 from loomspan.operators.segment import number_rows
 from loomspan.sources import files as S
 from loomspan.streaming.ingest import append_points
@@ -39,10 +40,64 @@ def test_documents(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(raw.getvalue())
     (tmp_path / "b.md").write_bytes("caf\xe9".encode("cp1252"))
     (tmp_path / "c.bin").write_bytes(b"?")
-    got = {(r.path.rsplit("/", 1)[1], r.text) for r in S.load_documents(spark, str(tmp_path)).collect()}
-    assert got == {("a.docx", "One two"), ("b.md", "café")}
-    with pytest.raises(ValueError):
+    (tmp_path / "d.docx").write_bytes(b"PK no archive")
+    (tmp_path / "e.pdf").write_bytes(b"not a pdf")
+    got = {(r.path.rsplit("/", 1)[1], r.text, r.problem) for r in S.load_documents(spark, str(tmp_path)).collect()}
+    refused = {("c.bin", None, "Files of this kind are not taken."), ("d.docx", None, "The file is no Word document."), ("e.pdf", None, "The file is no PDF.")}
+    assert got == {("a.docx", "One two", None), ("b.md", "café", None)} | refused
+    with pytest.raises(S.UnreadableDocument):
         S.decode(b"a\0b")
+    with pytest.raises(S.UnreadableDocument, match="too much"):
+        S.docx_paragraphs(raw.getvalue(), most=20)
+
+
+def workbook(sheets, strings=()):
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'<workbook {m} xmlns:r="{r}"><sheets>{listed}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {m}>" + "".join(f"<si><t>{s}</t></si>" for s in strings) + "</sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {m}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        for i, rows in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {m}><sheetData>{rows}</sheetData></worksheet>")
+    return raw.getvalue()
+
+
+def test_spreadsheet_rows():
+    words = ["Fields of the north", "Feltnavn", "Depth", "Draugen", "Year"]
+    first = (
+        '<row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3" t="s"><v>2</v></c></row>'
+        '<row r="4"><c r="A4" s="1"><v>43832</v></c><c r="B4" t="s"><v>3</v></c><c r="C4"><v>251.5</v></c></row>'
+        '<row r="6"><c r="B6" t="inlineStr"><is><t> </t></is></c></row><row r="7"><c r="C7"><v>9</v></c><c r="D7"><v>1</v></c></row>'
+    )
+    second = '<row r="1"><c r="A1" t="s"><v>4</v></c></row><row r="2"><c r="A2"><v>2020</v></c></row>'
+    data = workbook({"Sheet": first, "wells": second, "none": ""}, words)
+    assert S.workbook_blocks("my_wells", data) == [
+        ("Sheet", 4, "my wells - Fields of the north: Period: 2020-01-02 00:00:00, Field name: Draugen, Depth: 251.5"),
+        ("Sheet", 7, "my wells - Fields of the north: Depth: 9"),
+        ("wells", 2, "my wells: Year: 2020"),
+    ]
+
+
+def test_corpus_is_loaded_by_format_and_rebuilt(spark, tmp_path):
+    root = tmp_path / "corpus"
+    (root / "Norway").mkdir(parents=True)
+    (root / "Norway" / "w.csv").write_text("name,depth\nA,10\n\n,\nB,7\n")
+    (root / "Norway" / "t.txt").write_text("short\n\n" + "ab " * 60)
+    (root / "Norway" / "x.xlsx").write_bytes(workbook({"x": '<row><c><v>1</v></c><c><v>2</v></c></row><row><c><v>3</v></c><c><v>4</v></c></row>'}))
+    (root / "y.bin").write_bytes(b"?")
+    got = {(r.source_file, r.country, r.row, r.text) for r in S.load_corpus(spark, str(root)).collect()}
+    assert got == {
+        ("Norway/w.csv", "Norway", 1, "w: name: A, depth: 10"), ("Norway/w.csv", "Norway", 3, "w: name: B, depth: 7"),
+        ("Norway/t.txt", "Norway", 2, ("ab " * 60).strip()), ("Norway/x.xlsx", "Norway", 2, "x: 1: 3, 2: 4"),
+    }
+    out = str(tmp_path / "index")
+    for _ in range(2):
+        table = S.rebuild(spark, str(root), out, lambda: HashingEmbedder(32), 32)
+        assert sorted(r.id for r in table.points.collect()) == [0, 1, 2, 3]
 
 
 def test_numbers_have_no_gaps(spark):
