@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomspan.config import EMBED_DIM, ZERO_NORM
 from loomspan.functions.filters import matching
 from loomspan.functions.vectors import valid_vectors
+from loomspan.sources.snapshot import scratch
 
 BLOCK = 4096
 HITS = "query_id long, id long, distance double"
@@ -144,6 +145,13 @@ def assign_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     return points.select("id", "vector").mapInArrow(assign, f"id long, vector {kind}, cell long")
 
 
+def store_cells(celled: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes points with their cells, a folder a cell, and reads them back: a search then opens the folders of its cells only. Large cells go to several tasks."""
+    path = path or scratch(celled.sparkSession)
+    celled.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+    return celled.sparkSession.read.schema(celled.schema).parquet(path)
+
+
 def ivf_topk(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k: int, nprobe: int, block: int = 1024) -> DataFrame:
     """As exact_topk, among the points of each query's nprobe nearest cells. Stored by cell, others are not read."""
     spark = cell_points.sparkSession
@@ -222,7 +230,7 @@ class VectorTable:
 
     def build_index(self, cells: int) -> VectorTable:
         self.cells = train_centroids(self.points, cells)
-        self._celled = assign_cells(self.points, self.cells)
+        self._celled = store_cells(assign_cells(self.points, self.cells))
         return self
 
     def build_graph(self, config=None) -> VectorTable:

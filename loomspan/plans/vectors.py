@@ -169,7 +169,7 @@ _CELLS = """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM
 def _ivf(spark, d, nprobe=8):
     p = points(spark, d)
     cells = S.centroids(p.withColumn("label", F.col("label").cast("long")), "label")
-    return S.ivf_topk(S.assign_cells(p, cells), cells, point_queries(spark, d), 10, nprobe)
+    return S.ivf_topk(S.store_cells(S.assign_cells(p, cells)), cells, point_queries(spark, d), 10, nprobe)
 
 
 @query(f"{_CELLS} SELECT query_id, id, rank::INT AS rank, round(distance, 6) + 0.0 AS distance FROM f")

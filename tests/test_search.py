@@ -80,6 +80,16 @@ def test_index_recall(spark):
     assert S.prune_graph(graph, 4).groupBy("src").count().agg(F.max("count")).first()[0] <= 4
 
 
+def test_probed_cells_are_read_alone(spark):
+    p = points(spark, [(i, [1.0, i / 9]) for i in range(40)])
+    cells = S.train_centroids(p, 4)
+    stored = S.store_cells(S.assign_cells(p, cells))
+    assert stored.count() == 40 and stored.columns == ["id", "vector", "cell"]
+    plan = stored.where("cell in (0, 1)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan
+    assert S.store_cells(S.assign_cells(p.limit(0), cells)).count() == 0
+
+
 def test_tuned_probes_reach_the_recall(spark):
     rng = np.random.default_rng(3)
     t = S.VectorTable(spark, 16).insert(points(spark, [(i, rng.normal(size=16).tolist()) for i in range(400)])).build_index(16)
