@@ -2,8 +2,8 @@
 
 Each task fills memtables (digest -> identifier to keep, rows) and flushes each full one as a sorted
 run; runs are Parquet files in the shared folder with min/max statistics and Bloom filters on the
-digest, so ``lookup`` of an incremental load's digests reads only row groups that may hold them; the query itself
-compacts all runs and needs no filter. Compaction merges the runs by
+digest, so ``lookup`` of an incremental load's digests reads only row groups that may hold them; ``add`` takes
+such a load and merges levels as they fill. The query itself compacts all runs and needs no filter. Compaction merges the runs by
 digest range into one sorted level, keeps one identifier per digest and adds up the rows. A
 memtable holds a digest once, so a hot text costs each task one row.
 
@@ -33,16 +33,19 @@ def sha256_digest(text: Column) -> Column:
 
 
 class MergeIndex:
-    """Sorted digest runs in one folder of the shared file system."""
+    """Sorted digest runs in one folder of the shared file system, in levels: ``fanout`` tables of a level become one of the next."""
 
-    def __init__(self, spark, root: str | None = None, *, keep: str = "largest", memtable_rows: int = 200_000):
-        self.spark, self.root, self.keep, self.memtable_rows = spark, root or shared_folder(spark), keep, memtable_rows
-        self.levels: list[str] = []
+    def __init__(self, spark, root: str | None = None, *, keep: str = "largest", memtable_rows: int = 200_000, fanout: int = 8):
+        self.spark, self.root, self.keep, self.memtable_rows, self.fanout = spark, root or shared_folder(spark), keep, memtable_rows, fanout
+        self.levels: list[list[str]] = [[]]
+        self.written = 0
 
-    def _write(self, df: DataFrame, name: str) -> None:
-        path = f"{self.root}/{name}"
+    def _write(self, df: DataFrame, level: int) -> None:
+        path = f"{self.root}/level{level}-{self.written}"
         df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(self.memtable_rows)).parquet(path)
-        self.levels.append(path)
+        self.written += 1
+        self.levels.extend([] for _ in range(level + 1 - len(self.levels)))
+        self.levels[level].append(path)
 
     def flush(self, rows: DataFrame) -> None:
         """Adds runs from (digest, id)."""
@@ -69,10 +72,23 @@ class MergeIndex:
             if table:
                 yield run(table)
 
-        self._write(rows.mapInArrow(memtables, "digest binary, keep_id long, n long"), f"run{len(self.levels)}")
+        self._write(rows.mapInArrow(memtables, "digest binary, keep_id long, n long"), 0)
 
-    def runs(self) -> DataFrame:
-        return self.spark.read.schema("digest binary, keep_id long, n long").parquet(*self.levels)
+    def add(self, rows: DataFrame) -> None:
+        """An incremental load: new runs, and then compaction of each level that has got full, lowest first."""
+        self.flush(rows)
+        level = 0
+        while level < len(self.levels):
+            if len(self.levels[level]) >= self.fanout:
+                self._merge(self.levels[level], level + 1)
+                self.levels[level] = []
+            level += 1
+
+    def runs(self, paths: list[str] | None = None) -> DataFrame:
+        """(digest, keep_id, n) of some tables, of all by default; a digest may come once from each run."""
+        paths = [p for level in self.levels for p in level] if paths is None else paths
+        schema = "digest binary, keep_id long, n long"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
         """(digest, keep_id, n) of the given digests, of all runs that hold one. Spark pushes the digests into the scan, where Bloom filters and statistics pass over row groups."""
@@ -83,14 +99,17 @@ class MergeIndex:
         found = self.runs().where(some)
         return found.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
-    def compact(self) -> DataFrame:
-        """Merges all runs into one sorted level and returns it."""
+    def _merge(self, paths: list[str], level: int) -> None:
         best = F.max if self.keep == "largest" else F.min
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        merged = self.runs().repartitionByRange(parts, "digest").groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
-        runs = len(self.levels)
-        self._write(merged, f"level{runs}")
-        self.levels = self.levels[-1:]
+        merged = self.runs(paths).repartitionByRange(parts, "digest").groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
+        self._write(merged, level)
+
+    def compact(self) -> DataFrame:
+        """Merges all runs into one sorted table of the topmost level and returns it."""
+        top = max(1, len(self.levels) - 1)
+        self._merge([p for level in self.levels for p in level], top)
+        self.levels = [[] for _ in range(top)] + [self.levels[top][-1:]]
         return self.runs()
 
 

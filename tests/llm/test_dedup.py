@@ -49,6 +49,24 @@ def test_lookup_probes_the_runs_by_digest(spark):
     assert {bytes(r.digest) for r in index.lookup([sha(k) for k in range(50)]).collect()} == {sha(k) for k in range(30)}
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_levels_fill_and_merge(spark, keep):
+    """Loads one after the other: at most ``fanout`` - 1 tables wait in a level, and no row is lost or counted twice."""
+    index, best, want = MergeIndex(spark, keep=keep, memtable_rows=3, fanout=2), max if keep == "largest" else min, {}
+    sha = lambda k: hashlib.sha256(str(k).encode()).digest()
+    for load in range(5):
+        rows = [(sha(k % 7), 10 * load + k) for k in range(load, load + 6)]
+        index.add(spark.createDataFrame(rows, "digest binary, id long"))
+        for d, i in rows:
+            old = want.get(d, (i, 0))
+            want[d] = (best(old[0], i), old[1] + 1)
+        assert {bytes(r.digest): (r.keep_id, r.n) for r in index.lookup(sorted(want)).collect()} == want
+    assert [len(x) for x in index.levels] == [1, 0, 1]
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in index.compact().collect()} == want
+    assert [len(x) for x in index.levels] == [0, 0, 1]
+    assert MergeIndex(spark).lookup([sha(1)]).collect() == []
+
+
 def test_exact_smallest_and_nulls(spark):
     rows = [(5, "a"), (2, "a"), (None, "a"), (None, None), (7, "")]
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(frame(spark, rows)).collect()}
