@@ -37,6 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loomspan/{uuid.uuid4().hex}"
 
 
+#: Where the shared folder is a mounted path, Hadoop starts one process for the mode of each file, and one more for that
+#: of a checksum file beside it. Parquet pages have checksums of their own, so the latter are left out. Other file systems ignore this.
+MOUNTED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+
+
 def stored(df: DataFrame, *, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it survives lost executors.
 
@@ -48,7 +53,7 @@ def stored(df: DataFrame, *, narrow: bool = False) -> DataFrame:
     schema = df.schema
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    df.write.options(**MOUNTED).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
