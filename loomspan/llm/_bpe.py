@@ -173,8 +173,9 @@ def word_ids(model) -> Callable[[Texts, np.ndarray, np.ndarray], list[list[int]]
 
     def make(t: Texts, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
         shown = gather(t.data, start, end - start).tobytes().decode("latin-1").translate(letters)
-        ends = np.cumsum(end - start).tolist()
-        return [[x.id for x in model.tokenize(shown[s:e])] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        size = end - start
+        ends = np.cumsum(size)
+        return [[x.id for x in model.tokenize(shown[s:e])] for s, e in zip((ends - size).tolist(), ends.tolist(), strict=True)]
 
     return make
 

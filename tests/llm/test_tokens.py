@@ -116,3 +116,12 @@ def test_heap_merge_equals_the_plain_rule():
     for _ in range(300):
         piece = bytes(rng.choice([97, 98], rng.integers(1, 14)).tolist())
         assert merge(piece, lambda a, b: ranks.get(a + b)) == plain(piece)
+
+
+@pytest.mark.parametrize("texts", [["a"], [None], [""], [" \t\n"], ["the", " and", "of", "in", "to"], ["a"] * 7])
+def test_counts_where_every_word_is_proved_whole(spark, texts):
+    tok = Tokenizer.from_file(JSON)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    got = {r.doc_id: r.n_tokens for r in count_tokens(rows, JSON).collect()}
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens - 1 for r in token_round_trip(rows, JSON).collect()} == got
