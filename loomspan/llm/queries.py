@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from loomspan.llm import byte_bpe, chat_format, pii, toxicity
 from loomspan.llm.decontaminate import find_benchmark
 from loomspan.llm.exact_dedup import exact_dedup
+from loomspan.llm.impact_topk import self_search
 from loomspan.llm.line_dedup import dedup_lines
 from loomspan.llm.merkle import audited
 from loomspan.llm.ngram_jaccard import similar_components
 from loomspan.llm.token_counts import count_tokens
 from loomspan.llm.token_files import token_round_trip
+from loomspan.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +80,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return self_search(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), k=5, every=50)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_chat_format, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_token_counts, op6_token_files, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_byte_bpe, op13_merkle_manifest)}
+QUERIES = {q.__name__: q for q in (op1_chat_format, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_token_counts, op6_token_files, op7_ngram_jaccard, op8_line_dedup, op9_pii, op10_byte_bpe, op11_embedding_whitening, op12_exact_topk, op13_merkle_manifest)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -111,6 +121,12 @@ SQL = {
         t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
         SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_exact_topk": """
+        WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS uid FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (SELECT q.vec_id AS query_id, q.uid, p.vec_id, list_dot_product(q.v, p.v)::BIGINT AS score FROM p AS q JOIN p ON q.vec_id % 50 = 0 AND q.uid <> p.uid),
+        r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op13_merkle_manifest": r"""
         WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v, [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS w,
             list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))) AS crc FROM documents),
