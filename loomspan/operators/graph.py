@@ -11,6 +11,8 @@ shard's recall falls, and the exact search is the way for it.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.operators.search import HITS, _unit, matrix, nearest, query_blocks
+from loomspan.operators.search import HITS, _unit, in_blocks, matrix, nearest, query_blocks
 from loomspan.sources.snapshot import scratch
 
 SEED = 0xDEADBEEFCAFE1337  # fixed value
@@ -224,7 +226,6 @@ def build_graphs(points: DataFrame, config: GraphConfig = GraphConfig(), path: s
 def graph_topk(graphs: DataFrame, queries: DataFrame, k: int, config: GraphConfig = GraphConfig(), ef_search: int | None = None, block: int = 1024) -> DataFrame:
     """As exact_topk, by a walk of each shard's graph; a wider beam finds more."""
     spark, width = graphs.sparkSession, ef_search or config.ef_search
-    found = spark.createDataFrame([], HITS)
 
     def walk(sent):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,48 @@ def graph_topk(graphs: DataFrame, queries: DataFrame, k: int, config: GraphConfi
 
         return scan
 
-    for names, vectors in query_blocks(queries, block):
-        sent = spark.sparkContext.broadcast((names, _unit(vectors)))
-        found = found.unionByName(graphs.mapInArrow(walk(sent), HITS))
-    return nearest(found, k)
+    blocks = ((names, _unit(vectors)) for names, vectors in query_blocks(queries, block))
+    return nearest(in_blocks(spark, blocks, lambda sent: graphs.mapInArrow(walk(sent), HITS)), k)
+
+
+class GraphIndex:
+    """Graphs of all points inserted so far: each insert gets shards of its own, and ``fanout`` inserts of one size class are built anew together."""
+
+    def __init__(self, spark: SparkSession, config: GraphConfig = GraphConfig(), fanout: int = 4):
+        self.spark, self.config, self.fanout = spark, config, fanout
+        self.parts: list[tuple[int, DataFrame, DataFrame]] = []  # points, their rows, their graphs
+
+    def add(self, points: DataFrame) -> GraphIndex:
+        rows = points.where("vector is not null").select("id", "vector")
+        path = scratch(self.spark)
+        rows.write.parquet(path)
+        self._build(self.spark.read.schema(rows.schema).parquet(path))
+        tier = lambda p: int(math.log(max(1, p[0]), self.fanout))
+        while len(same := [p for p in self.parts if tier(p) == min(map(tier, self.parts))]) >= self.fanout:
+            self.parts = [p for p in self.parts if p not in same]
+            self._build(functools.reduce(DataFrame.unionByName, (p[1] for p in same)))
+        return self
+
+    def _build(self, rows: DataFrame) -> None:
+        n = rows.count()
+        if n:
+            dealt = rows.repartition(-(-n // self.config.shard_rows))
+            self.parts.append((n, rows, build_graphs(dealt, self.config)))
+
+    def search(self, queries: DataFrame, k: int, ef: int | None = None) -> DataFrame:
+        graphs = functools.reduce(DataFrame.unionByName, (p[2] for p in self.parts), self.spark.createDataFrame([], SHARD))
+        return graph_topk(graphs, queries, k, self.config, ef)
+
+    def save(self, path: str) -> None:
+        for i, (n, rows, graphs) in enumerate(self.parts):
+            rows.write.parquet(f"{path}/rows-{i}")
+            graphs.write.option("maxRecordsPerFile", 1).parquet(f"{path}/graphs-{i}")
+        facts = json.dumps({"config": vars(self.config), "fanout": self.fanout, "sizes": [p[0] for p in self.parts]})
+        self.spark.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GraphIndex:
+        facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+        index = cls(spark, GraphConfig(**facts["config"]), facts["fanout"])
+        index.parts = [(n, spark.read.parquet(f"{path}/rows-{i}"), spark.read.schema(SHARD).parquet(f"{path}/graphs-{i}")) for i, n in enumerate(facts["sizes"])]
+        return index

@@ -8,19 +8,28 @@ those are shuffled. Filters are applied to the points before any distance and re
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.config import EMBED_DIM, ZERO_NORM
 from loomspan.functions.filters import matching
 from loomspan.functions.vectors import valid_vectors
+from loomspan.sources.records import Records
 from loomspan.sources.snapshot import scratch
 
+if TYPE_CHECKING:
+    from loomspan.operators.cells import CellIndex
+    from loomspan.operators.graph import GraphIndex
+
 BLOCK = 4096
 HITS = "query_id long, id long, distance double"
 
@@ -34,15 +43,41 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(r.query_id)
-        vectors.append(r.vector)
-        if len(ids) == block:
-            yield np.array(ids, np.int64), np.array(vectors, np.float64)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vectors, np.float64)
+    """Ids and vectors of queries(query_id, vector), at most about ``block`` at once. More are first dealt to stored blocks."""
+    rows = queries.select("query_id", "vector").where("vector is not null")
+    held = rows.limit(block + 1).toArrow()
+    if held.num_rows > block:
+        number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-rows.count() // block)))
+        path = scratch(rows.sparkSession)
+        rows.withColumn("block", number).write.partitionBy("block").parquet(path)
+        stored = rows.sparkSession.read.schema(T.StructType([*rows.schema.fields]).add("block", "long")).parquet(path)
+        names = sorted(r.block for r in stored.select("block").distinct().collect())
+    else:
+        stored, names = None, [0] if held.num_rows else []
+    for n in names:
+        if stored is not None:
+            held = stored.where(F.col("block") == n).toArrow()
+        vectors = held["vector"].combine_chunks()
+        yield held["query_id"].to_numpy().astype(np.int64), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def in_blocks(spark: SparkSession, blocks: Iterator, search) -> DataFrame:
+    """The hits of search(broadcast) for each block's content: lazily for one block; several are appended to one table, and their broadcasts freed."""
+    path, held = None, None
+    for content in blocks:
+        if held is not None:
+            path = path or scratch(spark)
+            held[0].write.mode("append").parquet(path)
+            held[1].destroy()
+        sent = spark.sparkContext.broadcast(content)
+        held = search(sent), sent
+    if held is None:
+        return spark.createDataFrame([], HITS)
+    if path is None:
+        return held[0]
+    held[0].write.mode("append").parquet(path)
+    held[1].destroy()
+    return spark.read.schema(HITS).parquet(path)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -101,13 +136,9 @@ def nearest(hits: DataFrame, k: int) -> DataFrame:
 
 def exact_topk(points: DataFrame, queries: DataFrame, k: int, conditions=(), block: int = BLOCK) -> DataFrame:
     """(query_id, id, distance, rank) over points(id, vector, ...) for queries(query_id, vector)."""
-    spark = points.sparkSession
     rows = matching(points, conditions).select("id", "vector")
-    found = spark.createDataFrame([], HITS)
-    for ids, vectors in query_blocks(queries, block):
-        sent = spark.sparkContext.broadcast((ids, _unit(vectors), None))
-        found = found.unionByName(rows.mapInArrow(_best(sent, k, False), HITS))
-    return nearest(found, k)
+    blocks = ((ids, _unit(vectors), None) for ids, vectors in query_blocks(queries, block))
+    return nearest(in_blocks(points.sparkSession, blocks, lambda sent: rows.mapInArrow(_best(sent, k, False), HITS)), k)
 
 
 def centroids(points: DataFrame, by: str) -> DataFrame:
@@ -120,7 +151,9 @@ def centroids(points: DataFrame, by: str) -> DataFrame:
 def train_centroids(points: DataFrame, cells: int, seed: int = 7, rounds: int = 10, sample: int = 20_000) -> DataFrame:
     """Spherical k-means on a bounded sample (at most ``sample`` rows, by hash of id); all points are indexed later."""
     spark = points.sparkSession
-    rows = points.select("id", "vector").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
+    rows = points.select("id", "vector").where("vector is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
+    if not rows:
+        return spark.createDataFrame([], "cell int, vector array<double>")
     m = _unit(np.array([r.vector for r in rows], np.float64))
     c = m[: min(cells, len(m))].copy()
     for _ in range(rounds):
@@ -157,14 +190,17 @@ def ivf_topk(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k: in
     spark = cell_points.sparkSession
     table = sorted((r.cell, r.vector) for r in cells.collect())
     names, m = np.array([c for c, _ in table], np.int64), _unit(np.array([v for _, v in table], np.float64))
-    found = spark.createDataFrame([], HITS)
-    for ids, vectors in query_blocks(queries, block):
-        unit = _unit(vectors)
-        chosen = names[np.lexsort((np.broadcast_to(names, (len(ids), len(names))), -(unit @ m.T)), axis=1)[:, :nprobe]]
-        rows = cell_points.where(F.col("cell").isin([int(c) for c in np.unique(chosen)])).select("id", "vector", "cell")
-        sent = spark.sparkContext.broadcast((ids, unit, chosen))
-        found = found.unionByName(rows.mapInArrow(_best(sent, k, True), HITS))
-    return nearest(found, k)
+
+    def probes() -> Iterator[tuple]:
+        for ids, vectors in query_blocks(queries, block):
+            unit = _unit(vectors)
+            yield ids, unit, names[np.lexsort((np.broadcast_to(names, (len(ids), len(names))), -(unit @ m.T)), axis=1)[:, :nprobe]]
+
+    def search(sent) -> DataFrame:
+        rows = cell_points.where(F.col("cell").isin([int(c) for c in np.unique(sent.value[2])])).select("id", "vector", "cell")
+        return rows.mapInArrow(_best(sent, k, True), HITS)
+
+    return nearest(in_blocks(spark, probes(), search), k)
 
 
 def least_nprobe(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k: int, least: float = 0.9) -> int:
@@ -208,55 +244,70 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 @dataclass
 class VectorTable:
-    """Points in Parquet: create, insert, search, save, load and info, as a vector store has them."""
+    """Points in Parquet: create, insert, search, save, load and info, as a vector store has them.
+
+    Indexes are built on request and follow later inserts. A snapshot is a folder of versions with a manifest
+    that gets a row once a version is written whole; older versions stay as they are.
+    """
 
     spark: SparkSession
     dim: int = EMBED_DIM
     points: DataFrame | None = None
     read_only: bool = False
-    cells: DataFrame | None = None
-    _celled: DataFrame | None = field(default=None, repr=False)
-    _graphs: tuple | None = field(default=None, repr=False)
+    cells: CellIndex | None = None
+    graphs: GraphIndex | None = None
+    records: Records | None = field(default=None, repr=False)
 
     def insert(self, rows: DataFrame, strict: bool = True) -> VectorTable:
-        """Adds points (id, vector, payload columns). Ids may repeat: all stay searchable, ``get`` sees the last insert."""
+        """Adds points (id, vector, payload columns), to the indexes as well. Ids may repeat: all stay searchable, ``get`` sees the last insert.
+
+        An index whose columns the new points do not have, or lack, goes and is to be built again.
+        """
         if self.read_only:
             raise PermissionError("a loaded snapshot is read-only")
-        seq = 0 if self.points is None else self.points.agg(F.max("seq")).first()[0] + 1
+        seq = 0 if self.points is None else self.points.agg(F.max("seq")).first()[0]
+        seq = 0 if seq is None else seq + 1
         rows = valid_vectors(rows, "vector", self.dim, strict).withColumn("seq", F.lit(seq))
         self.points = rows if self.points is None else self.points.unionByName(rows, allowMissingColumns=True)
-        self.cells = self._celled = self._graphs = None
+        self.records = None
+        if self.cells is not None:
+            same = {f.name: f.dataType for f in self.cells.schema} == {f.name: f.dataType for f in rows.schema}
+            self.cells = self.cells.add(rows) if same else None
+        if self.graphs is not None:
+            self.graphs.add(rows)
         return self
 
     def build_index(self, cells: int) -> VectorTable:
-        self.cells = train_centroids(self.points, cells)
-        self._celled = store_cells(assign_cells(self.points, self.cells))
+        from loomspan.operators.cells import CellIndex
+
+        self.cells = CellIndex.build(self.points, cells)
         return self
 
     def build_graph(self, config=None) -> VectorTable:
-        from loomspan.operators.graph import GraphConfig, build_graphs
+        from loomspan.operators.graph import GraphConfig, GraphIndex
 
-        config = config or GraphConfig()
-        self._graphs = config, build_graphs(self.points, config)
+        self.graphs = GraphIndex(self.spark, config or GraphConfig()).add(self.points)
         return self
 
     def least_nprobe(self, queries: DataFrame, k: int, least: float = 0.9) -> int:
-        return least_nprobe(self._celled, self.cells, queries, k, least)
+        centres = [(j, v) for j, v in enumerate(self.cells.centres.tolist())]
+        celled = self.cells.points().withColumnRenamed(self.cells.cell, "cell")
+        return least_nprobe(celled, self.spark.createDataFrame(centres, "cell int, vector array<double>"), queries, k, least)
 
     def search(self, queries: DataFrame, k: int, conditions=(), nprobe: int | None = None, ef: int | None = None) -> DataFrame:
-        """A filter, or no index, means an exact scan; nprobe asks for the cells, ef (the width of the beam) for the graphs."""
+        """Exact, by the cells that can matter if there is an index, else by a scan. nprobe asks for so many cells only, ef (the width of the beam) for the graphs, which know no conditions."""
         if self.points is None or self.points.isEmpty():
             raise ValueError("the collection is empty")
-        if ef is not None and self._graphs is not None and not conditions:
-            from loomspan.operators.graph import graph_topk
-
-            return graph_topk(self._graphs[1], queries, k, self._graphs[0], ef)
-        if conditions or nprobe is None or self.cells is None:
-            return exact_topk(self.points, queries, k, conditions)
-        return ivf_topk(self._celled, self.cells, queries, k, nprobe)
+        if ef is not None and self.graphs is not None and not conditions:
+            return self.graphs.search(queries, k, ef)
+        if self.cells is not None:
+            return self.cells.search(queries, k, conditions, nprobe)
+        return exact_topk(self.points, queries, k, conditions)
 
     def get(self, point_id: int) -> list[float]:
-        row = self.points.where(F.col("id") == point_id).agg(F.max_by("vector", "seq")).first()[0]
+        """The vector of the last insert of an id; of a loaded table only files are read that may hold the id."""
+        rows = self.points if self.records is None else self.records.find([point_id])
+        row = rows.where(F.col("id") == point_id).agg(F.max_by("vector", "seq")).first()[0]
         if row is None:
             raise KeyError(f"no point {point_id}")
         return row
@@ -264,17 +315,54 @@ class VectorTable:
     def info(self) -> dict[str, int]:
         return {"count": 0 if self.points is None else self.points.count(), "dim": self.dim}
 
-    def save(self, path: str, meta: dict | None = None) -> None:
-        """Writes the points and a metadata file of one row; an existing snapshot is replaced."""
+    def save(self, path: str, meta: dict | None = None) -> int:
+        """Writes points and indexes as a new version, and last a row of the manifest; gives the version's number."""
         if self.read_only:
             raise PermissionError("a loaded snapshot is read-only")
-        self.points.write.mode("overwrite").parquet(f"{path}/points")
-        text = json.dumps({"version": 2, "dim": self.dim} | (meta or {}), sort_keys=True)
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        held = _manifest(self.spark, path)
+        number, folder = 1 + max((m["number"] for m in held), default=0), f"{path}/version-{uuid.uuid4().hex}"
+        Records.write(self.points, f"{folder}/points")
+        for name in ("cells", "graphs"):
+            if getattr(self, name) is not None:
+                getattr(self, name).save(f"{folder}/{name}")
+        facts = {"version": 2, "dim": self.dim, "cells": self.cells is not None, "graphs": self.graphs is not None}
+        line = json.dumps(facts | (meta or {}) | {"number": number, "folder": folder.rpartition("/")[2]}, sort_keys=True)
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
+        return number
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> VectorTable:
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    def load(cls, spark: SparkSession, path: str, number: int | None = None) -> VectorTable:
+        """The latest version of a snapshot, or a stated one, with its indexes. Snapshots without a manifest have points alone."""
+        held = _manifest(spark, path)
+        if not held:
+            meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+            folder = path
+        else:
+            wanted = [m for m in held if number in (None, m["number"])]
+            if not wanted:
+                raise ValueError(f"no version {number}")
+            meta = max(wanted, key=lambda m: (m["number"], m["folder"]))
+            folder = f"{path}/{meta['folder']}"
         if meta["version"] not in (1, 2):
             raise ValueError(f"unknown snapshot version {meta['version']}")
-        return cls(spark, meta["dim"], spark.read.parquet(f"{path}/points"), read_only=meta["version"] == 2)
+        out = cls(spark, meta["dim"], spark.read.parquet(f"{folder}/points"), read_only=meta["version"] == 2)
+        if held:
+            out.records = Records(spark, f"{folder}/points")
+        if meta.get("cells"):
+            from loomspan.operators.cells import CellIndex
+
+            out.cells = CellIndex.load(spark, f"{folder}/cells")
+        if meta.get("graphs"):
+            from loomspan.operators.graph import GraphIndex
+
+            out.graphs = GraphIndex.load(spark, f"{folder}/graphs")
+        return out
+
+
+def _manifest(spark: SparkSession, path: str) -> list[dict]:
+    try:
+        return [json.loads(r.value) for r in spark.read.text(f"{path}/manifest").collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []

@@ -11,8 +11,11 @@ from loomspan.operators import graph as G
 from loomspan.operators import rank as R
 from loomspan.operators import search as S
 from loomspan.operators.catalog import count_by
+from loomspan.operators.cells import CellIndex
 from loomspan.pipeline import retrieve
 from loomspan.plans._base import point_queries, points, query, table
+from loomspan.sources.records import Records
+from loomspan.sources.snapshot import scratch
 
 DIM = 64
 _SCORED = """
@@ -65,6 +68,33 @@ def knn_filter_and(spark, d):
     return _search(spark, d, AtLeast("label", 2), AtMost("label", 8), Equals("label", 4))
 
 
+def _celled(spark, d, conditions=(), inserts=False):
+    """Search by bounds over stored cells; inserts: most points come in three later inserts, each part with its own cells."""
+    p = points(spark, d)
+    if inserts:
+        index = CellIndex.build(p.where("id % 4 = 0"), 32)
+        for n in (1, 2, 3):
+            index.add(p.where(F.col("id") % 4 == n))
+    else:
+        index = CellIndex.build(p, 32)
+    return _shown(index.search(point_queries(spark, d), 10, conditions))
+
+
+@query(_topk_sql())
+def knn_bounds(spark, d):
+    return _celled(spark, d)
+
+
+@query(_topk_sql("label BETWEEN 3 AND 4"))
+def knn_bounds_filter(spark, d):
+    return _celled(spark, d, [Between("label", 3, 4)])
+
+
+@query(_topk_sql())
+def knn_after_inserts(spark, d):
+    return _celled(spark, d, inserts=True)
+
+
 def _against_first(spark, d, value):
     """Each point against the mean vector of all points, which is one vector and becomes a literal."""
     p = points(spark, d)
@@ -198,6 +228,26 @@ def latency_p95(spark, d):
     return whole.join(p95, "event_type").select("event_type", "mean", "p95")
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+    r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(q.e, p.e), id) AS rank FROM q, p)
+    SELECT query_id, id, rank::INT AS rank, source FROM r JOIN documents ON doc_id = id WHERE rank <= 10""")
+def hits_lookup(spark, d):
+    """Records of hits by id from files that hold a range of ids each; only files that may hold a hit are opened."""
+    path = scratch(spark)
+    Records.write(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), path)
+    hits = S.exact_topk(points(spark, d), point_queries(spark, d), 10)
+    return Records(spark, path).of_hits(hits).select("query_id", "id", "rank", "source")
+
+
+@query(_topk_sql("label = 3"))
+def snapshot_search(spark, d):
+    """A table with an index, saved and loaded, searches by the loaded index."""
+    t = S.VectorTable(spark, DIM).insert(points(spark, d), strict=False).build_index(32)
+    path = scratch(spark)
+    t.save(path)
+    return _shown(S.VectorTable.load(spark, path).search(point_queries(spark, d), 10, [Equals("label", 3)]))
+
+
 @query(_topk_sql().replace("SELECT query_id, id, rank::INT AS rank, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 10", "SELECT query_id, id, source, lang, rank::INT AS rank FROM r JOIN documents ON id = doc_id WHERE rank <= 10"))
 def hits_join_records(spark, d):
     hits = S.exact_topk(points(spark, d), point_queries(spark, d), 10)
@@ -259,8 +309,6 @@ def retrieval_pipeline(spark, d):
 
 @query("SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings")
 def snapshot_roundtrip(spark, d):
-    from loomspan.sources.snapshot import scratch
-
     t = S.VectorTable(spark, DIM)
     t.points = points(spark, d).withColumn("seq", F.lit(0))
     path = scratch(spark)
