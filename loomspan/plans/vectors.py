@@ -12,6 +12,7 @@ from loomspan.operators import rank as R
 from loomspan.operators import search as S
 from loomspan.operators.catalog import count_by
 from loomspan.operators.cells import CellIndex
+from loomspan.operators.neighbours import descended_graph
 from loomspan.pipeline import retrieve
 from loomspan.plans._base import point_queries, points, query, table
 from loomspan.sources.records import Records
@@ -175,6 +176,14 @@ def knn_graph_pruned(spark, d):
     return S.prune_graph(S.neighbour_graph(points(spark, d), 4), 6).select("src", "dst", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query("SELECT 4 * count(*) AS n_exact, true AS reached FROM embeddings")
+def knn_graph_descent(spark, d):
+    """Whether the graph by neighbours of neighbours has nine in ten of the exact graph's links."""
+    p = points(spark, d)
+    sides = [g.select(F.col("src").alias("query_id"), F.col("dst").alias("id")) for g in (descended_graph(p, 4), S.neighbour_graph(p, 4))]
+    return S.recall(*sides).select("n_exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query()
 def hnsw_layer_hist(spark, d):
     """How many points each layer of a navigable graph gets, by a generator in insertion order."""
