@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import CITATION, CITED_PASSAGE, EMPTY_LABEL, answer_paragraphs, strip
+from loomspan.functions.text import CITATION, CITED_PASSAGE, EMPTY_LABEL, answer_paragraphs, normalize, shorten, source_id, source_name, strip
+from loomspan.operators.names import find_names
 from loomspan.operators.rank import first_of
 
 
@@ -34,6 +35,53 @@ def build_sources(chunks: DataFrame, group: str, name: str, page: str, pos: str,
     return agg.withColumn("id", F.row_number().over(Window.partitionBy(group).orderBy("first"))).drop("first")
 
 
+#: Characters of a short name and of an excerpt.
+SHORT_NAME, EXCERPT = 18, 1500
+
+
+def sources_of(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, name, short_name, source_id, country, unit, pages, excerpts) of each distinct file that an answer's chunks come from, numbered in the order of retrieval.
+
+    chunks(keys, pos, chunk_id, source_file, country, page, row, sheet, text), a few an answer. A chunk lies on its page if that is
+    positive, else in its row, else nowhere; the unit is that of the last chunk with a place, `pg.` without one.
+    """
+    name = F.when(F.coalesce(F.col("source_file"), F.lit("")) != "", source_name(F.col("source_file"))).otherwise("unknown")
+    on_page, in_row = F.coalesce(F.col("page") > 0, F.lit(False)), F.coalesce(F.col("row") != 0, F.lit(False))
+    unit = F.when(on_page, "pg.").when(in_row, "row")
+    number = F.when(on_page, F.col("page")).when(in_row, F.col("row")).cast("int")
+    placed = chunks.withColumns({"name": name, "unit": unit, "number": number})
+    excerpt = F.struct(
+        F.col("pos"), F.col("chunk_id").cast("string").alias("chunk_id"), F.when(F.col("unit") == "pg.", F.col("number")).alias("page"), F.when(F.col("unit") == "row", F.col("number")).alias("row"),
+        F.col("sheet"), shorten(F.col("text"), EXCERPT, " ...").alias("text"),
+    )
+    agg = placed.groupBy(*keys, "name").agg(
+        F.min("pos").alias("first"), F.min_by("source_file", "pos").alias("file"), F.min_by("country", "pos").alias("country"), F.coalesce(F.max_by("unit", F.when(F.col("unit").isNotNull(), F.col("pos"))), F.lit("pg.")).alias("unit"),
+        F.array_sort(F.collect_set("number")).alias("pages"), F.array_sort(F.collect_list(excerpt)).alias("excerpts"),
+    )
+    excerpts = F.transform("excerpts", lambda e: e.dropFields("pos"))
+    made = agg.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("first", "name")))
+    file_id = F.when(F.col("file") != "", source_id(F.col("file")))
+    return made.select(*keys, "id", "name", shorten(F.col("name"), SHORT_NAME).alias("short_name"), file_id.alias("source_id"), "country", "unit", "pages", excerpts.alias("excerpts"))
+
+
+def highlight(answers: DataFrame, assets: DataFrame, answer: str = "answer") -> DataFrame:
+    """(columns of answers without the answer, asset_id): the assets(asset_id, name) whose id stands in an answer as a word, or whose name does in any case."""
+    rows = answers.withColumn(answer, normalize(F.col(answer)))
+    by_id = find_names(rows, assets.select(F.col("asset_id").alias("name_id"), F.col("asset_id").cast("string").alias("name")), text=answer, bordered=True)
+    by_name = find_names(rows, assets.select(F.col("asset_id").alias("name_id"), "name"), text=answer, fold=True)
+    return by_id.unionByName(by_name).drop("start").distinct().withColumnRenamed("name_id", "asset_id")
+
+
+def resolve_marks(marks: DataFrame, sources: DataFrame, mark: str = "mark") -> DataFrame:
+    """(columns of marks without the mark, cited, how): the sources(ordinal, name, source_id) that a mark names, by holding the name or `Passage n` with the ordinal."""
+    kept = [c for c in marks.columns if c != mark]
+    by_name = find_names(marks, sources.select(F.col("source_id").alias("name_id"), "name"), text=mark).select(*kept, F.col("name_id").alias("cited"), F.lit("name").alias("how"))
+    numbers = F.array_distinct(F.regexp_extract_all(mark, F.lit(CITED_PASSAGE), F.lit(1)))
+    placed = marks.select(*kept, F.explode(numbers).alias("n")).withColumn("ordinal", F.expr("try_cast(n AS INT)"))
+    by_ordinal = placed.join(sources.select("ordinal", "source_id"), "ordinal").select(*kept, F.col("source_id").alias("cited"), F.lit("ordinal").alias("how"))
+    return by_name.unionByName(by_ordinal).distinct()
+
+
 def build_refs(chunks: DataFrame, group: str, name: str, place: str, pos: str) -> DataFrame:
     """The first of each (name, place), renumbered from 1."""
     first = first_of(chunks, [group, name, place], [F.col(pos)])

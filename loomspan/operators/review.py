@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import locate, severity
+from loomspan.functions.text import locate, severity, squeeze
 from loomspan.operators.rank import first_of
+from loomspan.operators.segment import fresh
 
 _ORDER = {"high": 0, "medium": 1, "low": 2}
 
@@ -27,21 +28,26 @@ def validate(raw: DataFrame, sections: DataFrame, passages: DataFrame, quote_mos
     """
     r = raw.withColumn("ordinal", law_ordinal(F.col("law"))).join(passages, "ordinal")
     r = r.withColumn("quote", F.substring("quote", 1, quote_most)).withColumn("named", F.regexp_replace("section", r"^[\[\] ]+|[\[\] ]+$", "")).drop("section")
-    start, end = locate(F.col("text"), F.col("quote"))
+    bare = fresh("squeezed", sections)
+    sections = sections.withColumn(bare, squeeze(F.col("text")))
+    start, end = locate(F.col("text"), F.col("quote"), F.col(bare))
     home = sections.withColumnRenamed("section", "named")
     own = r.join(home, ["doc_id", "named"], "left").withColumn("start", start).withColumn("end", end)
     lost = own.where("start is null").select(*r.columns, F.col("pos").alias("home"))
-    hits = lost.drop("home").join(sections, "doc_id").withColumn("start", start).withColumn("end", end).where("start is not null")
-    hits = first_of(hits, ["finding"], [F.col("pos")])
+    # A quote that several findings of a document share is looked for once.
+    asked = lost.select("doc_id", "quote").distinct()
+    places = asked.join(sections, "doc_id").withColumn("start", start).withColumn("end", end).where("start is not null")
+    places = first_of(places, ["doc_id", "quote"], [F.col("pos")]).select("doc_id", "quote", "section", "pos", "text", "start", "end")
+    hits = lost.drop("home").join(places, ["doc_id", "quote"])
     out = ["finding", "doc_id", "section", "pos", "passage_id", "start", "end", "verified", "moved", "severity"]
 
     def shown(rows: DataFrame, section: str, verified: bool, moved: bool) -> DataFrame:
         rows = rows.withColumn("section", F.col(section)).withColumn("verified", F.lit(verified)).withColumn("moved", F.lit(moved))
         return rows.withColumn("severity", severity(F.col("severity"))).select(*out)
 
-    bare = lost.where("home is not null").join(hits.select("finding"), "finding", "left_anti").withColumn("pos", F.col("home"))
-    bare = bare.withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
-    return shown(own.where("start is not null"), "named", True, False).unionByName(shown(hits, "section", True, True)).unionByName(shown(bare, "named", False, False))
+    nowhere = lost.where("home is not null").join(hits.select("finding"), "finding", "left_anti").withColumn("pos", F.col("home"))
+    nowhere = nowhere.withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
+    return shown(own.where("start is not null"), "named", True, False).unionByName(shown(hits, "section", True, True)).unionByName(shown(nowhere, "named", False, False))
 
 
 def dedup(findings: DataFrame) -> DataFrame:

@@ -221,42 +221,70 @@ def law_source_names(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("names"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, 'see NATION_' || (conv_id % 30) || ' and [Passage ' || (turn + 1) || ']' AS mark FROM conversations)
-    SELECT conv_id, turn, n_nationkey AS cited, 'name' AS how FROM m JOIN nation ON regexp_extract(mark, 'NATION_[0-9]+') = n_name
-    UNION ALL SELECT conv_id, turn, n_nationkey, 'ordinal' FROM m JOIN nation ON regexp_extract(mark, 'Passage ([0-9]+)', 1)::INT = n_nationkey""")
+_WORD = r"[\p{L}\p{N}_]+"
+_MARKS = r"""m AS (SELECT doc_id, line::INT AS line, mark || ' [Passage ' || ((doc_id + line) % 50) || ']' AS mark FROM (SELECT doc_id, unnest(ls) AS mark, unnest(range(len(ls))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+    s AS (SELECT item_id, regexp_extract(text, '[\p{L}\p{N}_]+') AS name FROM benchmark)"""
+
+
+@query(f"""WITH {_MARKS}
+    SELECT doc_id, line, item_id AS cited, 'name' AS how FROM m JOIN s ON name <> '' AND contains(mark, name)
+    UNION SELECT doc_id, line, item_id, 'ordinal' FROM m JOIN s ON list_contains(regexp_extract_all(mark, '(?i)Passage\\s+(\\d+)', 1)::BIGINT[], item_id)""".replace("\\\\", "\\"))
 def citation_resolve(spark, d):
-    """A mark names a source, or the ordinal of a passage; both are equi-joins on what the mark holds."""
-    mark = F.concat(F.lit("see NATION_"), F.col("conv_id") % 30, F.lit(" and [Passage "), F.col("turn") + 1, F.lit("]"))
-    m = table(spark, d, "conversations").select("conv_id", "turn", mark.alias("mark"))
-    n = table(spark, d, "nation")
-    named = m.join(n, F.regexp_extract("mark", "NATION_[0-9]+", 0) == n.n_name).select("conv_id", "turn", F.col("n_nationkey").alias("cited"), F.lit("name").alias("how"))
-    placed = m.join(n, F.regexp_extract("mark", r"Passage ([0-9]+)", 1).cast("int") == n.n_nationkey).select("conv_id", "turn", F.col("n_nationkey").alias("cited"), F.lit("ordinal").alias("how"))
-    return named.unionByName(placed)
+    """Each line of a document as a mark: which sources it names, by the first word of a passage anywhere in it, or by a passage's ordinal."""
+    line = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "mark"))
+    marks = line.withColumn("mark", F.concat("mark", F.lit(" [Passage "), (F.col("doc_id") + F.col("line")) % 50, F.lit("]")))
+    sources = table(spark, d, "benchmark").select(F.col("item_id").alias("ordinal"), F.regexp_extract("text", _WORD, 0).alias("name"), F.col("item_id").alias("source_id"))
+    return C.resolve_marks(marks, sources)
 
 
-_HITS = """a AS (SELECT conv_id, turn, 'Check A' || (conv_id % 40) || ' near supplier#00000000' || (turn % 10) AS t FROM conversations WHERE role = 'assistant'),
-    h AS (SELECT DISTINCT conv_id, turn, s_suppkey FROM a JOIN supplier ON regexp_extract(t, 'A([0-9]+)', 1)::BIGINT = s_suppkey OR regexp_extract(lower(t), 'supplier#[0-9]+') = lower(s_name))"""
+_HITS = r"""w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ws FROM benchmark),
+    s AS (SELECT ws[5] AS asset_id, min(item_id) AS lat, max(item_id) AS lng, arg_min(ws[7] || ' ' || ws[8], item_id) AS name FROM w WHERE len(ws) >= 8 GROUP BY ws[5]),
+    a AS (SELECT doc_id, regexp_replace(translate(text, chr(160) || chr(8239) || chr(8208) || chr(8209), '  --'), '\s*<br\s*/?>\s*', '; ', 'gi') AS t FROM documents),
+    h AS (SELECT doc_id, asset_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '[\p{L}\p{N}_]+'))) AS asset_id FROM a) JOIN s USING (asset_id)
+        UNION SELECT doc_id, asset_id FROM (SELECT doc_id, lower(t) AS t FROM a) JOIN s ON contains(t, lower(name)))"""
 
 
 def _highlights(spark, d):
-    t = F.concat(F.lit("Check A"), F.col("conv_id") % 40, F.lit(" near supplier#00000000"), F.col("turn") % 10)
-    a = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", t.alias("t"))
-    s = table(spark, d, "supplier")
-    by_id = a.withColumn("s_suppkey", F.regexp_extract("t", r"\bA([0-9]+)\b", 1).cast("long")).join(s.select("s_suppkey"), "s_suppkey")
-    by_name = a.withColumn("name", F.regexp_extract(F.lower("t"), "supplier#[0-9]+", 0)).join(s.select("s_suppkey", F.lower("s_name").alias("name")), "name")
-    return by_id.select("conv_id", "turn", "s_suppkey").unionByName(by_name.select("conv_id", "turn", "s_suppkey")).distinct()
+    """Documents as answers; a word of each passage as an asset's id, and two later ones as its name."""
+    w = table(spark, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("ws")).where("size(ws) >= 8")
+    w = w.select("item_id", F.get("ws", F.lit(4)).alias("asset_id"), F.concat_ws(" ", F.get("ws", F.lit(6)), F.get("ws", F.lit(7))).alias("name"))
+    assets = w.groupBy("asset_id").agg(F.min("item_id").alias("lat"), F.max("item_id").alias("lng"), F.min_by("name", "item_id").alias("name"))
+    return C.highlight(docs(spark, d).select("doc_id", "text"), assets, "text"), assets
 
 
-@query(f"WITH {_HITS} SELECT conv_id, turn, s_suppkey FROM h")
+@query(f"WITH {_HITS} SELECT doc_id, asset_id FROM h")
 def asset_highlight(spark, d):
-    return _highlights(spark, d)
+    return _highlights(spark, d)[0]
 
 
-@query(f"WITH {_HITS} SELECT conv_id, round(avg(s_acctbal), 6) AS lat, round(avg(s_nationkey), 6) AS lng, CASE WHEN count(*) = 1 THEN 9 ELSE 6 END AS zoom FROM h JOIN supplier USING (s_suppkey) GROUP BY conv_id")
+@query(f"WITH {_HITS} SELECT doc_id, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, CASE WHEN count(*) = 1 THEN 9 ELSE 6 END AS zoom FROM h JOIN s USING (asset_id) GROUP BY doc_id")
 def asset_centroid(spark, d):
-    h = _highlights(spark, d).join(table(spark, d, "supplier"), "s_suppkey")
-    c = C.centroid(h, "conv_id", "s_acctbal", "s_nationkey")
-    return c.select("conv_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "zoom")
+    found, assets = _highlights(spark, d)
+    c = C.centroid(found.join(assets, "asset_id"), "doc_id", "lat", "lng")
+    return c.select("doc_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "zoom")
+
+
+_CHUNKS = """c AS (SELECT doc_id // 12 AS answer, doc_id AS pos, 'C' || doc_id AS chunk_id, CASE WHEN doc_id % 11 > 0 THEN 'laws\\' || lang || '/' || lang || '-laws and provisions.pdf' END AS source_file, lang AS country,
+        (doc_id % 3)::INT AS page, (doc_id % 5)::INT AS row, text FROM documents),
+    p AS (SELECT *, CASE WHEN source_file IS NULL THEN 'unknown' ELSE regexp_extract(source_file, '[^/]*$') END AS name, CASE WHEN page > 0 THEN 'pg.' WHEN row <> 0 THEN 'row' END AS unit, CASE WHEN page > 0 THEN page WHEN row <> 0 THEN row END AS number FROM c),
+    g AS (SELECT answer, name, min(pos) AS first, arg_min(source_file, pos) AS file, arg_min(country, pos) AS country, coalesce(arg_max(unit, pos) FILTER (WHERE unit IS NOT NULL), 'pg.') AS unit,
+        coalesce(list_sort(list_distinct(list(number) FILTER (WHERE number IS NOT NULL))), []) AS pages,
+        string_agg(chunk_id || ':' || CASE WHEN unit = 'pg.' THEN number::VARCHAR ELSE '-' END || ':' || CASE WHEN unit = 'row' THEN number::VARCHAR ELSE '-' END || ':' || md5(CASE WHEN length(text) > 1500 THEN left(text, 1500) || ' ...' ELSE text END), ' ' ORDER BY pos) AS excerpts FROM p GROUP BY answer, name)"""
+
+
+@query(f"""WITH {_CHUNKS} SELECT answer, (row_number() OVER (PARTITION BY answer ORDER BY first, name))::INT AS id, name, CASE WHEN length(name) > 18 THEN left(name, 18) || '...' ELSE name END AS short_name,
+    left(sha1(replace(file, chr(92), '/')), 16) AS source_id, country, unit, pages, excerpts FROM g""".replace("\\\\", "\\"))
+def sources_excerpts(spark, d):
+    """Twelve documents a group as the chunks of an answer, the language's file as their source, with excerpts."""
+    c = docs(spark, d)
+    file = F.when(F.col("doc_id") % 11 > 0, F.concat(F.lit("laws\\"), "lang", F.lit("/"), "lang", F.lit("-laws and provisions.pdf")))
+    chunks = c.select(
+        F.expr("doc_id div 12").alias("answer"), F.col("doc_id").alias("pos"), F.concat(F.lit("C"), "doc_id").alias("chunk_id"), file.alias("source_file"), F.col("lang").alias("country"),
+        (F.col("doc_id") % 3).cast("int").alias("page"), (F.col("doc_id") % 5).cast("int").alias("row"), F.lit(None).cast("string").alias("sheet"), "text",
+    )
+    at = lambda v: F.coalesce(v.cast("string"), F.lit("-"))
+    shown = F.array_join(F.transform("excerpts", lambda e: F.concat_ws(":", e["chunk_id"], at(e["page"]), at(e["row"]), F.md5(e["text"]))), " ")
+    return C.sources_of(chunks, ["answer"]).withColumn("excerpts", shown)
 
 
 @query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey + 5 = n_nationkey")

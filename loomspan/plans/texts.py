@@ -9,6 +9,7 @@ from loomspan.functions import text as X
 from loomspan.operators import catalog as C
 from loomspan.operators import rank as R
 from loomspan.operators import segment as G
+from loomspan.operators.names import find_names, first_phrase, quotes_in
 from loomspan.plans._base import query, table
 from loomspan.sources import files as S
 
@@ -205,19 +206,36 @@ _FLAT = _sql_clean("text")
     c AS (SELECT {_FLAT} AS t FROM documents)
     SELECT item_id, count(*) FILTER (WHERE length(p8) >= 12 AND contains(' ' || c.t || ' ', ' ' || p8 || ' ')) AS n8, count(*) FILTER (WHERE length(p4) >= 12 AND contains(' ' || c.t || ' ', ' ' || p4 || ' ')) AS n4 FROM p, c GROUP BY item_id""")
 def phrase_match(spark, d):
-    """How many documents hold the first eight, and the first four, words of each item, found by a join of word runs."""
+    """How many documents hold the first eight, and the first four, words of each item, found in one scan."""
     items = table(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = docs(spark, d).select("doc_id", F.split(X.clean(F.col("text")), " ").alias("w"))
-    out = items.select("item_id")
-    for n in (8, 4):
-        phrase = items.select("item_id", X.lead_phrase(F.col("text"), n).alias("phrase")).where("phrase is not null").withColumn("k", F.size(F.split("phrase", " ")))
-        found = None
-        for k in range(1, n + 1):
-            runs = words.where(F.size("w") >= k).select("doc_id", F.explode(G.runs(F.col("w"), k)).alias("phrase"))
-            hits = runs.join(phrase.where(F.col("k") == k), "phrase").select("item_id", "doc_id").distinct()
-            found = hits if found is None else found.unionByName(hits)
-        out = out.join(found.groupBy("item_id").agg(F.count("*").alias(f"n{n}")), "item_id", "left")
-    return out.select("item_id", F.coalesce("n8", F.lit(0)).alias("n8"), F.coalesce("n4", F.lit(0)).alias("n4"))
+    spaced = docs(spark, d).select("doc_id", F.concat(F.lit(" "), X.clean(F.col("text")), F.lit(" ")).alias("text"))
+    phrases = [items.select(F.struct("item_id", F.lit(n).alias("n")).alias("name_id"), F.concat(F.lit(" "), X.lead_phrase(F.col("text"), n), F.lit(" ")).alias("name")) for n in (8, 4)]
+    found = find_names(spaced, phrases[0].unionByName(phrases[1])).groupBy(F.col("name_id.item_id").alias("item_id"))
+    counts = found.agg(*(F.count_if(F.col("name_id.n") == n).alias(f"n{n}") for n in (8, 4)))
+    return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("n8", F.lit(0)).alias("n8"), F.coalesce("n4", F.lit(0)).alias("n4"))
+
+
+@query(f"""WITH t AS (SELECT item_id, {_FLAT} AS t FROM benchmark), p AS (SELECT item_id, lower(array_to_string(string_split(t, ' ')[1:8], ' ')) AS p8, lower(array_to_string(string_split(t, ' ')[1:4], ' ')) AS p4 FROM t),
+    c AS (SELECT doc_id, lower({_FLAT}) AS t FROM documents),
+    h AS (SELECT item_id, doc_id, CASE WHEN contains(c.t, p8) THEN 8 WHEN length(p4) >= 12 AND contains(c.t, p4) THEN 4 END AS words, c.t AS t, p8, p4 FROM p JOIN c ON length(p8) >= 12)
+    SELECT item_id, doc_id, words, strpos(t, CASE WHEN words = 8 THEN p8 ELSE p4 END) - 1 AS start FROM h WHERE words IS NOT NULL""")
+def lead_phrase_first(spark, d):
+    """Where each document has the opening of an item: eight words, or else four, in one scan."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("passage_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = first_phrase(docs(spark, d).select("doc_id", "text"), items)
+    return found.select(F.col("passage_id").alias("item_id"), "doc_id", "words", "start")
+
+
+@query()
+def quote_anywhere(spark, d):
+    """Quotes of the items, altered in case and punctuation and some with a fragment that is nowhere, in all documents. A pattern for each pair is too slow in SQL; a test compares with one."""
+    w = table(spark, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("ws")).where("size(ws) >= 9")
+    some = lambda first, joint: F.array_join(F.slice("ws", first, 3), joint)
+    lead = F.when(F.col("item_id") % 3 == 0, "no such words here and there at all in any text ... ").otherwise("")
+    tail = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("…"), some(7, " "))).otherwise("")
+    quote = F.concat(F.lit('"'), lead, F.upper(F.get("ws", F.lit(1))), F.lit(", "), some(3, " – "), tail, F.lit('"'))
+    found = quotes_in(docs(spark, d), w.select(F.col("item_id").alias("quote_id"), quote.alias("quote")))
+    return found.withColumnRenamed("quote_id", "item_id")
 
 
 _PATHS = "SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"

@@ -39,4 +39,4 @@ def test_same_rows_as_sql(spark, db, name):
 
 
 def test_queries_without_sql_are_few():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"hnsw_layer_hist", "ann_graph_topk"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"hnsw_layer_hist", "ann_graph_topk", "quote_anywhere"}
