@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import byte_bpe, toxicity
 from loomspan.llm._common import flag_keys, key_filter, stored
-from loomspan.llm.decontaminate import NEW, find_benchmark
+from loomspan.llm.decontaminate import find_benchmark
 from loomspan.llm.line_dedup import dedup_lines
 from loomspan.llm.ngram_jaccard import similar_components
 
@@ -27,43 +27,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _aside(docs: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
-    """docs with columns of these names called something else, and the way back."""
-    clash = {c: f"__own_{c}" for c in docs.columns if c in names}
-    return docs.withColumnsRenamed(clash), {new: c for c, new in clash.items()}
+#: Columns that a stage works with; all others pass by under names that nothing else has.
+_USED = ("doc_id", "text", "n_chars")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with all other columns called something else, so that no column of a stage clashes with one of theirs."""
+    return docs.toDF(*(c if c in _USED else f"passed_{i}" for i, c in enumerate(docs.columns)))
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """What became of ``_apart(docs)``, with the columns of docs."""
+    return out.select(_apart(docs).columns).toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, score="__score").where(F.col("__score") < TOXIC_FROM).select(docs.columns)
+    own = _apart(docs)
+    model = toxicity.train(own, _table(spark, sf_dir, "labels"))
+    return _back(toxicity.score_toxicity(own, model).where(F.col("score") < TOXIC_FROM), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own, back = _aside(docs, ("n_lines", "n_dropped"))
-    out = dedup_lines(own)
+    out = dedup_lines(_apart(docs))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
+        kind = out.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("n_lines", "n_dropped").withColumnsRenamed(back).select(docs.columns)
+    return _back(out, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each component. Only texts that may go are shuffled."""
-    found = similar_components(docs)
+    own = _apart(docs)
+    found = similar_components(own)
     gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), narrow=True)
-    flagged = flag_keys(docs, "doc_id", key_filter(gone, "doc_id"), "__maybe")
-    sure = flagged.where(~F.col("__maybe")).select(docs.columns)
-    return sure.unionByName(flagged.where("__maybe").select(docs.columns).join(gone, "doc_id", "left_anti").select(docs.columns))
+    flagged = flag_keys(own, "doc_id", key_filter(gone, "doc_id"), "maybe")
+    sure = flagged.where("not maybe").select(own.columns)
+    return _back(sure.unionByName(flagged.where("maybe").select(own.columns).join(gone, "doc_id", "left_anti").select(own.columns)), docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own, back = _aside(docs, NEW)
-    clean = find_benchmark(own, _table(spark, sf_dir, "benchmark")).where("n_hit = 0").drop(*NEW)
-    return clean.withColumnsRenamed(back).select(docs.columns)
+    return _back(find_benchmark(_apart(docs), _table(spark, sf_dir, "benchmark")).where("n_hit = 0"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = byte_bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), keep_ids=True)
+    out = byte_bpe.encode_documents(_apart(docs), public_tokenizers.path(VOCABULARY), keep_ids=True)
     return out.select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
