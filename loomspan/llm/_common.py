@@ -38,7 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Where the shared folder is a mounted path, Hadoop starts one process for the mode of each file, and one more for that
-#: of a checksum file beside it. Parquet pages have checksums of their own, so the latter are left out. Other file systems ignore this.
+#: of a checksum file beside it. Parquet pages have checksums of their own, which ``stored`` has
+#: verified on reading, so the latter are left out. Other file systems ignore this.
 MOUNTED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
 
 
@@ -54,7 +55,7 @@ def stored(df: DataFrame, *, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(spark.sparkContext.defaultParallelism)
     df.write.options(**MOUNTED).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.option("parquet.page.verify-checksum.enabled", "true").schema(schema).parquet(path)
 
 
 #: Bits of a bitmap over keys: 2 MB, whatever the input, in rows of 4 KB.
@@ -75,12 +76,13 @@ def key_filter(rows: DataFrame, key: str) -> DataFrame:
 def flag_keys(rows: DataFrame, key: str, bitmap: DataFrame, flag: str) -> DataFrame:
     """rows with a flag: true for every key in the bitmap, and perhaps for some more; broadcasts 2 MB at most."""
     at = _place(key)
-    bitmap = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    bucket, bits = fresh("__bucket", rows), fresh("__bits", rows)
+    bitmap = bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
     place = F.pmod(at, F.lit(_ROW_BITS)).cast("int")
-    byte = F.ascii(F.decode(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    byte = F.ascii(F.decode(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
     bit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8))).bitwiseAND(1)
-    joined = rows.withColumn("__bucket", (at / _ROW_BITS).cast("int")).join(F.broadcast(bitmap), "__bucket", "left")
-    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits")
+    joined = rows.withColumn(bucket, (at / _ROW_BITS).cast("int")).join(F.broadcast(bitmap), bucket, "left")
+    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(bucket, bits)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -286,6 +288,12 @@ def fresh(name: str, docs: DataFrame) -> str:
     return name
 
 
+def others(docs: DataFrame, *new: str) -> list[str]:
+    """The columns of docs that results with these new columns keep: those of the same names, whatever their case, are replaced."""
+    taken = {n.lower() for n in new}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
 def hash_bitmap(hashed: DataFrame, key: str, bits: int = 1 << 26) -> np.ndarray:
     """A bitmap (8 MB) over a column of hashes: ask it with in_bitmap. When it fills up it lets more hashes through and loses none."""
     at = hashed.select(F.pmod(key, F.lit(bits)).alias("at"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.llm._bpe import gather, merge, split, valid
-from loomspan.llm._common import U64, Texts, column, fresh, grouped, hashes, kept, same_ranges, stored, text_slices, trim, words_at
+from loomspan.llm._common import U64, Texts, column, fresh, grouped, hashes, kept, others, same_ranges, stored, text_slices, trim, words_at
 
 #: Buckets of the literal rank map (a prime), and bits of an id in its entries.
 _BUCKETS, _BITS = 65521, 20
@@ -388,7 +388,7 @@ def _with_tail(docs: DataFrame, text: str, tail: DataFrame, sent, name: str, lis
 
 def _assemble(docs: DataFrame, text: str, tail: DataFrame | None, sent, name: str, keep_ids: bool) -> DataFrame:
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * keep_ids
-    names = [c for c in docs.columns if c not in new]
+    names = others(docs, *new)
     schema = T.StructType([docs.schema[c] for c in names]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_ids:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, stored, text_slices, windows
+from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, others, stored, text_slices, windows
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LUT = 1 << 20
@@ -204,7 +204,7 @@ def _mark(docs: DataFrame, block, names: list[str], text: str) -> DataFrame:
 def find_benchmark(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 3, block_windows: int = 100_000) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (word ranges, flat) and hit_items (ids as sorted strings)."""
     sc = docs.sparkSession.sparkContext
-    names = [c for c in docs.columns if c not in NEW]
+    names = others(docs, *NEW)
     plain = docs.select(F.col(text).alias("text"))
     state = docs.select(*names, F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     done = 0

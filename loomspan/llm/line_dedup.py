@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._common import LOWER, NOT_SPACE, U64, Texts, column, fresh, hash_bitmap, hashes, in_bitmap, kept, mix, same_ranges, stored, text_slices, words_at
+from loomspan.llm._common import LOWER, NOT_SPACE, U64, Texts, column, fresh, hash_bitmap, hashes, in_bitmap, kept, mix, others, same_ranges, stored, text_slices, words_at
 
 _GAMMA = 2.0
 _LEVEL = U64(0xD6E8FEB86659FD93)
@@ -323,7 +323,7 @@ def _routed(docs: DataFrame, text: str, doc_id: str, min_chars: int, repeated: D
 
 def _apply(docs: DataFrame, text: str, doc_id: str, min_chars: int, dropped, beside: str | None = None) -> DataFrame:
     """docs without the lines that dropped(lines, batch, ids) marks. beside: a column that it needs and the result does not."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", beside)]
+    names = others(docs, "n_lines", "n_dropped", beside or "n_lines")
     counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     schema = T.StructType([docs.schema[c] for c in names] + counts)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomspan.llm._bpe import WordTable, as_bytes, pre_tokens, split, valid, word_ids
-from loomspan.llm._common import Texts, column, kept, text_slices
+from loomspan.llm._common import Texts, column, kept, others, text_slices
 
 
 @functools.lru_cache(maxsize=2)
@@ -99,7 +99,7 @@ class Counter:
 
 def count_tokens(docs: DataFrame, path: str, *, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of text."""
-    names = [c for c in docs.columns if c != n_tokens]
+    names = others(docs, n_tokens)
     schema = T.StructType([docs.schema[c] for c in names]).add(n_tokens, "long")
     special = sorted(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
     sent = docs.sparkSession.sparkContext.broadcast((prove_whole(path), special))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, mix, stored, text_slices, trim
+from loomspan.llm._common import ALNUM, LOWER, U64, Texts, column, mix, others, stored, text_slices, trim
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
 
 def score_toxicity(docs: DataFrame, model: Model, *, text: str = "text", score: str = "score") -> DataFrame:
     """docs with a column of scores; a column of that name is replaced."""
-    names = [c for c in docs.columns if c != score]
+    names = others(docs, score)
     schema = T.StructType([docs.schema[c] for c in names]).add(score, "double")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

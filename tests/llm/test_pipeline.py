@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from loomspan.llm import toxicity
 from tests.llm.cases import documents, text
@@ -38,9 +40,23 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_stages_keep_the_columns(spark, tmp_path):
     folder = str(tmp_path)
     write(spark, folder)
-    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'own' AS n_lines", "'own' AS n_hit")
+    names = ["n_lines", "N_HIT", "n_tokens", "__score", "Score", "__maybe", "maybe", "__bucket", "TEXT", "passed_3", "hit_items", "N_DROPPED"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    width = len(docs.columns)
+    docs = docs.select("*", *(F.lit(f"own {c}") for c in names)).toDF(*docs.columns, *names)
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns
-        assert {tuple(r) for r in out.select("n_lines", "n_hit").distinct().collect()} == {("own", "own")}
+        assert {tuple(r)[width:] for r in out.collect()} == {tuple(f"own {c}" for c in names)}
         assert stage(spark, docs.limit(0), folder).collect() == []
+    last = P.STAGES[-1][1](spark, docs, folder)
+    assert last.count() == docs.count()
+
+
+def test_repeated_and_null_ids_pass_all_stages(spark, tmp_path):
+    folder = str(tmp_path)
+    write(spark, folder)
+    docs = spark.createDataFrame([(1, "a clean text", "en", "s", 12), (1, "another clean text", "en", "s", 18), (None, "no id", None, None, None), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 4

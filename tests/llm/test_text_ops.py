@@ -236,3 +236,24 @@ def test_labelers_that_agree_are_reliable():
     share, reliability = pii.aggregate_votes(patterns)
     assert share[(0, 1, 1, 1, 1, 1)] > 0.99 and share[(0, 2, 0, 2, 0, 0)] < 0.01
     assert reliability[0, 3, 1, 1] > 0.9 > 0.1 > reliability[0, 3, 1, 0]
+
+
+def test_columns_of_the_same_name_in_another_case_are_replaced(spark):
+    import public_tokenizers
+
+    from loomspan.llm import byte_bpe, toxicity
+    from loomspan.llm.decontaminate import find_benchmark
+    from loomspan.llm.line_dedup import dedup_lines
+    from loomspan.llm.token_counts import count_tokens
+
+    rows = spark.createDataFrame([(k, t, "mine", "kept") for k, t in enumerate(["a line", None, "", "x"])], "doc_id long, text string, clash string, other string")
+    named = lambda c: rows.withColumnRenamed("clash", c)
+    items = spark.createDataFrame([(1, "a line")], "item_id long, text string")
+    model = toxicity.fit([np.array([1], np.int32), np.array([2], np.int32)], np.array([0.0, 1.0]), [])
+    made = {
+        "n_lines": dedup_lines(named("N_LINES")), "n_hit": find_benchmark(named("N_HIT"), items), "n_tokens": count_tokens(named("N_TOKENS"), public_tokenizers.path("byte_bpe_50k.json")),
+        "score": toxicity.score_toxicity(named("SCORE"), model), "ids_sha256": byte_bpe.encode_documents(named("IDS_SHA256"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+    }
+    for c, out in made.items():
+        assert c.upper() not in out.columns and c in out.columns
+        assert out.where(f"cast({c} as string) = 'mine' or other <> 'kept'").count() == 0 and out.count() == 4
