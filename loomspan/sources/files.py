@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.config import CHUNK_MIN_CHARS, DOCX_XML_MOST, PDF_BLOCK_LEAST, PDF_PAGES_MOST, TEXT_FILE_MOST
-from loomspan.functions.text import clean, clean_line, folder_of, paragraphs, source_name
+from loomspan.functions.text import clean, clean_line, dataset_label, folder_of, paragraphs, source_name
 from loomspan.models import Embedder, embed
 from loomspan.operators.search import VectorTable
 from loomspan.operators.segment import chunks, merge_blocks, number_rows
-from loomspan.sources.workbook import workbook_blocks
+from loomspan.sources.workbook import HEADERS, workbook_rows
 
 _COPY = r"^(.*?) ?\([0-9]+\)(\.[^.]*)$"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -103,10 +103,51 @@ def header_row(cells: DataFrame, sheet: str, row: str, values: str) -> DataFrame
 def header_names(cells: Column, translations: dict[str, str]) -> Column:
     """Translated header cells; a blank first one is Period."""
     table = F.create_map(*(F.lit(x) for kv in translations.items() for x in kv)) if translations else F.create_map().cast("map<string,string>")
-    named = F.transform(cells, lambda h: F.coalesce(F.element_at(table, h), h))
+    named = F.transform(cells, lambda h: F.coalesce(F.element_at(table, F.trim(h)), h))
     return F.when(F.coalesce(F.trim(F.get(cells, F.lit(0))), F.lit("")) == "", F.concat(F.array(F.lit("Period")), F.slice(named, F.lit(2), F.size(named)))).otherwise(named)
 
 
+SHEET_ROWS = "path string, place int, sheet string, row int, cells array<string>"
+
+
+def sheet_rows(files: DataFrame) -> DataFrame:
+    """(path, place, sheet, row, cells) of each row of the spreadsheets in files(path, content), cells as texts."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for place, (sheet, rows) in enumerate(workbook_rows(data)):
+                    for start in range(0, len(rows), 10_000):
+                        part = rows[start : start + 10_000]
+                        cells = [[None if v is None else str(v) for v in cells] for _, cells in part]
+                        columns = [pa.array([path] * len(part)), pa.array([place] * len(part), pa.int32()), pa.array([sheet] * len(part), pa.string()), pa.array([n for n, _ in part], pa.int32()), pa.array(cells, pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["path", "place", "sheet", "row", "cells"])
+
+    return files.select("path", "content").mapInArrow(read, SHEET_ROWS)
+
+
+def sheet_texts(rows: DataFrame, translations: dict[str, str] = HEADERS) -> DataFrame:
+    """(path, place, sheet, row, text) of the filled rows below each sheet's header; rows as of ``sheet_rows``.
+
+    A sheet without a row of two filled cells has its first row as header. A text is labelled by the file and the first
+    filled cell above the header, or else the sheet's name, if that says more than the file's.
+    """
+    filled = lambda v: F.coalesce(F.trim(v), F.lit("")) != ""
+    own = rows.withColumn("of", F.struct("path", "place"))
+    at = own.groupBy("of").agg(F.min("row").alias("first")).join(header_row(own, "of", "row", "cells"), "of", "left").select("of", F.coalesce("header_row", "first").alias("at"))
+    placed = own.join(at, "of")
+    said = F.get(F.filter("cells", filled), F.lit(0))
+    title = F.min_by(said, F.when((F.col("row") < F.col("at")) & said.isNotNull(), F.col("row")))
+    heads = placed.where("row <= at").groupBy("of").agg(F.max_by("cells", "row").alias("header"), title.alias("title"))
+    body = placed.where("row > at").join(heads, "of")
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    titled, bare = dataset_label(stem, F.col("title")), F.replace(stem, F.lit("_"), F.lit(" "))
+    label = F.when(titled != bare, titled).otherwise(dataset_label(stem, F.col("sheet")))
+    parts = F.zip_with(header_names(F.col("header"), translations), F.col("cells"), lambda h, v: F.when(h.isNotNull() & filled(v), F.concat(h, F.lit(": "), v)))
+    text = F.array_join(F.array_compact(parts), ", ")
+    return body.where(F.size(F.array_compact(parts)) > 0).select("path", "place", "sheet", "row", F.concat(label, F.lit(": "), text).alias("text"))
+
+
 def sections(docs: DataFrame, key: str, text: str, least: int = 40) -> DataFrame:
     """(key, pos, section_id, text): cleaned filled lines; documents of under ``least`` characters are rejected."""
     lines = F.filter(F.transform(F.split(text, "\n"), clean_line), lambda x: x != "")
@@ -237,15 +278,15 @@ def load_corpus(spark: SparkSession, root: str) -> DataFrame:
         stem, _, kind = name.rsplit("/", 1)[-1].rpartition(".")
         if kind.lower() == "csv":
             return [(name, None, n, t) for n, t in _csv_blocks(stem, data)]
-        if kind.lower() in ("xlsx", "xlsm"):
-            return [(name, None, n, t) for _, n, t in workbook_blocks(stem, data)]
         if kind.lower() == "pdf":
             return [(name, page, n, t) for n, (page, t) in enumerate(pdf_blocks(data), 1)]
         return [(name, None, None, decode(data))]
 
-    raw = _parsed(files.select("source_file", "content"), pieces, "source_file string, page int, row int, text string")
     kind = extension(F.col("source_file"))
-    rows = raw.where(kind.isin("csv", "xlsx", "xlsm"))
+    is_book = kind.isin("xlsx", "xlsm")
+    raw = _parsed(files.where(~is_book).select("source_file", "content"), pieces, "source_file string, page int, row int, text string")
+    books = sheet_texts(sheet_rows(files.where(is_book).select(F.col("source_file").alias("path"), "content")))
+    rows = raw.where(kind == "csv").unionByName(books.select(F.col("path").alias("source_file"), F.lit(None).cast("int").alias("page"), "row", "text"))
     texts = paragraph_blocks(raw.where(kind == "txt"), "source_file", "text").select("source_file", F.lit(None).cast("int").alias("page"), "row", "text")
     block = raw.where(kind == "pdf").withColumn("text", clean(F.col("text"))).where(F.length("text") >= PDF_BLOCK_LEAST)
     joined = merge_blocks(block, "source_file", "row", "page", "text")

@@ -66,7 +66,7 @@ def workbook(sheets, strings=()):
     return raw.getvalue()
 
 
-def test_spreadsheet_rows():
+def test_spreadsheet_rows(spark):
     words = ["Fields of the north", "Feltnavn", "Depth", "Draugen", "Year"]
     first = (
         '<row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3" t="s"><v>2</v></c></row>'
@@ -74,11 +74,16 @@ def test_spreadsheet_rows():
         '<row r="6"><c r="B6" t="inlineStr"><is><t> </t></is></c></row><row r="7"><c r="C7"><v>9</v></c><c r="D7"><v>1</v></c></row>'
     )
     second = '<row r="1"><c r="A1" t="s"><v>4</v></c></row><row r="2"><c r="A2"><v>2020</v></c></row>'
-    data = workbook({"Sheet": first, "wells": second, "none": ""}, words)
-    assert S.workbook_blocks("my_wells", data) == [
+    third = '<row r="2"><c r="A2" t="inlineStr"><is><t>only</t></is></c></row><row r="3"><c r="A3"><v>7</v></c></row>'
+    books = [("a/my_wells.xlsx", bytearray(workbook({"Sheet": first, "wells": second, "none": ""}, words))), ("b.v2/My.book.xlsm", bytearray(workbook({"Deep": third})))]
+    rows = S.sheet_rows(spark.createDataFrame(books, "path string, content binary"))
+    got = [(r.sheet, r.row, r.text) for r in S.sheet_texts(rows).orderBy("path", "place", "row").collect()]
+    assert S.sheet_texts(rows.limit(0)).collect() == []
+    assert got == [
         ("Sheet", 4, "my wells - Fields of the north: Period: 2020-01-02 00:00:00, Field name: Draugen, Depth: 251.5"),
         ("Sheet", 7, "my wells - Fields of the north: Depth: 9"),
         ("wells", 2, "my wells: Year: 2020"),
+        ("Deep", 3, "My.book - Deep: only: 7"),
     ]
 
 
