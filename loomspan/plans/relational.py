@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import timedelta
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.config import CHUNK_OVERLAP, CHUNK_WORDS, SUMMARY_CHARS
@@ -14,6 +16,8 @@ from loomspan.operators import review as V
 from loomspan.plans._base import query, table
 from loomspan.plans.texts import docs, paths, sql_fragments, sql_hit
 from loomspan.sources import files as S
+from loomspan.sources.grams import GramFiles
+from loomspan.sources.snapshot import scratch
 
 _PATHS = "SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"
 
@@ -287,6 +291,15 @@ def sources_excerpts(spark, d):
     return C.sources_of(chunks, ["answer"]).withColumn("excerpts", shown)
 
 
+@query("""SELECT needle, doc_id FROM (VALUES ('ering on'), ('THE OF'), ('tion en'), ('#unseen#')) n(needle) JOIN documents ON contains(lower(text), lower(needle))""")
+def browse_by_grams(spark, d):
+    """Documents that hold a needle, from files by language and source whose n-grams are known; only files that can hold it are opened."""
+    path = scratch(spark)
+    texts = GramFiles.write(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), path, ["lang", "source", "doc_id"], files=16)
+    found = [texts.search(n).select(F.lit(n).alias("needle"), "doc_id") for n in ("ering on", "THE OF", "tion en", "#unseen#")]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey + 5 = n_nationkey")
 def refs_left_join(spark, d):
     n = table(spark, d, "nation").select((F.col("n_nationkey") - 5).alias("c_nationkey"), "n_name")
