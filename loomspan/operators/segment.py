@@ -100,6 +100,19 @@ def batch_sections(sections: DataFrame, key: str, pos: str, text: str, most: int
     return b.select(key, inside.alias("analysed"), F.size("b").alias("total"), F.least(F.array_max("b"), F.lit(number)).alias("n_batches"), (inside < F.size("b")).alias("truncated"))
 
 
+def leading_text(rows: DataFrame, key: str, order: str, text: str, most: int, joint: str = " ") -> DataFrame:
+    """(key, text): the first ``most`` characters of each key's texts in order, joined; null texts are passed over.
+
+    Each text adds a character of its joint, so only the first most + 1 rows can matter: a task sends no more of a key than these, each cut.
+    """
+    if not joint:
+        raise ValueError("texts are joined by at least one character")
+    some = rows.where(F.col(text).isNotNull()).select(key, F.col(order).alias("o"), F.substring(text, 1, most).alias("t"))
+    some = some.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("o"))).where(F.col("n") <= most + 1)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda p: p["t"])
+    return some.groupBy(key).agg(F.substring(F.array_join(parts, joint), 1, most).alias(text))
+
+
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str, name: str) -> DataFrame:
     """(key, start, end, names): overlapping intervals as one, with their names by start; touching ones stay apart."""
     w = Window.partitionBy(key).orderBy(start, end)

@@ -13,6 +13,7 @@ from loomspan.functions import text as X
 from loomspan.operators import catalog as C
 from loomspan.operators import rank as R
 from loomspan.operators import review as V
+from loomspan.operators.segment import leading_text
 from loomspan.plans._base import query, table
 from loomspan.plans.texts import docs, paths, sql_fragments, sql_hit
 from loomspan.sources import files as S
@@ -342,8 +343,7 @@ def library_totals(spark, d):
 
 @query(f"SELECT conv_id, substr(string_agg(text, ' ' ORDER BY turn), 1, {SUMMARY_CHARS}) AS summary FROM conversations GROUP BY conv_id")
 def summary_concat(spark, d):
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"])
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.substring(F.array_join(parts, " "), 1, SUMMARY_CHARS).alias("summary"))
+    return leading_text(table(spark, d, "conversations"), "conv_id", "turn", "text", SUMMARY_CHARS).withColumnRenamed("text", "summary")
 
 
 @query("""SELECT user_id, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'failed' WHEN arg_max(event_type, event_id) = 'purchase' THEN 'succeeded' WHEN count(*) < 3 THEN 'queued' ELSE 'running' END AS state,

@@ -9,6 +9,7 @@ from loomspan.functions import text as X
 from loomspan.operators import catalog as C
 from loomspan.operators import rank as R
 from loomspan.operators import segment as G
+from loomspan.operators.long_texts import pack_rows, word_window_rows
 from loomspan.operators.names import find_names, first_phrase, quotes_in
 from loomspan.plans._base import query, table
 from loomspan.sources import files as S
@@ -106,6 +107,24 @@ def passage_split(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(G.passages(F.col("text"))).alias("k", "t")).select("doc_id", "k", F.md5("t").alias("hash"))
 
 
+@query(_pack_sql(_SENTENCES, 700, "' '"))
+def passage_rows(spark, d):
+    """The same passages from rows of sentences, as very long texts need it."""
+    found = F.filter(F.transform(F.split("text", r"(?<=[.;:])\s+|\n+"), X.strip), lambda x: x != "")
+    pieces = docs(spark, d).select("doc_id", F.posexplode(found).alias("pos", "text"))
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    return pack_rows(pieces, ["doc_id"], 700, " ").select("doc_id", k.alias("k"), F.md5("text").alias("hash"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, string_split_regex({_STRIP.format("text")}, '\s+') AS ws FROM documents),
+    n AS (SELECT doc_id, ws, unnest(range(greatest(0, ceil((len(ws) - 50) / 40.0)::INT) + 1)) AS k FROM w)
+    SELECT doc_id, k::INT AS k, md5(array_to_string(ws[k * 40 + 1 : k * 40 + 50], ' ')) AS hash FROM n""".replace("\\\\", "\\"))
+def window_rows(spark, d):
+    """Windows of fifty words, forty apart, from rows of words."""
+    found = word_window_rows(docs(spark, d).select("doc_id", "text"), ["doc_id"], "text", 50, 10)
+    return found.select("doc_id", F.col("window").alias("k"), F.md5("text").alias("hash"))
+
+
 _LINES = "SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents"
 
 

@@ -196,6 +196,14 @@ def ann_graph_topk(spark, d):
     return _shown(G.graph_topk(G.build_graphs(points(spark, d)), point_queries(spark, d), 10))
 
 
+@query("SELECT 10 * count(*) AS n_exact, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def ann_graph_recall(spark, d):
+    """Whether walks of the graphs find nine in ten of the ten nearest."""
+    p, q = points(spark, d), point_queries(spark, d)
+    found = G.GraphIndex(spark, G.GraphConfig(ef_construction=100)).add(p).search(q, 10)
+    return S.recall(found, S.exact_topk(p, q, 10)).select("n_exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
 _CELLS = """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
     x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(e) AS x FROM p),
     c AS (SELECT label AS cell, list(v ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS v FROM x GROUP BY label, i) GROUP BY label),
