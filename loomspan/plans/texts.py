@@ -487,6 +487,6 @@ def detect_country(spark, d):
     return table(spark, d, "events").select("event_id", X.detect_country(q).alias("country"))
 
 
-@query("SELECT event_id, round(value * 100, 1)::VARCHAR || '%' AS label FROM events WHERE value < 9000")
+@query("SELECT event_id, round(value * 100, 1)::DECIMAL(38, 1)::VARCHAR || '%' AS label FROM events")
 def score_percent(spark, d):
-    return table(spark, d, "events").where("value < 9000").select("event_id", X.score_percent(F.col("value")).alias("label"))
+    return table(spark, d, "events").select("event_id", X.score_percent(F.col("value")).alias("label"))
