@@ -9,7 +9,8 @@ patterns are counted per kind over all documents; expectation-maximisation over
 A logistic classifier over span features is then trained on the expected labels, again on counts of
 feature patterns, and decides on the wider candidates. Base spans always stay.
 
-Offsets count code points. Texts are scanned once; documents then keep their candidates in a table.
+Offsets count code points. Texts are scanned once; documents then keep their candidates in a table. The work on a text grows
+with its length and with n^(3/2) appends of n spans, in blocks.
 
 Defined results: null text counts as empty; rows that share a doc_id are reported one by one; texts
 without candidates have empty lists; an empty table gives an empty result (nothing is trained).
@@ -18,6 +19,7 @@ without candidates have empty lists; an empty table gives an empty result (nothi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,28 +73,81 @@ def passes(kind: str, span: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-_SPAN = "array<struct<kind:int,start:int,end:int,text:string,before:string,after:string,base:boolean>>"
+_SPAN = "struct<kind:int,start:int,end:int,text:string,before:string,after:string,base:boolean>"
+#: A running fold gathers its rows in blocks of so many: an append copies its array, and in blocks of n^(1/2) all copies of n rows are n^(3/2).
+_BLOCK = 128
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, carry: Column, row_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The rows that ``step(carry, item) -> (carry, row)`` gives for the items of an array, in order."""
+    none = F.array().cast(f"array<{row_type}>")
+
+    def add(state: Column, x: Column) -> Column:
+        carry, row = step(state["carry"], x)
+        return F.struct(carry.alias("carry"), F.array_append(state["rows"], row).alias("rows"))
+
+    def all_rows(xs: Column) -> Column:
+        def block(state: Column, k: Column) -> Column:
+            part = F.slice(xs, k * _BLOCK + 1, F.lit(_BLOCK))
+            done = F.aggregate(part, F.struct(state["carry"].alias("carry"), none.alias("rows")), add)
+            return _bound(done, lambda d: F.struct(d["carry"].alias("carry"), F.array_append(state["parts"], d["rows"]).alias("parts")))
+
+        start = F.struct(carry.alias("carry"), F.array().cast(f"array<array<{row_type}>>").alias("parts"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int"))
+        return F.when(F.size(xs) > 0, F.flatten(F.aggregate(blocks, start, block)["parts"])).otherwise(none)
+
+    return _bound(items, all_rows)
 
 
 def find(text: Column, kind: str, pattern: str, base: bool) -> Column:
     """All matches of pattern, with places and what stands beside them."""
-    none = F.array().cast(_SPAN)
-
-    def add(state: Column, k: Column) -> Column:
-        start = state["at"] + F.length(F.get(state["gaps"], k))
-        span = F.get(state["hits"], k)
-        end = start + F.length(span)
-        before = F.substring(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32)))
-        row = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), span.alias("text"), before.alias("before"), F.substring(text, end + 1, F.lit(2)).alias("after"), F.lit(base).alias("base"))
-        return F.struct(end.alias("at"), state["gaps"].alias("gaps"), state["hits"].alias("hits"), F.array_append(state["found"], row).alias("found"))
-
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.split(text, pattern, -1).alias("gaps"), hits.alias("hits"), none.alias("found"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), state, add)["found"]
+
+    def pieces(m: Column) -> Column:
+        def piece(hit: Column, k: Column) -> Column:
+            # Two characters after a match lie in the next gap and the next match, which has more than two.
+            after = F.concat(F.left(F.get(m["gaps"], k + 1), F.lit(2)), F.coalesce(F.left(F.get(m["hits"], k + 1), F.lit(2)), F.lit("")))
+            return F.struct(F.get(m["gaps"], k).alias("gap"), hit.alias("hit"), F.left(after, F.lit(2)).alias("after"))
+
+        return F.transform(m["hits"], piece)
+
+    def step(carry: Column, x: Column) -> tuple[Column, Column]:
+        start = carry["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        before = F.right(F.concat(carry["tail"], x["gap"]), F.lit(32))
+        row = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("text"), before.alias("before"), x["after"].alias("after"), F.lit(base).alias("base"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, x["hit"]), F.lit(32)).alias("tail")), row
+
+    split = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    found = running(_bound(split, pieces), F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), _SPAN, step)
     test = text.rlike(pattern)
     if base and kind in _NEEDS:
         test = text.like(_NEEDS[kind]) & test
-    return F.when(test, found).otherwise(none)
+    return F.when(test, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def clear_of(wide: Column, base: Column) -> Column:
+    """The wide spans that overlap no base span, by one sort and a fold in each direction."""
+    item = f"struct<start:int,wide:boolean,end:int,span:{_SPAN}>"
+
+    def items(spans: Column, is_wide: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_wide).alias("wide"), s["end"].alias("end"), s.alias("span")))
+
+    def from_left(reach: Column, x: Column) -> tuple[Column, Column]:
+        row = F.struct(x["start"].alias("start"), (x["wide"] & (reach <= x["start"])).alias("wide"), x["end"].alias("end"), x["span"].alias("span"), (~x["wide"]).alias("base"))
+        return F.when(x["wide"], reach).otherwise(F.greatest(reach, x["end"])), row
+
+    def from_right(next_base: Column, x: Column) -> tuple[Column, Column]:
+        row = F.when(x["wide"] & (x["end"] <= next_base), x["span"])
+        return F.when(x["base"], x["start"]).otherwise(next_base), row
+
+    placed = F.sort_array(F.concat(items(base, False), items(wide, True)))
+    left = running(placed, F.lit(0), item[:-1] + ",base:boolean>", from_left)
+    return F.sort_array(F.array_compact(running(F.reverse(left), F.lit(2**31 - 1), _SPAN, from_right)))
 
 
 def candidates(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -105,8 +160,8 @@ def candidates(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     base = [passing(k, p) for k, p in _BASE.items()]
     wide = [find(F.col("t"), k, p, False) for k, p in _WIDE.items()]
     t = t.select("doc_id", F.flatten(F.array(*base)).alias("base"), F.flatten(F.array(*wide)).alias("wide"))
-    clear = F.filter("wide", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return t.select("doc_id", "base", F.when(F.size("wide") > 0, clear).otherwise(F.col("wide")).alias("wide"))
+    both = (F.size("wide") > 0) & (F.size("base") > 0)
+    return t.select("doc_id", "base", F.when(both, clear_of(F.col("wide"), F.col("base"))).otherwise(F.col("wide")).alias("wide"))
 
 
 def _by_kind(kind: Column, of: dict[str, Column], other: Column) -> Column:

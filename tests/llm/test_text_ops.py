@@ -231,6 +231,23 @@ def test_wider_rules_add_spans(spark):
     assert "phone:" in got[0] and "email:" in got[0]
 
 
+def test_candidates_of_texts_with_many_spans(spark):
+    """More spans in a text than a block of a fold holds: places, neighbourhoods and overlaps equal brute force."""
+    rng = np.random.default_rng(3)
+    parts = ["a@b.co", "+1 415 555 1234", "415-555-0134", "bob [at] x [dot] com", "1.2.3.4", " ", ",", "x", "4111 1111 1111 1111", "378282246310005", "\U0001f600", "c@d.ef,", "\n"]
+    rows = [(i, "".join(rng.choice(parts, n))) for i, n in enumerate([0, 1, 2, 3, 127, 128, 129, 700, 4000])]
+    seen = 0
+    for r in pii.candidates(frame(spark, rows), "text", "doc_id").collect():
+        t = rows[r.doc_id][1]
+        for x in [*r.base, *r.wide]:
+            assert (x.text, x.before, x.after) == (t[x.start : x.end], t[max(0, x.start - 32) : x.start], t[x.end : x.end + 2])
+        every = [x for k, p in pii._WIDE.items() for x in re.finditer(p.replace("}+", "}"), t)]
+        clear = [x for x in every if not any(b.start < x.end() and x.start() < b.end for b in r.base)]
+        assert [(x.start, x.end) for x in r.wide] == [x.span() for x in clear]
+        seen += len(every) > len(clear) > 0
+    assert seen
+
+
 def test_labelers_that_agree_are_reliable():
     patterns = {(0, 1, 1, 1, 1, 1): 80.0, (0, 2, 0, 2, 0, 0): 60.0, (0, 1, 1, 2, 1, 1): 40.0, (0, 2, 1, 2, 0, 0): 5.0}
     share, reliability = pii.aggregate_votes(patterns)
