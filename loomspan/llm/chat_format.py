@@ -17,7 +17,8 @@ first, so ties and repeated rows keep a fixed order and all count; only a first
 ``system`` is retained, others are ordinary turns; rows with a null conv_id are one conversation; an
 empty table gives an empty result. A conversation of more than ``slice_turns`` rows is worked on in slices of
 about so many rows, by quantiles of the turn number, at most 1024 of them (rows of one turn number stay together).
-Slices pass on sums, the system turn and the costs of their neighbours' rows, so windows do not depend on
+The ``sent_conversations`` longest are found by a broadcast of 8 KB for each at most; any other holds
+less than that share of all rows, so others are found by shuffles. Slices pass on sums, the system turn and the costs of their neighbours' rows, so windows do not depend on
 them. ``segment_turns``, None by default, cuts conversations by turn number instead of only working in slices: a segment begins a
 window with the system turn, but without history, and one that begins with a system turn of its own, when the
 conversation has none, retains that. Only ``digests`` puts a whole conversation together, as one hash asks for.
@@ -46,6 +47,7 @@ class Plan:
     least_cell: int = 64
     segment_turns: int | None = None
     slice_turns: int = 4096
+    sent_conversations: int = 4096
 
 
 def escape(text: Column) -> Column:
@@ -94,27 +96,27 @@ def _span(before: Column, own: Column, cell: Column) -> Column:
     return k * 2 + crosses.cast("long")
 
 
-def _joined(t: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """t with other's columns besides the keys; a null conv_id is a key like others."""
+def _joined(t: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", *, sent: bool = False) -> DataFrame:
+    """t with other's columns besides the keys; a null conv_id is a key like others. sent: other is small and broadcast."""
     other = other.select(*(F.col(k).alias(f"{k}_") for k in keys), *(c for c in other.columns if c not in keys))
     on = F.lit(True)
     for k in keys:
         on &= F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return t.join(F.broadcast(other) if "slice" not in keys else other, on, how).drop(*(f"{k}_" for k in keys))
+    return t.join(F.broadcast(other) if sent else other, on, how).drop(*(f"{k}_" for k in keys))
 
 
-def _sliced(t: DataFrame, long: DataFrame, plan: Plan) -> DataFrame:
+def _sliced(t: DataFrame, long: DataFrame, plan: Plan, sent: bool) -> DataFrame:
     """The rows of long conversations with their slice and what it must know of the others.
 
-    long has a row for every slice_turns rows of t at most, so it and the cuts are broadcast.
+    sent: long has at most ``sent_conversations`` rows, so it and the cuts (8 KB for each) are broadcast.
     """
-    t = _joined(t, long, ["conv_id", "seg"])
+    t = _joined(t, long, ["conv_id", "seg"], sent=sent)
     quantiles = F.percentile_approx("turn", [k / _QUANTILES for k in range(1, _QUANTILES)])
     step = F.ceil(F.lit(_QUANTILES * plan.slice_turns) / F.col("rows"))
     cuts = t.groupBy("conv_id", "seg", "rows").agg(quantiles.alias("q"))
     # Stored, as a second computation could place the cuts elsewhere.
     cuts = stored(cuts.select("conv_id", "seg", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("cuts")))
-    t = _joined(t.drop("rows"), cuts, ["conv_id", "seg"])
+    t = _joined(t.drop("rows"), cuts, ["conv_id", "seg"], sent=sent)
     t = t.withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("turn"))), F.lit(0))).drop("cuts")
 
     near = max(1, plan.history_turns)
@@ -148,10 +150,21 @@ def windows(turns: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """(conv_id, seg, window, repeated, pos, role, text): turns of each window, repeats of earlier ones included; windows ascend from 1, with gaps."""
     t = _segments(turns, plan)
     long = stored(t.groupBy("conv_id", "seg").agg(F.count("*").alias("rows")).where(F.col("rows") > plan.slice_turns))
-    if long.isEmpty():
+    n = long.count()
+    if not n:
         return _windows(t, plan, False)
-    short = _joined(t, long, ["conv_id", "seg"], "left_anti")
-    return _windows(short, plan, False).unionByName(_windows(_sliced(t, long, plan), plan, True))
+    if n <= plan.sent_conversations:
+        most, others = long, None
+    else:
+        # Only the least of the greatest sizes comes to the driver.
+        last = long.select("rows").orderBy(F.desc("rows")).limit(plan.sent_conversations).agg(F.min("rows")).first()[0]
+        most, others = long.where(F.col("rows") > last), long.where(F.col("rows") <= last)
+    short = _joined(t, most, ["conv_id", "seg"], "left_anti", sent=True)
+    out = _windows(_sliced(t, most, plan, True), plan, True)
+    if others is not None:
+        out = out.unionByName(_windows(_sliced(short, others, plan, False), plan, True))
+        short = _joined(short, others, ["conv_id", "seg"], "left_anti")
+    return _windows(short, plan, False).unionByName(out)
 
 
 def _windows(t: DataFrame, plan: Plan, sliced: bool) -> DataFrame:

@@ -191,6 +191,8 @@ def test_chat_windows_do_not_depend_on_slices(spark):
     assert shown(sparse) == plain
     for rows in (1, 3, 7):
         assert shown(sparse, slice_turns=rows) == plain
+    for sent in (1, 2):  # the longest by a broadcast, the others by shuffles
+        assert shown(sparse, slice_turns=3, sent_conversations=sent) == plain
     default = chat_format.format_chats(turns).agg(F.sum(F.length("formatted"))).first()
     assert chat_format.format_chats(sparse).agg(F.sum(F.length("formatted"))).first() == default
 
