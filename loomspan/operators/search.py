@@ -220,13 +220,51 @@ def least_nprobe(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k
     return int((hits < least * len(rows)).sum()) + 1 if len(rows) else len(names)
 
 
-def neighbour_graph(points: DataFrame, m: int, block: int = BLOCK) -> DataFrame:
-    """(src, dst, distance, rank): the m nearest others of every point."""
-    queries = points.select(F.col("id").alias("query_id"), "vector")
-    near = exact_topk(points, queries, m + 1, block=block).where("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m)
-    return near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance", "rank")
+def _compare_blocks(m: int, tile: int = 2048):
+    """For the rows of two blocks, or of one with itself: the m nearest of each row in the other block, by tiles."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        low, high, block = (rows[c].to_numpy() for c in ("low", "high", "block"))
+        ids, vectors = rows["id"].to_numpy(), matrix(rows["vector"].combine_chunks())
+        sides = [np.flatnonzero(block == low)] if low[0] == high[0] else [np.flatnonzero(block == low), np.flatnonzero(block == high)]
+        dist, near = np.full((len(ids), m), np.inf), np.full((len(ids), m), np.iinfo(np.int64).max)
+        tiles = [[side[k : k + tile] for k in range(0, len(side), tile)] for side in sides]
+        pairs = [(x, y) for x in tiles[0] for y in tiles[1]] if len(sides) == 2 else [(x, y) for k, x in enumerate(tiles[0]) for y in tiles[0][k:]]
+        for x, y in pairs:
+            d = 1.0 - vectors[x] @ vectors[y].T
+            d[ids[x][:, None] == ids[y]] = np.inf
+            dist[x], near[x] = _closest(dist[x], near[x], d, ids[y])
+            if x is not y:
+                dist[y], near[y] = _closest(dist[y], near[y], d.T, ids[x])
+        row, col = np.nonzero(np.isfinite(dist))
+        return pa.table([ids[row], near[row, col], dist[row, col]], ["src", "dst", "distance"])
+
+    return compare
+
+
+def neighbour_graph(points: DataFrame, m: int, block_bytes: int = 32 << 20) -> DataFrame:
+    """(src, dst, distance, rank): the m nearest others of every point, exactly.
+
+    Points are dealt to stored blocks of about ``block_bytes``; each pair of blocks is compared once, in a task of its own, for both
+    its sides, so no vector passes through the driver. A point goes to as many tasks as there are blocks: work
+    and shuffle grow with the square of the points, for which ``descended_graph`` is the other way. Rows of one id are no
+    neighbours of each other; points without a vector take no part; an empty table gives an empty result.
+    """
+    spark = points.sparkSession
+    rows = points.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    if not size.n:
+        return spark.createDataFrame([], "src long, dst long, distance double, rank int")
+    # Small tables are cut further, so that there is a pair for every core.
+    blocks = max(-(-size.n * size.dims * 8 // block_bytes), min(-(-size.n // 1024), int((2 * spark.sparkContext.defaultParallelism) ** 0.5)))
+    path = scratch(spark)
+    rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).write.parquet(path)
+    placed = spark.read.schema(T.StructType([*rows.schema.fields]).add("block", "long")).parquet(path)
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = dealt.select("id", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    near = dealt.groupBy("low", "high").applyInArrow(_compare_blocks(m), "src long, dst long, distance double")
+    order = Window.partitionBy("src").orderBy("distance", "dst")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m).select("src", "dst", "distance", "rank")
 
 
 def prune_graph(edges: DataFrame, most: int) -> DataFrame:

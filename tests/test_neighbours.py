@@ -34,3 +34,24 @@ def test_descent_of_small_and_hard_tables(spark):
     got = descended_graph(hub, 3, block=40, pool=12)
     assert got.groupBy("src").count().where("count <> 3").count() == 0
     assert got.where("src < 450 AND distance > 1e-9").count() == 0
+
+
+def test_blocks_of_points_give_the_exact_graph(spark):
+    """Any number of blocks gives the rows of brute force: ties, copies, repeated ids, points at zero and without a vector."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, size=(150, 3)).astype(float)
+    v[3] = 0
+    ids = [*range(140), *range(10)]
+    unit = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)] + [(999, None)], "id long, vector array<double>")
+    want = {}
+    for i in set(ids):
+        d = [(round(float(1 - unit[a] @ unit[b]), 9), ids[b]) for a in range(150) if ids[a] == i for b in range(150) if ids[b] != i]
+        want[i] = [x for x, _ in sorted(d)[:4]]
+    for size in (32 << 20, 1200, 200):
+        got = {}
+        for r in S.neighbour_graph(p, 4, size).orderBy("src", "rank").collect():
+            assert r.src != r.dst
+            got.setdefault(r.src, []).append(round(r.distance, 9) + 0.0)
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+    assert S.neighbour_graph(p.where("id = 999"), 4).collect() == S.neighbour_graph(p.where("id = 0").limit(1), 4).collect() == []
