@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -88,6 +88,43 @@ def test_counterfactual_penalty_frees_neutral_mentions(spark):
     assert gap[20.0] < 0.6 * gap[0.0]
 
 
+def test_fit_equals_an_independent_one():
+    """A dense matrix and Newton's method give the scores of the gradient steps; buckets stand for words and stems, but for a few that collide."""
+    rows, labels = toxic_rows(300)
+    y = np.array([v for _, v in labels], float)
+
+    def named(t):
+        words = re.findall("[a-z0-9]+", t.lower())
+        return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in (4, 5, 6) if len(w) > k}
+
+    own = toxicity.of_texts([t for _, t in rows])
+    two = [tuple(toxicity.of_texts(list(ab))) for _, t in rows for ab in toxicity.Swaps().pairs(t)]
+    held, pairs = [set(f.tolist()) for f in own], [(set(a.tolist()), set(b.tolist())) for a, b in two]
+    assert all(0 <= len(named(t)) - len(h) <= 1 for (_, t), h in zip(rows, held)) and sum(len(named(t)) > len(h) for (_, t), h in zip(rows, held)) < 10
+    df, df1 = Counter(f for h in held for f in h), Counter(f for h, v in zip(held, y) if v for f in h)
+    share = y.mean()
+
+    def gain(a, b):
+        return (a * np.log(a / b / share) if a else 0) + ((b - a) * np.log((b - a) / b / (1 - share)) if b > a else 0)
+
+    changed = {f for a, b in pairs for f in a ^ b}
+    used = [f for f, n in df.items() if n >= 3 and (gain(df1[f], n) > 2 or f in changed)]
+    x = np.array([[f in h for f in used] + [1] for h in held], float)
+    swap = np.array([[(f in a) - (f in b) for f in used] + [0] for a, b in pairs], float)
+    assert len(swap) and np.abs(swap).sum()
+    for penalty in (0.0, 1.0, 20.0):
+        w, ridge = np.zeros(len(used) + 1), np.diag([3e-4] * len(used) + [0])
+        w[-1] = np.log(share / (1 - share))
+        bend = ridge + 2 * penalty / len(swap) * swap.T @ swap
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + bend + 1e-12 * np.eye(len(w)), x.T @ (p - y) / len(y) + bend @ w)
+        model = toxicity.fit(own, y, two, penalty=penalty)
+        got = np.array([1 / (1 + np.exp(-model.bias - model.weights[f].sum())) for f in own])
+        assert set(np.flatnonzero(model.weights)) == set(used)
+        assert np.abs(got - 1 / (1 + np.exp(-x @ w))).max() < 0.005
+
+
 def test_placed_names_act_without_swapped_sentences(spark):
     """Names that stand alone in no sentence of the pairs' own: the penalty acts through names placed by themselves."""
     rows, labels = toxic_rows()
