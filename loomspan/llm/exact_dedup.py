@@ -32,6 +32,10 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: Of a digest and two numbers, before encoding.
+_ROW_BYTES = 48
+
+
 class MergeIndex:
     """Sorted digest runs in one folder of the shared file system, in levels: ``fanout`` tables of a level become one of the next."""
 
@@ -42,7 +46,9 @@ class MergeIndex:
 
     def _write(self, df: DataFrame, level: int) -> None:
         path = f"{self.root}/level{level}-{self.written}"
-        df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(self.memtable_rows)).parquet(path)
+        # A row group has about as many rows as a memtable, for which its filter is sized.
+        group = {"parquet.block.size": str(_ROW_BYTES * self.memtable_rows), "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(self.memtable_rows)}
+        df.write.options(**group).parquet(path)
         self.written += 1
         self.levels.extend([] for _ in range(level + 1 - len(self.levels)))
         self.levels[level].append(path)
@@ -101,8 +107,7 @@ class MergeIndex:
 
     def _merge(self, paths: list[str], level: int) -> None:
         best = F.max if self.keep == "largest" else F.min
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        merged = self.runs(paths).repartitionByRange(parts, "digest").groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
+        merged = self.runs(paths).repartitionByRange("digest").groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
         self._write(merged, level)
 
     def compact(self) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,19 @@ def test_lookup_probes_the_runs_by_digest(spark):
     assert {bytes(r.digest) for r in index.lookup([sha(k) for k in range(50)]).collect()} == {sha(k) for k in range(30)}
 
 
+def test_filters_are_sized_for_their_row_groups(spark, tmp_path):
+    """Runs and compacted levels have row groups of about a memtable, for which the filters are sized."""
+    index = MergeIndex(spark, str(tmp_path), memtable_rows=2000)
+    index.flush(spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id").coalesce(1))
+    for _ in range(2):
+        files = [pq.ParquetFile(f).metadata for f in tmp_path.glob(f"level{len(index.levels) - 1}-*/*.parquet")]
+        groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+        assert sum(groups) == 20_000 and max(groups) < 4000 and len(groups) >= 6
+        index.compact()
+    sha = hashlib.sha256(b"77").digest()
+    assert [(r.keep_id, r.n) for r in index.lookup([sha]).collect()] == [(77, 1)]
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_levels_fill_and_merge(spark, keep):
     """Loads one after the other: at most ``fanout`` - 1 tables wait in a level, and no row is lost or counted twice."""
