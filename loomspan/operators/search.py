@@ -31,6 +31,8 @@ if TYPE_CHECKING:
     from loomspan.operators.graph import GraphIndex
 
 BLOCK = 4096
+#: Pairs of blocks of a neighbour graph are dealt to no more partitions.
+MOST_PAIRS = 8192
 HITS = "query_id long, id long, distance double"
 
 
@@ -86,22 +88,39 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _closest(dist: np.ndarray, near: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, by distance and then id, among those kept so far and new ones.
+    """The k best of each row, by distance and then id, among those kept so far, which are in order, and new ones.
 
-    Only what is no farther than a row's k-th distance is sorted.
+    Only what is no farther than a row's k-th distance is sorted, a slice of the rows at a time; of many at just that distance, the k least ids.
     """
-    k = dist.shape[1]
-    both = np.concatenate((dist, d), 1)
-    row, col = np.nonzero(both <= np.partition(both, k - 1, axis=1)[:, k - 1 : k])
-    old = col < k
-    name = np.where(old, near[row, np.where(old, col, 0)], ids[np.where(old, 0, col - k)] if len(ids) else 0)
-    order = np.lexsort((name, both[row, col], row))
-    row, col, name = row[order], col[order], name[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = rank < k
-    dist, near = np.full_like(dist, np.inf), np.full_like(near, np.iinfo(np.int64).max)
-    dist[row[keep], rank[keep]] = both[row[keep], col[keep]]
-    near[row[keep], rank[keep]] = name[keep]
+    k, dist, near = dist.shape[1], dist.copy(), near.copy()
+    for start in range(0, len(dist) if d.shape[1] else 0, 256):
+        part, kept, names = d[start : start + 256], dist[start : start + 256], near[start : start + 256]
+        limit = np.minimum(kept[:, k - 1], np.finfo(np.float64).max)
+        good = part <= limit[:, None]
+        many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
+        if len(many):
+            some = part[many]
+            limit = np.partition(some, k - 1, axis=1)[:, k - 1 : k]
+            good[many] = some <= limit
+            tied = np.flatnonzero(np.count_nonzero(good[many], axis=1) > 4 * k)
+            if len(tied):
+                order = np.argsort(ids, kind="stable")
+                equal = some[np.ix_(tied, order)] == limit[tied]
+                good[np.ix_(many[tied], order)] &= ~(equal & (np.cumsum(equal, axis=1) > k))
+        row, col = np.nonzero(good)
+        if not len(row):
+            continue
+        changed = np.unique(row)
+        old, at = np.nonzero(np.isfinite(kept[changed]))
+        old = changed[old]
+        far, name, row = np.concatenate((kept[old, at], part[row, col])), np.concatenate((names[old, at], ids[col])), np.concatenate((old, row))
+        order = np.lexsort((name, far, row))
+        row, far, name = row[order], far[order], name[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        kept[changed], names[changed] = np.inf, np.iinfo(np.int64).max
+        kept[row[keep], rank[keep]] = far[keep]
+        names[row[keep], rank[keep]] = name[keep]
     return dist, near
 
 
@@ -220,7 +239,7 @@ def least_nprobe(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k
     return int((hits < least * len(rows)).sum()) + 1 if len(rows) else len(names)
 
 
-def _compare_blocks(m: int, tile: int = 2048):
+def _compare_blocks(m: int, tile: int = 1024):
     """For the rows of two blocks, or of one with itself: the m nearest of each row in the other block, by tiles."""
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -242,11 +261,12 @@ def _compare_blocks(m: int, tile: int = 2048):
     return compare
 
 
-def neighbour_graph(points: DataFrame, m: int, block_bytes: int = 32 << 20) -> DataFrame:
+def neighbour_graph(points: DataFrame, m: int, block_bytes: int = 8 << 20) -> DataFrame:
     """(src, dst, distance, rank): the m nearest others of every point, exactly.
 
-    Points are dealt to stored blocks of about ``block_bytes``; each pair of blocks is compared once, in a task of its own, for both
-    its sides, so no vector passes through the driver. A point goes to as many tasks as there are blocks: work
+    Points are dealt to stored blocks of about ``block_bytes``; each pair of blocks is compared once, in one task, for both
+    its sides, so no vector passes through the driver. There is a partition for every pair (up to ``MOST_PAIRS``), so a task's work and
+    memory are those of a few pairs, whatever the points. A point goes to as many tasks as there are blocks: work
     and shuffle grow with the square of the points, for which ``descended_graph`` is the other way. Rows of one id are no
     neighbours of each other; points without a vector take no part; an empty table gives an empty result.
     """
@@ -262,7 +282,10 @@ def neighbour_graph(points: DataFrame, m: int, block_bytes: int = 32 << 20) -> D
     placed = spark.read.schema(T.StructType([*rows.schema.fields]).add("block", "long")).parquet(path)
     dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     dealt = dealt.select("id", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    near = dealt.groupBy("low", "high").applyInArrow(_compare_blocks(m), "src long, dst long, distance double")
+    parts = min(blocks * (blocks + 1) // 2, MOST_PAIRS)
+    number = (F.col("low") * blocks - F.shiftright(F.col("low") * (F.col("low") - 1), 1) + F.col("high") - F.col("low")) % parts
+    dealt = dealt.withColumn("part", number.cast("int")).repartitionById(parts, "part")  # a hash would deal several pairs to one partition
+    near = dealt.groupBy("part", "low", "high").applyInArrow(_compare_blocks(m), "src long, dst long, distance double")
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m).select("src", "dst", "distance", "rank")
 
