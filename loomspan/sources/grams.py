@@ -14,10 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, SLOTS_BITS = 4, 20
+#: Grams are taken of so many bytes at a time, rows of a batch and parts of long texts alike.
+PIECE = 1 << 20
 
 
 def slots(texts: list[bytes]) -> np.ndarray:
@@ -31,6 +34,21 @@ def slots(texts: list[bytes]) -> np.ndarray:
     return np.unique(hashed).astype(np.int32)
 
 
+def pieces(texts: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts in lists of about ``most`` bytes; longer ones in parts that share WIDTH - 1 bytes, so that no gram is lost."""
+    held, size = [], 0
+    for text in texts:
+        for start in range(0, max(1, len(text) - WIDTH + 1), most):
+            part = text[start : start + most + WIDTH - 1]
+            if held and size + len(part) > most:
+                yield held
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+    if held:
+        yield held
+
+
 class GramFiles:
     """Rows with a text column as ``write`` has left them at a path."""
 
@@ -47,15 +65,26 @@ class GramFiles:
         stored = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.lower(text).alias("t")).where("t is not null")
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # A bit a slot of the file that is being read; its rows may come in several batches.
+            name, seen = None, np.zeros(1 << SLOTS_BITS, bool)
+
+            def rows() -> pa.RecordBatch:
+                found = np.flatnonzero(seen).astype(np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(found), pa.array([name], pa.string()).take(pa.array(np.zeros(len(found), np.int32)))], ["slot", "file"])
+
             for b in batches:
-                names = b.column(0).to_pylist()
-                texts = b.column(1).cast(pa.binary()).to_pylist()
-                ends = [k for k in range(1, len(names)) if names[k] != names[k - 1]] + ([len(names)] if names else [])
+                changes = pc.run_end_encode(b.column(0))
                 start = 0
-                for end in ends:
-                    found = slots(texts[start:end])
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([names[start]] * len(found), pa.string())], ["slot", "file"])
+                for end, file in zip(changes.run_ends.to_pylist(), changes.values.to_pylist(), strict=True):
+                    if file != name:
+                        if name is not None:
+                            yield rows()
+                        name, seen = file, np.zeros(1 << SLOTS_BITS, bool)
+                    for some in pieces((t.as_buffer().to_pybytes() for t in b.column(1)[start:end].cast(pa.binary())), PIECE):
+                        seen[slots(some)] = True
                     start = end
+            if name is not None:
+                yield rows()
 
         found = stored.mapInArrow(grams, "slot int, file string").distinct()
         found.repartitionByRange("slot").sortWithinPartitions("slot").write.option("parquet.block.size", str(4 << 20)).parquet(f"{path}-grams")
