@@ -19,6 +19,13 @@ def docs(spark, d):
     return table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def once(rows, **columns):
+    """rows with columns that are computed once a row: later uses and filters do not repeat their expressions, as they may after withColumn."""
+    for name, value in columns.items():
+        rows = rows.select("*", F.explode_outer(F.array(value)).alias(name))
+    return rows
+
+
 _CTRL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -209,13 +216,16 @@ _WORD = r"[\p{L}\p{N}_]+"
     SELECT doc_id, strpos(text, hit) - 1 AS start, strpos(text, hit) - 1 + length(hit) AS "end" FROM b""")
 def quote_locate(spark, d):
     """Two pieces of a text around dots; the longer one is altered in every other text, so that the shorter one is found."""
-    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
-    q = docs(spark, d).withColumn("ws", words).where(F.size("ws") >= 8)
+    # The first eight words are all that is asked for; the rest of a text is not cut into words.
+    first = F.regexp_extract("text", r"^(?:[^\p{L}\p{N}_]*+[\p{L}\p{N}_]++){8}", 0)
+    q = once(docs(spark, d), ws=F.regexp_extract_all(first, F.lit(_WORD), F.lit(0))).where(F.size("ws") >= 8)
     w = lambda k: F.get("ws", F.lit(k - 1))
     extra = F.when(F.col("doc_id") % 2 == 1, " not-here").otherwise("")
     quote = F.concat(F.lit("“"), w(3), F.lit(" "), F.lower(w(4)), F.lit("… "), w(6), extra, F.lit(" "), w(7), F.lit(", "), w(8), F.lit("” "))
-    start, end = X.locate(F.col("text"), quote)
-    return q.select("doc_id", start.alias("start"), end.alias("end")).where("start is not null")
+    q = once(q.select("doc_id", "text", quote.alias("quote")), squeezed=X.squeeze(F.col("text")))
+    hit = once(q, hit=F.get(X.quote_hits(F.col("text"), F.col("quote"), F.col("squeezed")), F.lit(0))).where("hit is not null")
+    start = F.position("hit", "text") - 1
+    return hit.select("doc_id", start.alias("start"), (start + F.length("hit")).alias("end"))
 
 
 _FLAT = _sql_clean("text")
