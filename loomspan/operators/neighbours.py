@@ -4,7 +4,9 @@ The start: points are numbered along several random orders in which close points
 random centres and the distance to it), and each block of ``block`` consecutive ones is compared within itself. A round then
 gathers, for each point, its closest neighbours in both directions with their vectors, compares these with each other where one of
 the two links is new, and keeps the ``pool`` closest of each point. Rounds end when fewer than ``share`` of
-the links have changed, or after ``rounds``.
+the links have changed, or after ``rounds``. Then the links of ``SAMPLE`` points are compared with those of an exact search; while
+fewer than ``least`` of these are found, as many further random orders add their blocks' links and rounds go on from these. Rounds alone find the fewer
+the more points there are; what each order adds does not depend on them.
 
 A point has at most 2 * pool neighbours in a round, however many points name it, so hubs stay bounded; no query and no
 vector passes through the driver besides the random centres of the start. The result is approximate; ``neighbour_graph`` is the exact way.
@@ -13,6 +15,7 @@ Ids are distinct; points without a vector have no neighbours.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.search import _closest, _unit, matrix
+from loomspan.operators.search import _closest, _unit, exact_topk, matrix, nearest
 from loomspan.operators.segment import number_rows
 from loomspan.sources.snapshot import scratch
 
 EDGES = "src long, dst long, distance double"
+#: So many points, by a hash of their ids, have their links compared with the exact ones.
+SAMPLE = 1024
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -57,15 +62,23 @@ def _within_blocks(points: DataFrame, dims: int, pool: int, block: int, seed: in
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().to_batches()[0]
         names, m = rows.column(0).to_numpy(), matrix(rows.column(1))
-        d = 1.0 - m @ m.T
-        np.fill_diagonal(d, np.inf)
-        dist, near = _closest(np.full((len(m), pool), np.inf), np.full((len(m), pool), np.iinfo(np.int64).max), d, names)
+        dist, near = np.full((len(m), pool), np.inf), np.full((len(m), pool), np.iinfo(np.int64).max)
+        for start in range(0, len(m), 512):
+            d = 1.0 - m[start : start + 512] @ m.T
+            d[np.arange(len(d)), np.arange(start, start + len(d))] = np.inf
+            dist[start : start + 512], near[start : start + 512] = _closest(dist[start : start + 512], near[start : start + 512], d, names)
         row, col = np.nonzero(np.isfinite(dist))
         return pa.table([names[row], near[row, col], dist[row, col]], ["src", "dst", "distance"])
 
     return placed.select("id", "vector", F.expr(f"pos div {block}").alias("block")).groupBy("block").applyInArrow(compare, EDGES)
 
 
+def _from_orders(points: DataFrame, dims: int, pool: int, block: int, seeds: range, n: int) -> DataFrame:
+    """(src, dst, distance) by the blocks of several random orders, a row a link."""
+    found = [_within_blocks(points, dims, pool, block, s, n) for s in seeds]
+    return functools.reduce(DataFrame.unionByName, found).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+
+
 def _compared(lists: DataFrame) -> DataFrame:
     """From rows (hub, id, vector, is_new, reach), a few a hub: links between the rows of a hub, one of them new, that are closer than what the source has."""
 
@@ -100,27 +113,51 @@ def _compared(lists: DataFrame) -> DataFrame:
     return lists.repartition("hub").sortWithinPartitions("hub").select("hub", "id", "vector", "is_new", "reach").mapInArrow(compare, EDGES)
 
 
-def descended_graph(points: DataFrame, m: int, *, pool: int | None = None, block: int = 512, starts: int = 4, rounds: int = 12, share: float = 0.002, seed: int = 3) -> DataFrame:
-    """(src, dst, distance, rank): about the m nearest others of every point of points(id, vector)."""
-    spark, pool = points.sparkSession, pool or max(4 * m, 48)
-    base = _kept(points.where("vector is not null").select("id", "vector"))
-    size = base.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
-    if not size.n:
-        return spark.createDataFrame([], EDGES + ", rank int")
-    first = _within_blocks(base, size.dims, pool, block, seed, size.n)
-    for s in range(1, starts if size.n > block else 1):
-        first = first.unionByName(_within_blocks(base, size.dims, pool, block, seed + s, size.n))
-    edges = _kept(_closest_of(first.groupBy("src", "dst").agg(F.min("distance").alias("distance")), pool).withColumn("is_new", F.lit(True)))
-    for _ in range(rounds if size.n > block else 0):
+def _sampled_recall(edges: DataFrame, base: DataFrame, m: int, seed: int) -> float:
+    """The share of the m links of the sampled points that are as close in edges(src, dst, distance, rank) as in an exact search; which of equally close ones does not matter."""
+    some = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select(F.col("id").alias("query_id"), "vector")
+    others = nearest(exact_topk(base, some, m + 1).where("id <> query_id").drop("rank"), m)
+    reach = others.groupBy(F.col("query_id").alias("src")).agg(F.max("distance").alias("reach"), F.count("*").alias("n"))
+    found = edges.where(F.col("rank") <= m).join(reach, "src", "right").groupBy("src", "n").agg(F.count_if(F.col("distance") <= F.col("reach") + 1e-9).alias("hits"))
+    return found.agg(F.coalesce(F.sum("hits") / F.sum("n"), F.lit(1.0)).alias("r")).first().r
+
+
+def _with_found(edges: DataFrame, found: DataFrame, pool: int) -> DataFrame:
+    """The pool closest of each point among its links and found ones, which are new if it had them not."""
+    old = edges.select("src", "dst", "distance", F.lit(False).alias("is_new"))
+    every = old.unionByName(found.withColumn("is_new", F.lit(True))).groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min("is_new").alias("is_new"))
+    return _kept(_closest_of(every, pool))
+
+
+def _descend(edges: DataFrame, base: DataFrame, n: int, m: int, pool: int, rounds: int, share: float) -> DataFrame:
+    """edges after rounds of neighbours of neighbours."""
+    for _ in range(rounds):
         # How far the links of a point reach, and its closest links in both directions.
         reach = edges.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= pool, F.max("distance")).otherwise(float("inf")).alias("reach"))
         back = _closest_of(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance", "is_new"), pool)
         both = edges.unionByName(back).groupBy(F.col("src").alias("hub"), F.col("dst").alias("id")).agg(F.max("is_new").alias("is_new"))
         lists = both.join(base.join(reach, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))), "id")
-        found = _compared(lists).groupBy("src", "dst").agg(F.min("distance").alias("distance")).withColumn("is_new", F.lit(True))
-        old = edges.select("src", "dst", "distance", F.lit(False).alias("is_new"))
-        every = old.unionByName(found).groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.min("is_new").alias("is_new"))
-        edges = _kept(_closest_of(every, pool))
-        if edges.where("is_new").count() <= share * size.n * min(pool, m):
+        edges = _with_found(edges, _compared(lists).groupBy("src", "dst").agg(F.min("distance").alias("distance")), pool)
+        if edges.where("is_new").count() <= share * n * min(pool, m):
             break
+    return edges
+
+
+def descended_graph(
+    points: DataFrame, m: int, *, pool: int | None = None, block: int = 4096, starts: int = 4, rounds: int = 12, share: float = 0.002, seed: int = 3, least: float = 0.93
+) -> DataFrame:
+    """(src, dst, distance, rank): about the m nearest others of every point of points(id, vector), ``least`` of them by a sample."""
+    spark, pool = points.sparkSession, pool or max(4 * m, 48)
+    base = _kept(points.where("vector is not null").select("id", "vector"))
+    size = base.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    if not size.n:
+        return spark.createDataFrame([], EDGES + ", rank int")
+    seeds = range(seed, seed + (starts if size.n > block else 1))
+    first = _from_orders(base, size.dims, pool, block, seeds, size.n)
+    edges = _kept(_closest_of(first, pool).withColumn("is_new", F.lit(True)))
+    if size.n > block and rounds:
+        edges = _descend(edges, base, size.n, m, pool, rounds, share)
+        while _sampled_recall(edges, base, m, seed) < least:
+            seeds = range(seeds.stop, seeds.stop + starts)
+            edges = _descend(_with_found(edges, _from_orders(base, size.dims, pool, block, seeds, size.n), pool), base, size.n, m, pool, rounds, share)
     return edges.where(F.col("rank") <= m).select("src", "dst", "distance", "rank")
