@@ -14,6 +14,7 @@ one row of bounds a part and cell: at most a few thousand rows a part.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions.filters import AtLeast, AtMost, Between, Equals, _kind, matching
-from loomspan.operators.search import HITS, _closest, _unit, matrix, nearest, query_blocks, train_centroids
+from loomspan.operators.search import HITS, TILE_POINTS, _keep_closest, _unit, matrix, nearest, no_hits, query_blocks, trained
 from loomspan.operators.segment import fresh
 from loomspan.sources.snapshot import scratch
 
@@ -91,9 +92,11 @@ def _place(rows: DataFrame, centres: np.ndarray, cell: str, reach: str) -> DataF
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
         for b in batches:
-            m = matrix(b.column(at))
-            near = (m @ c.T).argmax(1) if b.num_rows else np.zeros(0, np.int64)
-            chord = np.sqrt(((m - c[near]) ** 2).sum(1)) if b.num_rows else np.zeros(0)
+            near, chord = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for start in range(0, b.num_rows, TILE_POINTS):
+                m, tile = matrix(b.column(at).slice(start, TILE_POINTS)), slice(start, start + TILE_POINTS)
+                near[tile] = (m @ c.T).argmax(1)
+                chord[tile] = np.sqrt(((m - c[near[tile]]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int64()), pa.array(chord, pa.float64())], [*b.schema.names, cell, reach])
 
     return rows.mapInArrow(place, T.StructType([*rows.schema.fields]).add(cell, "long").add(reach, "double"))
@@ -106,17 +109,23 @@ def _best_by_cell(sent, k: int):
         ids, vectors, who, limit = sent.value
         dist = np.full((len(ids), k), np.inf)
         near = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+        def distances(at: np.ndarray) -> np.ndarray:
+            d = vectors[at] @ inside.T
+            np.subtract(1.0, d, out=d)
+            d[d > limit[at, None] + SLACK] = np.inf
+            return d
+
         for b in batches:
-            for start in range(0, b.num_rows, 2048):
-                part = b.slice(start, 2048)
+            for start in range(0, b.num_rows, TILE_POINTS):
+                part = b.slice(start, TILE_POINTS)
                 m, names, cell = matrix(part.column(1)), part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
                 for c in np.unique(cell).tolist():
                     asked, rows = who.get(c), cell == c
                     if asked is None:
                         continue
-                    d = 1.0 - vectors[asked] @ m[rows].T
-                    d[d > limit[asked, None] + SLACK] = np.inf
-                    dist[asked], near[asked] = _closest(dist[asked], near[asked], d, names[rows])
+                    inside = m[rows]
+                    _keep_closest(dist, near, asked, distances, names[rows])
         row, col = np.nonzero(np.isfinite(dist))
         if len(row):
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near[row, col]), pa.array(dist[row, col])], ["query_id", "id", "distance"])
@@ -136,16 +145,16 @@ class CellIndex:
     @classmethod
     def build(cls, points: DataFrame, cells: int = 64, centres: DataFrame | None = None, root: str | None = None, fanout: int = 4) -> CellIndex:
         """centres(cell, vector): by default trained on a bounded sample; all points are indexed."""
-        found = sorted((r.cell, r.vector) for r in (train_centroids(points, cells) if centres is None else centres).collect())
+        found = trained(points, cells) if centres is None else np.array([v for _, v in sorted((r.cell, r.vector) for r in centres.collect())], float)
         cell, reach = fresh("cell", points), fresh("reach", points)
-        index = cls(points.sparkSession, _unit(np.array([v for _, v in found], float)) if found else np.zeros((0, 0)), points.schema, cell, reach, root, fanout)
+        index = cls(points.sparkSession, _unit(found) if len(found) else np.zeros((0, 0)), points.schema, cell, reach, root, fanout)
         return index.add(points)
 
     def add(self, points: DataFrame) -> CellIndex:
         """Inserts points of the same columns as a part of their own, then merges parts that have come together."""
         if not len(self.centres):
-            found = train_centroids(points, 64)
-            self.centres = _unit(np.array([r.vector for r in found.collect()], float)) if not found.isEmpty() else self.centres
+            found = trained(points, 64)
+            self.centres = _unit(found) if len(found) else self.centres
         rows = points.select([c.name for c in self.schema]).where("vector is not null")
         if len(self.centres):
             self._store(_place(rows, self.centres, self.cell, self.reach))
@@ -200,11 +209,8 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int, conditions=(), nprobe: int | None = None, block: int = 1024) -> DataFrame:
         """(query_id, id, distance, rank) of the k nearest that meet all conditions: all cells that can matter, or the nprobe nearest cells only."""
         self.visits = []
-        found = self.spark.createDataFrame([], HITS)
-        for ids, vectors in query_blocks(queries, block):
-            for hits in self._rounds(ids, _unit(vectors), k, conditions, nprobe):
-                found = found.unionByName(hits)
-        return nearest(found, k)
+        found = [hits for ids, vectors in query_blocks(queries, block) for hits in self._rounds(ids, _unit(vectors), k, conditions, nprobe)]
+        return nearest(functools.reduce(DataFrame.unionByName, found) if found else no_hits(self.spark), k)
 
     def _rounds(self, ids: np.ndarray, q: np.ndarray, k: int, conditions, nprobe: int | None) -> Iterator[DataFrame]:
         places = [(p, c) for p in self.parts for c in sorted(p.cells) if all(p.cells[c].may_meet(x) for x in conditions)]
@@ -241,7 +247,7 @@ class CellIndex:
 
     def _open(self, places: list, now: np.ndarray, ids: np.ndarray, q: np.ndarray, limit: np.ndarray, k: int, conditions) -> DataFrame:
         """The hits in the cells that each query looks into, stored."""
-        out = self.spark.createDataFrame([], HITS)
+        out = []
         used = np.flatnonzero(now.any(0))
         self.visits.append(Visit(len(used), *(sum(getattr(places[j][0].cells[places[j][1]], a) for j in used) for a in ("n", "size"))))
         sent = []
@@ -249,9 +255,9 @@ class CellIndex:
             who = {places[j][1]: np.flatnonzero(now[:, j]) for j in used if places[j][0] is p}
             sent.append(self.spark.sparkContext.broadcast((ids, q, who, limit)))
             rows = matching(self._read(p, who), conditions).select("id", "vector", self.cell)
-            out = out.unionByName(rows.mapInArrow(_best_by_cell(sent[-1], k), HITS))
+            out.append(rows.mapInArrow(_best_by_cell(sent[-1], k), HITS))
         path = scratch(self.spark)
-        nearest(out, k).drop("rank").write.parquet(path)
+        nearest(functools.reduce(DataFrame.unionByName, out) if out else no_hits(self.spark), k).drop("rank").write.parquet(path)
         for s in sent:
             s.destroy()
         return self.spark.read.schema(HITS).parquet(path)

@@ -31,6 +31,8 @@ if TYPE_CHECKING:
     from loomspan.operators.graph import GraphIndex
 
 BLOCK = 4096
+#: Distances are taken between so many queries and points at once (4 MB), however many there are of either.
+TILE_QUERIES, TILE_POINTS = 256, 2048
 #: Pairs of blocks of a neighbour graph are dealt to no more partitions.
 MOST_PAIRS = 8192
 HITS = "query_id long, id long, distance double"
@@ -74,7 +76,7 @@ def in_blocks(spark: SparkSession, blocks: Iterator, search) -> DataFrame:
         sent = spark.sparkContext.broadcast(content)
         held = search(sent), sent
     if held is None:
-        return spark.createDataFrame([], HITS)
+        return no_hits(spark)
     if path is None:
         return held[0]
     held[0].write.mode("append").parquet(path)
@@ -82,6 +84,11 @@ def in_blocks(spark: SparkSession, blocks: Iterator, search) -> DataFrame:
     return spark.read.schema(HITS).parquet(path)
 
 
+def no_hits(spark: SparkSession) -> DataFrame:
+    """An empty table of hits, made without Python workers."""
+    return spark.range(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     length = np.sqrt((m * m).sum(1, keepdims=True))
     return m / np.where(length < ZERO_NORM, np.inf, length)
@@ -124,6 +131,13 @@ def _closest(dist: np.ndarray, near: np.ndarray, d: np.ndarray, ids: np.ndarray)
     return dist, near
 
 
+def _keep_closest(dist: np.ndarray, near: np.ndarray, asked: np.ndarray, distances, ids: np.ndarray) -> None:
+    """Enters points into the k best of the queries at ``asked``, in place; distances(at) gives those of a tile of the queries."""
+    for start in range(0, len(asked), TILE_QUERIES):
+        at = asked[start : start + TILE_QUERIES]
+        dist[at], near[at] = _closest(dist[at], near[at], distances(at), ids)
+
+
 def _best(sent, k: int, probe: bool):
     """A scan that keeps the k nearest points of each query of the block."""
 
@@ -131,15 +145,20 @@ def _best(sent, k: int, probe: bool):
         ids, vectors, cells = sent.value
         dist = np.full((len(ids), k), np.inf)
         near = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+        def distances(at: np.ndarray) -> np.ndarray:
+            d = vectors[at] @ m.T
+            np.subtract(1.0, d, out=d)
+            if probe:
+                d[~(cells[at][:, :, None] == cell[None, None, :]).any(1)] = np.inf
+            return d
+
         for b in batches:
-            for start in range(0, b.num_rows, 2048):
-                part = b.slice(start, 2048)
+            for start in range(0, b.num_rows, TILE_POINTS):
+                part = b.slice(start, TILE_POINTS)
                 m = matrix(part.column(1))
-                d = 1.0 - vectors @ m.T
-                if probe:
-                    cell = part.column(2).to_numpy(zero_copy_only=False)
-                    d[~(cells[:, :, None] == cell[None, None, :]).any(1)] = np.inf
-                dist, near = _closest(dist, near, d, part.column(0).to_numpy(zero_copy_only=False))
+                cell = part.column(2).to_numpy(zero_copy_only=False) if probe else None
+                _keep_closest(dist, near, np.arange(len(ids)), distances, part.column(0).to_numpy(zero_copy_only=False))
         row, col = np.nonzero(np.isfinite(dist))
         if len(row):
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near[row, col]), pa.array(dist[row, col])], ["query_id", "id", "distance"])
@@ -168,17 +187,22 @@ def centroids(points: DataFrame, by: str) -> DataFrame:
 
 
 def train_centroids(points: DataFrame, cells: int, seed: int = 7, rounds: int = 10, sample: int = 20_000) -> DataFrame:
-    """Spherical k-means on a bounded sample (at most ``sample`` rows, by hash of id); all points are indexed later."""
-    spark = points.sparkSession
+    """(cell, vector): spherical k-means on a bounded sample (at most ``sample`` rows, by hash of id); all points are indexed later."""
+    c = trained(points, cells, seed, rounds, sample)
+    return points.sparkSession.createDataFrame([(j, v.tolist()) for j, v in enumerate(c)], "cell int, vector array<double>")
+
+
+def trained(points: DataFrame, cells: int, seed: int = 7, rounds: int = 10, sample: int = 20_000) -> np.ndarray:
+    """The vectors of ``train_centroids`` in the driver, one row per cell."""
     rows = points.select("id", "vector").where("vector is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).collect()
     if not rows:
-        return spark.createDataFrame([], "cell int, vector array<double>")
+        return np.zeros((0, 0))
     m = _unit(np.array([r.vector for r in rows], np.float64))
     c = m[: min(cells, len(m))].copy()
     for _ in range(rounds):
         at = (m @ c.T).argmax(1)
         c = _unit(np.array([m[at == j].sum(0) if (at == j).any() else c[j] for j in range(len(c))]))
-    return spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(c)], "cell int, vector array<double>")
+    return c
 
 
 def assign_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
