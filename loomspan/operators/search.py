@@ -102,35 +102,45 @@ def _closest(dist: np.ndarray, near: np.ndarray, d: np.ndarray, ids: np.ndarray)
     k, dist, near = dist.shape[1], dist.copy(), near.copy()
     for start in range(0, len(dist) if d.shape[1] else 0, 256):
         part, kept, names = d[start : start + 256], dist[start : start + 256], near[start : start + 256]
-        limit = np.minimum(kept[:, k - 1], np.finfo(np.float64).max)
-        good = part <= limit[:, None]
-        many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
-        if len(many):
-            some = part[many]
-            limit = np.partition(some, k - 1, axis=1)[:, k - 1 : k]
-            good[many] = some <= limit
-            tied = np.flatnonzero(np.count_nonzero(good[many], axis=1) > 4 * k)
-            if len(tied):
-                order = np.argsort(ids, kind="stable")
-                equal = some[np.ix_(tied, order)] == limit[tied]
-                good[np.ix_(many[tied], order)] &= ~(equal & (np.cumsum(equal, axis=1) > k))
-        row, col = np.nonzero(good)
-        if not len(row):
-            continue
-        changed = np.unique(row)
-        old, at = np.nonzero(np.isfinite(kept[changed]))
-        old = changed[old]
-        far, name, row = np.concatenate((kept[old, at], part[row, col])), np.concatenate((names[old, at], ids[col])), np.concatenate((old, row))
-        order = np.lexsort((name, far, row))
-        row, far, name = row[order], far[order], name[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < k
-        kept[changed], names[changed] = np.inf, np.iinfo(np.int64).max
-        kept[row[keep], rank[keep]] = far[keep]
-        names[row[keep], rank[keep]] = name[keep]
+        row, col = _selected(part, kept[:, k - 1], k, ids)
+        if len(row):
+            _enter(kept, names, row, part[row, col], ids[col])
     return dist, near
 
 
+def _selected(part: np.ndarray, limit: np.ndarray, k: int, ids: np.ndarray, error: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places in rows of distances that are no farther than the row's limit and among its k least, up to an error; of many at just that distance, the k least ids."""
+    limit = np.minimum(limit, np.finfo(np.float64).max)
+    good = part <= limit[:, None]
+    many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
+    if len(many):
+        some = part[many]
+        limit = np.partition(some, k - 1, axis=1)[:, k - 1 : k]
+        good[many] = some <= limit + error
+        tied = np.flatnonzero(np.count_nonzero(good[many], axis=1) > 4 * k)
+        if len(tied):
+            order = np.argsort(ids, kind="stable")
+            equal = np.abs(some[np.ix_(tied, order)] - limit[tied]) <= error
+            good[np.ix_(many[tied], order)] &= ~(equal & (np.cumsum(equal, axis=1) > k))
+    return np.nonzero(good)
+
+
+def _enter(dist: np.ndarray, near: np.ndarray, row: np.ndarray, far: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Enters points into the k best of rows, which stay in order, in place; gives the rows."""
+    changed = np.unique(row)
+    old, at = np.nonzero(np.isfinite(dist[changed]))
+    old = changed[old]
+    far, name, row = np.concatenate((dist[old, at], far)), np.concatenate((near[old, at], name)), np.concatenate((old, row))
+    order = np.lexsort((name, far, row))
+    row, far, name = row[order], far[order], name[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < dist.shape[1]
+    dist[changed], near[changed] = np.inf, np.iinfo(np.int64).max
+    dist[row[keep], rank[keep]] = far[keep]
+    near[row[keep], rank[keep]] = name[keep]
+    return changed
+
+
 def _keep_closest(dist: np.ndarray, near: np.ndarray, asked: np.ndarray, distances, ids: np.ndarray) -> None:
     """Enters points into the k best of the queries at ``asked``, in place; distances(at) gives those of a tile of the queries."""
     for start in range(0, len(asked), TILE_QUERIES):
@@ -263,24 +273,105 @@ def least_nprobe(cell_points: DataFrame, cells: DataFrame, queries: DataFrame, k
     return int((hits < least * len(rows)).sum()) + 1 if len(rows) else len(names)
 
 
-def _compare_blocks(m: int, tile: int = 1024):
-    """For the rows of two blocks, or of one with itself: the m nearest of each row in the other block, by tiles."""
+def pair_distances(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the unit vectors at i from those at j. They depend on the two vectors only, so copies have one distance, wherever they are compared."""
+    out = np.empty(len(i))
+    for start in range(0, len(i), 16384):
+        part = slice(start, start + 16384)
+        out[part] = 1.0 - np.einsum("ij,ij->i", x[i[part]], x[j[part]])
+    return out
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix that is true in few places, eight at a time."""
+    flat = mask.reshape(-1)
+    if len(flat) % 8 == 0:
+        word = np.flatnonzero(flat.view(np.uint64))
+        at, byte = np.nonzero(flat.reshape(-1, 8)[word])
+        found = word[at] * 8 + byte
+    else:
+        found = np.flatnonzero(flat)
+    return np.divmod(found, mask.shape[1])
+
+
+def closest_pairs(ids: np.ndarray, vectors: np.ndarray, sides: list[slice], k: int, reach: np.ndarray | None = None, tile: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance): the k nearest of each row of unit vectors in the other side, or in its own if there is one side; exactly.
+
+    Each tile of similarities is taken once, in floats, for both its sides. What may be among a row's k nearest by these, allowing for their
+    error, gets its distance in doubles. Of rows with a reach only what is no farther is wanted. Rows of one id are no neighbours.
+    """
+    dist, near = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+    limit = np.full(len(ids), np.inf) if reach is None else reach.astype(np.float64)
+    slack = 1e-6 + vectors.shape[1] * 2.0**-23  # the error of a product in floats is at most half of it
+    floats, floor = vectors.astype(np.float32), (1.0 - limit - slack).astype(np.float32)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def enter() -> None:
+        row, col = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        other = ids[row] != ids[col]
+        row, col = row[other], col[other]
+        far = pair_distances(vectors, row, col)
+        good = far <= limit[row]
+        if good.any():
+            changed = _enter(dist, near, row[good], far[good], ids[col[good]])
+            limit[changed] = np.minimum(limit[changed], dist[changed, k - 1])
+            floor[changed] = 1.0 - limit[changed] - slack
+
+    def add(x: slice, y: slice, mask: np.ndarray, flipped: bool) -> None:
+        found = np.count_nonzero(mask)
+        if found > (x.stop - x.start) * max(4 * k, (y.stop - y.start) // 32):  # at the start, or many copies
+            for start in range(x.start, x.stop, TILE_QUERIES):
+                at = slice(start, min(start + TILE_QUERIES, x.stop))
+                d = 1.0 - vectors[at] @ vectors[y].T
+                d[ids[at][:, None] == ids[y]] = np.inf
+                row, col = _selected(d, limit[at] + slack, k, ids[y], vectors.shape[1] * 2.0**-52)
+                held.append((start + row, y.start + col))
+        elif found:
+            row, col = _places(mask)
+            held.append((x.start + col, y.start + row) if flipped else (x.start + row, y.start + col))
+        if sum(len(r) for r, _ in held) > 4 * k * tile or (found and not np.isfinite(limit[x]).all()):
+            enter()
+
+    tiles = [[slice(j, min(j + tile, side.stop)) for j in range(side.start, side.stop, tile)] for side in sides]
+    pairs = [(x, y) for x in tiles[0] for y in tiles[1]] if len(sides) == 2 else [(x, y) for j, x in enumerate(tiles[0]) for y in tiles[0][j:]]
+    for x, y in pairs:
+        s = floats[x] @ floats[y].T
+        add(x, y, s >= floor[x, None], False)
+        if x is not y:
+            add(y, x, s >= floor[y], True)
+    if held:
+        enter()
+    row, col = np.nonzero(np.isfinite(dist))
+    return row, near[row, col], dist[row, col]
+
+
+def _compare_own(m: int):
+    """The rows of a block with the m nearest of each in it, and how far these reach."""
 
     def compare(rows: pa.Table) -> pa.Table:
-        low, high, block = (rows[c].to_numpy() for c in ("low", "high", "block"))
-        ids, vectors = rows["id"].to_numpy(), matrix(rows["vector"].combine_chunks())
-        sides = [np.flatnonzero(block == low)] if low[0] == high[0] else [np.flatnonzero(block == low), np.flatnonzero(block == high)]
-        dist, near = np.full((len(ids), m), np.inf), np.full((len(ids), m), np.iinfo(np.int64).max)
-        tiles = [[side[k : k + tile] for k in range(0, len(side), tile)] for side in sides]
-        pairs = [(x, y) for x in tiles[0] for y in tiles[1]] if len(sides) == 2 else [(x, y) for k, x in enumerate(tiles[0]) for y in tiles[0][k:]]
-        for x, y in pairs:
-            d = 1.0 - vectors[x] @ vectors[y].T
-            d[ids[x][:, None] == ids[y]] = np.inf
-            dist[x], near[x] = _closest(dist[x], near[x], d, ids[y])
-            if x is not y:
-                dist[y], near[y] = _closest(dist[y], near[y], d.T, ids[x])
-        row, col = np.nonzero(np.isfinite(dist))
-        return pa.table([ids[row], near[row, col], dist[row, col]], ["src", "dst", "distance"])
+        rows = rows.combine_chunks()
+        row, near, dist = closest_pairs(rows["id"].to_numpy(), matrix(rows["vector"].combine_chunks()), [slice(0, rows.num_rows)], m)
+        ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        reach = np.full(rows.num_rows, np.inf)
+        full = np.diff(ends) == m
+        reach[full] = dist[ends[1:][full] - 1]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (near, dist)]
+        return pa.table([rows["id"], rows["vector"], rows["block"], pa.array(reach), *lists], ["id", "vector", "block", "reach", "dst", "distance"])
+
+    return compare
+
+
+def _compare_blocks(m: int):
+    """For the rows of two blocks: the m nearest of each row in the other block, none beyond its reach."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        second = rows["block"].to_numpy() == rows["high"][0].as_py()
+        rows = rows.take(pa.array(np.argsort(second, kind="stable")))
+        cut = rows.num_rows - int(second.sum())
+        ids, vectors, reach = rows["id"].to_numpy(), matrix(rows["vector"].combine_chunks()), rows["reach"].to_numpy()
+        row, near, dist = closest_pairs(ids, vectors, [slice(0, cut), slice(cut, len(ids))], m, reach)
+        return pa.table([ids[row], near, dist], ["src", "dst", "distance"])
 
     return compare
 
@@ -288,7 +379,8 @@ def _compare_blocks(m: int, tile: int = 1024):
 def neighbour_graph(points: DataFrame, m: int, block_bytes: int = 8 << 20) -> DataFrame:
     """(src, dst, distance, rank): the m nearest others of every point, exactly.
 
-    Points are dealt to stored blocks of about ``block_bytes``; each pair of blocks is compared once, in one task, for both
+    Points are dealt to stored blocks of about ``block_bytes``. Each block is compared within itself first, so it is known how far a point's
+    nearest can be; then each pair of blocks is compared once, in one task, for both
     its sides, so no vector passes through the driver. There is a partition for every pair (up to ``MOST_PAIRS``), so a task's work and
     memory are those of a few pairs, whatever the points. A point goes to as many tasks as there are blocks: work
     and shuffle grow with the square of the points, for which ``descended_graph`` is the other way. Rows of one id are no
@@ -301,15 +393,20 @@ def neighbour_graph(points: DataFrame, m: int, block_bytes: int = 8 << 20) -> Da
         return spark.createDataFrame([], "src long, dst long, distance double, rank int")
     # Small tables are cut further, so that there is a pair for every core.
     blocks = max(-(-size.n * size.dims * 8 // block_bytes), min(-(-size.n // 1024), int((2 * spark.sparkContext.defaultParallelism) ** 0.5)))
+    own = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
+    kind = rows.schema["vector"].dataType.simpleString()
+    own = own.groupBy("block").applyInArrow(_compare_own(m), f"id long, vector {kind}, block int, reach double, dst array<long>, distance array<double>")
     path = scratch(spark)
-    rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).write.parquet(path)
-    placed = spark.read.schema(T.StructType([*rows.schema.fields]).add("block", "long")).parquet(path)
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    dealt = dealt.select("id", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    parts = min(blocks * (blocks + 1) // 2, MOST_PAIRS)
-    number = (F.col("low") * blocks - F.shiftright(F.col("low") * (F.col("low") - 1), 1) + F.col("high") - F.col("low")) % parts
-    dealt = dealt.withColumn("part", number.cast("int")).repartitionById(parts, "part")  # a hash would deal several pairs to one partition
-    near = dealt.groupBy("part", "low", "high").applyInArrow(_compare_blocks(m), "src long, dst long, distance double")
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
+    near = own.select(F.col("id").alias("src"), F.explode(F.arrays_zip("dst", "distance")).alias("x")).select("src", "x.dst", "x.distance")
+    if blocks > 1:
+        dealt = own.select("id", "vector", "reach", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).where("block <> other")
+        dealt = dealt.select("id", "vector", "reach", "block", F.least("block", "other").cast("long").alias("low"), F.greatest("block", "other").cast("long").alias("high"))
+        parts = min(blocks * (blocks - 1) // 2, MOST_PAIRS)
+        number = (F.col("low") * blocks - F.shiftright(F.col("low") * (F.col("low") + 1), 1) + F.col("high") - F.col("low") - 1) % parts
+        dealt = dealt.withColumn("part", number.cast("int")).repartitionById(parts, "part")  # a hash would deal several pairs to one partition
+        near = near.unionByName(dealt.groupBy("part", "low", "high").applyInArrow(_compare_blocks(m), "src long, dst long, distance double"))
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m).select("src", "dst", "distance", "rank")
 
